@@ -37,17 +37,31 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
-    """``fn`` on each Arrow batch of ``df``."""
+def arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, rows: int = 512) -> DataFrame:
+    """``fn`` on each ``rows`` rows of ``df`` as an Arrow batch; few at a time, as texts may be long."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                yield fn(batch)
+            for at in range(0, batch.num_rows, rows):
+                yield fn(batch.slice(at, rows))
 
     return df.mapInArrow(each, schema)
 
 
+def most_frequent(counted: DataFrame, n: str, most: int) -> DataFrame:
+    """The rows of ``counted`` with the largest ``n``, at most ``most``: all at or above a step of its logarithm.
+
+    Only the number of rows at each step comes to the driver, so the task count does not matter as in a limit.
+    """
+    step = F.floor(16 * F.log2(F.col(n).cast("double")))
+    total, least = 0, None
+    for r in sorted(counted.groupBy(step.alias("step")).agg(F.count("*").alias("rows")).collect(), reverse=True):
+        if (total := total + r["rows"]) > most:
+            break
+        least = r.step
+    return counted.where(step >= least if least is not None else F.lit(False))
+
+
 def crc_mod(column: str, n: int):
     """crc32 of the column as text, modulo n."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % n
@@ -56,7 +70,7 @@ def crc_mod(column: str, n: int):
 class Memo(dict):
     """A dict that fills itself by ``make`` and starts anew beyond ``most`` entries (``trim`` between batches)."""
 
-    def __init__(self, make: Callable, most: int = 300_000):
+    def __init__(self, make: Callable, most: int = 150_000):
         super().__init__()
         self.make, self.most = make, most
 

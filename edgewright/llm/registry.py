@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from edgewright.llm import bpe
+from edgewright.llm import bpe, langid, quality
 
 QUERIES = {
     "op3_bpe_round_trip": bpe.query,
+    "op5_rank_order_language": langid.query,
+    "op9_risk_controlled_quality": quality.query,
 }
 SQL: dict[str, str] = {}
