@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from edgewright.llm import bpe, classlm, langid, neardup, packing, quality, substrings
+from edgewright.llm import bpe, classlm, langid, neardup, packing, quality, substrings, winnow
 
 QUERIES = {
     "op2_super_kmer_substrings": substrings.query,
     "op3_bpe_round_trip": bpe.query,
     "op5_rank_order_language": langid.query,
     "op6_minhash_groups": neardup.query,
+    "op7_winnowing": winnow.query,
     "op8_linear_grouping_pack": packing.query,
     "op9_risk_controlled_quality": quality.query,
     "op10_class_bigram_score": classlm.query,
