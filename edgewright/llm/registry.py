@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from edgewright.llm import bpe, classlm, langid, neardup, packing, quality, substrings, winnow
+from edgewright.llm import bpe, classlm, langid, licences, neardup, packing, pagediff, quality, substrings, winnow
 
 QUERIES = {
+    "op1_nearest_page_difference": pagediff.query,
     "op2_super_kmer_substrings": substrings.query,
     "op3_bpe_round_trip": bpe.query,
+    "op4_licence_scan": licences.query,
     "op5_rank_order_language": langid.query,
     "op6_minhash_groups": neardup.query,
     "op7_winnowing": winnow.query,
@@ -15,6 +17,7 @@ QUERIES = {
     "op10_class_bigram_score": classlm.query,
 }
 SQL: dict[str, str] = {
+    "op4_licence_scan": licences.SQL,
     "op2_super_kmer_substrings": substrings.SQL,
     "op6_minhash_groups": neardup.SQL,
 }
