@@ -4,9 +4,11 @@ A document's set is its distinct shingles of five words (ASCII capitals lowered)
 first, so exact copies cost one row each. A class's sketch hashes every shingle once and keeps the least hash of
 each bin; an empty bin takes the value of the first filled bin in a random order of its own, the same for all
 documents. Bands of the sketch are buckets, and each bucket is searched as a star: its members are compared with
-one centre, the member that shares most buckets, on their full sets. Links become components. A bucket whose
-members are still in different components gets the next centre, or, once it is small, its remaining pairs, until
-every pair of members either is linked, shares a component or was compared: no candidate is dropped.
+one centre, the member that shares most buckets, on their full sets. Links become components. Two members of one star that ended in different components are not compared
+as a pair, but by what the star says of them: they can only be linked if both have a shingle that the centre lacks,
+and members with such a shingle are the next round's buckets, or if the centre's part in the lesser of them is large
+for both sizes, and such pairs are compared at once. So no link between members of a bucket is lost, and no bucket's
+pairs are listed.
 
 Null texts and texts without words have an empty set: linked with nothing, kept. Texts of fewer than five words
 have one shingle, the whole sequence. Repeated rows of one doc_id count as one document and stay together. An
@@ -15,12 +17,10 @@ empty table gives an empty table.
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from edgewright.llm.common import Memo, arrow, stored, table
@@ -30,8 +30,6 @@ WORDS, SIMILARITY = 5, 85
 #: 32 bands of 6 bins find a pair of similarity 0.85 but for 3 in ten million.
 BANDS, ROWS = 32, 6
 BINS = BANDS * ROWS
-#: A bucket with at most so many undecided members compares all their pairs at once.
-SMALL = 16
 _random = np.random.default_rng(20_240_601)
 _ORDER = np.array([_random.permutation(BINS) for _ in range(BINS)])
 _ODD = _random.integers(1, 2**63, (3, max(WORDS + 1, ROWS)), np.uint64) | np.uint64(1)
@@ -101,74 +99,71 @@ def shingle_sets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     return arrow(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("binary")), run, "doc_id long, shingles array<long>")
 
 
-def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (u, v) whose full sets are similar enough."""
+def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (u, v) with their sizes nu and nv, k: how many shingles they share, and v's own: ``extra``."""
     a, b = (sets.select(F.col("doc_id").alias(k), F.col("shingles").alias(f"s{k}")) for k in "uv")
-    both = F.size(F.array_intersect("su", "sv"))
-    return pairs.join(a, "u").join(b, "v").where(100 * both >= SIMILARITY * (F.size("su") + F.size("sv") - both)).select("u", "v")
-
-
-def _compared(pairs: DataFrame) -> DataFrame:
-    """(u, v) of rows with the pair's sizes, without those whose sizes rule a link out."""
-    possible = 100 * F.least("nu", "nv") >= SIMILARITY * F.greatest("nu", "nv")
-    return pairs.where(possible & (F.col("u") != F.col("v"))).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    both = pairs.select("u", "v").join(a, "u").join(b, "v")
+    return both.select("u", "v", F.size("su").alias("nu"), F.size("sv").alias("nv"), F.size(F.array_intersect("su", "sv")).alias("k"), F.array_except("sv", "su").alias("extra"))
 
 
-def _apart(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """``members`` with the label of each: its component, or itself."""
-    return members.join(labels, members.doc_id == labels.id, "left").withColumn("label", F.coalesce("label", "doc_id")).drop("id")
+def similar() -> Column:
+    return 100 * F.col("k") >= SIMILARITY * (F.col("nu") + F.col("nv") - F.col("k"))
 
 
 def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row."""
-    spark = docs.sparkSession
     sketched = stored(sketches(docs, id_col=id_col, text_col=text_col), "sketches")
-    classes = stored(sketched.where("n_shingles > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = sketched.where("n_shingles > 0").join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    exploded = reps.select("doc_id", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
+    filled = sketched.where("n_shingles > 0")
+    classes = stored(filled.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep")), "classes")
+    reps = filled.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    exploded = reps.select("doc_id", F.explode("bands").alias("bucket"))
     shared = exploded.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     members = stored(exploded.join(shared, "bucket"), "members")
-    score = members.groupBy("doc_id").agg(F.sum("size").alias("score"))
-    members = stored(members.drop("size").join(score, "doc_id"), "members")
+    scores = stored(members.groupBy("doc_id").agg(F.sum("size").alias("score")), "scores")
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sets = stored(shingle_sets(texts.join(members.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])), "sets")
-
-    def star(rows: DataFrame) -> DataFrame:
-        """``rows`` with the centre of their bucket."""
-        centre = F.max(F.struct("score", (-F.col("doc_id")).alias("minus"), "n", *(["label"] if "label" in rows.columns else [])))
-        return rows.join(stored(rows.groupBy("bucket").agg(centre.alias("c")), "centres"), "bucket").withColumn("u", -F.col("c.minus"))
-
-    # first, each member against the best of its buckets' centres; then against the others that it isn't grouped with
-    stars = stored(star(members).select("u", F.col("c.n").alias("nu"), F.col("c.score").alias("c"), F.col("doc_id").alias("v"), F.col("n").alias("nv")).where("u != v").distinct(), "stars")
-    best = stars.groupBy("v").agg(F.max(F.struct("c", (-F.col("u")).alias("minus"), "nu", "nv")).alias("b")).select((-F.col("b.minus")).alias("u"), "v", "b.nu", "b.nv")
-    links = stored(linked(_compared(best), sets), "near")
-    labels = stored(components(links), "labels")
-    apart = stars
-    for k in ("u", "v"):
-        apart = apart.join(labels.select(F.col("id").alias(k), F.col("label").alias(f"l{k}")), k, "left").withColumn(f"l{k}", F.coalesce(f"l{k}", k))
-    found = [links, stored(linked(_compared(apart.where("lu != lv")), sets), "near")]
-    labels = stored(components(reduce(DataFrame.union, found)), "labels")
-
-    # buckets with members in several components go on, without the centres that they had
-    rest = members
-    while True:
-        rest = star(rest).where("doc_id != u").select("bucket", "doc_id", "n", "score")
-        labelled = _apart(rest, labels)
-        open_ = labelled.groupBy("bucket").agg(F.count("*").alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket", "size")
-        rest = stored(labelled.join(stored(open_, "open"), "bucket"), "rest")
-        if rest.isEmpty():
-            break
-        small, large = rest.where(F.col("size") <= SMALL), rest.where(F.col("size") > SMALL).drop("size")
-        a, b = (small.select("bucket", F.col("doc_id").alias(k), F.col("n").alias(f"n{k}"), F.col("label").alias(f"l{k}")) for k in "uv")
-        pairs = a.join(b, "bucket").where("u < v and lu != lv").select("u", "v", "nu", "nv")
-        centred = star(large).where("label != c.label").select("u", F.col("doc_id").alias("v"), F.col("c.n").alias("nu"), F.col("n").alias("nv"))
-        found.append(stored(linked(_compared(pairs.union(centred)), sets), "near"))
-        if not found[-1].isEmpty():
-            labels = stored(components(reduce(DataFrame.union, found)), "labels")
-        rest = large.select("bucket", "doc_id", "n", "score")
-
-    named = stored(_apart(classes.withColumnRenamed("rep", "doc_id"), labels).select("f1", "f2", "label"), "named")
+    sets = stored(shingle_sets(texts.join(scores, "doc_id", "left_semi").dropDuplicates(["doc_id"])), "sets")
+
+    links: DataFrame | None = None
+    labels = scores.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("label")).limit(0)
+
+    def labelled(rows: DataFrame, key: str, name: str) -> DataFrame:
+        found = rows.join(labels.select(F.col("id").alias(key), F.col("label").alias(name)), key, "left")
+        return found.withColumn(name, F.coalesce(name, key))
+
+    while not members.isEmpty():
+        # a star in each bucket; equal pairs of different buckets are compared once
+        scored = members.select("bucket", "doc_id").join(scores, "doc_id")
+        centre = F.max(F.struct("score", (-F.col("doc_id")).alias("minus"))).alias("c")
+        centres = stored(scored.groupBy("bucket").agg(centre).select("bucket", (-F.col("c.minus")).alias("u")), "centres")
+        pairs = members.select("bucket", F.col("doc_id").alias("v")).join(centres, "bucket").where("u != v").select("u", "v").distinct()
+        stars = stored(compared(pairs, sets), "stars")
+        found = stars.where(similar()).select("u", "v")
+        links = found if links is None else links.union(found)
+        labels = stored(components(links), "labels")
+
+        # two members of a star that are in different components can be linked only if they share a shingle that the
+        # centre lacks, or if the lesser part of the centre that one of them has is large for both their sizes
+        marked = labelled(stars.where("size(extra) > 0 or k > 0"), "v", "label")
+        open_ = marked.groupBy("u").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("u")
+        marked = stored(marked.join(stored(open_, "open"), "u", "left_semi"), "marked")
+
+        most = F.floor((100 + SIMILARITY) * F.col("k") / SIMILARITY - F.col("nv")).cast("int")
+        low = marked.select("u", F.col("v").alias("a"), F.col("k").alias("ka"), F.col("label").alias("la"), F.explode(F.when(most >= F.col("k"), F.sequence("k", most))).alias("size"))
+        high = marked.select("u", F.col("v").alias("b"), F.col("k").alias("kb"), F.col("label").alias("lb"), F.col("nv").alias("size"))
+        nested = low.join(high, ["u", "size"]).where("ka <= kb and la != lb").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
+        more = stored(compared(nested, sets).where(similar()).select("u", "v"), "nested")
+        if not more.isEmpty():
+            links = links.union(more)
+            labels = stored(components(links), "labels")
+
+        # members that share such a shingle are buckets of their own, without the centre
+        again = labelled(marked.select("u", F.col("v").alias("doc_id"), F.explode("extra").alias("shingle")).select(F.xxhash64("u", "shingle").alias("bucket"), "doc_id"), "doc_id", "label")
+        apart = again.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket")
+        members = stored(again.join(stored(apart, "apart"), "bucket", "left_semi").select("bucket", "doc_id").distinct(), "members")
+
+    named = classes.withColumnRenamed("rep", "doc_id")
+    named = stored(labelled(named, "doc_id", "label").select("f1", "f2", "label"), "named")
     return sketched.join(named, ["f1", "f2"], "left").select("doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id"))
 
 

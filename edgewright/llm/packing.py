@@ -16,6 +16,7 @@ gives an empty table. Only documents longer than a sequence are cut.
 from __future__ import annotations
 
 import functools
+import re
 import zlib
 from array import array
 
@@ -40,8 +41,16 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: Latin letters that lower one by one, with ASCII marks behind: two pre-tokens at most.
+PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([!-&(-/:-@\\[-`{-~]*)")
+
+
 class Coder:
-    """Token ids of whole texts, word by word: no token of this vocabulary crosses white space."""
+    """Token ids of whole texts, word by word: no token of this vocabulary crosses white space.
+
+    Results are kept for a while. New words made of letters are lowered, freed of marks behind them and tokenized
+    many at a time in one text, which their word ends part again.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -49,13 +58,40 @@ class Coder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.words = Memo(lambda word: self.whole(word))
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.words: dict[bytes, bytes] = {}
+        self.letters: dict[str, bytes] = {}
+        self.marks = Memo(lambda marks: self.whole(marks.encode()), 10_000)
 
     def whole(self, data: bytes) -> bytes:
         return array("I", self.tokenizer.encode(data.decode(), add_special_tokens=False).ids).tobytes()
 
-    def ids(self, data: bytes | None) -> bytes:
-        return b"".join(map(self.words.__getitem__, data.split())) if data else b""
+    def learn(self, words: set[bytes]) -> None:
+        plain = {}
+        for word in words:
+            if found := PLAIN.fullmatch(word.decode()):
+                plain[word] = found[1].lower(), found[2]
+            else:
+                self.words[word] = self.whole(word)
+        new = list({letters for letters, _ in plain.values()}.difference(self.letters))
+        for i in range(0, len(new), 1000):
+            some = new[i : i + 1000]
+            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, np.uint32)
+            for letters, part in zip(some, np.split(ids, np.flatnonzero(self.last[ids]) + 1), strict=False):
+                self.letters[letters] = part.tobytes()
+        for word, (letters, marks) in plain.items():
+            self.words[word] = self.letters[letters] + (self.marks[marks] if marks else b"")
+
+    def ids(self, texts: list[bytes | None]) -> list[bytes]:
+        """The ids of each text as 32-bit numbers."""
+        for kept in (self.words, self.letters):
+            if len(kept) > 300_000:
+                kept.clear()
+        split = [text.split() if text else [] for text in texts]
+        self.learn(set().union(*split).difference(self.words))
+        return [b"".join(map(self.words.__getitem__, words)) for words in split]
 
 
 @functools.lru_cache(2)
@@ -71,12 +107,11 @@ def pieces(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", v
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         code = coder(vocabulary)
         rows: list[tuple] = []
-        for at, text in enumerate(batch.column(1).to_pylist()):
-            data = code.ids(text) + end
+        for at, data in enumerate(code.ids(batch.column(1).to_pylist())):
+            data += end
             for piece, i in enumerate(range(0, len(data), 4 * capacity)):
                 part = data[i : i + 4 * capacity]
                 rows.append((at, piece, i // 4, len(part) // 4, zlib.crc32(part), part))
-        code.words.trim()
         at, piece, start, length, crc, parts = zip(*rows, strict=True) if rows else ((),) * 6
         columns = [batch.column(0).take(pa.array(at, pa.int32())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
         names = [id_col, "piece", "start", "length", "ids_crc32"]
