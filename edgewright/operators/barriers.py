@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from edgewright.operators.signals import BARS, with_atr
+from edgewright.operators.signals import by_bar, with_atr
 
 TRADE_COLUMNS = ("symbol", "trade_seq", "r", "mfe", "mae", "bars_held", "entry_date", "exit_date", "exit_reason")
 
@@ -25,8 +25,8 @@ def paths(bars: DataFrame, side: str = "long", *, tp: float = 2.0, sl: float = 1
     unit = F.col("atr") if risk_unit == "atr" else F.lit(1.0)
     last = F.max("bar_seq").over(Window.partitionBy("symbol"))
     shift = 1 if entry == "next_open" else 0
-    price = F.lead("open").over(BARS) if shift else F.col("close")
-    date = F.lead("ts").over(BARS) if shift else F.col("ts")
+    price = F.lead("open").over(by_bar()) if shift else F.col("close")
+    date = F.lead("ts").over(by_bar()) if shift else F.col("ts")
     block = timeout + 1
     candidates = bars.select("symbol", *(keep or []), F.col("bar_seq").alias("i"), (F.col("bar_seq") + shift).alias("ei"), price.alias("ep"), date.alias("entry_date"), unit.alias("unit"), last.alias("last"))
     candidates = candidates.where((F.col("i") < F.col("last")) & (F.col("ep") > 0) & (F.col("unit") > 0) & ~F.isnan("unit"))
@@ -80,10 +80,10 @@ def excursions(bars: DataFrame, side: str = "long", *, horizons: int = 20, signa
     s = 1.0 if side == "long" else -1.0
     if "atr" not in bars.columns:
         bars = with_atr(bars)
-    entry = F.lead("open").over(BARS)
+    entry = F.lead("open").over(by_bar())
     out = []
     for k in range(1, horizons + 1):
-        frame = BARS.rowsBetween(1, k)
+        frame = by_bar().rowsBetween(1, k)
         full = F.count("high").over(frame) == k
         up, down = (F.max("high").over(frame), F.min("low").over(frame)) if s > 0 else (F.min("low").over(frame), F.max("high").over(frame))
         out.append(F.when(full, F.struct(F.lit(k).alias("k"), (F.greatest(F.lit(0.0), s * (up - entry) / F.col("atr"))).alias("mfe"), (F.least(F.lit(0.0), s * (down - entry) / F.col("atr"))).alias("mae"))))

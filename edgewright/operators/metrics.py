@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from edgewright.schema import clean
 
-INF, NAN = F.lit(float("inf")), F.lit(float("nan"))
+INF, NAN = float("inf"), float("nan")
 SQN_CAP = 100
 #: Left-closed calibration bins.
 BINS = ((0.0, 0.5), (0.5, 0.6), (0.6, 0.7), (0.7, 0.8), (0.8, 1.0001))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from edgewright.functions import rng
 from edgewright.operators.barriers import chained, paths
-from edgewright.operators.signals import BARS
+from edgewright.operators.signals import by_bar
 
 
 def random_entry_null(bars: DataFrame, side: str = "long", *, n_entries: int, n_sims: int = 1000, seed: int = 42, **options) -> DataFrame:
@@ -33,7 +33,7 @@ def timing_null(bars: DataFrame, trades: DataFrame, *, n_samples: int = 2000, de
     A window's compound return is a difference of running sums of logarithms. Trades need ``hold`` and may have
     ``direction`` and ``scale``; a missing or short hold counts as 1, the others as 1.
     """
-    before = F.lag(price).over(BARS)
+    before = F.lag(price).over(by_bar())
     returns = bars.select("symbol", "bar_seq", (F.try_divide(F.col(price), before) - 1).alias("x")).where("abs(x) < double('inf')")
     mean = F.avg("x").over(Window.partitionBy("symbol")) if detrend else F.lit(0.0)
     # 1 + return may be zero or negative once detrended: its size, sign and zeros add up side by side

@@ -7,17 +7,21 @@ from pyspark.sql import functions as F
 
 from edgewright.functions import rng
 
-BARS = Window.partitionBy("symbol").orderBy("bar_seq")
+
+
+def by_bar():
+    """Each symbol's bars in order."""
+    return Window.partitionBy("symbol").orderBy("bar_seq")
 
 
 def crossover(fast: Column, slow: Column) -> Column:
     """True where fast rises above slow; a missing operand is False."""
-    return F.coalesce((F.lag(fast).over(BARS) <= F.lag(slow).over(BARS)) & (fast > slow), F.lit(False))
+    return F.coalesce((F.lag(fast).over(by_bar()) <= F.lag(slow).over(by_bar())) & (fast > slow), F.lit(False))
 
 
 def sma(price: str, span: int) -> Column:
     """The mean of a full window, missing before."""
-    frame = BARS.rowsBetween(-(span - 1), 0)
+    frame = by_bar().rowsBetween(-(span - 1), 0)
     return F.when(F.count(price).over(frame) == span, F.avg(price).over(frame))
 
 
@@ -56,14 +60,14 @@ def macd_cross(df: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9, p
 
 def with_atr(df: DataFrame, span: int = 14) -> DataFrame:
     """``df`` with ``atr``: the exponential mean of the true range; the first bar has no close before it."""
-    before = F.lag("close").over(BARS)
+    before = F.lag("close").over(by_bar())
     ranged = df.withColumn("_tr", F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before)))
     return with_ewm(ranged, {"atr": ("_tr", span)}).drop("_tr")
 
 
 def donchian(df: DataFrame, lookback: int = 20) -> DataFrame:
     """``signal``: close above the highest high of the full ``lookback`` bars before."""
-    frame = BARS.rowsBetween(-lookback, -1)
+    frame = by_bar().rowsBetween(-lookback, -1)
     return df.withColumn("signal", F.coalesce((F.count("high").over(frame) == lookback) & (F.col("close") > F.max("high").over(frame)), F.lit(False)))
 
 

@@ -68,7 +68,7 @@ def fold_table(trades: DataFrame, windows: DataFrame, *, score: str = "sqn", min
 
 
 def mean_wfe(table: DataFrame) -> DataFrame:
-    return table.agg(F.coalesce(F.avg("wfe"), metrics.NAN).alias("mean_wfe"))
+    return table.agg(F.coalesce(F.avg("wfe"), F.lit(metrics.NAN)).alias("mean_wfe"))
 
 
 def fold_dispersion(table: DataFrame, value: str = "oos_score", *, min_share: float = 0.5, max_cv: float = 2.0) -> DataFrame:
