@@ -4,11 +4,10 @@ A document's set is its distinct shingles of five words (ASCII capitals lowered)
 first, so exact copies cost one row each. A class's sketch hashes every shingle once and keeps the least hash of
 each bin; an empty bin takes the value of the first filled bin in a random order of its own, the same for all
 documents. Bands of the sketch are buckets, and each bucket is searched as a star: its members are compared with
-one centre, the member that shares most buckets, on their full sets. Links become components. Two members of one star that ended in different components are not compared
-as a pair, but by what the star says of them: they can only be linked if both have a shingle that the centre lacks,
-and members with such a shingle are the next round's buckets, or if the centre's part in the lesser of them is large
-for both sizes, and such pairs are compared at once. So no link between members of a bucket is lost, and no bucket's
-pairs are listed.
+one centre, the member that shares most buckets, on their full sets. Links become components. Two members of one star that ended in different components are compared only if
+what the star says of them allows a link: they share enough shingles that the centre lacks, or the centre's part in
+the lesser of them is large for both sizes. Shingles that many members share beside the centre become buckets of
+their own. So no link between members of a bucket is lost, and no bucket's pairs are listed.
 
 Null texts and texts without words have an empty set: linked with nothing, kept. Texts of fewer than five words
 have one shingle, the whole sequence. Repeated rows of one doc_id count as one document and stay together. An
@@ -30,6 +29,8 @@ WORDS, SIMILARITY = 5, 85
 #: 32 bands of 6 bins find a pair of similarity 0.85 but for 3 in ten million.
 BANDS, ROWS = 32, 6
 BINS = BANDS * ROWS
+#: A shingle beside the centre that more members share is a bucket of its own.
+SMALL = 64
 _random = np.random.default_rng(20_240_601)
 _ORDER = np.array([_random.permutation(BINS) for _ in range(BINS)])
 _ODD = _random.integers(1, 2**63, (3, max(WORDS + 1, ROWS)), np.uint64) | np.uint64(1)
@@ -142,8 +143,8 @@ def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -
         links = found if links is None else links.union(found)
         labels = stored(components(links), "labels")
 
-        # two members of a star that are in different components can be linked only if they share a shingle that the
-        # centre lacks, or if the lesser part of the centre that one of them has is large for both their sizes
+        # two members of a star that are in different components share at most k shingles of the centre, k the lesser
+        # of theirs, and e others: a link needs (100 + s) * (k + e) >= s * (their sizes), with e = 0 or e > 0
         marked = labelled(stars.where("size(extra) > 0 or k > 0"), "v", "label")
         open_ = marked.groupBy("u").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("u")
         marked = stored(marked.join(stored(open_, "open"), "u", "left_semi"), "marked")
@@ -152,15 +153,21 @@ def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -
         low = marked.select("u", F.col("v").alias("a"), F.col("k").alias("ka"), F.col("label").alias("la"), F.explode(F.when(most >= F.col("k"), F.sequence("k", most))).alias("size"))
         high = marked.select("u", F.col("v").alias("b"), F.col("k").alias("kb"), F.col("label").alias("lb"), F.col("nv").alias("size"))
         nested = low.join(high, ["u", "size"]).where("ka <= kb and la != lb").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
-        more = stored(compared(nested, sets).where(similar()).select("u", "v"), "nested")
+
+        # such shingles, with the members that have them; few members are paired here, so that a pair's shared shingles
+        # can be counted and most pairs be ruled out by their number; many members are the next round's bucket
+        extras = marked.select("u", F.col("v").alias("doc_id"), "nv", "k", "label", F.explode("extra").alias("shingle"))
+        sizes = extras.groupBy("u", "shingle").agg(F.count("*").alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("u", "shingle", "size")
+        extras = stored(extras.join(stored(sizes, "extras"), ["u", "shingle"]), "extras")
+        a, b = (extras.where(F.col("size") <= SMALL).select("u", "shingle", *(F.col(c).alias(f"{c}_{x}") for c in ("doc_id", "nv", "k", "label"))) for x in "ab")
+        counted = a.join(b, ["u", "shingle"]).where("doc_id_a < doc_id_b and label_a != label_b").groupBy("u", "doc_id_a", "doc_id_b", "nv_a", "nv_b", "k_a", "k_b").agg(F.count("*").alias("e"))
+        possible = (100 + SIMILARITY) * (F.least("k_a", "k_b") + F.col("e")) >= SIMILARITY * (F.col("nv_a") + F.col("nv_b"))
+        sharing = counted.where(possible).select(F.col("doc_id_a").alias("u"), F.col("doc_id_b").alias("v"))
+        more = stored(compared(nested.union(sharing).distinct(), sets).where(similar()).select("u", "v"), "more")
         if not more.isEmpty():
             links = links.union(more)
             labels = stored(components(links), "labels")
-
-        # members that share such a shingle are buckets of their own, without the centre
-        again = labelled(marked.select("u", F.col("v").alias("doc_id"), F.explode("extra").alias("shingle")).select(F.xxhash64("u", "shingle").alias("bucket"), "doc_id"), "doc_id", "label")
-        apart = again.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket")
-        members = stored(again.join(stored(apart, "apart"), "bucket", "left_semi").select("bucket", "doc_id").distinct(), "members")
+        members = stored(extras.where(F.col("size") > SMALL).select(F.xxhash64("u", "shingle").alias("bucket"), "doc_id").distinct(), "members")
 
     named = classes.withColumnRenamed("rep", "doc_id")
     named = stored(labelled(named, "doc_id", "label").select("f1", "f2", "label"), "named")
