@@ -80,12 +80,11 @@ def calibration_bins(spark, sf_dir):
 
 
 def _draws(book: str, n_boot: int, by: str = "") -> str:
-    """(group, draw, r) of every slot of every draw of a book."""
-    own = f"{by}, " if by else ""
-    part = f"PARTITION BY {by}" if by else ""
-    return f"""(SELECT {own.replace(by, "b." + by) if by else ""}d.draw, x.r FROM (SELECT {own}r, row_number() OVER ({part} ORDER BY trade_seq) - 1 AS i, count(*) OVER ({part}) AS n FROM ({book})) b
-      CROSS JOIN range({n_boot}) d(draw)
-      JOIN (SELECT {own}r, row_number() OVER ({part} ORDER BY trade_seq) - 1 AS i FROM ({book})) x ON x.i = {_u52(42, "d.draw", "b.i")} % b.n{f" AND x.{by} = b.{by}" if by else ""})"""
+    """(group, draw, r) of every slot of every draw of a book; slots come first, as a join order of its own may pair whole books."""
+    own, part, same = (f"{by}, ", f"PARTITION BY {by}", f" AND x.{by} = s.{by}") if by else ("", "", "")
+    return f"""(WITH b AS MATERIALIZED (SELECT {own}r, row_number() OVER ({part} ORDER BY trade_seq) - 1 AS i, count(*) OVER ({part}) AS n FROM ({book})),
+      s AS MATERIALIZED (SELECT {own}d.draw, {_u52(42, "d.draw", "i")} % n AS j FROM b CROSS JOIN range({n_boot}) d(draw))
+      SELECT {f"s.{by}, " if by else ""}s.draw, x.r FROM s JOIN b x ON x.i = s.j{same})"""
 
 
 def _verdict(book: str, n_boot: int, by: str = "", alpha: float = 0.05) -> str:
