@@ -3,8 +3,9 @@
 A window is ``WINDOW`` consecutive words. Its minimiser is the least hash among its runs of ``SEED`` words.
 Consecutive windows with the same minimiser travel as one packed string (their words joined by spaces) to the
 minimiser's bucket, so a passage costs little more than its own text instead of one copy per window. Equal strings
-of one batch travel once, with the list of their places. Each bucket arrives sorted by minimiser and by smallest
-doc_id, so the first string that holds a window belongs to the smallest document that has it: a window that comes
+of one batch travel once, with the list of their places, and the strings of a batch for one bucket travel as one
+compressed block; the number of buckets follows the size of the corpus. In its bucket, Spark sorts the strings by
+minimiser and by smallest doc_id (spilling as it needs), so the first string that holds a window belongs to the smallest document that has it: a window that comes
 again from another document is a repeat, exactly, by its words. Only places come back to the documents, which drop
 the covered words.
 
@@ -25,7 +26,12 @@ from pyspark.sql import functions as F
 from edgewright.llm.common import Memo, arrow, stored, table, unused
 
 WINDOW, SEED = 13, 3
-_HASH = Memo(xxhash.xxh64_intdigest, 200_000)
+#: Bytes of text whose strings share a bucket, on average.
+BUCKET_BYTES = 6_000_000
+_RUNS = pa.schema([("minimiser", pa.uint64()), ("packed", pa.binary()), ("docs", pa.list_(pa.int64())), ("starts", pa.list_(pa.int32()))])
+#: What travels: of the minimiser, 32 bits beside the bucket's number; more that share them only sort together.
+_SENT = pa.schema([("key", pa.uint32()), *list(_RUNS)[1:]])
+_HASH = Memo(xxhash.xxh64_intdigest, 100_000)
 _SPREAD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
 
@@ -46,35 +52,70 @@ def minimisers(words: list[bytes]) -> np.ndarray:
     return np.minimum(low[: len(low) - (width - span)], low[width - span :])
 
 
-def super_kmers(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(minimiser, packed, first doc_id, docs, starts): each run of windows, with the places that share its words."""
+def runs_of(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """(minimiser, packed, docs, starts): each run of windows of a batch, with the places that share its words."""
+    places: dict[tuple[int, bytes], list[int]] = {}
+    for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        words = text.split() if text else ()
+        if doc is None or len(words) < WINDOW:
+            continue
+        least = minimisers(words)
+        cuts = np.flatnonzero(least[1:] != least[:-1]) + 1
+        joined = b" ".join(words)
+        at = np.zeros(len(words) + 1, np.int64)
+        np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1, out=at[1:])
+        first = np.concatenate([[0], cuts])
+        last = np.concatenate([cuts, [len(least)]]) + (WINDOW - 1)
+        for key, i, a, b in zip(least[first].tolist(), first.tolist(), at[first].tolist(), (at[last] - 1).tolist(), strict=True):
+            places.setdefault((key, joined[a:b]), []).extend((doc, i))
+    _HASH.trim()
+    keys = np.fromiter((k for k, _ in places), np.uint64, len(places))
+    ends = np.cumsum([0, *map(len, places.values())]).astype(np.int32) // 2
+    both = np.fromiter((x for p in places.values() for x in p), np.int64, 2 * int(ends[-1])).reshape(-1, 2)
+    offsets = pa.array(ends)
+    columns = [pa.array(keys), pa.array([s for _, s in places], pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(both[:, 0])), pa.ListArray.from_arrays(offsets, pa.array(both[:, 1].astype(np.int32)))]
+    return pa.RecordBatch.from_arrays(columns, schema=_RUNS)
+
+
+def super_kmers(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """The runs of all texts (minimiser, packed, doc, docs, starts), each bucket's together in one partition, sorted."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("binary").alias("text"))
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(64, total // bucket_bytes)
+
+    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=4))
+        for whole in batches:
+            for i in range(0, whole.num_rows, 1024):
+                runs = runs_of(whole.slice(i, 1024))
+                keys = runs.column(0).to_numpy()
+                own = keys % np.uint64(buckets)
+                order = np.argsort(own, kind="stable")
+                numbers, starts = np.unique(own[order], return_index=True)
+                sent_keys = pa.array((keys // np.uint64(buckets)).astype(np.uint32))
+                rows_ = pa.RecordBatch.from_arrays([sent_keys, *runs.columns[1:]], schema=_SENT)
+                blocks = []
+                for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(order)], strict=False):  # none, where no text is long enough
+                    sink = pa.BufferOutputStream()
+                    with pa.ipc.new_stream(sink, _SENT, options=options) as writer:
+                        writer.write_batch(rows_.take(pa.array(order[a:b])))
+                    blocks.append(sink.getvalue().to_pybytes())
+                yield pa.RecordBatch.from_arrays([pa.array(numbers.astype(np.int64)), pa.array(blocks, pa.binary())], ["bucket", "block"])
+                del runs, rows_, blocks
+                pa.default_memory_pool().release_unused()
+
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for bucket, block in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                for runs in pa.ipc.open_stream(block.as_buffer()):
+                    key, packed, docs_, starts = runs.columns
+                    smallest = np.minimum.reduceat(docs_.values.to_numpy(), docs_.offsets.to_numpy()[:-1])
+                    minimiser = pa.array(key.to_numpy().astype(np.int64) * buckets + bucket)
+                    yield pa.RecordBatch.from_arrays([minimiser, packed, pa.array(smallest), docs_, starts], ["minimiser", "packed", "doc", "docs", "starts"])
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        places: dict[tuple[int, bytes], list[int]] = {}
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            words = text.split() if text else ()
-            if doc is None or len(words) < WINDOW:
-                continue
-            least = minimisers(words)
-            cuts = np.flatnonzero(least[1:] != least[:-1]) + 1
-            joined = b" ".join(words)
-            at = np.zeros(len(words) + 1, np.int64)
-            np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1, out=at[1:])
-            first = np.concatenate([[0], cuts])
-            last = np.concatenate([cuts, [len(least)]]) + (WINDOW - 1)
-            for key, i, a, b in zip(least[first].tolist(), first.tolist(), at[first].tolist(), (at[last] - 1).tolist(), strict=True):
-                places.setdefault((key, joined[a:b]), []).extend((doc, i))
-        _HASH.trim()
-        keys = np.fromiter((k for k, _ in places), np.uint64, len(places)).view(np.int64)
-        ends = np.cumsum([0, *map(len, places.values())]).astype(np.int32) // 2
-        both = np.fromiter((x for p in places.values() for x in p), np.int64, 2 * int(ends[-1])).reshape(-1, 2)
-        offsets = pa.array(ends)
-        smallest = np.minimum.reduceat(both[:, 0], ends[:-1]) if len(places) else both[:, 0]
-        columns = [pa.array(keys), pa.array([s for _, s in places], pa.binary()), pa.array(smallest), pa.ListArray.from_arrays(offsets, pa.array(both[:, 0])), pa.ListArray.from_arrays(offsets, pa.array(both[:, 1].astype(np.int32)))]
-        return pa.RecordBatch.from_arrays(columns, ["minimiser", "packed", "doc", "docs", "starts"])
-
-    rows = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("binary"))
-    return arrow(rows, run, "minimiser long, packed binary, doc long, docs array<long>, starts array<int>", rows=2048)
+    blocks = rows.mapInArrow(sent, "bucket long, block binary").repartition("bucket").select("bucket", "block")
+    runs = blocks.mapInArrow(opened, "minimiser long, packed binary, doc long, docs array<long>, starts array<int>")
+    return runs.sortWithinPartitions("minimiser", "doc")
 
 
 class Bucket:
@@ -136,10 +177,7 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                 doc, a, b = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(a, pa.int32()), pa.array(b, pa.int32())], ["doc_id", "a", "b"])
 
-    runs = super_kmers(docs, id_col=id_col, text_col=text_col)
-    # by doc, windows of one minimiser come from the smallest document first
-    ordered = runs.repartition("minimiser").sortWithinPartitions("minimiser", "doc")
-    return ordered.mapInArrow(run, "doc_id long, a int, b int")
+    return super_kmers(docs, id_col=id_col, text_col=text_col).mapInArrow(run, "doc_id long, a int, b int")
 
 
 def spans_by_document(docs: DataFrame, **columns: str) -> DataFrame:
@@ -162,30 +200,35 @@ def kept_words(data: bytes | None, spans: list[dict] | None) -> tuple[list[bytes
     return kept, len(words) - len(kept)
 
 
-def cleaned(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", clean: str = "clean_text") -> DataFrame:
-    """``docs`` with the kept words joined by spaces, n_words and n_removed."""
+def _stripped(docs: DataFrame, id_col: str, text_col: str, whole: bool) -> DataFrame:
+    """(row: a struct of the other columns, clean, n_words, n_removed); ``whole`` keeps texts that repeat nothing as they are."""
     spans = spans_by_document(docs, id_col=id_col, text_col=text_col)
-    row, key = unused(docs, "row"), unused(docs, "span_id")
-    joined = docs.join(spans.select(F.col("doc_id").alias(key), "spans"), F.col(f"`{id_col}`").cast("long") == F.col(key), "left")
-    rest = [c for c in docs.columns if c != text_col]
-    packed = joined.select(F.struct(*(F.col(f"`{c}`") for c in rest), F.lit(1).alias(row)).alias("row"), F.col(f"`{text_col}`").cast("binary").alias("text"), "spans")
+    rest, mark = [c for c in docs.columns if c != text_col], unused(docs, "mark")
+    # a struct keeps the documents' own columns apart from those added here
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in rest), F.lit(1).alias(mark)).alias("row"), F.col(f"`{text_col}`").cast("binary").alias("text"), F.col(f"`{id_col}`").cast("long").alias("doc_id"))
+    packed = rows.join(spans, "doc_id", "left").select("row", "text", "spans")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [kept_words(t, s) for t, s in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-        text = pa.array([b" ".join(k).decode() for k, _ in found], pa.string())
-        removed = pa.array([r for _, r in found], pa.int64())
-        return pa.RecordBatch.from_arrays([batch.column(0), text, pa.array([len(k) + r for k, r in found], pa.int64()), removed], ["row", "clean", "n_words", "n_removed"])
+        texts = batch.column(1).to_pylist()
+        found = [kept_words(t, s) for t, s in zip(texts, batch.column(2).to_pylist(), strict=True)]
+        clean = [t if whole and not r else b" ".join(k) for t, (k, r) in zip(texts, found, strict=True)]
+        numbers = (pa.array([len(k) + r for k, r in found], pa.int64()), pa.array([r for _, r in found], pa.int64()))
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(clean, pa.binary()).cast(pa.string()), *numbers], ["row", "clean", "n_words", "n_removed"])
 
     kind = packed.schema["row"].dataType.simpleString()
-    done = arrow(packed, run, f"row {kind}, clean string, n_words long, n_removed long")
-    return done.select(*(F.col(f"row.`{c}`").alias(c) for c in rest), F.col("clean").alias(clean), "n_words", "n_removed")
+    return arrow(packed, run, f"row {kind}, clean string, n_words long, n_removed long")
+
+
+def cleaned(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id_col, clean_text, n_words, n_removed): the kept words joined by spaces, the words and those removed."""
+    found = _stripped(docs.select(id_col, text_col), id_col, text_col, whole=False)
+    return found.select(F.col(f"row.`{id_col}`").alias(id_col), F.col("clean").alias("clean_text"), "n_words", "n_removed")
 
 
 def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the repeated passages gone from the text; texts that repeat nothing stay as they are."""
-    found = cleaned(docs.withColumn(unused(docs, "whole"), F.col(f"`{text_col}`")), id_col=id_col, text_col=text_col, clean=unused(docs, "clean"))
-    text = F.when(F.col("n_removed") > 0, F.col(unused(docs, "clean"))).otherwise(F.col(unused(docs, "whole")))
-    return found.select(*(text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns))
+    found = _stripped(docs, id_col, text_col, whole=True)
+    return found.select(*(F.col("clean").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
