@@ -114,21 +114,16 @@ def reality_check(trades: DataFrame, *, n_boot: int = N_BOOT, alpha: float = ALP
     return both.withColumn("p_positive", F.coalesce("p_positive", F.lit(0.0))).withColumns({"p_value": 1 - F.col("p_positive"), "verdict": verdict})
 
 
-def _doubled_sums(rs: Column) -> Column:
-    """Running sums of the series twice in a row, starting with 0: a block's sum is one difference."""
-    return F.aggregate(F.concat(rs, rs), F.array(F.lit(0.0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
-
-
 def block_means(books: DataFrame, block: int, n_boot: int, seed: int) -> DataFrame:
-    """(draw, mean) of circular blocks; the last block is cut to the series' length."""
+    """(draw, mean) of circular blocks, each a slice of the series put twice in a row; the last one is cut to its length."""
     size = F.least(F.lit(block), F.col("n"))
-    sums = books.where("n > 0").withColumn("sums", _doubled_sums(F.col("rs"))).withColumn("k", F.ceil(F.col("n") / size).cast("int")).withColumn("block", size)
-    each = books.sparkSession.range(n_boot).withColumnRenamed("id", "draw").join(F.broadcast(sums.select("n", "sums", "k", "block")))
+    twice = books.where("n > 0").select("n", F.concat("rs", "rs").alias("twice"), F.ceil(F.col("n") / size).cast("int").alias("k"), size.alias("block"))
+    each = books.sparkSession.range(n_boot).withColumnRenamed("id", "draw").join(F.broadcast(twice))
 
     def one(i: Column) -> Column:
         start = rng.index(F.col("n"), seed, F.col("draw"), i)
         long = F.least(F.col("block"), F.col("n") - F.col("block") * i)
-        return F.get("sums", (start + long).cast("int")) - F.get("sums", start.cast("int"))
+        return F.aggregate(F.slice("twice", (start + 1).cast("int"), long.cast("int")), F.lit(0.0), lambda a, x: a + x)
 
     total = F.aggregate(F.transform(F.sequence(F.lit(0), F.col("k") - 1), one), F.lit(0.0), lambda a, x: a + x)
     return each.select("draw", (total / F.col("n")).alias("mean"))

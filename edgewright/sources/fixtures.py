@@ -15,7 +15,8 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A trade for each order: R from its price, excursions, bars and odds from its keys, dates from its date."""
     k, c = F.col("o_orderkey"), F.col("o_custkey")
-    r = F.round((F.col("o_totalprice") - 140000) / 120000, 6)
+    # floors, unlike rounding, are the same in every engine
+    r = F.floor((F.col("o_totalprice") - 140000) / 12.0 + 0.5) / 10000.0
     held = (1 + k % 19).cast("int")
     found = read(spark, sf_dir, "orders").select(
         k.alias("trade_seq"),
@@ -38,7 +39,7 @@ SELECT o_orderkey AS trade_seq, r, round(greatest(r, 0.0) + (o_custkey % 7) / 10
   (1 + o_orderkey % 19)::INT AS bars_held, round(0.45 + (o_orderkey % 50) / 100.0, 2) AS prob, o_orderdate AS entry_date,
   o_orderdate + to_days((1 + o_orderkey % 19)::INT) AS exit_date, CASE WHEN o_orderkey % 4 = 0 THEN 'timeout' WHEN r > 0 THEN 'TP' ELSE 'SL' END AS exit_reason,
   o_orderpriority AS segment, 0.01 * (o_orderkey % 3) AS cost_r
-FROM (SELECT *, round((o_totalprice - 140000) / 120000, 6)::DOUBLE AS r FROM orders)
+FROM (SELECT *, floor((o_totalprice - 140000) / 12.0 + 0.5) / 10000.0::DOUBLE AS r FROM orders)
 """
 
 
@@ -74,11 +75,11 @@ SELECT row_number() OVER (ORDER BY week) - 1 AS trade_seq, r, week FROM (SELECT
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A score and a label for each order: its price with noise from its key, and whether the trade won."""
     t = read(spark, sf_dir, "orders")
-    return t.select(F.col("o_orderkey").alias("row_seq"), (F.round(F.col("o_totalprice") / 1000 + (F.col("o_orderkey") * 37 % 400), 3)).alias("score"), F.when(F.col("o_totalprice") > 140000, 1.0).otherwise(-1.0).alias("label"))
+    return t.select(F.col("o_orderkey").alias("row_seq"), F.round(F.floor("o_totalprice") / 1000.0 + (F.col("o_orderkey") * 37 % 400), 3).alias("score"), F.when(F.col("o_totalprice") > 140000, 1.0).otherwise(-1.0).alias("label"))
 
 
 PREDICTIONS = """
-SELECT o_orderkey AS row_seq, round(o_totalprice / 1000 + (o_orderkey * 37 % 400), 3) AS score, CASE WHEN o_totalprice > 140000 THEN 1.0 ELSE -1.0 END::DOUBLE AS label FROM orders
+SELECT o_orderkey AS row_seq, round(floor(o_totalprice) / 1000.0::DOUBLE + (o_orderkey * 37 % 400), 3) AS score, CASE WHEN o_totalprice > 140000 THEN 1.0 ELSE -1.0 END::DOUBLE AS label FROM orders
 """
 
 
