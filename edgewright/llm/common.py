@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -41,6 +42,7 @@ def arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema:
     """``fn`` on each ``rows`` rows of ``df`` as an Arrow batch; few at a time, as texts may be long."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begun(fn.__module__)
         for batch in batches:
             for at in range(0, batch.num_rows, rows):
                 yield fn(batch.slice(at, rows))
@@ -67,12 +69,20 @@ def crc_mod(column: str, n: int):
     return F.crc32(F.col(column).cast("string").cast("binary")) % n
 
 
+_memos: list[weakref.ref] = []
+_owner = ""
+
+
 class Memo(dict):
-    """A dict that fills itself by ``make`` and starts anew beyond ``most`` entries (``trim`` between batches)."""
+    """A dict that fills itself by ``make`` and starts anew beyond ``most`` entries (``trim`` between batches).
+
+    Python workers outlive a query's stages: what an operator (``owner``) has kept goes when another one begins.
+    """
 
-    def __init__(self, make: Callable, most: int = 150_000):
+    def __init__(self, make: Callable, most: int = 150_000, owner: str = ""):
         super().__init__()
-        self.make, self.most = make, most
+        self.make, self.most, self.owner = make, most, owner
+        _memos.append(weakref.ref(self))
 
     def __missing__(self, key):
         value = self[key] = self.make(key)
@@ -83,6 +93,16 @@ class Memo(dict):
             self.clear()
 
 
+def begun(owner: str) -> None:
+    """Called where an operator's work begins in a worker: empties what the others have kept."""
+    global _owner
+    if owner != _owner:
+        _owner = owner
+        for memo in [m for ref in _memos if (m := ref()) is not None and m.owner != owner]:
+            memo.clear()
+        pa.default_memory_pool().release_unused()
+
+
 def unused(df: DataFrame, name: str) -> str:
     """``name``, or with underscores before it until ``df`` has no such column."""
     while name.lower() in {c.lower() for c in df.columns}:

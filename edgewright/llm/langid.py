@@ -36,7 +36,7 @@ def word_codes(word: str) -> bytes:
     return np.concatenate([c[1:-1] << 42, (c[:-1] << 42) | (c[1:] << 21), (c[:-2] << 42) | (c[1:-1] << 21) | c[2:]]).tobytes()
 
 
-_CODES = Memo(word_codes, 200_000)
+_CODES = Memo(word_codes, 100_000, __name__)
 
 
 def codes(text: str | None) -> bytes:

@@ -61,9 +61,9 @@ class Coder:
         vocabulary = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.words: dict[bytes, bytes] = {}
-        self.letters: dict[str, bytes] = {}
-        self.marks = Memo(lambda marks: self.whole(marks.encode()), 10_000)
+        self.words = Memo(self.whole, 250_000, __name__)
+        self.letters = Memo(lambda letters: self.whole(letters.encode()), 250_000, __name__)
+        self.marks = Memo(lambda marks: self.whole(marks.encode()), 10_000, __name__)
 
     def whole(self, data: bytes) -> bytes:
         return array("I", self.tokenizer.encode(data.decode(), add_special_tokens=False).ids).tobytes()
@@ -86,9 +86,8 @@ class Coder:
 
     def ids(self, texts: list[bytes | None]) -> list[bytes]:
         """The ids of each text as 32-bit numbers."""
-        for kept in (self.words, self.letters):
-            if len(kept) > 300_000:
-                kept.clear()
+        for kept in (self.words, self.letters, self.marks):
+            kept.trim()
         split = [text.split() if text else [] for text in texts]
         self.learn(set().union(*split).difference(self.words))
         return [b"".join(map(self.words.__getitem__, words)) for words in split]

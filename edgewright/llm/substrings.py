@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edgewright.llm.common import Memo, arrow, stored, table, unused
+from edgewright.llm.common import Memo, arrow, begun, stored, table, unused
 
 WINDOW, SEED = 13, 3
 #: Bytes of text whose strings share a bucket, on average.
@@ -31,7 +31,7 @@ BUCKET_BYTES = 6_000_000
 _RUNS = pa.schema([("minimiser", pa.uint64()), ("packed", pa.binary()), ("docs", pa.list_(pa.int64())), ("starts", pa.list_(pa.int32()))])
 #: What travels: of the minimiser, 32 bits beside the bucket's number; more that share them only sort together.
 _SENT = pa.schema([("key", pa.uint32()), *list(_RUNS)[1:]])
-_HASH = Memo(xxhash.xxh64_intdigest, 100_000)
+_HASH = Memo(xxhash.xxh64_intdigest, 100_000, __name__)
 _SPREAD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
 
@@ -84,6 +84,7 @@ def super_kmers(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     buckets = max(64, total // bucket_bytes)
 
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begun(__name__)
         options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=4))
         for whole in batches:
             for i in range(0, whole.num_rows, 1024):
@@ -151,6 +152,7 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     """(doc_id, a, b): words a to b (exclusive) of the document are in windows that a smaller document has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begun(__name__)
         bucket, key = Bucket(), None
         held: tuple | None = None  # the first row of a minimiser waits until a second one comes
         for batch in batches:
