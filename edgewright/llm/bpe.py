@@ -30,13 +30,18 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edgewright.llm.common import Memo, arrow, table
+from edgewright.llm.common import Memo, arrow, most_frequent, stored, table
 
 #: How many of the most frequent pieces the automaton holds.
 LEXICON = 32_768
 SPECIAL = b"<|endoftext|>"
-#: Two characters of white space in a row, as UTF-8.
-RUN = re.compile(rb"(?:[\t-\r ]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80){2}")
+#: White space beyond ASCII starts with one of these in UTF-8; runs of white space, ASCII and any.
+WIDE = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80")
+RUN = re.compile(rb"[\t-\r ][\t-\r ]")
+WIDE_RUN = re.compile(rb"(?:[\t-\r ]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80){2}")
+_BYTES = [bytes([b]) for b in range(256)]
+#: Latin letters with ASCII punctuation behind: two pre-tokens at most, which need no general pattern.
+PLAIN = re.compile("( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-&(-/:-@\\[-`{-~]*)")
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
@@ -53,51 +58,75 @@ def byte_alphabet() -> list[str]:
 
 
 class Merger:
-    """Exact merging by rank, as the vocabulary file lists its merges."""
+    """Exact merging by rank, as the vocabulary file lists its merges. A pair of ids is one number: left << 32 | right."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             model = json.load(f)["model"]
-        self.ids: dict[str, int] = model["vocab"]
-        pairs = (tuple(m) if isinstance(m, list) else tuple(m.split(" ", 1)) for m in model["merges"])
-        self.rank = {pair: i for i, pair in enumerate(pairs)}
+        ids: dict[str, int] = model["vocab"]
+        pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ", 1)) for m in model["merges"]]
+        self.rank = {ids[x] << 32 | ids[y]: i for i, (x, y) in enumerate(pairs)}
+        self.merged = [ids[x + y] for x, y in pairs]
+        alphabet = byte_alphabet()
+        self.first = [ids[c] for c in alphabet]
+        self.to_byte = {c: b for b, c in enumerate(alphabet)}
         self.cut = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
-        self.special = len(self.ids)
-        to_byte = {c: b for b, c in enumerate(byte_alphabet())}
+        self.special = len(ids)
         self.bytes_of = [b""] * (self.special + 1)
-        for token, i in self.ids.items():
-            self.bytes_of[i] = bytes(to_byte[c] for c in token)
+        for token, i in ids.items():
+            self.bytes_of[i] = bytes(map(self.to_byte.__getitem__, token))
         self.bytes_of[self.special] = SPECIAL
 
-    def merge(self, symbols: str) -> list[str]:
-        """The tokens of one pre-token; a heap of pairs over a linked list, so long ones stay near linear."""
-        parts: list = list(symbols)
-        n = len(parts)
-        if n < 2:
-            return parts
-        rank, after, before = self.rank, [*range(1, n), -1], list(range(-1, n - 1))
-        heap = [(r, i, parts[i], parts[i + 1]) for i in range(n - 1) if (r := rank.get((parts[i], parts[i + 1]))) is not None]
+    def merge(self, data: bytes) -> list[int]:
+        """The ids of one pre-token: its pair of least rank is merged, leftmost first, until none is left."""
+        parts = list(map(self.first.__getitem__, data))
+        if len(parts) > 40:
+            return self.merge_long(parts)
+        rank, merged, never = self.rank.get, self.merged, len(self.rank)
+        ranks = [rank(x << 32 | y, never) for x, y in zip(parts, parts[1:])]
+        while ranks and (least := min(ranks)) < never:
+            i = ranks.index(least)
+            parts[i] = new = merged[least]
+            del parts[i + 1], ranks[i]
+            if i < len(ranks):
+                ranks[i] = rank(new << 32 | parts[i + 1], never)
+            if i:
+                ranks[i - 1] = rank(parts[i - 1] << 32 | new, never)
+        return parts
+
+    def merge_long(self, parts: list) -> list[int]:
+        """The same over a heap of pairs and a linked list, which stays near linear."""
+        n, rank = len(parts), self.rank.get
+        after, before = [*range(1, n), -1], list(range(-1, n - 1))
+        heap = [(r, i, parts[i + 1]) for i in range(n - 1) if (r := rank(parts[i] << 32 | parts[i + 1])) is not None]
         heapq.heapify(heap)
         while heap:
-            _, i, left, right = heapq.heappop(heap)
+            r, i, right = heapq.heappop(heap)
             j = after[i]
-            if j < 0 or parts[i] != left or parts[j] != right:
+            if j < 0 or parts[i] is None or parts[j] != right or rank(parts[i] << 32 | right) != r:
                 continue
-            parts[i], parts[j] = left + right, None
+            parts[i], parts[j] = self.merged[r], None
             after[i] = k = after[j]
             if k >= 0:
                 before[k] = i
-                if (r := rank.get((parts[i], parts[k]))) is not None:
-                    heapq.heappush(heap, (r, i, parts[i], parts[k]))
-            if (h := before[i]) >= 0 and (r := rank.get((parts[h], parts[i]))) is not None:
-                heapq.heappush(heap, (r, h, parts[h], parts[i]))
+                if (s := rank(parts[i] << 32 | parts[k])) is not None:
+                    heapq.heappush(heap, (s, i, parts[k]))
+            if (h := before[i]) >= 0 and (s := rank(parts[h] << 32 | parts[i])) is not None:
+                heapq.heappush(heap, (s, h, parts[i]))
         return [p for p in parts if p is not None]
 
     def encode(self, text: str) -> list[int]:
         """The ids of a text without special tokens, merged pre-token by pre-token."""
-        return [self.ids[token] for symbols, _ in self.cut(text) for token in self.merge(symbols)]
+        return [i for symbols, _ in self.cut(text) for i in self.merge(bytes(map(self.to_byte.__getitem__, symbols)))]
+
+    def encode_piece(self, piece: bytes) -> list[int]:
+        """The same for a piece without white space but for a space at its start."""
+        if not (plain := PLAIN.fullmatch(piece.decode())):
+            return self.encode(piece.decode())
+        letters = plain[1].encode()
+        return self.merge(letters) + (self.merge(piece[len(letters) :]) if plain[2] else [])
 
 
 @functools.lru_cache(2)
@@ -192,13 +221,13 @@ class Lexicon:
     def get(self, word: bytes) -> bytes | None:
         """The ids of a word as 32-bit numbers, or None if the automaton lacks it."""
         state = total = 0
-        find, labels = self.map.find, self.labels
-        for i in range(len(word)):
-            arc = find(word[i : i + 1], labels + self.starts[state], labels + self.starts[state + 1]) - labels
+        find, labels, starts, targets, adds = self.map.find, self.labels, self.starts, self.targets, self.adds
+        for label in map(_BYTES.__getitem__, word):
+            arc = find(label, labels + starts[state], labels + starts[state + 1]) - labels
             if arc < 0:
                 return None
-            total += self.adds[arc]
-            state = self.targets[arc]
+            total += adds[arc]
+            state = targets[arc]
         if not self.map[self.ends + state]:
             return None
         return bytes(self.ids[self.offsets[total] : self.offsets[total + 1]])
@@ -209,18 +238,18 @@ class Encoder:
 
     def __init__(self, vocabulary: str, lexicon: str):
         self.merger, self.lexicon = merger(vocabulary), Lexicon(lexicon)
-        self.spaced = Memo(lambda piece: self.piece(b" " + piece))
+        self.spaced = Memo(lambda piece: self.piece(b" " + piece), 400_000, __name__)
         self.end = struct.pack("<I", self.merger.special)
 
     def piece(self, piece: bytes) -> bytes:
         found = self.lexicon.get(piece)
-        return found if found is not None else array("I", self.merger.encode(piece.decode())).tobytes()
+        return found if found is not None else array("I", self.merger.encode_piece(piece)).tobytes()
 
     def segment(self, data: bytes) -> bytes:
         """The ids of a text without special tokens as 32-bit numbers."""
         if not data:
             return b""
-        if RUN.search(data):
+        if RUN.search(data) or (any(w in data for w in WIDE) and WIDE_RUN.search(data)):
             return array("I", self.merger.encode(data.decode())).tobytes()
         first, *others = data.split(b" ")
         return (self.piece(first) if first else b"") + b"".join(map(self.spaced.__getitem__, others))
@@ -235,9 +264,9 @@ def encoder(vocabulary: str, lexicon: str) -> Encoder:
 
 
 def frequent_pieces(docs: DataFrame, text_col: str, size: int) -> list[bytes]:
-    """The ``size`` most frequent space-delimited pieces of all texts, each with the space before it (ties: by bytes)."""
+    """The most frequent space-delimited pieces of all texts, each with the space before it; at most ``size``."""
     pieces = docs.select(F.explode(F.split(F.col(text_col), " ")).alias("piece")).where(F.col("piece") != "")
-    top = pieces.groupBy("piece").count().orderBy(F.desc("count"), "piece").limit(size)
+    top = most_frequent(stored(pieces.groupBy("piece").agg(F.count("*").alias("n")), "pieces"), "n", size)
     return [b" " + r.piece.encode() for r in top.collect()]
 
 
@@ -249,23 +278,33 @@ def build_lexicon(spark: SparkSession, docs: DataFrame, *, text_col: str = "text
     m = merger(vocabulary or vocabulary_path())
     name = f"lexicon-{uuid.uuid4().hex}.bin"
     path = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="lexicon-")), name)
-    compile_lexicon({p: m.encode(p.decode()) for p in frequent_pieces(docs, text_col, size)}, path)
+    compile_lexicon({p: m.encode_piece(p) for p in frequent_pieces(docs, text_col, size)}, path)
     spark.sparkContext.addFile(path)
     return name
 
 
+def _encoded(batch: pa.RecordBatch, vocabulary: str, lexicon: str) -> pa.ListArray:
+    coder = encoder(vocabulary, lexicon)
+    parts = [coder.encode(t) if t else b"" for t in batch.column(1).to_pylist()]
+    coder.spaced.trim()
+    offsets = np.zeros(len(parts) + 1, np.int32)
+    np.cumsum([len(p) // 4 for p in parts], out=offsets[1:])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(parts), np.int32)))
+
+
+def _decoded(ids: pa.ListArray, vocabulary: str) -> pa.Array:
+    token = merger(vocabulary).bytes_of.__getitem__
+    first, *_ = at = ids.offsets.to_numpy()
+    values = ids.values.slice(first, at[-1] - first).to_numpy().tolist()
+    return pa.array([b"".join(map(token, values[a:b])).decode("utf-8", "replace") for a, b in zip(at[:-1] - first, at[1:] - first, strict=True)], pa.string())
+
+
 def encode(docs: DataFrame, lexicon: str, *, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
     """(id_col, ids array<int>) of every row."""
     vocabulary = vocabulary or vocabulary_path()
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        coder = encoder(vocabulary, lexicon)
-        parts = [coder.encode(t) if t else b"" for t in batch.column(1).to_pylist()]
-        coder.spaced.trim()
-        offsets = np.zeros(len(parts) + 1, np.int64)
-        np.cumsum([len(p) // 4 for p in parts], out=offsets[1:])
-        values = pa.array(np.frombuffer(b"".join(parts), np.int32))
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), values)], [id_col, "ids"])
+        return pa.RecordBatch.from_arrays([batch.column(0), _encoded(batch, vocabulary, lexicon)], [id_col, "ids"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return arrow(docs.select(id_col, F.col(text_col).cast("binary")), run, f"`{id_col}` {kind}, ids array<int>")
@@ -276,20 +315,29 @@ def decode(encoded: DataFrame, *, id_col: str = "doc_id", vocabulary: str | None
     vocabulary = vocabulary or vocabulary_path()
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        token = merger(vocabulary).bytes_of.__getitem__
         ids = batch.column(1)
-        values, at = ids.values.to_numpy().tolist(), ids.offsets.to_numpy()
-        texts = [b"".join(map(token, values[a:b])).decode("utf-8", "replace") for a, b in zip(at[:-1], at[1:], strict=True)]
-        return pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array(texts, pa.string())], [id_col, "ids", "decoded"])
+        return pa.RecordBatch.from_arrays([batch.column(0), ids, _decoded(ids, vocabulary)], [id_col, "ids", "decoded"])
 
     kind = encoded.schema[id_col].dataType.simpleString()
     return arrow(encoded.select(id_col, F.coalesce("ids", F.array().cast("array<int>")).alias("ids")), run, f"`{id_col}` {kind}, ids array<int>, decoded string")
 
 
+def round_trip(docs: DataFrame, lexicon: str, *, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
+    """``decode(encode(docs))`` in one pass: (id_col, ids, decoded)."""
+    vocabulary = vocabulary or vocabulary_path()
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        ids = _encoded(batch, vocabulary, lexicon)
+        return pa.RecordBatch.from_arrays([batch.column(0), ids, _decoded(ids, vocabulary)], [id_col, "ids", "decoded"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return arrow(docs.select(id_col, F.col(text_col).cast("binary")), run, f"`{id_col}` {kind}, ids array<int>, decoded string")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode and decode every document; digests of both."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    both = decode(encode(docs, build_lexicon(spark, docs)))
+    both = round_trip(docs, build_lexicon(spark, docs))
     return both.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
