@@ -13,7 +13,6 @@ results; an empty table gives an empty table.
 
 from __future__ import annotations
 
-import functools
 import heapq
 import json
 import mmap
@@ -30,7 +29,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edgewright.llm.common import Memo, arrow, most_frequent, stored, table
+from edgewright.llm.common import Memo, arrow, loaded_once, most_frequent, stored, table
 
 #: How many of the most frequent pieces the automaton holds.
 LEXICON = 32_768
@@ -129,7 +128,7 @@ class Merger:
         return self.merge(letters) + (self.merge(piece[len(letters) :]) if plain[2] else [])
 
 
-@functools.lru_cache(2)
+@loaded_once(2)
 def merger(path: str) -> Merger:
     return Merger(path)
 
@@ -258,7 +257,7 @@ class Encoder:
         return self.segment(data) if SPECIAL not in data else self.end.join(map(self.segment, data.split(SPECIAL)))
 
 
-@functools.lru_cache(4)
+@loaded_once(4)
 def encoder(vocabulary: str, lexicon: str) -> Encoder:
     return Encoder(vocabulary, SparkFiles.get(lexicon))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
 import weakref
@@ -46,6 +48,7 @@ def arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema:
         for batch in batches:
             for at in range(0, batch.num_rows, rows):
                 yield fn(batch.slice(at, rows))
+        released()
 
     return df.mapInArrow(each, schema)
 
@@ -69,14 +72,18 @@ def crc_mod(column: str, n: int):
     return F.crc32(F.col(column).cast("string").cast("binary")) % n
 
 
+#: A memo keeps no longer key.
+LONG = 64
 _memos: list[weakref.ref] = []
+_loaded: list[tuple[str, Callable]] = []
 _owner = ""
 
 
 class Memo(dict):
     """A dict that fills itself by ``make`` and starts anew beyond ``most`` entries (``trim`` between batches).
 
-    Python workers outlive a query's stages: what an operator (``owner``) has kept goes when another one begins.
+    Keys longer than ``LONG`` are made each time and not kept, so its size is bounded. Python workers outlive a
+    query's stages: what an operator (``owner``) has kept goes when another one begins.
     """
 
     def __init__(self, make: Callable, most: int = 150_000, owner: str = ""):
@@ -85,7 +92,9 @@ class Memo(dict):
         _memos.append(weakref.ref(self))
 
     def __missing__(self, key):
-        value = self[key] = self.make(key)
+        value = self.make(key)
+        if len(key) <= LONG:
+            self[key] = value
         return value
 
     def trim(self) -> None:
@@ -100,7 +109,29 @@ def begun(owner: str) -> None:
         _owner = owner
         for memo in [m for ref in _memos if (m := ref()) is not None and m.owner != owner]:
             memo.clear()
-        pa.default_memory_pool().release_unused()
+        for other, forget in _loaded:
+            if other != owner:
+                forget()
+        released()
+
+
+def released() -> None:
+    """Called where a task's work ends in a worker: what is free goes back to the system, as idle workers stay."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim:
+        trim(0)
+
+
+def loaded_once(most: int) -> Callable:
+    """As ``lru_cache``, for what workers load; it goes, as memos do, when another operator begins."""
+
+    def wrap(fn: Callable) -> Callable:
+        found = functools.lru_cache(most)(fn)
+        _loaded.append((fn.__module__, found.cache_clear))
+        return found
+
+    return wrap
 
 
 def unused(df: DataFrame, name: str) -> str:

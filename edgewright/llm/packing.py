@@ -15,7 +15,6 @@ gives an empty table. Only documents longer than a sequence are cut.
 
 from __future__ import annotations
 
-import functools
 import re
 import zlib
 from array import array
@@ -25,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from edgewright.llm.common import Memo, arrow, stored, table
+from edgewright.llm.common import Memo, arrow, loaded_once, stored, table
 
 CAPACITY = 4096
 END = 1
@@ -93,7 +92,7 @@ class Coder:
         return [b"".join(map(self.words.__getitem__, words)) for words in split]
 
 
-@functools.lru_cache(2)
+@loaded_once(2)
 def coder(path: str) -> Coder:
     return Coder(path)
 

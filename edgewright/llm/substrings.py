@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edgewright.llm.common import Memo, arrow, begun, stored, table, unused
+from edgewright.llm.common import Memo, arrow, begun, released, stored, table, unused
 
 WINDOW, SEED = 13, 3
 #: Bytes of text whose strings share a bucket, on average.
@@ -104,8 +104,10 @@ def super_kmers(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
                 yield pa.RecordBatch.from_arrays([pa.array(numbers.astype(np.int64)), pa.array(blocks, pa.binary())], ["bucket", "block"])
                 del runs, rows_, blocks
                 pa.default_memory_pool().release_unused()
+        released()
 
     def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begun(__name__)
         for batch in batches:
             for bucket, block in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 for runs in pa.ipc.open_stream(block.as_buffer()):
@@ -113,6 +115,7 @@ def super_kmers(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
                     smallest = np.minimum.reduceat(docs_.values.to_numpy(), docs_.offsets.to_numpy()[:-1])
                     minimiser = pa.array(key.to_numpy().astype(np.int64) * buckets + bucket)
                     yield pa.RecordBatch.from_arrays([minimiser, packed, pa.array(smallest), docs_, starts], ["minimiser", "packed", "doc", "docs", "starts"])
+        released()
 
     blocks = rows.mapInArrow(sent, "bucket long, block binary").repartition("bucket").select("bucket", "block")
     runs = blocks.mapInArrow(opened, "minimiser long, packed binary, doc long, docs array<long>, starts array<int>")
@@ -139,13 +142,13 @@ class Bucket:
                 if owners[0] < doc:
                     yield doc, start, start + len(owners) + WINDOW - 1
                 continue
-            begun = None
+            first = None
             for i, owner in enumerate([*owners, doc]):
                 if owner < doc:
-                    begun = i if begun is None else begun
+                    first = i if first is None else first
                 elif begun is not None:
                     yield doc, start + begun, start + i + WINDOW - 1
-                    begun = None
+                    first = None
 
 
 def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -178,6 +181,8 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             if out:
                 doc, a, b = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(a, pa.int32()), pa.array(b, pa.int32())], ["doc_id", "a", "b"])
+        del bucket, held
+        released()
 
     return super_kmers(docs, id_col=id_col, text_col=text_col).mapInArrow(run, "doc_id long, a int, b int")
 
