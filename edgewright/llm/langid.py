@@ -12,6 +12,8 @@ prediction is ``und``; an empty table gives an empty table.
 
 from __future__ import annotations
 
+import functools
+import sys
 from collections import defaultdict
 
 import numpy as np
@@ -20,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from edgewright.llm.common import Memo, arrow, crc_mod, table, unused
+from edgewright.llm.common import arrow, crc_mod, table, unused
 
 #: N-grams in a profile.
 TOP = 400
@@ -30,21 +32,27 @@ FARTHEST = 0.97
 _LETTERS = regex.compile(r"\p{L}+")
 
 
-def word_codes(word: str) -> bytes:
-    """The n-grams of one word as 64-bit numbers: three code points of 21 bits, the first letter highest; an edge is a space."""
-    c = np.array([32, *map(ord, word), 32], np.int64)
-    return np.concatenate([c[1:-1] << 42, (c[:-1] << 42) | (c[1:] << 21), (c[:-2] << 42) | (c[1:-1] << 21) | c[2:]]).tobytes()
+@functools.cache
+def letter_table() -> np.ndarray:
+    """For every code point itself if it is a letter, or a space."""
+    points = "".join(chr(c) for c in range(sys.maxunicode + 1) if not 0xD800 <= c < 0xE000)
+    out = np.full(sys.maxunicode + 1, 32, np.int32)
+    for m in _LETTERS.finditer(points):
+        for c in m[0]:
+            out[ord(c)] = ord(c)
+    return out
 
 
-_CODES = Memo(word_codes, 100_000, __name__)
-
-
-def codes(text: str | None) -> bytes:
+def codes(text: str | None) -> np.ndarray:
+    """The n-grams of all words as 64-bit numbers: three code points of 21 bits, the first letter highest; an edge is a space."""
     if not text:
-        return b""
-    found = b"".join(map(_CODES.__getitem__, _LETTERS.findall(text.lower())))
-    _CODES.trim()
-    return found
+        return np.empty(0, np.int64)
+    c = letter_table()[np.frombuffer(f" {text.lower()} ".encode("utf-32-le"), np.uint32)].astype(np.int64)
+    letter = c != 32
+    middle = np.flatnonzero(letter[1:-1]) + 1
+    first = c[middle] << 42
+    pairs = np.flatnonzero(letter[:-1] | letter[1:])
+    return np.concatenate([first, c[pairs] << 42 | c[pairs + 1] << 21, c[middle - 1] << 42 | first >> 21 | c[middle + 1]])
 
 
 def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -60,14 +68,14 @@ def profiles(train: DataFrame, *, text_col: str = "text", lang_col: str = "lang"
         size: dict[str, int] = defaultdict(int)
 
         def settle(lang: str) -> None:
-            parts[lang].append(np.unique(np.frombuffer(b"".join(waiting.pop(lang)), np.int64), return_counts=True))
+            parts[lang].append(np.unique(np.concatenate(waiting.pop(lang)), return_counts=True))
             size[lang] = 0
 
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             found = codes(text)
             waiting[lang].append(found)
             size[lang] += len(found)
-            if size[lang] > 16_000_000:
+            if size[lang] > 1_000_000:
                 settle(lang)
         for lang in list(waiting):
             settle(lang)
@@ -97,10 +105,13 @@ class Ranker:
 
     def judge(self, text: str | None) -> tuple[str, float, float]:
         """Language, score (a half to 1: how much nearer it is than the runner-up) and distance (0 to 1) of a text."""
-        found = np.frombuffer(codes(text), np.int64)
+        found = codes(text)
         if not found.size or not self.langs:
             return UNDETERMINED, 0.0, 1.0
         keys, n = np.unique(found, return_counts=True)
+        if len(n) > self.top:
+            often = n >= np.partition(n, len(n) - self.top)[len(n) - self.top]
+            keys, n = keys[often], n[often]
         keys = keys[np.argsort(-n, kind="stable")[: self.top]]
         at = np.searchsorted(self.codes, keys)
         at[at == len(self.codes)] = 0
