@@ -14,7 +14,8 @@ def normal(df):
         if df[c].dtype.kind == "f":
             df[c] = df[c].map(lambda x: "" if x != x else f"{x:.3f}".replace("-0.000", "0.000"))
         else:
-            df[c] = df[c].map(lambda x: "" if x is None or x != x else str(x))
+            # pandas shows a date as a date or as midnight, depending on the engine it comes from
+            df[c] = df[c].map(lambda x: "" if x is None or x != x else str(x).removesuffix(" 00:00:00"))
     return sorted(map(tuple, df.itertuples(index=False)))
 
 
