@@ -147,7 +147,7 @@ class Bucket:
                 if owner < doc:
                     first = i if first is None else first
                 elif begun is not None:
-                    yield doc, start + begun, start + i + WINDOW - 1
+                    yield doc, start + first, start + i + WINDOW - 1
                     first = None
 
 
