@@ -146,7 +146,7 @@ class Bucket:
             for i, owner in enumerate([*owners, doc]):
                 if owner < doc:
                     first = i if first is None else first
-                elif begun is not None:
+                elif first is not None:
                     yield doc, start + first, start + i + WINDOW - 1
                     first = None
 
