@@ -136,7 +136,7 @@ def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -
         # a star in each bucket; equal pairs of different buckets are compared once
         scored = members.select("bucket", "doc_id").join(scores, "doc_id")
         centre = F.max(F.struct("score", (-F.col("doc_id")).alias("minus"))).alias("c")
-        centres = stored(scored.groupBy("bucket").agg(centre).select("bucket", (-F.col("c.minus")).alias("u")), "centres")
+        centres = scored.groupBy("bucket").agg(centre).select("bucket", (-F.col("c.minus")).alias("u"))
         pairs = members.select("bucket", F.col("doc_id").alias("v")).join(centres, "bucket").where("u != v").select("u", "v").distinct()
         stars = stored(compared(pairs, sets), "stars")
         found = stars.where(similar()).select("u", "v")
@@ -147,7 +147,7 @@ def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -
         # of theirs, and e others: a link needs (100 + s) * (k + e) >= s * (their sizes), with e = 0 or e > 0
         marked = labelled(stars.where("size(extra) > 0 or k > 0"), "v", "label")
         open_ = marked.groupBy("u").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("u")
-        marked = stored(marked.join(stored(open_, "open"), "u", "left_semi"), "marked")
+        marked = stored(marked.join(open_, "u", "left_semi"), "marked")
 
         most = F.floor((100 + SIMILARITY) * F.col("k") / SIMILARITY - F.col("nv")).cast("int")
         low = marked.select("u", F.col("v").alias("a"), F.col("k").alias("ka"), F.col("label").alias("la"), F.explode(F.when(most >= F.col("k"), F.sequence("k", most))).alias("size"))
@@ -158,7 +158,7 @@ def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -
         # can be counted and most pairs be ruled out by their number; many members are the next round's bucket
         extras = marked.select("u", F.col("v").alias("doc_id"), "nv", "k", "label", F.explode("extra").alias("shingle"))
         sizes = extras.groupBy("u", "shingle").agg(F.count("*").alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("u", "shingle", "size")
-        extras = stored(extras.join(stored(sizes, "extras"), ["u", "shingle"]), "extras")
+        extras = stored(extras.join(sizes, ["u", "shingle"]), "extras")
         a, b = (extras.where(F.col("size") <= SMALL).select("u", "shingle", *(F.col(c).alias(f"{c}_{x}") for c in ("doc_id", "nv", "k", "label"))) for x in "ab")
         counted = a.join(b, ["u", "shingle"]).where("doc_id_a < doc_id_b and label_a != label_b").groupBy("u", "doc_id_a", "doc_id_b", "nv_a", "nv_b", "k_a", "k_b").agg(F.count("*").alias("e"))
         possible = (100 + SIMILARITY) * (F.least("k_a", "k_b") + F.col("e")) >= SIMILARITY * (F.col("nv_a") + F.col("nv_b"))
@@ -170,7 +170,7 @@ def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -
         members = stored(extras.where(F.col("size") > SMALL).select(F.xxhash64("u", "shingle").alias("bucket"), "doc_id").distinct(), "members")
 
     named = classes.withColumnRenamed("rep", "doc_id")
-    named = stored(labelled(named, "doc_id", "label").select("f1", "f2", "label"), "named")
+    named = labelled(named, "doc_id", "label").select("f1", "f2", "label")
     return sketched.join(named, ["f1", "f2"], "left").select("doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id"))
 
 
