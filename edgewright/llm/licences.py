@@ -1,9 +1,12 @@
 """Licence scan in DataFrame functions only: TF-IDF cosine to templates, then the nearest ancestor folder's licence.
 
 Lines that may state a licence, and whole texts that hold such a line, become bags of terms; each is compared with
-every template by the cosine of their TF-IDF weights (terms are weighted by how few templates have them). A file's
-own licence is its best line's, from ``SIMILAR`` on. A file that as a whole is a licence (its whole text's cosine
-reaches ``WHOLE``) licenses its folder; the best of several, then the first by path. Files without a licence of
+every template by the cosine of their TF-IDF weights (terms are weighted by how few templates have them). A line may
+state a licence if it has any template term that is not ``COMMON``; common terms alone state nothing, though a line
+of one word such as "By" would be near a template. A file's own licence is its best line's, from ``SIMILAR`` on.
+A file that as a whole is a licence licenses its folder; the best of several, then the first by path. That is a file
+whose cosine to a full licence text reaches ``FULL`` (it then has that licence), or one whose cosine to a notice
+reaches ``WHOLE`` if its best line states the same licence: in long prose, common terms alone reach ``WHOLE``. Files without a licence of
 their own take that of the nearest ancestor folder that has one: folders, not files, look their ancestors up by
 joins on the path, and a file then looks its folder up.
 
@@ -14,9 +17,11 @@ table.
 
 from __future__ import annotations
 
+import json
 import math
 import re
 from collections import Counter
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +30,13 @@ from edgewright.llm.common import stored, table
 
 SIMILAR, WHOLE = 0.5, 0.3
 TERM = r"[a-z0-9]+(?:\.[0-9]+)?"
+#: Terms of licence texts by licence, with their numbers; full texts, unlike the notices below.
+TEXTS, FULL = Path(__file__).with_name("licence_texts.json"), 0.85
+#: Template terms that state nothing by themselves: they are common in prose, or numbers.
+COMMON = frozenset("a and any are by in is of the this to under all released mit sa 1.0 2.0 4.0 2 3 v".split())
+#: Common terms that do state a licence when written so.
+WRITTEN = r"(?<![A-Za-z0-9])(?:MIT|SA)(?![A-Za-z0-9])|(?i:under (?:the )?mit)(?![A-Za-z0-9])"
+#: What a line must hold in the SQL twin; the scan itself reads more lines (``may_state``).
 HINTS = ("licen", "copyright", "public domain", "permission is hereby", "cc by", "cc0", "gnu ")
 #: The notices by which licences are stated.
 TEMPLATES = {
@@ -91,21 +103,44 @@ def best_template(text: Column) -> dict[str, Column]:
     }
 
 
+def may_state(text: Column) -> Column:
+    """Whether a text has a template term that is not common, or one of the hints inside a word."""
+    terms = "|".join(sorted({re.escape(t) for t in weights()[0]} - {re.escape(t) for t in COMMON}))
+    return text.rlike(rf"(?i:{'|'.join(HINTS)}|(?<![a-z0-9])(?:{terms})(?![a-z0-9]))|{WRITTEN}")
+
+
+def full_weights() -> tuple[list[str], float, list[tuple[str, float, list[float]]]]:
+    """The licences with full texts, the inverse frequency of terms in none, and (term, its own, unit weight times it by licence)."""
+    bags = json.loads(TEXTS.read_text())
+    found = Counter(t for bag in bags.values() for t in bag)
+    idf = {t: math.log((1 + len(bags)) / (1 + n)) + 1 for t, n in sorted(found.items())}
+    norms = [math.sqrt(sum((n * idf[t]) ** 2 for t, n in bag.items())) for bag in bags.values()]
+    return list(bags), math.log(1 + len(bags)) + 1, [(t, v, [bag.get(t, 0) * v * v / norm for bag, norm in zip(bags.values(), norms, strict=True)]) for t, v in idf.items()]
+
+
+def full_texts(files: DataFrame) -> DataFrame:
+    """(id, full_score, full_licence): the full licence text nearest to each file's, from ``FULL`` on; the first by name of equals."""
+    names, other, rows = full_weights()
+    known = files.sparkSession.createDataFrame(rows, "term string, idf double, ws array<double>")
+    terms = files.select("id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(f"({TERM})"), F.lit(1))).alias("term"))
+    counted = terms.groupBy("id", "term").agg(F.count("*").alias("tf")).join(F.broadcast(known), "term", "left")
+    square = F.pow(F.col("tf") * F.coalesce("idf", F.lit(other)), F.lit(2.0))
+    sums = counted.groupBy("id").agg(F.sqrt(F.sum(square)).alias("norm"), *(F.coalesce(F.sum(F.col("tf") * F.col("ws")[i]), F.lit(0.0)).alias(f"dot{i}") for i in range(len(names))))
+    scores = [F.struct((-F.round(F.col(f"dot{i}") / F.col("norm"), 6)).alias("less"), F.lit(name).alias("licence")) for i, name in enumerate(names)]
+    return sums.select("id", F.array_min(F.array(*scores)).alias("x")).select("id", (-F.col("x.less")).alias("full_score"), F.col("x.licence").alias("full_licence")).where(F.col("full_score") >= FULL)
+
+
 def statements(files: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
-    """(id, own_score, own_licence, whole_score, whole_licence) of the files that may state a licence."""
-    def hinted(text: Column) -> Column:
-        low, found = F.lower(text), F.lit(False)
-        for hint in HINTS:
-            found = found | low.contains(hint)
-        return found
-
-    some = files.where(hinted(F.col(text_col))).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    lines = F.transform(F.filter(F.split("text", "\n"), hinted), lambda x: F.struct(F.lit(False).alias("whole"), x.alias("text")))
+    """(id, own_score, own_licence, whole_score, whole_licence, full_score, full_licence) of the files that may state a licence."""
+    some = files.where(may_state(F.col(text_col))).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    lines = F.transform(F.filter(F.split("text", "\n"), may_state), lambda x: F.struct(F.lit(False).alias("whole"), x.alias("text")))
     parts = some.select("id", F.explode(F.concat(lines, F.array(F.struct(F.lit(True).alias("whole"), F.col("text"))))).alias("part")).select("id", "part.whole", "part.text")
+    full = full_texts(some)
     for name, value in best_template(F.col("text")).items():
         parts = parts.withColumn(name, value)
     best = parts.groupBy("id").agg(F.max(F.when(~F.col("whole"), F.col("best"))).alias("own"), F.max(F.when(F.col("whole"), F.col("best"))).alias("all"))
-    return best.select("id", F.col("own.score").alias("own_score"), F.col("own.licence").alias("own_licence"), F.col("all.score").alias("whole_score"), F.col("all.licence").alias("whole_licence"))
+    best = best.select("id", F.col("own.score").alias("own_score"), F.col("own.licence").alias("own_licence"), F.col("all.score").alias("whole_score"), F.col("all.licence").alias("whole_licence"))
+    return best.join(full, "id", "left")
 
 
 def ancestors(folder: Column) -> Column:
@@ -119,7 +154,13 @@ def scan(files: DataFrame, *, id_col: str = "doc_id", path_col: str = "path", te
     found = stored(statements(files, id_col=id_col, text_col=text_col), "licences").dropDuplicates(["id"])
     folder = F.coalesce(F.regexp_extract(F.col(path_col), r"^(.*)/[^/]*$", 1), F.lit(""))
     places = files.select(F.col(id_col).alias("file"), F.col(path_col).alias("_path"), folder.alias("folder")).join(found, F.col("file") == F.col("id"), "left")
-    places = places.select("file", "_path", "folder", F.when(F.col("own_score") >= SIMILAR, F.col("own_licence")).alias("own_licence"), F.coalesce(F.when(F.col("own_score") >= SIMILAR, F.col("own_score")), F.lit(0.0)).alias("own_score"), F.coalesce(F.col("whole_score") >= WHOLE, F.lit(False)).alias("licence_file"), "whole_score", "whole_licence")
+    states, full = F.col("own_score") >= SIMILAR, F.col("full_score").isNotNull()
+    own = F.when(full, F.col("full_licence")).when(states, F.col("own_licence"))
+    notice = states & (F.col("whole_score") >= WHOLE) & (F.col("whole_licence") == F.col("own_licence"))
+    places = places.select(
+        "file", "_path", "folder", own.alias("own_licence"), F.coalesce("full_score", F.when(states, F.col("own_score")), F.lit(0.0)).alias("own_score"),
+        F.coalesce(full | notice, F.lit(False)).alias("licence_file"), F.coalesce("full_score", "whole_score").alias("whole_score"), F.coalesce("full_licence", "whole_licence").alias("whole_licence"),
+    )
     places = stored(places, "places")
     licensed = places.where("licence_file").groupBy("folder").agg(F.min(F.struct((-F.col("whole_score")).alias("score"), "_path", F.col("whole_licence").alias("licence"))).alias("x")).select(F.col("folder").alias("above"), "x.licence")
     folders = places.select("folder").distinct().select("folder", F.posexplode(ancestors(F.col("folder"))).alias("up", "above"))
