@@ -2,11 +2,12 @@
 
 Each rule rejects a document whose share of something (symbols, capitals, repeated lines, repeated words) is
 large. One half of the labelled documents proposes, for every rule and stratum, the cutoff that tells low
-quality from good best; the other half is held out to certify it: going from lax to strict, a cutoff holds while
-the exact binomial bound on its false rejections stays within the allowed risk. The error allowance is divided
-by the number of rules and strata (the order of cutoffs is fixed beforehand, so each sequence counts once), and
-the allowed risk by the number of rules, as a document goes when any rule rejects it. A stratum with too few
-labels certifies nothing and keeps its documents. Strata are classes of length, so their number is fixed.
+quality from good best; the other half is held out to certify all rules of a stratum together: their cutoffs go down
+step by step at once, from the largest share to what was proposed, and a step holds while the exact binomial bound on
+the false rejections by any rule stays within the allowed risk. The error allowance is divided by the number of
+strata (the order of steps is fixed by the proposing half, so each sequence counts once). A stratum with too few
+labels (217 good ones held out, if none is rejected) certifies nothing and keeps its documents. Strata are classes of
+length, so their number is fixed.
 
 Nulls count as empty texts, which have no words and fail the base rules. Labels that are null or belong to no
 document are ignored; repeated rows are judged alike; an empty table gives an empty table.
@@ -120,44 +121,58 @@ def binomial_tail(k: int, n: int, p: float) -> float:
     return min(1.0, math.exp(top) * sum(math.exp(x - top) for x in log))
 
 
-def certify(counts: dict[tuple, int], *, risk: float, error: float) -> dict[tuple[int, str], int]:
-    """The cutoff step of each (stratum, rule) that has one: a document goes when its step is at least that.
+def propose(counts: dict[tuple, int]) -> dict[tuple[int, str], int]:
+    """The wanted cutoff step of each (stratum, rule) that tells low quality from good.
 
-    ``counts`` has the labelled documents by (stratum, held out, quality, rule, step).
+    ``counts`` has the labelled documents of the proposing half by (stratum, quality, rule, step).
     """
     out = {}
-    strata = range(len(STRATA) + 1)
-    for s in strata:
+    for s in range(len(STRATA) + 1):
         for rule in RULES:
-            tail = {(h, q): np.cumsum([counts.get((s, h, q, rule, i), 0) for i in range(STEPS + 1)][::-1])[::-1] for h in (0, 1) for q in (0, 1)}
-            good, bad, held = tail[0, 1], tail[0, 0], tail[1, 1]
-            if not bad[0] or not good[0] or not held[0]:
+            bad, good = (np.cumsum([counts.get((s, q, rule, i), 0) for i in range(STEPS + 1)][::-1])[::-1] for q in (0, 1))
+            if not bad[0] or not good[0]:
                 continue
             gain = bad / bad[0] - WEIGHT * good / good[0]
             wanted = int(np.flatnonzero(gain == gain.max())[-1])
-            if gain[wanted] <= 0 or wanted == 0:
-                continue
-            for step in range(STEPS, wanted - 1, -1):
-                if binomial_tail(int(held[step]), int(held[0]), risk / len(RULES)) > error / (len(RULES) * len(strata)):
-                    break
-                out[s, rule] = step
+            if gain[wanted] > 0 and wanted > 0:
+                out[s, rule] = wanted
+    return out
+
+
+def certify(proposed: dict[tuple[int, str], int], held: dict[tuple[int, int | None], int], *, risk: float, error: float) -> dict[tuple[int, str], int]:
+    """The certified cutoff step of each proposed (stratum, rule): a document goes when its step is at least that.
+
+    ``held`` has the good documents held out by (stratum, steps below the largest at which some rule rejects them, or None).
+    """
+    out, strata = {}, range(len(STRATA) + 1)
+    for s in strata:
+        n, false, certified = sum(k for (at, _), k in held.items() if at == s), 0, None
+        for below in range(STEPS + 1 if n else 0):
+            false += held.get((s, below), 0)
+            if binomial_tail(false, n, risk) > error / len(strata):
+                break
+            certified = below
+        if certified is not None:
+            out |= {(at, rule): max(step, STEPS - certified) for (at, rule), step in proposed.items() if at == s}
     return out
 
 
 def fit(measured: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", risk: float = MAX_FALSE_REJECTION, error: float = ERROR) -> dict[tuple[int, str], int]:
     """Certified cutoffs from all labelled documents that pass the base rules.
 
-    Only counts by stratum, half, quality, rule and step come to the driver, a fixed number.
+    Only counts by stratum, quality, rule and step come to the driver, a fixed number.
     """
     known = labels.where("quality in (0, 1)").select(id_col, "quality")
-    rows = measured.where(~base_failed()).join(known, id_col).select(
-        stratum().alias("s"),
-        (F.xxhash64(F.col(id_col)) % 2 == 0).cast("int").alias("held"),
-        "quality",
-        F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), x.alias("step")) for r, x in levels().items()))).alias("x"),
-    )
-    found = rows.groupBy("s", "held", "quality", "x.rule", "x.step").count().collect()
-    return certify({(r.s, r.held, r.quality, r.rule, r.step): r["count"] for r in found}, risk=risk, error=error)
+    held = (F.xxhash64(F.col(id_col)) % 2 == 0).cast("int")
+    rows = stored(measured.where(~base_failed()).join(known, id_col).select(stratum().alias("s"), held.alias("held"), "quality", *(x.alias(r) for r, x in levels().items())), "labelled")
+    steps = F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), F.col(r).alias("step")) for r in RULES))).alias("x")
+    found = rows.where("held = 0").select("s", "quality", steps).groupBy("s", "quality", "x.rule", "x.step").count().collect()
+    proposed = propose({(r.s, r.quality, r.rule, r.step): r["count"] for r in found})
+    if not proposed:
+        return {}
+    below = F.array_min(F.array(*(F.when((F.col("s") == s) & (F.col(rule) >= step), STEPS - F.col(rule)) for (s, rule), step in proposed.items())))
+    found = rows.where("held = 1 and quality = 1").groupBy("s", below.alias("below")).count().collect()
+    return certify(proposed, {(r.s, r.below): r["count"] for r in found}, risk=risk, error=error)
 
 
 def verdict(cutoffs: dict[tuple[int, str], int]):

@@ -6,7 +6,7 @@ import pytest
 
 pytest.importorskip("edgewright.llm")
 
-from edgewright.llm import licences  # noqa: E402
+from edgewright.llm import licences, quality  # noqa: E402
 
 
 def test_licences_of_lines_without_a_hint_and_of_full_texts(spark):
@@ -22,3 +22,18 @@ def test_licences_of_lines_without_a_hint_and_of_full_texts(spark):
     assert [(r.own_licence, r.licence_file) for r in got[len(lines) + len(prose) : -1]] == [(name, True) for name in full]
     # the licence of one line in a long text is the file's, not its folder's
     assert got[-1].own_licence == "Proprietary" and not got[-1].licence_file
+
+
+def test_few_hundred_labels_certify_all_rules_together(spark):
+    # four rules and four strata as one sequence each: 217 good labels held out are enough if none is rejected
+    rules = dict.fromkeys([(0, rule) for rule in quality.RULES], 20)
+    assert quality.certify(rules, {(0, None): 217}, risk=0.02, error=0.05) == rules
+    assert quality.certify(rules, {(0, None): 216}, risk=0.02, error=0.05) == {}
+    # good documents that any rule rejects count once, for all rules; the sequence stops before they are too many
+    assert quality.certify(rules, {(0, None): 400, (0, 30): 1, (0, 40): 30}, risk=0.02, error=0.05) == dict.fromkeys(rules, 64 - 39)
+    texts = [" ".join(f"word{i}x{j}" + "%%%%%%%" * (i % 5 == 0) for j in range(30)) for i in range(800)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 5 > 0)) for i in range(800)], "doc_id long, quality int")
+    got = quality.judged(docs, labels).select("doc_id", "kept").collect()
+    assert {r.doc_id for r in got if not r.kept} == set(range(0, 800, 5))
+    assert quality.keep(docs, labels).count() == 640
