@@ -3,11 +3,10 @@
 A page becomes lines: its blocks, with references decoded and white space joined. Each page is paired with a page
 of other content whose path shares the longest prefix with its own, host by host. The lines of both are aligned by
 their longest common subsequence, and shared lines go: what a site repeats from page to page is not its article.
-Two things guard the result. Lines inside a marked article (article, main and the like) stay even if shared, as
-near copies of an article on one host would otherwise erase each other; and where a page marks its article, lines
-outside it go even if not shared, as do marked menus, headers, footers, sidebars, adverts, notices, forms and
-comments. A page that marks nothing keeps the lines that are not shared and not mostly links, or all of them if the
-other page shares nearly everything.
+Where a page marks its article (article, main and the like), shared lines inside it go too, and so do lines outside
+it even if not shared, as do marked menus, headers, footers, sidebars, adverts, notices, forms and comments. A page
+that marks nothing keeps the lines that are not shared and not mostly links. In both, all lines stay if the other page
+shares nearly everything (``COPY``): near copies of an article on one host would otherwise erase each other.
 
 Null and empty pages give an empty text; a null URL has no partner. Rows with equal content never pair. Repeated
 rows give equal texts; unclosed and cut-off markup is read as far as it goes; an empty table gives an empty table.
@@ -28,7 +27,7 @@ from pyspark.sql import functions as F
 
 from edgewright.llm.common import arrow, stored, table
 
-#: A page that marks no article is a copy when its partner shares more than this part of its characters.
+#: A page is a copy when its partner shares more than this part of the characters of its article, or of all if none is marked.
 COPY = 0.8
 #: Elements without text of the page; containers that never hold the article; elements that end a block.
 _RAW = "script|style|noscript|template|svg|math|iframe|object|textarea|title|select|canvas|audio|video"
@@ -168,12 +167,11 @@ def common_lines(a: list[int], b: list[int]) -> list[int]:
 
 def main_text(lines: list[Line], shared: set[int]) -> str:
     """The article of a page, given which of its lines its partner shares."""
-    own = [x for i, x in enumerate(lines) if x.article and not x.away]
-    if not own:
-        whole = sum(len(x.text) for x in lines if not x.away)
-        if sum(len(x.text) for i, x in enumerate(lines) if i in shared and not x.away) > COPY * whole:
-            shared = set()
-        own = [x for i, x in enumerate(lines) if i not in shared and not x.away and 2 * x.linked <= len(x.text)]
+    marked = any(x.article and not x.away for x in lines)
+    own = [(i, x) for i, x in enumerate(lines) if not x.away and (x.article or not marked)]
+    if sum(len(x.text) for i, x in own if i in shared) > COPY * sum(len(x.text) for _, x in own):
+        shared = set()
+    own = [x for i, x in own if i not in shared and (marked or 2 * x.linked <= len(x.text))]
     return "\n".join(x.text for x in own)
 
 
@@ -186,7 +184,7 @@ def address(url: str | None) -> tuple[str | None, list[str]]:
     leaf = path.rfind("/") + 1
     ways = [path, *(path[:i] + "*" for i in range(len(path) - 1, max(leaf, len(path) - 4), -1))]
     folders = path.split("/")[:-1]
-    ways += ["/".join(folders[:i]) + "/" for i in range(len(folders), 0, -1)][:8]
+    ways += ["/".join(folders[:i]) + "/" for i in range(len(folders), 0, -1)]
     return m[1].lower(), list(dict.fromkeys([*ways, "/"]))
 
 

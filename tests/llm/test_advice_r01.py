@@ -6,7 +6,7 @@ import pytest
 
 pytest.importorskip("edgewright.llm")
 
-from edgewright.llm import licences, quality  # noqa: E402
+from edgewright.llm import licences, pagediff, quality  # noqa: E402
 
 
 def test_licences_of_lines_without_a_hint_and_of_full_texts(spark):
@@ -37,3 +37,16 @@ def test_few_hundred_labels_certify_all_rules_together(spark):
     got = quality.judged(docs, labels).select("doc_id", "kept").collect()
     assert {r.doc_id for r in got if not r.kept} == set(range(0, 800, 5))
     assert quality.keep(docs, labels).count() == 640
+
+
+def test_shared_lines_inside_a_marked_article_go(spark):
+    page = "<article><p>Buy at our shop today</p><p>{0}</p><p>More of {0}</p></article><p>outside {0}</p>"
+    copy = "<main><p>A long line that both of two near copies have, so that they share nearly all</p><p>n{0}</p></main>"
+    deep = "http://d/" + "/".join("abcdefghijklm")
+    urls = ["http://h/a/1", "http://h/a/2", "http://g/a/1", "http://g/a/2"]
+    rows = [(i, u, (page if i < 2 else copy).format(f"text number {i}")) for i, u in enumerate(urls)]
+    got = {r.page_id: r.text for r in pagediff.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[0] == "text number 0\nMore of text number 0" and got[1] == "text number 1\nMore of text number 1"
+    assert got[2].endswith("nearly all\nntext number 2") and got[3].endswith("nearly all\nntext number 3")
+    # pages in far-apart folders below a shallow one share its prefix
+    assert "/a/" in pagediff.address(deep)[1]
