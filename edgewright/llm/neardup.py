@@ -4,14 +4,19 @@ A document's set is its distinct shingles of five words (ASCII capitals lowered)
 first, so exact copies cost one row each. A class's sketch hashes every shingle once and keeps the least hash of
 each bin; an empty bin takes the value of the first filled bin in a random order of its own, the same for all
 documents. Bands of the sketch are buckets, and each bucket is searched as a star: its members are compared with
-one centre, the member that shares most buckets, on their full sets. Links become components. Two members of one star that ended in different components are compared only if
-what the star says of them allows a link: they share enough shingles that the centre lacks, or the centre's part in
-the lesser of them is large for both sizes. Shingles that many members share beside the centre become buckets of
-their own. So no link between members of a bucket is lost, and no bucket's pairs are listed.
+one centre, the member that shares most buckets, on their full sets. Links become components.
+
+Members of one star that ended in different components may still be links of each other. What sets them apart from
+their centre tells: members that are alike lack and add the same shingles. So the least hashes of each member's
+symmetric difference with its centre are the buckets of the next round, of which only those stay whose members are
+in different components. Stars again, with centres of their own, until no such bucket is left. The candidates of a
+round are as many as the rows of its buckets, never their pairs; no pair is compared twice with the same centre.
 
 Null texts and texts without words have an empty set: linked with nothing, kept. Texts of fewer than five words
-have one shingle, the whole sequence. Repeated rows of one doc_id count as one document and stay together. An
-empty table gives an empty table.
+have one shingle, the whole sequence. Repeated rows of one doc_id stay together if their texts have one set; if
+they differ, each row has the component of its own text (where one doc_id is the smallest of several sets, these
+are one vertex, compared by the set of least fingerprint). A null doc_id has the component of its set, null if no
+other row has that set. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -19,7 +24,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from edgewright.llm.common import Memo, arrow, stored, table
@@ -29,12 +34,15 @@ WORDS, SIMILARITY = 5, 85
 #: 32 bands of 6 bins find a pair of similarity 0.85 but for 3 in ten million.
 BANDS, ROWS = 32, 6
 BINS = BANDS * ROWS
-#: A shingle beside the centre that more members share is a bucket of its own.
+#: Least hashes kept of a member's difference with its centre.
+DIFFERENCES = 16
+#: So many members of a star, about, meet one copy of their centre's set.
 SMALL = 64
 _random = np.random.default_rng(20_240_601)
 _ORDER = np.array([_random.permutation(BINS) for _ in range(BINS)])
 _ODD = _random.integers(1, 2**63, (3, max(WORDS + 1, ROWS)), np.uint64) | np.uint64(1)
 _BAND = _random.integers(1, 2**63, BANDS, np.uint64)
+_APART = _random.integers(1, 2**63, DIFFERENCES, np.uint64)
 _HASH = Memo(xxhash.xxh64_intdigest, 150_000, __name__)
 
 
@@ -72,17 +80,28 @@ def sketch(found: np.ndarray) -> np.ndarray:
     return _mix((values.reshape(BANDS, ROWS) * _ODD[1, :ROWS]).sum(axis=1, dtype=np.uint64) + _BAND)
 
 
+def prints(found: np.ndarray) -> tuple[int, int]:
+    """A 128-bit fingerprint of a set."""
+    return int(found.sum(dtype=np.uint64)), int(_mix(found ^ _ODD[2, 0]).sum(dtype=np.uint64))
+
+
+def _longs(values: list) -> pa.Array:
+    return pa.array(np.array(values, np.uint64).view(np.int64))
+
+
+def _lists(parts: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0, np.uint64), *parts]).view(np.int64)))
+
+
 def sketches(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, f1 and f2: a 128-bit fingerprint of the set, bands array<long>) of every row."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [shingles(t) for t in batch.column(1).to_pylist()]
-        prints = [(int(s.sum(dtype=np.uint64)), int(_mix(s ^ _ODD[2, 0]).sum(dtype=np.uint64))) for s in sets]
-        bands = [sketch(s).view(np.int64) if s.size else np.empty(0, np.int64) for s in sets]
-        f1, f2 = (pa.array(np.array([p[i] for p in prints], np.uint64).view(np.int64)) for i in (0, 1))
-        offsets = np.cumsum([0, *map(len, bands)]).astype(np.int32)
-        values = pa.array(np.concatenate([np.empty(0, np.int64), *bands]))
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.size for s in sets], pa.int64()), f1, f2, pa.ListArray.from_arrays(pa.array(offsets), values)], ["doc_id", "n_shingles", "f1", "f2", "bands"])
+        f1, f2 = zip(*map(prints, sets), strict=True) if sets else ((), ())
+        bands = [sketch(s) if s.size else s for s in sets]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.size for s in sets], pa.int64()), _longs(f1), _longs(f2), _lists(bands)], ["doc_id", "n_shingles", "f1", "f2", "bands"])
 
     found = arrow(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("binary")), run, "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>")
     # empty sets join nothing: their own ids spread them
@@ -90,93 +109,101 @@ def sketches(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
 
 
 def shingle_sets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, shingles array<long>) of every row."""
+    """(doc_id, f1, f2, shingles array<long>) of every row."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [shingles(t).view(np.int64) for t in batch.column(1).to_pylist()]
-        offsets = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0, np.int64), *sets])))], ["doc_id", "shingles"])
+        sets = [shingles(t) for t in batch.column(1).to_pylist()]
+        f1, f2 = zip(*map(prints, sets), strict=True) if sets else ((), ())
+        return pa.RecordBatch.from_arrays([batch.column(0), _longs(f1), _longs(f2), _lists(sets)], ["doc_id", "f1", "f2", "shingles"])
 
-    return arrow(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("binary")), run, "doc_id long, shingles array<long>")
+    return arrow(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("binary")), run, "doc_id long, f1 long, f2 long, shingles array<long>")
 
 
 def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (u, v) with their sizes nu and nv, k: how many shingles they share, and v's own: ``extra``."""
-    a, b = (sets.select(F.col("doc_id").alias(k), F.col("shingles").alias(f"s{k}")) for k in "uv")
-    both = pairs.select("u", "v").join(a, "u").join(b, "v")
-    return both.select("u", "v", F.size("su").alias("nu"), F.size("sv").alias("nv"), F.size(F.array_intersect("su", "sv")).alias("k"), F.array_except("sv", "su").alias("extra"))
-
-
-def similar() -> Column:
-    return 100 * F.col("k") >= SIMILARITY * (F.col("nu") + F.col("nv") - F.col("k"))
-
+    """The pairs (u: a centre, v) with their sizes nu and nv, how many shingles they share, k, and the least hashes of
+    what they don't, ``apart``. A centre of many members comes in copies, each for some of them."""
+    copies = pairs.groupBy("u").agg(F.ceil(F.count("*") / SMALL).cast("int").alias("copies"))
+    part = F.pmod(F.xxhash64("v"), F.col("copies")).cast("int").alias("part")
+    members = pairs.join(copies, "u").select("u", "v", part).join(sets.select(F.col("doc_id").alias("v"), F.col("shingles").alias("sv")), "v")
+    centres = sets.select(F.col("doc_id").alias("u"), F.col("shingles").alias("su")).join(copies, "u").select("u", "su", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("part"))
 
-def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row."""
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sides = []
+        for column in (batch.column(2), batch.column(3)):
+            at = column.offsets.to_numpy()
+            values = column.values.to_numpy().view(np.uint64)
+            sides.append([values[a:b] for a, b in zip(at[:-1], at[1:], strict=True)])
+        size, shared, apart = ([], []), [], []
+        for a, b in zip(*sides, strict=True):
+            differ = np.setxor1d(a, b, assume_unique=True)
+            size[0].append(len(a))
+            size[1].append(len(b))
+            shared.append((len(a) + len(b) - len(differ)) // 2)
+            apart.append(np.array([_mix(differ ^ x).min() for x in _APART], np.uint64) if differ.size else differ)
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x, pa.int64()) for x in (*size, shared)), _lists(apart)], ["u", "v", "nu", "nv", "k", "apart"])
+
+    return arrow(members.join(centres, ["u", "part"]).select("u", "v", "su", "sv"), run, "u long, v long, nu long, nv long, k long, apart array<long>", rows=256)
+
+
+def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: int = SIMILARITY) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row; ``similarity`` in hundredths."""
     sketched = stored(sketches(docs, id_col=id_col, text_col=text_col), "sketches")
     filled = sketched.where("n_shingles > 0")
     classes = stored(filled.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = filled.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    # one vertex for each class: its smallest document; where that has several sets, the set of least fingerprint
+    nodes = classes.groupBy(F.col("rep").alias("doc_id")).agg(F.min(F.struct("f1", "f2")).alias("f")).select("doc_id", "f.f1", "f.f2")
+    reps = filled.join(nodes, ["doc_id", "f1", "f2"]).dropDuplicates(["doc_id", "f1", "f2"])
     exploded = reps.select("doc_id", F.explode("bands").alias("bucket"))
     shared = exploded.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     members = stored(exploded.join(shared, "bucket"), "members")
     scores = stored(members.groupBy("doc_id").agg(F.sum("size").alias("score")), "scores")
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sets = stored(shingle_sets(texts.join(scores, "doc_id", "left_semi").dropDuplicates(["doc_id"])), "sets")
+    own = nodes.join(scores, "doc_id", "left_semi")
+    sets = stored(shingle_sets(texts.join(scores, "doc_id", "left_semi")).join(own, ["doc_id", "f1", "f2"]).dropDuplicates(["doc_id", "f1", "f2"]).select("doc_id", "shingles"), "sets")
 
-    links: DataFrame | None = None
-    labels = scores.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("label")).limit(0)
+    labels: DataFrame | None = None
+    seen: DataFrame | None = None  # pairs of a centre and a member that were compared
 
     def labelled(rows: DataFrame, key: str, name: str) -> DataFrame:
         found = rows.join(labels.select(F.col("id").alias(key), F.col("label").alias(name)), key, "left")
         return found.withColumn(name, F.coalesce(name, key))
 
     while not members.isEmpty():
-        # a star in each bucket; equal pairs of different buckets are compared once
         scored = members.select("bucket", "doc_id").join(scores, "doc_id")
         centre = F.max(F.struct("score", (-F.col("doc_id")).alias("minus"))).alias("c")
         centres = scored.groupBy("bucket").agg(centre).select("bucket", (-F.col("c.minus")).alias("u"))
         pairs = members.select("bucket", F.col("doc_id").alias("v")).join(centres, "bucket").where("u != v").select("u", "v").distinct()
+        pairs = stored(pairs if seen is None else pairs.join(seen, ["u", "v"], "left_anti"), "pairs")
         stars = stored(compared(pairs, sets), "stars")
-        found = stars.where(similar()).select("u", "v")
-        links = found if links is None else links.union(found)
-        labels = stored(components(links), "labels")
+        seen = pairs if seen is None else seen.union(pairs)
 
-        # two members of a star that are in different components share at most k shingles of the centre, k the lesser
-        # of theirs, and e others: a link needs (100 + s) * (k + e) >= s * (their sizes), with e = 0 or e > 0
-        marked = labelled(stars.where("size(extra) > 0 or k > 0"), "v", "label")
-        open_ = marked.groupBy("u").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("u")
-        marked = stored(marked.join(open_, "u", "left_semi"), "marked")
-
-        most = F.floor((100 + SIMILARITY) * F.col("k") / SIMILARITY - F.col("nv")).cast("int")
-        low = marked.select("u", F.col("v").alias("a"), F.col("k").alias("ka"), F.col("label").alias("la"), F.explode(F.when(most >= F.col("k"), F.sequence("k", most))).alias("size"))
-        high = marked.select("u", F.col("v").alias("b"), F.col("k").alias("kb"), F.col("label").alias("lb"), F.col("nv").alias("size"))
-        nested = low.join(high, ["u", "size"]).where("ka <= kb and la != lb").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
-
-        # such shingles, with the members that have them; few members are paired here, so that a pair's shared shingles
-        # can be counted and most pairs be ruled out by their number; many members are the next round's bucket
-        extras = marked.select("u", F.col("v").alias("doc_id"), "nv", "k", "label", F.explode("extra").alias("shingle"))
-        sizes = extras.groupBy("u", "shingle").agg(F.count("*").alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("u", "shingle", "size")
-        extras = stored(extras.join(sizes, ["u", "shingle"]), "extras")
-        a, b = (extras.where(F.col("size") <= SMALL).select("u", "shingle", *(F.col(c).alias(f"{c}_{x}") for c in ("doc_id", "nv", "k", "label"))) for x in "ab")
-        counted = a.join(b, ["u", "shingle"]).where("doc_id_a < doc_id_b and label_a != label_b").groupBy("u", "doc_id_a", "doc_id_b", "nv_a", "nv_b", "k_a", "k_b").agg(F.count("*").alias("e"))
-        possible = (100 + SIMILARITY) * (F.least("k_a", "k_b") + F.col("e")) >= SIMILARITY * (F.col("nv_a") + F.col("nv_b"))
-        sharing = counted.where(possible).select(F.col("doc_id_a").alias("u"), F.col("doc_id_b").alias("v"))
-        more = stored(compared(nested.union(sharing).distinct(), sets).where(similar()).select("u", "v"), "more")
-        if not more.isEmpty():
-            links = links.union(more)
+        links = stars.where(100 * F.col("k") >= similarity * (F.col("nu") + F.col("nv") - F.col("k"))).select("u", "v")
+        if labels is None:
             labels = stored(components(links), "labels")
-        members = stored(extras.where(F.col("size") > SMALL).select(F.xxhash64("u", "shingle").alias("bucket"), "doc_id").distinct(), "members")
+        else:  # only the components that new links join
+            ends = stored(labelled(labelled(links, "u", "lu"), "v", "lv").where("lu != lv").select(F.col("lu").alias("u"), F.col("lv").alias("v")).distinct(), "ends")
+            if not ends.isEmpty():
+                joined = stored(components(ends), "joined")
+                renamed = labels.join(joined.select(F.col("id").alias("label"), F.col("label").alias("new")), "label", "left")
+                labels = stored(renamed.select("id", F.coalesce("new", "label").alias("label")).union(joined).distinct(), "labels")
+
+        # members of a star in different components meet again where they differ from its centre alike
+        marked = labelled(stars.select("u", "v", "apart"), "v", "label")
+        open_ = marked.groupBy("u").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("u")
+        apart = marked.join(open_, "u", "left_semi").select("v", "label", F.posexplode("apart").alias("j", "hash"), "u")
+        apart = stored(apart.select(F.xxhash64("u", "j", "hash").alias("bucket"), F.col("v").alias("doc_id"), "label"), "apart")
+        mixed = apart.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket")
+        members = stored(apart.select("bucket", "doc_id").join(mixed, "bucket", "left_semi"), "members")
 
     named = classes.withColumnRenamed("rep", "doc_id")
-    named = labelled(named, "doc_id", "label").select("f1", "f2", "label")
-    return sketched.join(named, ["f1", "f2"], "left").select("doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id"))
+    named = labelled(named, "doc_id", "label") if labels is not None else named.withColumn("label", F.col("doc_id"))
+    return sketched.join(named.select("f1", "f2", "label"), ["f1", "f2"], "left").select("doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id"))
 
 
-def keep(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: int = SIMILARITY) -> DataFrame:
     """The rows of ``docs``, with all their columns, of the document with the smallest id in each group."""
-    gone = stored(groups(docs, id_col=id_col, text_col=text_col).where("doc_id != component_id").select(F.col("doc_id").alias(id_col)), "gone")
+    gone = stored(groups(docs, id_col=id_col, text_col=text_col, similarity=similarity).where("doc_id != component_id").select(F.col("doc_id").alias(id_col)), "gone")
     return docs.join(gone, id_col, "left_anti").select(*(f"`{c}`" for c in docs.columns))
 
 
