@@ -6,11 +6,13 @@ each bin; an empty bin takes the value of the first filled bin in a random order
 documents. Bands of the sketch are buckets, and each bucket is searched as a star: its members are compared with
 one centre, the member that shares most buckets, on their full sets. Links become components.
 
-Members of one star that ended in different components may still be links of each other. What sets them apart from
-their centre tells: members that are alike lack and add the same shingles. So the least hashes of each member's
-symmetric difference with its centre are the buckets of the next round, of which only those stay whose members are
-in different components. Stars again, with centres of their own, until no such bucket is left. The candidates of a
-round are as many as the rows of its buckets, never their pairs; no pair is compared twice with the same centre.
+Members of one star that ended in different components may still be links of each other: they then share shingles
+that their centre lacks. So the least hashes of what each member adds to its centre are the buckets of the next
+round, of which only those stay whose members are in different components. Stars again, with centres of their own,
+until no such bucket is left; each round's buckets ask for one more equal hash, so what only shares a passage soon
+falls apart. The candidates of a round are as many as the rows of its buckets, never their pairs; no pair is compared
+twice with the same centre. Members of one star that are alike without sharing anything beside
+their centre meet in the buckets of other bands, whose stars have other members.
 
 Null texts and texts without words have an empty set: linked with nothing, kept. Texts of fewer than five words
 have one shingle, the whole sequence. Repeated rows of one doc_id stay together if their texts have one set; if
@@ -34,7 +36,7 @@ WORDS, SIMILARITY = 5, 85
 #: 32 bands of 6 bins find a pair of similarity 0.85 but for 3 in ten million.
 BANDS, ROWS = 32, 6
 BINS = BANDS * ROWS
-#: Least hashes kept of a member's difference with its centre.
+#: Least hashes kept of what a member adds to its centre.
 DIFFERENCES = 16
 #: So many members of a star, about, meet one copy of their centre's set.
 SMALL = 64
@@ -42,7 +44,7 @@ _random = np.random.default_rng(20_240_601)
 _ORDER = np.array([_random.permutation(BINS) for _ in range(BINS)])
 _ODD = _random.integers(1, 2**63, (3, max(WORDS + 1, ROWS)), np.uint64) | np.uint64(1)
 _BAND = _random.integers(1, 2**63, BANDS, np.uint64)
-_APART = _random.integers(1, 2**63, DIFFERENCES, np.uint64)
+_APART = _random.integers(1, 2**63, DIFFERENCES, np.uint64) | np.uint64(1)
 _HASH = Memo(xxhash.xxh64_intdigest, 150_000, __name__)
 
 
@@ -119,9 +121,9 @@ def shingle_sets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     return arrow(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("binary")), run, "doc_id long, f1 long, f2 long, shingles array<long>")
 
 
-def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def compared(pairs: DataFrame, sets: DataFrame, rows: int = 1) -> DataFrame:
     """The pairs (u: a centre, v) with their sizes nu and nv, how many shingles they share, k, and the least hashes of
-    what they don't, ``apart``. A centre of many members comes in copies, each for some of them."""
+    those that v has alone, ``rows`` in a row as one, ``apart``. A centre of many members comes in copies, each for some of them."""
     copies = pairs.groupBy("u").agg(F.ceil(F.count("*") / SMALL).cast("int").alias("copies"))
     part = F.pmod(F.xxhash64("v"), F.col("copies")).cast("int").alias("part")
     members = pairs.join(copies, "u").select("u", "v", part).join(sets.select(F.col("doc_id").alias("v"), F.col("shingles").alias("sv")), "v")
@@ -135,11 +137,12 @@ def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             sides.append([values[a:b] for a, b in zip(at[:-1], at[1:], strict=True)])
         size, shared, apart = ([], []), [], []
         for a, b in zip(*sides, strict=True):
-            differ = np.setxor1d(a, b, assume_unique=True)
+            differ = np.setdiff1d(b, a, assume_unique=True)
             size[0].append(len(a))
             size[1].append(len(b))
-            shared.append((len(a) + len(b) - len(differ)) // 2)
-            apart.append(np.array([_mix(differ ^ x).min() for x in _APART], np.uint64) if differ.size else differ)
+            shared.append(len(b) - len(differ))
+            least = np.array([_mix(differ ^ x).min() for x in _APART], np.uint64) if differ.size else differ
+            apart.append(_mix(sum(np.roll(least, -i) * _APART[i] for i in range(rows))))
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x, pa.int64()) for x in (*size, shared)), _lists(apart)], ["u", "v", "nu", "nv", "k", "apart"])
 
     return arrow(members.join(centres, ["u", "part"]).select("u", "v", "su", "sv"), run, "u long, v long, nu long, nv long, k long, apart array<long>", rows=256)
@@ -169,13 +172,15 @@ def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", s
         found = rows.join(labels.select(F.col("id").alias(key), F.col("label").alias(name)), key, "left")
         return found.withColumn(name, F.coalesce(name, key))
 
+    rounds = 0
     while not members.isEmpty():
+        rounds += 1
         scored = members.select("bucket", "doc_id").join(scores, "doc_id")
         centre = F.max(F.struct("score", (-F.col("doc_id")).alias("minus"))).alias("c")
         centres = scored.groupBy("bucket").agg(centre).select("bucket", (-F.col("c.minus")).alias("u"))
         pairs = members.select("bucket", F.col("doc_id").alias("v")).join(centres, "bucket").where("u != v").select("u", "v").distinct()
         pairs = stored(pairs if seen is None else pairs.join(seen, ["u", "v"], "left_anti"), "pairs")
-        stars = stored(compared(pairs, sets), "stars")
+        stars = stored(compared(pairs, sets, min(rounds, DIFFERENCES)), "stars")
         seen = pairs if seen is None else seen.union(pairs)
 
         links = stars.where(100 * F.col("k") >= similarity * (F.col("nu") + F.col("nv") - F.col("k"))).select("u", "v")
@@ -188,7 +193,7 @@ def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", s
                 renamed = labels.join(joined.select(F.col("id").alias("label"), F.col("label").alias("new")), "label", "left")
                 labels = stored(renamed.select("id", F.coalesce("new", "label").alias("label")).union(joined).distinct(), "labels")
 
-        # members of a star in different components meet again where they differ from its centre alike
+        # members of a star in different components meet again where they add the same to its centre
         marked = labelled(stars.select("u", "v", "apart"), "v", "label")
         open_ = marked.groupBy("u").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("u")
         apart = marked.join(open_, "u", "left_semi").select("v", "label", F.posexplode("apart").alias("j", "hash"), "u")
