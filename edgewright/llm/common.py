@@ -9,6 +9,7 @@ import uuid
 import weakref
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,14 +41,38 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def lean(spark: SparkSession) -> None:
+    """Few rows in each Arrow batch, as texts may be long; a number that the session's owner chose stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name, "10000") == "10000":
+        spark.conf.set(name, "2000")
+
+
+def parts(batch: pa.RecordBatch, rows: int, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """``batch`` in slices of at most ``rows`` rows and about ``most`` bytes of text; a longer text has its own."""
+    weight = np.zeros(batch.num_rows, np.int64)
+    for column in batch.columns:
+        if pa.types.is_binary(column.type) or pa.types.is_string(column.type):
+            weight += np.diff(np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, 4 * column.offset))
+    begin = held = 0
+    for i, n in enumerate(weight.tolist()):
+        if i > begin and (i - begin == rows or held + n > most):
+            yield batch.slice(begin, i - begin)
+            begin, held = i, 0
+        held += n
+    if begin < batch.num_rows:
+        yield batch.slice(begin)
+
+
 def arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, rows: int = 512) -> DataFrame:
-    """``fn`` on each ``rows`` rows of ``df`` as an Arrow batch; few at a time, as texts may be long."""
+    """``fn`` on each ``rows`` rows of ``df`` as an Arrow batch; fewer where texts are long."""
+    lean(df.sparkSession)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begun(fn.__module__)
         for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                yield fn(batch.slice(at, rows))
+            for part in parts(batch, rows):
+                yield fn(part)
         released()
 
     return df.mapInArrow(each, schema)

@@ -2,12 +2,15 @@
 
 A window is ``WINDOW`` consecutive words. Its minimiser is the least hash among its runs of ``SEED`` words.
 Consecutive windows with the same minimiser travel as one packed string (their words joined by spaces) to the
-minimiser's bucket, so a passage costs little more than its own text instead of one copy per window. Equal strings
-of one batch travel once, with the list of their places, and the strings of a batch for one bucket travel as one
-compressed block; the number of buckets follows the size of the corpus. In its bucket, Spark sorts the strings by
-minimiser and by smallest doc_id (spilling as it needs), so the first string that holds a window belongs to the smallest document that has it: a window that comes
-again from another document is a repeat, exactly, by its words. Only places come back to the documents, which drop
-the covered words.
+minimiser's bucket, so a passage costs little more than its own text instead of one copy per window. Of equal strings
+of one batch only the smallest document's travels, as the others repeat it for certain; the strings of a batch for
+one bucket travel as one compressed block, and the number of buckets follows the size of the corpus. In its bucket,
+Spark sorts the strings by minimiser and by doc_id (spilling as it needs), so the first string that holds a window
+belongs to the smallest document that has it: a window that comes again from another document is a repeat, exactly,
+by its words. Only places come back to the documents, which drop the covered words.
+
+A minimiser that very many strings share would be one task's work. So minimisers are counted first, over all texts,
+and the windows of such a one are parted by the hash of all their words instead of it.
 
 Null and empty texts have no words and remove nothing. Texts shorter than a window are kept whole. Repeats inside
 one document stay, and so do rows that repeat a doc_id. An empty table gives an empty table.
@@ -23,132 +26,184 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edgewright.llm.common import Memo, arrow, begun, released, stored, table, unused
+from edgewright.llm.common import Memo, arrow, begun, lean, most_frequent, parts, released, stored, table, unused
 
 WINDOW, SEED = 13, 3
 #: Bytes of text whose strings share a bucket, on average.
 BUCKET_BYTES = 6_000_000
-_RUNS = pa.schema([("minimiser", pa.uint64()), ("packed", pa.binary()), ("docs", pa.list_(pa.int64())), ("starts", pa.list_(pa.int32()))])
+#: Strings of one minimiser beyond which its windows part by all their words; at most so many minimisers do.
+HEAVY, MOST_HEAVY = 20_000, 100_000
+#: Runs of a batch that a minimiser needs there to be counted.
+OFTEN = 8
 #: What travels: of the minimiser, 32 bits beside the bucket's number; more that share them only sort together.
-_SENT = pa.schema([("key", pa.uint32()), *list(_RUNS)[1:]])
+#: Strings have the places of one document; a row without a string has places that are repeats for certain.
+_SENT = pa.schema([("key", pa.uint32()), ("packed", pa.binary()), ("doc", pa.int64()), ("starts", pa.list_(pa.int32()))])
+_KNOWN = "docs array<long>, begins array<int>, ends array<int>"
 _HASH = Memo(xxhash.xxh64_intdigest, 100_000, __name__)
-_SPREAD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
-
-
-def minimisers(words: list[bytes]) -> np.ndarray:
-    """The minimiser of each window of the words."""
-    n = len(words)
-    hashed = np.fromiter(map(_HASH.__getitem__, words), np.uint64, n)
-    m = n - SEED + 1
-    seeds = np.zeros(m, np.uint64)
-    for j in range(SEED):
-        seeds += hashed[j : j + m] * _SPREAD[j]
-    seeds = (seeds ^ (seeds >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    seeds ^= seeds >> np.uint64(29)
+_SPREAD = np.random.default_rng(20_240_603).integers(1, 2**63, WINDOW, np.uint64) | np.uint64(1)
+
+
+def _runs(hashed: np.ndarray, width: int) -> np.ndarray:
+    """The hash of each run of ``width`` words."""
+    m = len(hashed) - width + 1
+    total = np.zeros(m, np.uint64)
+    for j in range(width):
+        total += hashed[j : j + m] * _SPREAD[j]
+    total = (total ^ (total >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return total ^ (total >> np.uint64(29))
+
+
+def minimisers(words: list[bytes], heavy: np.ndarray | None = None) -> np.ndarray:
+    """The minimiser of each window of the words; the window's own hash where the minimiser is a ``heavy`` one."""
+    hashed = np.fromiter(map(_HASH.__getitem__, words), np.uint64, len(words))
+    low, span = _runs(hashed, SEED), 1  # least of ``span`` seeds in a row
     width = WINDOW - SEED + 1
-    low, span = seeds, 1  # least of ``span`` seeds in a row
     while 2 * span <= width:
         low, span = np.minimum(low[:-span], low[span:]), 2 * span
-    return np.minimum(low[: len(low) - (width - span)], low[width - span :])
+    low = np.minimum(low[: len(low) - (width - span)], low[width - span :])
+    if heavy is not None and heavy.size:
+        shared = heavy[np.minimum(np.searchsorted(heavy, low), heavy.size - 1)] == low
+        if shared.any():
+            low = np.where(shared, _runs(hashed, WINDOW), low)
+    return low
 
 
-def runs_of(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """(minimiser, packed, docs, starts): each run of windows of a batch, with the places that share its words."""
-    places: dict[tuple[int, bytes], list[int]] = {}
+def _split(batch: pa.RecordBatch) -> Iterator[tuple[int, list[bytes]]]:
     for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
         words = text.split() if text else ()
-        if doc is None or len(words) < WINDOW:
-            continue
-        least = minimisers(words)
+        if doc is not None and len(words) >= WINDOW:
+            yield doc, words
+
+
+def heavy_minimisers(rows: DataFrame) -> np.ndarray:
+    """The minimisers of more than ``HEAVY`` strings, at most ``MOST_HEAVY``: how the work is dealt, not its result.
+
+    A batch tells of those that it has ``OFTEN`` or more times, so little is shuffled.
+    """
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [least[np.flatnonzero(np.diff(least, prepend=~least[:1]))] for _, words in _split(batch) for least in [minimisers(words)]]
+        _HASH.trim()
+        keys, n = np.unique(np.concatenate([np.empty(0, np.uint64), *found]), return_counts=True)
+        often = n >= OFTEN
+        return pa.RecordBatch.from_arrays([pa.array(keys[often].view(np.int64)), pa.array(n[often])], ["minimiser", "n"])
+
+    counted = arrow(rows, run, "minimiser long, n long", rows=1024).groupBy("minimiser").agg(F.sum("n").alias("n")).where(F.col("n") >= HEAVY)
+    return np.sort(np.array([r.minimiser for r in most_frequent(stored(counted, "heavy"), "n", MOST_HEAVY).collect()], np.int64).view(np.uint64))
+
+
+def runs_of(batch: pa.RecordBatch, heavy: np.ndarray | None = None) -> tuple[np.ndarray, pa.RecordBatch, tuple[list, list, list]]:
+    """The minimiser of each distinct run of windows of a batch, the run with its smallest document's places, and the
+    places of the others: (docs, first words, words after the last)."""
+    places: dict[tuple[int, bytes], list] = {}
+    known: tuple[list, list, list] = ([], [], [])
+    for doc, words in _split(batch):
+        least = minimisers(words, heavy)
         cuts = np.flatnonzero(least[1:] != least[:-1]) + 1
         joined = b" ".join(words)
         at = np.zeros(len(words) + 1, np.int64)
         np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1, out=at[1:])
         first = np.concatenate([[0], cuts])
         last = np.concatenate([cuts, [len(least)]]) + (WINDOW - 1)
-        for key, i, a, b in zip(least[first].tolist(), first.tolist(), at[first].tolist(), (at[last] - 1).tolist(), strict=True):
-            places.setdefault((key, joined[a:b]), []).extend((doc, i))
+        for key, i, j, a, b in zip(least[first].tolist(), first.tolist(), last.tolist(), at[first].tolist(), (at[last] - 1).tolist(), strict=True):
+            run = joined[a:b]
+            there = places.get((key, run))
+            if there is None:
+                places[key, run] = [doc, i]
+            elif there[0] == doc:
+                there.append(i)
+            else:
+                own = [doc, i]
+                if doc < there[0]:
+                    places[key, run], own = own, there
+                for begin in own[1:]:
+                    known[0].append(own[0])
+                    known[1].append(begin)
+                    known[2].append(begin + j - i)
     _HASH.trim()
     keys = np.fromiter((k for k, _ in places), np.uint64, len(places))
-    ends = np.cumsum([0, *map(len, places.values())]).astype(np.int32) // 2
-    both = np.fromiter((x for p in places.values() for x in p), np.int64, 2 * int(ends[-1])).reshape(-1, 2)
-    offsets = pa.array(ends)
-    columns = [pa.array(keys), pa.array([s for _, s in places], pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(both[:, 0])), pa.ListArray.from_arrays(offsets, pa.array(both[:, 1].astype(np.int32)))]
-    return pa.RecordBatch.from_arrays(columns, schema=_RUNS)
+    ends = np.cumsum([0, *(len(p) - 1 for p in places.values())]).astype(np.int32)
+    starts = np.fromiter((x for p in places.values() for x in p[1:]), np.int32, int(ends[-1]))
+    docs = np.fromiter((p[0] for p in places.values()), np.int64, len(places))
+    columns = [pa.array(keys.astype(np.uint32)), pa.array([s for _, s in places], pa.binary()), pa.array(docs), pa.ListArray.from_arrays(pa.array(ends), pa.array(starts))]
+    return keys, pa.RecordBatch.from_arrays(columns, schema=_SENT), known
 
 
 def super_kmers(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """The runs of all texts (minimiser, packed, doc, docs, starts), each bucket's together in one partition, sorted."""
+    """The runs of all texts (minimiser, packed, doc, starts), each bucket's together in one partition, sorted, and rows
+    without minimiser for the places that repeat another document of their batch (docs, begins, ends)."""
+    lean(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("binary").alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(64, total // bucket_bytes)
+    heavy = heavy_minimisers(rows)
 
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begun(__name__)
         options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=4))
-        for whole in batches:
-            for i in range(0, whole.num_rows, 1024):
-                runs = runs_of(whole.slice(i, 1024))
-                keys = runs.column(0).to_numpy()
-                own = keys % np.uint64(buckets)
-                order = np.argsort(own, kind="stable")
-                numbers, starts = np.unique(own[order], return_index=True)
-                sent_keys = pa.array((keys // np.uint64(buckets)).astype(np.uint32))
-                rows_ = pa.RecordBatch.from_arrays([sent_keys, *runs.columns[1:]], schema=_SENT)
-                blocks = []
-                for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(order)], strict=False):  # none, where no text is long enough
-                    sink = pa.BufferOutputStream()
-                    with pa.ipc.new_stream(sink, _SENT, options=options) as writer:
-                        writer.write_batch(rows_.take(pa.array(order[a:b])))
-                    blocks.append(sink.getvalue().to_pybytes())
-                yield pa.RecordBatch.from_arrays([pa.array(numbers.astype(np.int64)), pa.array(blocks, pa.binary())], ["bucket", "block"])
-                del runs, rows_, blocks
-                pa.default_memory_pool().release_unused()
+        for batch in (part for whole in batches for part in parts(whole, 1024)):
+            keys, runs, known = runs_of(batch, heavy)
+            own = keys % np.uint64(buckets)
+            order = np.argsort(own, kind="stable")
+            numbers, starts = np.unique(own[order], return_index=True)
+            runs = runs.set_column(0, "key", pa.array((keys // np.uint64(buckets)).astype(np.uint32)))
+            blocks = []
+            for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(order)], strict=False):  # none, where no text is long enough
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, _SENT, options=options) as writer:
+                    writer.write_batch(runs.take(pa.array(order[a:b])))
+                blocks.append(sink.getvalue().to_pybytes())
+            numbers, lists = numbers.astype(np.int64), [[None] * len(blocks) for _ in known]
+            if known[0]:
+                numbers = np.append(numbers, known[0][0] % buckets)
+                blocks.append(None)
+                for column, values in zip(lists, known, strict=True):
+                    column.append(values)
+            kinds = (pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array(numbers), pa.array(blocks, pa.binary()), *map(pa.array, lists, kinds)], ["bucket", "block", "docs", "begins", "ends"])
+            del runs, blocks, known, lists
+            pa.default_memory_pool().release_unused()
         released()
 
     def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begun(__name__)
-        for batch in batches:
-            for bucket, block in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                for runs in pa.ipc.open_stream(block.as_buffer()):
-                    key, packed, docs_, starts = runs.columns
-                    smallest = np.minimum.reduceat(docs_.values.to_numpy(), docs_.offsets.to_numpy()[:-1])
-                    minimiser = pa.array(key.to_numpy().astype(np.int64) * buckets + bucket)
-                    yield pa.RecordBatch.from_arrays([minimiser, packed, pa.array(smallest), docs_, starts], ["minimiser", "packed", "doc", "docs", "starts"])
+        names = ["minimiser", "packed", "doc", "starts", "docs", "begins", "ends"]
+        for i, batch in ((i, batch) for batch in batches for i in range(batch.num_rows)):
+            if not batch.column(1)[i].is_valid:
+                empty = [pa.nulls(1, kind) for kind in (pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays([*empty, *batch.slice(i, 1).columns[2:]], names)
+                continue
+            for runs in pa.ipc.open_stream(batch.column(1)[i].as_buffer()):
+                key, *others = runs.columns
+                minimiser = pa.array(key.to_numpy().astype(np.int64) * buckets + batch.column(0)[i].as_py())
+                yield pa.RecordBatch.from_arrays([minimiser, *others, *(pa.nulls(runs.num_rows, c.type) for c in batch.columns[2:])], names)
         released()
 
-    blocks = rows.mapInArrow(sent, "bucket long, block binary").repartition("bucket").select("bucket", "block")
-    runs = blocks.mapInArrow(opened, "minimiser long, packed binary, doc long, docs array<long>, starts array<int>")
+    blocks = rows.mapInArrow(sent, f"bucket long, block binary, {_KNOWN}").repartition("bucket").select("bucket", "block", "docs", "begins", "ends")
+    runs = blocks.mapInArrow(opened, f"minimiser long, packed binary, doc long, starts array<int>, {_KNOWN}")
     return runs.sortWithinPartitions("minimiser", "doc")
 
 
 class Bucket:
-    """The windows of one minimiser, seen in order of their strings' smallest documents."""
+    """The windows of one minimiser, seen in order of their strings' documents."""
 
     def __init__(self):
         self.owner: dict[bytes, int] = {}
 
-    def repeats(self, packed: bytes, docs: list[int], starts: list[int]) -> Iterator[tuple[int, int, int]]:
+    def repeats(self, packed: bytes, doc: int, starts: list[int]) -> Iterator[tuple[int, int, int]]:
         """(doc, first word, word after the last) of what these places repeat of smaller documents."""
-        smallest, get = min(docs), self.owner.setdefault
+        get = self.owner.setdefault
         at = [-1]
         while (i := packed.find(b" ", at[-1] + 1)) >= 0:
             at.append(i)
         at.append(len(packed))
-        owners = [get(packed[at[i] + 1 : at[i + WINDOW]], smallest) for i in range(len(at) - WINDOW)]
-        same = len(set(owners)) == 1
-        for doc, start in zip(docs, starts, strict=True):
-            if same:
-                if owners[0] < doc:
-                    yield doc, start, start + len(owners) + WINDOW - 1
-                continue
-            first = None
-            for i, owner in enumerate([*owners, doc]):
-                if owner < doc:
-                    first = i if first is None else first
-                elif first is not None:
-                    yield doc, start + first, start + i + WINDOW - 1
-                    first = None
+        first = None
+        for i in range(len(at) - WINDOW + 1):
+            if i < len(at) - WINDOW and get(packed[at[i] + 1 : at[i + WINDOW]], doc) < doc:
+                first = i if first is None else first
+            elif first is not None:
+                yield from ((doc, start + first, start + i + WINDOW - 1) for start in starts)
+                first = None
 
 
 def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -158,29 +213,32 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         begun(__name__)
         bucket, key = Bucket(), None
         held: tuple | None = None  # the first row of a minimiser waits until a second one comes
+        names = ["doc_id", "a", "b"]
         for batch in batches:
+            strings = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
+            if not strings.all():
+                yield pa.RecordBatch.from_arrays([c.drop_null().flatten() for c in batch.columns[4:]], names)
+                batch = batch.filter(pa.array(strings))
             out: list[tuple[int, int, int]] = []
             keys = batch.column(0).to_numpy()
-            docs_, starts_, packed_ = batch.column(3), batch.column(4), batch.column(1)
-            sizes = np.diff(docs_.offsets.to_numpy())
+            packed_, docs_, starts_ = batch.columns[1:4]
             fresh = np.ones(len(keys), bool)
             fresh[1:] = keys[1:] != keys[:-1]
-            alone = fresh & np.append(fresh[1:], False) & (sizes == 1)
+            alone = fresh & np.append(fresh[1:], False)
             if len(keys) and keys[0] == key:
                 alone[0] = False
             for i in np.flatnonzero(~alone).tolist():
                 row = (packed_[i].as_py(), docs_[i].as_py(), starts_[i].as_py())
                 if keys[i] != key:
                     bucket, key, held = Bucket(), keys[i], row
-                    if len(row[1]) == 1:
-                        continue
-                if held is not None and held is not row:
+                    continue
+                if held is not None:
                     out += bucket.repeats(*held)
-                held = None
+                    held = None
                 out += bucket.repeats(*row)
             if out:
                 doc, a, b = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(a, pa.int32()), pa.array(b, pa.int32())], ["doc_id", "a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(a, pa.int32()), pa.array(b, pa.int32())], names)
         del bucket, held
         released()
 

@@ -369,3 +369,22 @@ def test_common_lines_is_a_longest_common_subsequence():
         assert len(got) == best[-1][-1] and got == sorted(set(got))
         rest = iter(b)
         assert all(any(a[i] == y for y in rest) for i in got)
+
+
+def test_repeated_passages_of_heavy_minimisers(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "HEAVY", 1)
+    monkeypatch.setattr(substrings, "OFTEN", 1)
+    rng = random.Random(12)
+    passages = [prose(rng, n) for n in (14, 30)]
+    texts = [" ".join([prose(rng, rng.randrange(30)), rng.choice(passages), prose(rng, 3)]) for _ in range(40)] + [passages[1], None]
+    df = documents(spark, texts)
+    assert substrings.heavy_minimisers(df.select("doc_id", F.col("text").cast("binary"))).size > 20
+    found = substrings.cleaned(df.select("doc_id", "text")).select("doc_id", "n_words", "n_removed", F.sha2("clean_text", 256).alias("kept_sha256"))
+    same(found, sql_rows(df, substrings.SQL))
+
+
+def test_near_groups_of_differing_rows_of_one_id(spark):
+    a, b = prose(random.Random(1), 40), prose(random.Random(2), 40)
+    rows = [(5, a), (5, b), (3, b), (7, a + " tail"), (9, b), (None, a)]
+    got = Counter((r.doc_id, r.component_id) for r in neardup.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == Counter({(5, 5): 1, (5, 3): 1, (3, 3): 1, (7, 5): 1, (9, 3): 1, (None, 5): 1})
