@@ -4,8 +4,8 @@ Spark counts the space-delimited pieces of the whole corpus; the most frequent o
 encoded once and compiled into an automaton that shares prefixes and suffixes, whose arcs carry numbers that
 add up to a piece's place in a table of id sequences. Spark hands the file to every executor, which maps it
 into memory. A piece that the automaton lacks is merged pair by pair, exactly. Pieces are cut before single
-spaces, where no token of the byte-level pattern can cross; texts with runs of white space are cut by the
-tokenizer's own pattern.
+spaces, at line ends and before marks behind a letter or digit, where no token of the byte-level pattern can cross;
+a run of white space is one token but for its last character, which leads the next word if it is a space.
 
 Nulls count as empty texts: no ids, an empty decoded text. Any length of text works; equal rows give equal
 results; an empty table gives an empty table.
@@ -36,8 +36,11 @@ LEXICON = 32_768
 SPECIAL = b"<|endoftext|>"
 #: White space beyond ASCII starts with one of these in UTF-8; runs of white space, ASCII and any.
 WIDE = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80")
-RUN = re.compile(rb"[\t-\r ][\t-\r ]")
-WIDE_RUN = re.compile(rb"(?:[\t-\r ]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80){2}")
+RUN = re.compile(rb"[\t-\r ]{2,}")
+WIDE_RUN = re.compile(rb"(?:[\t-\r ]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80){2,}")
+#: Marks behind a letter or digit are a token of their own.
+MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+_SOLID = frozenset(b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
 _BYTES = [bytes([b]) for b in range(256)]
 #: Latin letters with ASCII punctuation behind: two pre-tokens at most, which need no general pattern.
 PLAIN = re.compile("( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-&(-/:-@\\[-`{-~]*)")
@@ -237,25 +240,59 @@ class Encoder:
 
     def __init__(self, vocabulary: str, lexicon: str):
         self.merger, self.lexicon = merger(vocabulary), Lexicon(lexicon)
-        self.spaced = Memo(lambda piece: self.piece(b" " + piece), 400_000, __name__)
-        self.end = struct.pack("<I", self.merger.special)
-
-    def piece(self, piece: bytes) -> bytes:
-        found = self.lexicon.get(piece)
-        return found if found is not None else array("I", self.merger.encode_piece(piece)).tobytes()
+        self.spaced = Memo(lambda piece: self.piece(b" ", piece), 200_000, __name__)  # pieces behind a space
+        self.bare = Memo(lambda piece: self.piece(b"", piece), 50_000, __name__)
+        self.apart = Memo(self.exact, 20_000, __name__)  # tokens of their own: marks and white space
+        self.line, self.end = self.exact(b"\n"), struct.pack("<I", self.merger.special)
+
+    def exact(self, token: bytes) -> bytes:
+        return array("I", self.merger.merge(token)).tobytes()
+
+    def piece(self, space: bytes, piece: bytes) -> bytes:
+        if b"\n" in piece:  # a line end alone: a token, and what follows has no space before
+            first, *lines = piece.split(b"\n")
+            head = (self.spaced if space else self.bare)[first] if space + first else b""
+            return head + b"".join(self.line + (self.bare[x] if x else b"") for x in lines)
+        core = piece.rstrip(MARKS)
+        if core and len(core) < len(piece) and core[-1] in _SOLID:
+            return (self.spaced if space else self.bare)[core] + self.apart[piece[len(core) :]]
+        found = self.lexicon.get(space + piece)
+        return found if found is not None else array("I", self.merger.encode_piece(space + piece)).tobytes()
+
+    def words(self, data: bytes, spaced: bool = False) -> bytes:
+        """The ids of a text without runs of white space; ``spaced``: with a space before it."""
+        first, *others = data.split(b" ")
+        head = self.spaced[first] if spaced else self.bare[first] if first else b""
+        return head + b"".join(map(self.spaced.__getitem__, others))
 
     def segment(self, data: bytes) -> bytes:
         """The ids of a text without special tokens as 32-bit numbers."""
-        if not data:
-            return b""
-        if RUN.search(data) or (any(w in data for w in WIDE) and WIDE_RUN.search(data)):
-            return array("I", self.merger.encode(data.decode())).tobytes()
-        first, *others = data.split(b" ")
-        return (self.piece(first) if first else b"") + b"".join(map(self.spaced.__getitem__, others))
+        run = WIDE_RUN if any(w in data for w in WIDE) else RUN
+        out, at, spaced = [], 0, False
+        for found in run.finditer(data):
+            blank, begin = found[0], found.start()
+            if begin > at:
+                out.append(self.words(data[at:begin], spaced))
+            at = found.end()
+            if at == len(data):
+                out.append(self.apart[blank])
+                return b"".join(out)
+            last = blank.decode()[-1].encode()
+            out.append(self.apart[blank[: -len(last)]])
+            spaced = last == b" "
+            if not spaced:
+                out.append(self.apart[last])
+        if at < len(data):
+            out.append(self.words(data[at:], spaced))
+        return b"".join(out)
 
     def encode(self, data: bytes) -> bytes:
         return self.segment(data) if SPECIAL not in data else self.end.join(map(self.segment, data.split(SPECIAL)))
 
+    def trim(self) -> None:
+        for memo in (self.spaced, self.bare, self.apart):
+            memo.trim()
+
 
 @loaded_once(4)
 def encoder(vocabulary: str, lexicon: str) -> Encoder:
@@ -263,8 +300,10 @@ def encoder(vocabulary: str, lexicon: str) -> Encoder:
 
 
 def frequent_pieces(docs: DataFrame, text_col: str, size: int) -> list[bytes]:
-    """The most frequent space-delimited pieces of all texts, each with the space before it; at most ``size``."""
-    pieces = docs.select(F.explode(F.split(F.col(text_col), " ")).alias("piece")).where(F.col("piece") != "")
+    """The most frequent space-delimited pieces of all texts without the marks behind them, each with the space before
+    it; at most ``size``."""
+    pieces = docs.select(F.explode(F.split(F.col(text_col), " ")).alias("piece"))
+    pieces = pieces.select(F.rtrim("piece", F.lit(MARKS.decode())).alias("piece")).where(F.col("piece") != "")
     top = most_frequent(stored(pieces.groupBy("piece").agg(F.count("*").alias("n")), "pieces"), "n", size)
     return [b" " + r.piece.encode() for r in top.collect()]
 
@@ -285,7 +324,7 @@ def build_lexicon(spark: SparkSession, docs: DataFrame, *, text_col: str = "text
 def _encoded(batch: pa.RecordBatch, vocabulary: str, lexicon: str) -> pa.ListArray:
     coder = encoder(vocabulary, lexicon)
     parts = [coder.encode(t) if t else b"" for t in batch.column(1).to_pylist()]
-    coder.spaced.trim()
+    coder.trim()
     offsets = np.zeros(len(parts) + 1, np.int32)
     np.cumsum([len(p) // 4 for p in parts], out=offsets[1:])
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(parts), np.int32)))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import functools
 import tempfile
@@ -38,7 +39,36 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/edgewright/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._stored = path
+    _tables.append(path)
+    return found
+
+
+#: Tables that ``stored`` has written and nothing has dropped yet.
+_tables: list[str] = []
+
+
+def dropped(*tables: DataFrame | str | None) -> None:
+    """Delete tables that ``stored`` has written and nothing needs any more; others stay."""
+    spark = SparkSession.getActiveSession()
+    for found in tables:
+        path = found if isinstance(found, str) else getattr(found, "_stored", None)
+        if path in _tables:
+            _tables.remove(path)
+            place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@contextlib.contextmanager
+def scratch(keep: Callable[[], DataFrame | None]) -> Iterator[None]:
+    """What is stored inside goes at the end, however it ends, but for what ``keep`` returns then."""
+    before = {*_tables}
+    try:
+        yield
+    finally:
+        kept = getattr(keep(), "_stored", None)
+        dropped(*(path for path in [*_tables] if path not in before and path != kept))
 
 
 def lean(spark: SparkSession) -> None:
@@ -105,7 +135,8 @@ _owner = ""
 
 
 class Memo(dict):
-    """A dict that fills itself by ``make`` and starts anew beyond ``most`` entries (``trim`` between batches).
+    """A dict that fills itself by ``make``; beyond ``most`` entries (``trim`` between batches) it starts anew from the
+    last ones, of which those that are asked for again stay.
 
     Keys longer than ``LONG`` are made each time and not kept, so its size is bounded. Python workers outlive a
     query's stages: what an operator (``owner``) has kept goes when another one begins.
@@ -113,19 +144,26 @@ class Memo(dict):
 
     def __init__(self, make: Callable, most: int = 150_000, owner: str = ""):
         super().__init__()
-        self.make, self.most, self.owner = make, most, owner
+        self.make, self.most, self.owner, self.last = make, most, owner, {}
         _memos.append(weakref.ref(self))
 
     def __missing__(self, key):
-        value = self.make(key)
+        value = self.last.get(key)
+        if value is None:
+            value = self.make(key)
         if len(key) <= LONG:
             self[key] = value
         return value
 
     def trim(self) -> None:
         if len(self) > self.most:
+            self.last = self.copy()
             self.clear()
 
+    def forget(self) -> None:
+        self.clear()
+        self.last = {}
+
 
 def begun(owner: str) -> None:
     """Called where an operator's work begins in a worker: empties what the others have kept."""
@@ -133,7 +171,7 @@ def begun(owner: str) -> None:
     if owner != _owner:
         _owner = owner
         for memo in [m for ref in _memos if (m := ref()) is not None and m.owner != owner]:
-            memo.clear()
+            memo.forget()
         for other, forget in _loaded:
             if other != owner:
                 forget()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from edgewright.llm.common import stored
+from edgewright.llm.common import dropped, stored
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -22,7 +22,8 @@ def components(edges: DataFrame) -> DataFrame:
         larger = both.where("b > a").join(least, "a").select(F.col("b").alias("u"), F.col("m").alias("v"))
         least = larger.groupBy("u").agg(F.min("v").alias("m"))
         smaller = larger.join(least, "u")
-        links = stored(smaller.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", "m")).distinct(), "links")
+        last, links = links, stored(smaller.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", "m")).distinct(), "links")
+        dropped(last)
         after = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if before == after:
             break

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edgewright.llm.common import Memo, arrow, stored, table
+from edgewright.llm.common import Memo, arrow, dropped, stored, table
 from edgewright.llm.components import components
 
 WORDS, SIMILARITY = 5, 85
@@ -191,7 +191,9 @@ def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", s
             if not ends.isEmpty():
                 joined = stored(components(ends), "joined")
                 renamed = labels.join(joined.select(F.col("id").alias("label"), F.col("label").alias("new")), "label", "left")
-                labels = stored(renamed.select("id", F.coalesce("new", "label").alias("label")).union(joined).distinct(), "labels")
+                last, labels = labels, stored(renamed.select("id", F.coalesce("new", "label").alias("label")).union(joined).distinct(), "labels")
+                dropped(last, joined)
+            dropped(ends)
 
         # members of a star in different components meet again where they add the same to its centre
         marked = labelled(stars.select("u", "v", "apart"), "v", "label")
@@ -199,8 +201,10 @@ def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", s
         apart = marked.join(open_, "u", "left_semi").select("v", "label", F.posexplode("apart").alias("j", "hash"), "u")
         apart = stored(apart.select(F.xxhash64("u", "j", "hash").alias("bucket"), F.col("v").alias("doc_id"), "label"), "apart")
         mixed = apart.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket")
-        members = stored(apart.select("bucket", "doc_id").join(mixed, "bucket", "left_semi"), "members")
+        last, members = members, stored(apart.select("bucket", "doc_id").join(mixed, "bucket", "left_semi"), "members")
+        dropped(last, stars, apart)
 
+    dropped(sets)
     named = classes.withColumnRenamed("rep", "doc_id")
     named = labelled(named, "doc_id", "label") if labels is not None else named.withColumn("label", F.col("doc_id"))
     return sketched.join(named.select("f1", "f2", "label"), ["f1", "f2"], "left").select("doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id"))

@@ -388,3 +388,15 @@ def test_near_groups_of_differing_rows_of_one_id(spark):
     rows = [(5, a), (5, b), (3, b), (7, a + " tail"), (9, b), (None, a)]
     got = Counter((r.doc_id, r.component_id) for r in neardup.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert got == Counter({(5, 5): 1, (5, 3): 1, (3, 3): 1, (7, 5): 1, (9, 3): 1, (None, 5): 1})
+
+
+def test_encoding_of_blank_lines_and_wide_spaces_equals_the_library(spark):
+    from tokenizers import Tokenizer
+
+    rng = random.Random(14)
+    atoms = [" ", "  ", "\n", "\n\n", "\t", " \n", "\n ", "　", "\xa0", "  ", "\r\n", "\x1c", "\x85", "don't", "it's", "word", "Word,", "x.y", "12", "3,4", "é", "»", "日本", "a'll ", "--", "<|endoftext|>", "🙂", "1st", "½", "!\n", "?\n\n"]
+    df = documents(spark, ["".join(rng.choice(atoms) for _ in range(rng.randrange(1, 30))) for _ in range(1500)])
+    tokenizer = Tokenizer.from_file(bpe.vocabulary_path())
+    for r in bpe.round_trip(df, bpe.build_lexicon(spark, df, size=20)).join(df.select("doc_id", "text"), "doc_id").collect():
+        ids = tokenizer.encode(r.text, add_special_tokens=False).ids
+        assert list(r.ids) == ids and r.decoded == tokenizer.decode(ids, skip_special_tokens=False)
