@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from edgewright.llm import langid, neardup, packing, quality, substrings
-from edgewright.llm.common import stored, table
+from edgewright.llm.common import dropped, scratch, stored, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,8 +23,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays."""
-    return neardup.keep(docs)
+    """Of each group of near copies, similar by 0.8 or more, the document with the smallest id stays."""
+    return neardup.keep(docs, similarity=80)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,8 +50,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``."""
+    """All stages over the documents of ``sf_dir``; of what they store on the way, only the result stays."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        last = docs
+        with scratch(lambda: docs):
+            docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        dropped(last)
     return docs
