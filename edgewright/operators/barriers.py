@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from edgewright.operators.signals import by_bar, with_atr
@@ -57,15 +58,19 @@ def paths(bars: DataFrame, side: str = "long", *, tp: float = 2.0, sl: float = 1
 
 def chained(found: DataFrame, by: list[str]) -> DataFrame:
     """Of each group's candidates in order of their bars, those that start after the exit of the one taken before."""
-    spans = found.select(*by, F.struct("bar_seq", "exit_seq").alias("x")).groupBy(*by).agg(F.sort_array(F.collect_list("x")).alias("xs"))
-    start = F.struct(F.lit(-1).cast("bigint").alias("free"), F.array().cast("array<bigint>").alias("kept"))
+    spans = found.select(*by, "bar_seq", "exit_seq")
 
-    def step(state: Column, x: Column) -> Column:
-        take = x["bar_seq"] > state["free"]
-        return F.struct(F.when(take, x["exit_seq"]).otherwise(state["free"]).alias("free"), F.when(take, F.concat(state["kept"], F.array(x["bar_seq"]))).otherwise(state["kept"]).alias("kept"))
+    def pick(group: pa.Table) -> pa.Table:
+        group = group.sort_by("bar_seq")
+        free, kept = -1, []
+        for i, (bar, leaves) in enumerate(zip(group.column("bar_seq").to_pylist(), group.column("exit_seq").to_pylist(), strict=True)):
+            if bar > free:
+                free = leaves
+                kept.append(i)
+        return group.take(pa.array(kept, pa.int64())).select([*by, "bar_seq"])
 
-    kept = spans.select(*by, F.explode(F.aggregate("xs", start, step)["kept"]).alias("bar_seq"))
-    return found.join(kept, [*by, "bar_seq"])
+    kinds = ", ".join(f"`{c}` {spans.schema[c].dataType.simpleString()}" for c in (*by, "bar_seq"))
+    return found.join(spans.groupBy(*by).applyInArrow(pick, kinds), [*by, "bar_seq"])
 
 
 def barrier_trades(bars: DataFrame, signal: str = "signal", side: str = "long", **options) -> DataFrame:

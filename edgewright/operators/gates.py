@@ -125,14 +125,14 @@ def gate_strong(trades: DataFrame, *, t: Thresholds = Thresholds()) -> DataFrame
 
 
 def gate_durable(folds: DataFrame, *, wfe: str = "return", t: Thresholds = Thresholds()) -> DataFrame:
-    """Does it last? The efficiency's band (both ends) and the folds' likeness are hard."""
+    """Does it last? The efficiency's band (both ends), or the ratio's low end, and the folds' likeness are hard."""
     rows = []
     if wfe == "return":
         e = walkforward.efficiency(folds, low=t.wfe_low, high=t.wfe_high, target=t.wfe_target, target_high=t.wfe_target_high).first()
         rows += [(2, "DURABLE", 0, "wfe", e.passed, e.mean_wfe, t.wfe_low, True, f"at most {t.wfe_high}"), (2, "DURABLE", 1, "wfe_target", e.on_target, e.mean_wfe, t.wfe_target, False, "")]
     elif wfe == "sqn":
         m = folds.where("is_score != 0").agg(F.avg(F.try_divide("oos_score", "is_score"))).first()[0]
-        rows += [(2, "DURABLE", 0, "sqn_ratio", m is not None and m > t.sqn_ratio_low, m, t.sqn_ratio_low, True, ""), (2, "DURABLE", 1, "sqn_ratio_high", m is not None and m <= t.sqn_ratio_high, m, t.sqn_ratio_high, True, "")]
+        rows += [(2, "DURABLE", 0, "sqn_ratio", m is not None and m > t.sqn_ratio_low, m, t.sqn_ratio_low, True, ""), (2, "DURABLE", 1, "sqn_ratio_high", m is not None and m <= t.sqn_ratio_high, m, t.sqn_ratio_high, False, "")]
     else:
         raise ValueError(f"wfe must be 'return' or 'sqn', not {wfe!r}")
     d = walkforward.fold_dispersion(folds, min_share=t.min_fold_share, max_cv=t.max_fold_cv).first()

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from edgewright.functions.scalars import Baseline, CusumDesign, cusum_design
-from edgewright.schema import SEQ
+from edgewright.schema import SEQ, clean
 
 ROLLING, SLIP, SLOW = 30, 0.5, 0.6
 
@@ -99,15 +99,17 @@ def edge_monitor(trades: DataFrame, base: Baseline, *, design: CusumDesign | Non
 def empirical_arl(trades: DataFrame, design: CusumDesign, *, shift: float = 0.0, n_sims: int = 1000, max_run: int | None = None, seed: int = 42) -> DataFrame:
     """(mean, median, inflation, censored): steps to alarm on resampled trades recentred to the shifted mean.
 
-    Runs are long and sequential, so each batch of runs is stepped in numpy together; Spark deals the runs out.
+    Runs are long and sequential, so runs are stepped in numpy together; Spark deals them out. Each has a generator of
+    its own by its number, and the book is in order, so the result doesn't depend on how they are dealt.
     The book is sent to the tasks, bounded as in resampling.
     """
     from edgewright.operators.resample import LARGEST_BOOK
 
-    n = trades.count()
+    rows = trades.select("trade_seq", clean("r").alias("r")).where("r is not null")
+    n = rows.count()
     if not 2 <= n <= LARGEST_BOOK:
         raise ValueError(f"the book must have 2 to {LARGEST_BOOK} trades, not {n}")
-    rs = trades.select("r").toPandas()["r"].to_numpy()
+    rs = rows.orderBy("trade_seq", "r").toPandas()["r"].to_numpy()
     mean = float(rs.mean())
     moved = rs - mean + shift * mean
     nominal = design.arl1 if shift < 1 else design.arl0
@@ -119,14 +121,16 @@ def empirical_arl(trades: DataFrame, design: CusumDesign, *, shift: float = 0.0,
         for frame in frames:
             for i in range(0, len(frame), 256):
                 ids = frame["id"].to_numpy()[i : i + 256]
-                rng = np.random.default_rng([seed, int(ids[0])])
+                rngs = [np.random.default_rng([seed, int(x)]) for x in ids]
                 level, length, alive = np.zeros(len(ids)), np.full(len(ids), cap), np.arange(len(ids))
                 for t in range(1, cap + 1):
-                    level = np.maximum(0, level + (design.k - moved[rng.integers(0, len(moved), len(alive))]) / design.sigma)
+                    if t % 512 == 1:  # the next steps of the runs that go on
+                        steps = np.stack([(design.k - moved[rngs[x].integers(0, len(moved), 512)]) / design.sigma for x in alive])
+                    level = np.maximum(0, level + steps[:, (t - 1) % 512])
                     done = level > design.h
                     if done.any():
                         length[alive[done]] = t
-                        alive, level = alive[~done], level[~done]
+                        alive, level, steps = alive[~done], level[~done], steps[~done]
                         if not alive.size:
                             break
                 yield pd.DataFrame({"length": length.astype("int64"), "censored": np.isin(np.arange(len(ids)), alive)})

@@ -38,11 +38,14 @@ def timing_null(bars: DataFrame, trades: DataFrame, *, n_samples: int = 2000, de
     mean = F.avg("x").over(Window.partitionBy("symbol")) if detrend else F.lit(0.0)
     # 1 + return may be zero or negative once detrended: its size, sign and zeros add up side by side
     factor = 1 + F.col("x") - mean
-    step = F.struct("bar_seq", F.when(F.col("f") == 0, 0.0).otherwise(F.log(F.abs("f"))).alias("y"), (F.col("f") < 0).cast("double").alias("neg"), (F.col("f") == 0).cast("double").alias("zero"))
-    steps = returns.withColumn("f", factor).groupBy("symbol").agg(F.sort_array(F.collect_list(step)).alias("s"))
+    run = by_bar().rowsBetween(Window.unboundedPreceding, 0)
+    steps = returns.withColumn("f", factor).select(
+        "symbol", "bar_seq", F.sum(F.when(F.col("f") == 0, 0.0).otherwise(F.log(F.abs("f")))).over(run).alias("y"), F.sum((F.col("f") < 0).cast("double")).over(run).alias("neg"), F.sum((F.col("f") == 0).cast("double")).over(run).alias("zero")
+    )
+    steps = steps.groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct("bar_seq", "y", "neg", "zero"))).alias("s"))
 
     def sums_of(name: str):
-        return F.aggregate("s", F.array(F.lit(0.0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x[name])))
+        return F.concat(F.array(F.lit(0.0)), F.transform("s", lambda x: x[name]))
 
     sums = steps.where(F.size("s") >= 3).select("symbol", F.size("s").alias("m"), sums_of("y").alias("p"), sums_of("neg").alias("g"), sums_of("zero").alias("z"))
     one = F.lit(1.0)

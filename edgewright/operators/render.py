@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame
 from edgewright.operators import gates, metrics, monitor, panels, resample, scores
 from edgewright.sources.files import small, write_page
 
-CSS = """:root{--ink:#1b1f24;--bg:#fff;--good:#1a7f37;--bad:#b42318;--soft:#8a6d00;--line:#5b7083}
-@media(prefers-color-scheme:dark){:root{--ink:#e6e9ec;--bg:#14181c;--good:#4ac26b;--bad:#ff7b72;--soft:#e3b341;--line:#9fb3c8}}
+CSS = """:root{--ink:#20242b;--bg:#fdfdfd;--good:#0b6e4f;--bad:#a4133c;--soft:#7a5c00;--line:#4f6d7a}
+@media(prefers-color-scheme:dark){:root{--ink:#eceff1;--bg:#15181d;--good:#52d1a4;--bad:#ff8fa3;--soft:#f2c14e;--line:#a3b8c2}}
 body{font:15px/1.5 system-ui,sans-serif;color:var(--ink);background:var(--bg);max-width:60rem;margin:2rem auto;padding:0 1rem}
 table{border-collapse:collapse}td,th{padding:.2rem .7rem;text-align:right;border-bottom:1px solid #8884}th:first-child,td:first-child{text-align:left}
 .pass{color:var(--good)}.fail{color:var(--bad)}.warn{color:var(--soft)}svg{width:100%;height:auto}"""
