@@ -138,13 +138,14 @@ class Memo(dict):
     """A dict that fills itself by ``make``; beyond ``most`` entries (``trim`` between batches) it starts anew from the
     last ones, of which those that are asked for again stay.
 
-    Keys longer than ``LONG`` are made each time and not kept, so its size is bounded. Python workers outlive a
-    query's stages: what an operator (``owner``) has kept goes when another one begins.
+    Keys longer than ``LONG`` are made each time and not kept, so its size is bounded. Python workers outlive tasks and
+    a query's stages: what is cheap to make (``brief``) goes when a task ends, and what an operator (``owner``) has
+    kept goes when another one begins.
     """
 
-    def __init__(self, make: Callable, most: int = 150_000, owner: str = ""):
+    def __init__(self, make: Callable, most: int = 150_000, owner: str = "", brief: bool = False):
         super().__init__()
-        self.make, self.most, self.owner, self.last = make, most, owner, {}
+        self.make, self.most, self.owner, self.brief, self.last = make, most, owner, brief, {}
         _memos.append(weakref.ref(self))
 
     def __missing__(self, key):
@@ -180,6 +181,8 @@ def begun(owner: str) -> None:
 
 def released() -> None:
     """Called where a task's work ends in a worker: what is free goes back to the system, as idle workers stay."""
+    for memo in [m for ref in _memos if (m := ref()) is not None and m.brief]:
+        memo.forget()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
     if trim:

@@ -45,7 +45,7 @@ _ORDER = np.array([_random.permutation(BINS) for _ in range(BINS)])
 _ODD = _random.integers(1, 2**63, (3, max(WORDS + 1, ROWS)), np.uint64) | np.uint64(1)
 _BAND = _random.integers(1, 2**63, BANDS, np.uint64)
 _APART = _random.integers(1, 2**63, DIFFERENCES, np.uint64) | np.uint64(1)
-_HASH = Memo(xxhash.xxh64_intdigest, 150_000, __name__)
+_HASH = Memo(xxhash.xxh64_intdigest, 50_000, __name__, brief=True)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:

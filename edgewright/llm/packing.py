@@ -60,8 +60,8 @@ class Coder:
         vocabulary = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.words = Memo(self.whole, 250_000, __name__)
-        self.letters = Memo(lambda letters: self.whole(letters.encode()), 250_000, __name__)
+        self.words = Memo(self.whole, 150_000, __name__)
+        self.letters = Memo(lambda letters: self.whole(letters.encode()), 150_000, __name__)
         self.marks = Memo(lambda marks: self.whole(marks.encode()), 10_000, __name__)
 
     def whole(self, data: bytes) -> bytes:

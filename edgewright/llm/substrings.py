@@ -39,7 +39,7 @@ OFTEN = 8
 #: Strings have the places of one document; a row without a string has places that are repeats for certain.
 _SENT = pa.schema([("key", pa.uint32()), ("packed", pa.binary()), ("doc", pa.int64()), ("starts", pa.list_(pa.int32()))])
 _KNOWN = "docs array<long>, begins array<int>, ends array<int>"
-_HASH = Memo(xxhash.xxh64_intdigest, 100_000, __name__)
+_HASH = Memo(xxhash.xxh64_intdigest, 50_000, __name__, brief=True)
 _SPREAD = np.random.default_rng(20_240_603).integers(1, 2**63, WINDOW, np.uint64) | np.uint64(1)
 
 
@@ -141,7 +141,7 @@ def super_kmers(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begun(__name__)
         options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=4))
-        for batch in (part for whole in batches for part in parts(whole, 1024)):
+        for batch in (part for whole in batches for part in parts(whole, 1024, 2_500_000)):
             keys, runs, known = runs_of(batch, heavy)
             own = keys % np.uint64(buckets)
             order = np.argsort(own, kind="stable")
