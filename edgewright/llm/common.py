@@ -22,6 +22,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    lean(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -72,10 +73,11 @@ def scratch(keep: Callable[[], DataFrame | None]) -> Iterator[None]:
 
 
 def lean(spark: SparkSession) -> None:
-    """Few rows in each Arrow batch, as texts may be long; a number that the session's owner chose stays."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(name, "10000") == "10000":
-        spark.conf.set(name, "2000")
+    """Few rows in each batch that Parquet readers and Python workers get, as texts may be long: thousands of them are
+    arrays of tens of MB. Numbers that the session's owner chose stay."""
+    for name, usual, fewer in (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "2000"), ("spark.sql.parquet.columnarReaderBatchSize", "4096", "512")):
+        if spark.conf.get(name, usual) == usual:
+            spark.conf.set(name, fewer)
 
 
 def parts(batch: pa.RecordBatch, rows: int, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:

@@ -36,9 +36,10 @@ HEAVY, MOST_HEAVY = 20_000, 100_000
 #: Runs of a batch that a minimiser needs there to be counted.
 OFTEN = 8
 #: What travels: of the minimiser, 32 bits beside the bucket's number; more that share them only sort together.
-#: Strings have the places of one document; a row without a string has places that are repeats for certain.
+#: Strings have the places of one document.
 _SENT = pa.schema([("key", pa.uint32()), ("packed", pa.binary()), ("doc", pa.int64()), ("starts", pa.list_(pa.int32()))])
-_KNOWN = "docs array<long>, begins array<int>, ends array<int>"
+#: A block that starts with this has places that are repeats for certain: documents, first words, words after the last.
+_KNOWN = b"known\n"
 _HASH = Memo(xxhash.xxh64_intdigest, 50_000, __name__, brief=True)
 _SPREAD = np.random.default_rng(20_240_603).integers(1, 2**63, WINDOW, np.uint64) | np.uint64(1)
 
@@ -131,7 +132,7 @@ def runs_of(batch: pa.RecordBatch, heavy: np.ndarray | None = None) -> tuple[np.
 
 def super_kmers(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """The runs of all texts (minimiser, packed, doc, starts), each bucket's together in one partition, sorted, and rows
-    without minimiser for the places that repeat another document of their batch (docs, begins, ends)."""
+    without minimiser, packed with the places that repeat another document of their batch."""
     lean(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("binary").alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -153,34 +154,30 @@ def super_kmers(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
                 with pa.ipc.new_stream(sink, _SENT, options=options) as writer:
                     writer.write_batch(runs.take(pa.array(order[a:b])))
                 blocks.append(sink.getvalue().to_pybytes())
-            numbers, lists = numbers.astype(np.int64), [[None] * len(blocks) for _ in known]
+            numbers = numbers.astype(np.int64)
             if known[0]:
                 numbers = np.append(numbers, known[0][0] % buckets)
-                blocks.append(None)
-                for column, values in zip(lists, known, strict=True):
-                    column.append(values)
-            kinds = (pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([pa.array(numbers), pa.array(blocks, pa.binary()), *map(pa.array, lists, kinds)], ["bucket", "block", "docs", "begins", "ends"])
-            del runs, blocks, known, lists
+                blocks.append(_KNOWN + np.array(known, np.int64).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(numbers), pa.array(blocks, pa.binary())], ["bucket", "block"])
+            del runs, blocks, known
             pa.default_memory_pool().release_unused()
         released()
 
     def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begun(__name__)
-        names = ["minimiser", "packed", "doc", "starts", "docs", "begins", "ends"]
-        for i, batch in ((i, batch) for batch in batches for i in range(batch.num_rows)):
-            if not batch.column(1)[i].is_valid:
-                empty = [pa.nulls(1, kind) for kind in (pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int32()))]
-                yield pa.RecordBatch.from_arrays([*empty, *batch.slice(i, 1).columns[2:]], names)
+        names = ["minimiser", "packed", "doc", "starts"]
+        for bucket, block in ((bucket, block.as_buffer()) for batch in batches for bucket, block in zip(batch.column(0).to_pylist(), batch.column(1), strict=True)):
+            if block[: len(_KNOWN)].to_pybytes() == _KNOWN:
+                packed = pa.array([block[len(_KNOWN) :].to_pybytes()], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), packed, pa.nulls(1, pa.int64()), pa.nulls(1, pa.list_(pa.int32()))], names)
                 continue
-            for runs in pa.ipc.open_stream(batch.column(1)[i].as_buffer()):
+            for runs in pa.ipc.open_stream(block):
                 key, *others = runs.columns
-                minimiser = pa.array(key.to_numpy().astype(np.int64) * buckets + batch.column(0)[i].as_py())
-                yield pa.RecordBatch.from_arrays([minimiser, *others, *(pa.nulls(runs.num_rows, c.type) for c in batch.columns[2:])], names)
+                yield pa.RecordBatch.from_arrays([pa.array(key.to_numpy().astype(np.int64) * buckets + bucket), *others], names)
         released()
 
-    blocks = rows.mapInArrow(sent, f"bucket long, block binary, {_KNOWN}").repartition("bucket").select("bucket", "block", "docs", "begins", "ends")
-    runs = blocks.mapInArrow(opened, f"minimiser long, packed binary, doc long, starts array<int>, {_KNOWN}")
+    blocks = rows.mapInArrow(sent, "bucket long, block binary").repartition("bucket").select("bucket", "block")
+    runs = blocks.mapInArrow(opened, "minimiser long, packed binary, doc long, starts array<int>")
     return runs.sortWithinPartitions("minimiser", "doc")
 
 
@@ -217,7 +214,9 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         for batch in batches:
             strings = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
             if not strings.all():
-                yield pa.RecordBatch.from_arrays([c.drop_null().flatten() for c in batch.columns[4:]], names)
+                for places in batch.column(1).filter(pa.array(~strings)):
+                    doc, a, b = np.frombuffer(places.as_buffer(), np.int64).reshape(3, -1)
+                    yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))], names)
                 batch = batch.filter(pa.array(strings))
             out: list[tuple[int, int, int]] = []
             keys = batch.column(0).to_numpy()
