@@ -7,9 +7,9 @@ documents. Bands of the sketch are buckets, and each bucket is searched as a sta
 one centre, the member that shares most buckets, on their full sets. Links become components.
 
 Members of one star that ended in different components may still be links of each other: they then share shingles
-that their centre lacks. So the least hashes of what each member adds to its centre are the buckets of the next
-round, of which only those stay whose members are in different components. Stars again, with centres of their own,
-until no such bucket is left; each round's buckets ask for one more equal hash, so what only shares a passage soon
+that their centre lacks. So of what each member adds to its centre, the least in some random orders are the buckets of
+the next round, of which only those stay whose members are in different components. Stars again, with centres of their own,
+until no such bucket is left; each round's buckets ask for one more such shingle, so what only shares a passage soon
 falls apart. The candidates of a round are as many as the rows of its buckets, never their pairs; no pair is compared
 twice with the same centre. Members of one star that are alike without sharing anything beside
 their centre meet in the buckets of other bands, whose stars have other members.
@@ -36,7 +36,7 @@ WORDS, SIMILARITY = 5, 85
 #: 32 bands of 6 bins find a pair of similarity 0.85 but for 3 in ten million.
 BANDS, ROWS = 32, 6
 BINS = BANDS * ROWS
-#: Least hashes kept of what a member adds to its centre.
+#: Random orders of what a member adds to its centre.
 DIFFERENCES = 16
 #: So many members of a star, about, meet one copy of their centre's set.
 SMALL = 64
@@ -122,8 +122,8 @@ def shingle_sets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
 
 def compared(pairs: DataFrame, sets: DataFrame, rows: int = 1) -> DataFrame:
-    """The pairs (u: a centre, v) with their sizes nu and nv, how many shingles they share, k, and the least hashes of
-    those that v has alone, ``rows`` in a row as one, ``apart``. A centre of many members comes in copies, each for some of them."""
+    """The pairs (u: a centre, v) with their sizes nu and nv, how many shingles they share, k, and of those that
+    v has alone the least in each of some random orders, ``rows`` in a row as one, each once, ``apart``. A centre of many members comes in copies, each for some of them."""
     copies = pairs.groupBy("u").agg(F.ceil(F.count("*") / SMALL).cast("int").alias("copies"))
     part = F.pmod(F.xxhash64("v"), F.col("copies")).cast("int").alias("part")
     members = pairs.join(copies, "u").select("u", "v", part).join(sets.select(F.col("doc_id").alias("v"), F.col("shingles").alias("sv")), "v")
@@ -141,8 +141,8 @@ def compared(pairs: DataFrame, sets: DataFrame, rows: int = 1) -> DataFrame:
             size[0].append(len(a))
             size[1].append(len(b))
             shared.append(len(b) - len(differ))
-            least = np.array([_mix(differ ^ x).min() for x in _APART], np.uint64) if differ.size else differ
-            apart.append(_mix(sum(np.roll(least, -i) * _APART[i] for i in range(rows))))
+            least = np.array([differ[_mix(differ ^ x).argmin()] for x in _APART], np.uint64) if differ.size else differ
+            apart.append(np.unique(_mix(sum(np.roll(least, -i) * _APART[i] for i in range(rows)))))
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x, pa.int64()) for x in (*size, shared)), _lists(apart)], ["u", "v", "nu", "nv", "k", "apart"])
 
     return arrow(members.join(centres, ["u", "part"]).select("u", "v", "su", "sv"), run, "u long, v long, nu long, nv long, k long, apart array<long>", rows=256)
@@ -198,8 +198,8 @@ def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", s
         # members of a star in different components meet again where they add the same to its centre
         marked = labelled(stars.select("u", "v", "apart"), "v", "label")
         open_ = marked.groupBy("u").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("u")
-        apart = marked.join(open_, "u", "left_semi").select("v", "label", F.posexplode("apart").alias("j", "hash"), "u")
-        apart = stored(apart.select(F.xxhash64("u", "j", "hash").alias("bucket"), F.col("v").alias("doc_id"), "label"), "apart")
+        apart = marked.join(open_, "u", "left_semi").select("v", "label", F.explode("apart").alias("hash"), "u")
+        apart = stored(apart.select(F.xxhash64("u", "hash").alias("bucket"), F.col("v").alias("doc_id"), "label"), "apart")
         mixed = apart.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket")
         last, members = members, stored(apart.select("bucket", "doc_id").join(mixed, "bucket", "left_semi"), "members")
         dropped(last, stars, apart)
