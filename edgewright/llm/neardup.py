@@ -179,6 +179,8 @@ def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", s
         centre = F.max(F.struct("score", (-F.col("doc_id")).alias("minus"))).alias("c")
         centres = scored.groupBy("bucket").agg(centre).select("bucket", (-F.col("c.minus")).alias("u"))
         pairs = members.select("bucket", F.col("doc_id").alias("v")).join(centres, "bucket").where("u != v").select("u", "v").distinct()
+        if labels is not None:  # what is linked with its centre already isn't compared with it again
+            pairs = labelled(labelled(pairs, "u", "lu"), "v", "lv").where("lu != lv").select("u", "v")
         pairs = stored(pairs if seen is None else pairs.join(seen, ["u", "v"], "left_anti"), "pairs")
         stars = stored(compared(pairs, sets, min(rounds, DIFFERENCES)), "stars")
         seen = pairs if seen is None else seen.union(pairs)
