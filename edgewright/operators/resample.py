@@ -1,8 +1,9 @@
 """Resampling inference on one book of trades, or on one book for each group.
 
-A draw is one row: its metric is folded over the book's array inside the JVM. The array of a book is bounded
-(``LARGEST_BOOK``, checked) and sent to every task; larger books use ``distributed_draws``, whose rows are draws
-and slots. The counter generator gives every slot of every draw its number, so results do not depend on partitions.
+A draw is one row: its metric is folded over the book's array inside the JVM. The arrays of all books together are
+bounded (``LARGEST_BOOK``, checked) and sent to every task; beyond it ``drawn`` takes ``distributed_draws``, whose rows
+are draws and slots. The counter generator gives every slot of every draw its number, so results depend neither on
+partitions nor on the way taken. Blocks and signs have the bounded way only and say so of larger books.
 """
 
 from __future__ import annotations
@@ -14,7 +15,10 @@ from edgewright.functions import rng
 from edgewright.operators import metrics
 from edgewright.schema import SEQ, clean
 
+#: Rows of all books together that may be sent to every task.
 LARGEST_BOOK = 1_000_000
+#: Rows of a range of positions, at most so many ranges, and slots of a draw that one row unfolds.
+RANGE_ROWS, MOST_RANGES, SLOTS = 250_000, 1_000, 100_000
 N_BOOT, ALPHA, SEED = 10_000, 0.05, 42
 
 
@@ -26,11 +30,10 @@ def book(trades: DataFrame, by: list[str] | None = None, value: str = "r", order
     return packed.withColumn("n", F.size("rs").cast("bigint"))
 
 
-def checked(trades: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """``trades`` if every group's book is small enough to be sent to every task."""
-    most = trades.groupBy(*(by or [])).count().agg(F.max("count")).first()[0] or 0
-    if most > LARGEST_BOOK:
-        raise ValueError(f"a book of {most} trades is larger than {LARGEST_BOOK}: use distributed_draws")
+def checked(trades: DataFrame) -> DataFrame:
+    """``trades`` if all books together are small enough to be sent to every task."""
+    if (n := trades.count()) > LARGEST_BOOK:
+        raise ValueError(f"{n} trades are more than {LARGEST_BOOK}: too many to be sent to every task")
     return trades
 
 
@@ -62,19 +65,39 @@ def draws(books: DataFrame, n_boot: int, seed: int, names: tuple[str, ...], by:
     return drawn.select(*by, "draw", *(metrics.SCORES[m]().alias(m) for m in names))
 
 
-def distributed_draws(trades: DataFrame, n_boot: int, seed: int, names: tuple[str, ...], value: str = "r") -> DataFrame:
-    """The same draws for a book of any size: slots are rows that look their trade up by its position."""
-    rows = trades.select(SEQ, clean(value).alias("r")).where("r is not null")
-    ordered = rows.repartitionByRange(SEQ).sortWithinPartitions(SEQ).withColumn("part", F.spark_partition_id())
-    sizes = ordered.groupBy("part").agg(F.count("*").alias("k"))
-    before = sizes.select("part", F.coalesce(F.sum("k").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    placed = ordered.withColumn("i", F.row_number().over(Window.partitionBy("part").orderBy(SEQ)) - 1).join(F.broadcast(before), "part").select((F.col("i") + F.col("before")).alias("i"), "r")
-    n = placed.count()
-    slots = trades.sparkSession.range(n_boot).select(F.col("id").alias("draw"), F.explode(F.sequence(F.lit(0), F.lit(max(n - 1, 0)))).alias("slot")) if n else None
-    if slots is None:
-        return trades.sparkSession.createDataFrame([], "draw long, " + ", ".join(f"{m} double" for m in names))
-    picked = slots.select("draw", rng.index(F.lit(n), seed, F.col("draw"), F.col("slot")).alias("i"))
-    return metrics.scored(picked.join(placed, "i").groupBy("draw").agg(*metrics.moments()), ["draw"], names).drop("n")
+def positions(trades: DataFrame, by: list[str], value: str = "r") -> DataFrame:
+    """(group, i, r): every value with its place in its group's order, from 0. Ranges of the order are numbered apart,
+    so no group is one task's work; only the ranges' bounds come to the driver."""
+    rows = trades.select(*by, SEQ, clean(value).alias("r")).where("r is not null")
+    ranges = min(MOST_RANGES, 1 + rows.count() // RANGE_ROWS)
+    cuts = rows.approxQuantile(SEQ, [k / ranges for k in range(1, ranges)], 0.1 / ranges) if ranges > 1 else []
+    part = F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<double>"), lambda c: c <= F.col(SEQ)))
+    parted = rows.withColumn("_part", part)
+    before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = parted.groupBy(*by, "_part").agg(F.count("*").alias("_k")).select(*by, "_part", F.coalesce(F.sum("_k").over(before), F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy(*by, "_part").orderBy(SEQ)) - 1
+    return parted.withColumn("_own", own).join(starts, [*by, "_part"]).select(*by, (F.col("_own") + F.col("_before")).alias("i"), "r")
+
+
+def distributed_draws(trades: DataFrame, n_boot: int, seed: int, names: tuple[str, ...], value: str = "r", by: list[str] | None = None) -> DataFrame:
+    """The same draws for books of any size: slots are rows that look their trade up by its position. Trades without a
+    group have no draws."""
+    by = by or []
+    placed = positions(trades, by, value)
+    books = placed.groupBy(*by).agg(F.count("*").alias("n")).where("n > 0")
+    each = books.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_boot - 1).cast("bigint"))).alias("draw"))
+    lots = each.select("*", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / SLOTS).cast("int"))).alias("_lot")).repartition(*by, "draw", "_lot")
+    first, last = F.col("_lot").cast("bigint") * SLOTS, F.least((F.col("_lot").cast("bigint") + 1) * SLOTS, "n") - 1
+    slots = lots.select(*by, "n", "draw", F.explode(F.sequence(first, last)).alias("slot"))
+    picked = slots.select(*by, "draw", rng.index(F.col("n"), seed, F.col("draw"), F.col("slot")).alias("i"))
+    return metrics.scored(picked.join(placed, [*by, "i"]).groupBy(*by, "draw").agg(*metrics.moments()), [*by, "draw"], names).drop("n")
+
+
+def drawn(trades: DataFrame, n_boot: int, seed: int, names: tuple[str, ...], by: list[str] | None = None) -> DataFrame:
+    """(group, draw, metrics) by the way that the books' size allows."""
+    if trades.count() <= LARGEST_BOOK:
+        return draws(book(trades, by), n_boot, seed, names, by)
+    return distributed_draws(trades, n_boot, seed, names, by=by)
 
 
 def interval(values: Column, alpha: float = ALPHA) -> list[Column]:
@@ -92,23 +115,22 @@ def bootstrap_ci(trades: DataFrame, metric: str = "expectancy", *, n_boot: int =
     """Point and percentile interval of a metric for each group."""
     by = by or []
     point = trades.groupBy(*by).agg(*metrics.moments()).select(*by, "n", metrics.SCORES[metric]().alias("point"))
-    bounds = draws(book(checked(trades, by), by), n_boot, seed, (metric,), by).groupBy(*by).agg(*finite_interval(metric, alpha))
+    bounds = drawn(trades, n_boot, seed, (metric,), by).groupBy(*by).agg(*finite_interval(metric, alpha))
     return point.join(bounds, by, "left") if by else point.join(F.broadcast(bounds))
 
 
 def bootstrap_metric_cis(trades: DataFrame, names: tuple[str, ...] = ("expectancy", "profit_factor", "sqn", "win_rate"), *, n_boot: int = N_BOOT, alpha: float = ALPHA, seed: int = SEED) -> DataFrame:
     """(metric, point, ci_low, ci_high) from one stream of draws."""
     point = trades.groupBy().agg(*metrics.moments()).select(*(metrics.SCORES[m]().alias(m) for m in names)).unpivot([], list(names), "metric", "point")
-    drawn = draws(book(checked(trades)), n_boot, seed, names).unpivot(["draw"], list(names), "metric", "value")
-    return point.join(drawn.groupBy("metric").agg(*interval(F.col("value"), alpha)), "metric")
+    values = drawn(trades, n_boot, seed, names).unpivot(["draw"], list(names), "metric", "value")
+    return point.join(values.groupBy("metric").agg(*interval(F.col("value"), alpha)), "metric")
 
 
 def reality_check(trades: DataFrame, *, n_boot: int = N_BOOT, alpha: float = ALPHA, seed: int = SEED, by: list[str] | None = None) -> DataFrame:
     """HELD, FRAGILE or FAIL for each group, with interval and p, from one pass of draws."""
     by = by or []
     point = trades.groupBy(*by).agg(*metrics.moments()).select(*by, "n", metrics.expectancy().alias("point"))
-    drawn = draws(book(checked(trades, by), by), n_boot, seed, ("expectancy",), by)
-    bounds = drawn.groupBy(*by).agg(*finite_interval("expectancy", alpha), F.avg((F.col("expectancy") > 0).cast("double")).alias("p_positive"))
+    bounds = drawn(trades, n_boot, seed, ("expectancy",), by).groupBy(*by).agg(*finite_interval("expectancy", alpha), F.avg((F.col("expectancy") > 0).cast("double")).alias("p_positive"))
     both = point.join(bounds, by, "left") if by else point.join(F.broadcast(bounds))
     verdict = F.when((F.col("point") > 0) & (F.col("ci_low") > 0), "HELD").when(F.col("point") > 0, "FRAGILE").otherwise("FAIL")
     return both.withColumn("p_positive", F.coalesce("p_positive", F.lit(0.0))).withColumns({"p_value": 1 - F.col("p_positive"), "verdict": verdict})

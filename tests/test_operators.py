@@ -66,6 +66,31 @@ def test_distributed_draws_equal_folded_ones(spark):
     assert small.keys() == large.keys() and all(small[k] == pytest.approx(large[k]) for k in small)
 
 
+def test_large_books_give_the_same_answers(spark, monkeypatch):
+    seq = list(range(23))
+    t = log(spark, [((7 * i) % 11) - 4.5 for i in seq]).withColumn("market", F.when(F.col("trade_seq") < 16, "a").otherwise("b"))
+    ask = (
+        lambda: sorted(map(tuple, resample.reality_check(t, n_boot=30, by=["market"]).select("market", "n", "ci_low", "ci_high", "p_positive", "verdict").collect())),
+        lambda: sorted(map(tuple, resample.bootstrap_metric_cis(t, n_boot=30).select("metric", "point", "ci_low", "ci_high").collect())),
+        lambda: [tuple(resample.bootstrap_ci(t, "profit_factor", n_boot=30).select("point", "ci_low", "ci_high").first())],
+    )
+    folded = [f() for f in ask]
+    for name, n in (("LARGEST_BOOK", 5), ("RANGE_ROWS", 4), ("SLOTS", 3)):
+        monkeypatch.setattr(resample, name, n)
+    for want, got in zip(folded, [f() for f in ask], strict=True):
+        assert len(want) == len(got)
+        for x, y in zip(want, got, strict=True):
+            assert [v for v in x if isinstance(v, str)] == [v for v in y if isinstance(v, str)]
+            assert [v for v in x if not isinstance(v, str)] == pytest.approx([v for v in y if not isinstance(v, str)])
+    with pytest.raises(ValueError, match="too many"):
+        resample.block_bootstrap(t, n_boot=5)
+
+
+def test_distributed_draws_of_no_trades(spark):
+    empty = log(spark, [1.0]).where("r > 5")
+    assert resample.distributed_draws(empty, 5, 3, ("expectancy",)).count() == 0
+
+
 def test_strong_and_weak_books(spark):
     strong = log(spark, [1.0, 1.2, 0.8, -0.2, 1.1] * 20)
     assert one(resample.reality_check(strong, n_boot=200))["verdict"] == "HELD"
