@@ -65,17 +65,17 @@ def draws(books: DataFrame, n_boot: int, seed: int, names: tuple[str, ...], by:
     return drawn.select(*by, "draw", *(metrics.SCORES[m]().alias(m) for m in names))
 
 
-def positions(trades: DataFrame, by: list[str], value: str = "r") -> DataFrame:
+def positions(trades: DataFrame, by: list[str], value: str = "r", order: str = SEQ) -> DataFrame:
     """(group, i, r): every value with its place in its group's order, from 0. Ranges of the order are numbered apart,
     so no group is one task's work; only the ranges' bounds come to the driver."""
-    rows = trades.select(*by, SEQ, clean(value).alias("r")).where("r is not null")
+    rows = trades.select(*by, order, clean(value).alias("r")).where("r is not null")
     ranges = min(MOST_RANGES, 1 + rows.count() // RANGE_ROWS)
-    cuts = rows.approxQuantile(SEQ, [k / ranges for k in range(1, ranges)], 0.1 / ranges) if ranges > 1 else []
-    part = F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<double>"), lambda c: c <= F.col(SEQ)))
+    cuts = rows.approxQuantile(order, [k / ranges for k in range(1, ranges)], 0.1 / ranges) if ranges > 1 else []
+    part = F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<double>"), lambda c: c <= F.col(order)))
     parted = rows.withColumn("_part", part)
     before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = parted.groupBy(*by, "_part").agg(F.count("*").alias("_k")).select(*by, "_part", F.coalesce(F.sum("_k").over(before), F.lit(0)).alias("_before"))
-    own = F.row_number().over(Window.partitionBy(*by, "_part").orderBy(SEQ)) - 1
+    own = F.row_number().over(Window.partitionBy(*by, "_part").orderBy(order)) - 1
     return parted.withColumn("_own", own).join(starts, [*by, "_part"]).select(*by, (F.col("_own") + F.col("_before")).alias("i"), "r")
 
 

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from edgewright.functions import rng
-from edgewright.operators.resample import book, checked
+from edgewright.operators import resample
+from edgewright.operators.resample import book, checked, positions
 from edgewright.schema import SEQ, clean
 
 N_PERM, SEED = 5000, 42
@@ -37,11 +38,22 @@ def sidak(p: float, n: int) -> float:
 
 
 def _best_means(kept: DataFrame, variants: DataFrame, scale: str | None, n_perm: int, seed: int) -> DataFrame:
-    """(draw, best): the largest mean (over ``scale``) of any variant under independent random signs."""
-    books = variants.join(F.broadcast(kept), "variant").groupBy("variant", "variant_ord", *([scale] if scale else [])).agg(F.transform(F.sort_array(F.collect_list(F.struct("obs_seq", "r"))), lambda x: F.abs(x["r"])).alias("rs"))
-    each = variants.sparkSession.range(n_perm).withColumnRenamed("id", "draw").join(F.broadcast(books))
-    mean = F.aggregate(F.transform("rs", lambda x, i: x * rng.sign(seed, F.col("draw"), F.col("variant_ord"), i)), F.lit(0.0), lambda a, x: a + x) / F.size("rs")
-    return each.select("draw", (mean / F.col(scale) if scale else mean).alias("m")).groupBy("draw").agg(F.max("m").alias("best"))
+    """(draw, best): the largest mean (over ``scale``) of any variant under independent random signs.
+
+    Series that are few rows together are sent to every task as arrays; beyond that each row takes its own signs, and
+    tasks add up by variant and draw before anything is shuffled."""
+    keys = ["variant", "variant_ord", *([scale] if scale else [])]
+    rows = variants.join(kept, "variant")
+    if rows.count() <= resample.LARGEST_BOOK:
+        books = rows.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("obs_seq", "r"))), lambda x: F.abs(x["r"])).alias("rs"))
+        each = variants.sparkSession.range(n_perm).withColumnRenamed("id", "draw").join(F.broadcast(books))
+        mean = F.aggregate(F.transform("rs", lambda x, i: x * rng.sign(seed, F.col("draw"), F.col("variant_ord"), i)), F.lit(0.0), lambda a, x: a + x) / F.size("rs")
+        means = each.select("draw", (mean / F.col(scale) if scale else mean).alias("m"))
+    else:
+        each = positions(rows, keys, order="obs_seq").select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_perm - 1).cast("bigint"))).alias("draw"))
+        mean = F.avg(F.abs("r") * rng.sign(seed, F.col("draw"), F.col("variant_ord"), F.col("i")))
+        means = each.groupBy(*keys, "draw").agg((mean / F.col(scale) if scale else mean).alias("m"))
+    return means.groupBy("draw").agg(F.max("m").alias("best"))
 
 
 def _cleaned(variants: DataFrame) -> DataFrame:

@@ -104,6 +104,16 @@ def test_empty_books(spark):
     assert one(resample.block_bootstrap(empty, n_boot=10))["p_value"] == 1.0
 
 
+def test_large_searches_give_the_same_answers(spark, monkeypatch):
+    rows = [(v, o, i, ((5 * i + o) % 7) - 2.8 + 0.3 * o) for o, v in enumerate("abc") for i in range(9 + o)]
+    variants = spark.createDataFrame(rows, "variant string, variant_ord int, obs_seq int, r double")
+    ask = (lambda: one(search.whites_reality_check(variants, n_perm=40)), lambda: one(search.spa_test(variants, n_perm=40)))
+    folded = [f() for f in ask]
+    monkeypatch.setattr(resample, "LARGEST_BOOK", 5)
+    monkeypatch.setattr(resample, "RANGE_ROWS", 4)
+    assert [f() for f in ask] == folded
+
+
 def test_sidak():
     assert search.sidak(0.05, 1) == pytest.approx(0.05) and search.sidak(2.0, 3) == 1
     with pytest.raises(ValueError):
