@@ -74,8 +74,12 @@ def scratch(keep: Callable[[], DataFrame | None]) -> Iterator[None]:
 
 def lean(spark: SparkSession) -> None:
     """Few rows in each batch that Parquet readers and Python workers get, as texts may be long: thousands of them are
-    arrays of tens of MB. Numbers that the session's owner chose stay."""
-    for name, usual, fewer in (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "2000"), ("spark.sql.parquet.columnarReaderBatchSize", "4096", "512")):
+    arrays of tens of MB. Batches for workers are bounded by bytes too. Numbers that the session's owner chose stay."""
+    for name, usual, fewer in (
+        ("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "2000"),
+        ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "4800000"),
+        ("spark.sql.parquet.columnarReaderBatchSize", "4096", "512"),
+    ):
         if spark.conf.get(name, usual) == usual:
             spark.conf.set(name, fewer)
 
