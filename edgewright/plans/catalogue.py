@@ -6,12 +6,13 @@ Every query runs over its whole tables. Doubles are rounded, as sums come in any
 from __future__ import annotations
 
 import datetime as dt
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from edgewright.functions.scalars import Baseline, cusum_design
+from edgewright.functions.scalars import EULER, NORMAL, Baseline, cusum_design
 from edgewright.operators import barriers, gates, metrics, monitor, nulls, overfit, panels, resample, scores, search, signals, splits, walkforward
 from edgewright.sources import fixtures as fx
 
@@ -340,13 +341,16 @@ def random_entry_null(spark, sf_dir):
 _TIMED = f"SELECT segment AS symbol, trade_seq, bars_held AS hold, CASE WHEN trade_seq % 2 = 0 THEN 1.0 ELSE -1.0 END AS direction FROM ({fx.TRADES})"
 
 
-@query(f"""
+_TIMING = f"""
 WITH q AS (SELECT symbol, bar_seq, close / lag(close) OVER ({_W}) - 1 AS x FROM ({fx.PRICES})),
 y AS (SELECT symbol, bar_seq, ln(abs(1 + x - m)) AS y, (1 + x - m < 0)::INT AS neg FROM (SELECT *, avg(x) OVER (PARTITION BY symbol) AS m FROM q WHERE x IS NOT NULL)),
 z AS (SELECT symbol, row_number() OVER ({_W}) AS i, count(*) OVER (PARTITION BY symbol) AS m, sum(y) OVER ({_W} ROWS UNBOUNDED PRECEDING) AS p, sum(neg) OVER ({_W} ROWS UNBOUNDED PRECEDING) AS g FROM y),
 p AS (SELECT * FROM z UNION ALL SELECT DISTINCT symbol, 0, m, 0.0, 0 FROM z),
-s AS (SELECT d.draw, t.symbol, t.direction, least(t.hold, n.m) AS hold, {_u52(42, "d.draw", "t.symbol", "t.trade_seq")} % (n.m - least(t.hold, n.m) + 1) AS at FROM ({_TIMED}) t JOIN (SELECT DISTINCT symbol, m FROM z) n USING (symbol) CROSS JOIN range({BOOT}) d(draw))
-SELECT draw, {_r("avg((exp(b.p - a.p) * CASE WHEN (b.g - a.g) % 2 = 0 THEN 1 ELSE -1 END - 1) * direction)")} AS mean FROM s JOIN p a ON a.symbol = s.symbol AND a.i = s.at JOIN p b ON b.symbol = s.symbol AND b.i = s.at + s.hold GROUP BY draw""")
+s AS (SELECT d.draw, t.symbol, t.direction, least(t.hold, n.m) AS hold, {_u52(42, "d.draw", "t.symbol", "t.trade_seq")} % (n.m - least(t.hold, n.m) + 1) AS at FROM ({_TIMED}) t JOIN (SELECT DISTINCT symbol, m FROM z) n USING (symbol) CROSS JOIN range({BOOT}) d(draw)),
+v AS (SELECT draw, avg((exp(b.p - a.p) * CASE WHEN (b.g - a.g) % 2 = 0 THEN 1 ELSE -1 END - 1) * direction) AS mean FROM s JOIN p a ON a.symbol = s.symbol AND a.i = s.at JOIN p b ON b.symbol = s.symbol AND b.i = s.at + s.hold GROUP BY draw)"""
+
+
+@query(f"{_TIMING} SELECT draw, {_r('mean')} AS mean FROM v")
 def timing_null(spark, sf_dir):
     t = fx.trades(spark, sf_dir).select(F.col("segment").alias("symbol"), "trade_seq", F.col("bars_held").alias("hold"), F.when(F.col("trade_seq") % 2 == 0, 1.0).otherwise(-1.0).alias("direction"))
     return nulls.timing_null(fx.prices(spark, sf_dir), t, n_samples=BOOT)
@@ -426,21 +430,122 @@ def trial_sharpes(spark, sf_dir):
     return overfit.trial_sharpes(fx.trades(spark, sf_dir).withColumnRenamed("segment", "trial"))
 
 
-@query()
+#: What the best of k skill-less trials is worth in their deviations; SQL has no normal quantiles, so they are literals.
+_LUCK = "CASE k " + " ".join(f"WHEN {k} THEN {1 - EULER!r} * {NORMAL.inv_cdf(1 - 1 / k)!r} + {EULER!r} * {NORMAL.inv_cdf(1 - 1 / (k * math.e))!r}" for k in range(2, 8)) + " END"
+
+
+@query(f"""
+WITH s AS (SELECT count(*) AS k, stddev_samp(sharpe) AS spread FROM (SELECT segment, CASE WHEN stddev_samp(r) > 0 THEN avg(r) / stddev_samp(r) ELSE 0.0 END AS sharpe FROM ({fx.TRADES}) GROUP BY 1 HAVING count(r) >= 2)),
+c AS (SELECT r, r - avg(r) OVER () AS d FROM ({fx.TRADES})),
+m AS (SELECT count(*) AS n, avg(r) AS mean, stddev_samp(r) AS sd, avg(d * d * d) / power(avg(d * d), 1.5) AS skew, avg(d * d * d * d) / power(avg(d * d), 2) AS kurt FROM c),
+e AS (SELECT *, mean / sd AS sharpe, spread * ({_LUCK}) AS luck FROM s, m),
+z AS (SELECT *, greatest(-9, least(9, (sharpe - luck) * sqrt(n - 1) / sqrt(1 - skew * sharpe + (kurt - 1) / 4 * sharpe * sharpe))) AS z FROM e),
+p AS (SELECT 0.5 + sum(CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * exp(-power(z * i / 2000, 2) / 2)) * any_value(z) / 6000 / sqrt(2 * pi()) AS psr FROM z, range(2001) x(i))
+SELECT {_r("sharpe")} AS sharpe, {_r("luck")} AS benchmark, {_r("psr")} AS psr, CASE WHEN psr >= 0.95 THEN 'SIGNIFICANT' WHEN psr >= 0.90 THEN 'MARGINAL' ELSE 'NOT SIGNIFICANT' END AS label,
+  {_r("mean")} AS expectancy, {_r("sd * luck")} AS haircut, {_r("mean - sd * luck")} AS deflated, k AS n_trials FROM z, p""")
 def deflated(spark, sf_dir):
-    """Deflated Sharpe ratio and expectancy of the whole book; normal quantiles are not SQL's."""
+    """Deflated Sharpe ratio and expectancy of the whole book, its segments the trials; SQL integrates the normal density."""
     t = fx.trades(spark, sf_dir)
     trials = t.withColumnRenamed("segment", "trial")
     s, e = overfit.deflated_sharpe(overfit.trial_sharpes(trials), t), overfit.deflated_expectancy(t, trials)
     return spark.createDataFrame([(s.sharpe, s.benchmark, s.psr, s.label, e.expectancy, e.haircut, e.deflated, e.n_trials)], "sharpe double, benchmark double, psr double, label string, expectancy double, haircut double, deflated double, n_trials long")
 
 
-@query()
-def gauntlet_checks(spark, sf_dir):
-    """All gates on the weekly series, with segments as markets."""
+def _gates(*rows: str) -> str:
+    """Check rows of gates, each a SELECT of (gate_ord, gate, check_ord, name, passed, value, threshold, hard)."""
+    first = "SELECT NULL::BIGINT AS gate_ord, NULL AS gate, NULL::BIGINT AS check_ord, NULL AS name, NULL::BOOLEAN AS passed, NULL::DOUBLE AS value, NULL::DOUBLE AS threshold, NULL::BOOLEAN AS hard WHERE false"
+    return " UNION ALL ".join([first, *rows])
+
+
+_DISPERSED = f"SELECT 2, 'DURABLE', 2, 'fold_dispersion', passed, cv, 2.0, true FROM ({SQL['fold_diagnostics']})"
+_GAUNTLET = _gates(
+    f"SELECT 0, 'REAL', 0, 'permutation', p < 0.05, {_r('p')}, 0.05, true FROM (SELECT 1 - power(1 - round(p_value * {DRAWS + 1}) / {DRAWS + 1}, 5) AS p FROM ({SQL['sign_permutation']}))",
+    "SELECT 0, 'REAL', 1, 'random_timing', true, NULL, NULL, false",
+    f"SELECT 1, 'STRONG', o, metric || '_low', ci_low > bar, ci_low, bar, hard FROM ({SQL['bootstrap_metric_cis']}) JOIN (VALUES ('expectancy', 0, 0.0, true), ('profit_factor', 1, 1.25, true), ('sqn', 2, 1.6, false)) x(metric, o, bar, hard) USING (metric)",
+    f"SELECT 2, 'DURABLE', 0, 'wfe', wfe_passed, mean_wfe, 0.3, true FROM ({SQL['fold_diagnostics']})",
+    f"SELECT 2, 'DURABLE', 1, 'wfe_target', on_target, mean_wfe, 0.5, false FROM ({SQL['fold_diagnostics']})",
+    _DISPERSED,
+    f"SELECT 3, 'GENERAL', 0, 'markets', p_value < 0.05, p_value, 0.05, true FROM ({SQL['whites_reality_check']})",
+)
+_CHECK = ["gate_ord", "gate", "check_ord", "name", "passed", "value", "threshold", "hard"]
+
+
+def _gauntlet(spark, sf_dir):
     t = gates.Thresholds(n_boot=DRAWS, n_perm=DRAWS)
-    found = gates.run_gauntlet(fx.weekly(spark, sf_dir), folds=walkforward.fold_table(*_fold_rows(spark, sf_dir)), markets=variants(spark, sf_dir), n_variants=5, t=t)
-    return found.select("gate_ord", "gate", "check_ord", "name", "passed", "value", "threshold", "hard")
+    return gates.run_gauntlet(fx.weekly(spark, sf_dir), folds=walkforward.fold_table(*_fold_rows(spark, sf_dir)), markets=variants(spark, sf_dir), n_variants=5, t=t)
+
+
+@query(_GAUNTLET)
+def gauntlet_checks(spark, sf_dir):
+    """All gates on the weekly series, one of five variants, with segments as markets."""
+    return _gauntlet(spark, sf_dir).select(*_CHECK)
+
+
+@query(f"""
+WITH g AS (SELECT gate_ord, gate, coalesce(bool_and(passed) FILTER (hard), false) AS passed FROM ({_GAUNTLET}) GROUP BY ALL)
+SELECT bool_and(passed) AS passed, coalesce(string_agg(gate, ',' ORDER BY gate_ord) FILTER (NOT passed), '') AS failed_gates FROM g""")
+def gauntlet_verdict(spark, sf_dir):
+    return gates.gauntlet_verdict(_gauntlet(spark, sf_dir))
+
+
+@query(_gates(
+    f"SELECT 0, 'REAL', 0, 'permutation', p_value < 0.05, p_value, 0.05, true FROM ({SQL['sign_permutation'].replace(fx.WEEKLY, fx.TRADES)})",
+    f"SELECT 0, 'REAL', 1, 'random_timing', point > bar, {_r('point')}, {_r('bar')}, true FROM (SELECT avg(r) AS point FROM ({fx.TRADES})), ({_TIMING} SELECT quantile_cont(mean, 0.95) AS bar FROM v)",
+))
+def gate_real_detrended(spark, sf_dir):
+    """The trades against random signs, and against the same holdings at random times of detrended prices."""
+    t = fx.trades(spark, sf_dir).withColumns({"symbol": F.col("segment"), "direction": F.when(F.col("trade_seq") % 2 == 0, 1.0).otherwise(-1.0)})
+    return gates.gate_real(t, bars=fx.prices(spark, sf_dir), null="detrended", t=gates.Thresholds(n_perm=DRAWS, n_sims=BOOT)).select(*_CHECK)
+
+
+_RATIO = f"({_FOLDS} SELECT avg(oos_score / is_score) FILTER (is_score <> 0) AS m FROM k)"
+
+
+@query(_gates(
+    f"SELECT 2, 'DURABLE', 0, 'sqn_ratio', coalesce(m > 0.5, false), {_r('m')}, 0.5, true FROM {_RATIO}",
+    f"SELECT 2, 'DURABLE', 1, 'sqn_ratio_high', coalesce(m <= 2, false), {_r('m')}, 2.0, false FROM {_RATIO}",
+    _DISPERSED,
+))
+def gate_durable_sqn(spark, sf_dir):
+    return gates.gate_durable(walkforward.fold_table(*_fold_rows(spark, sf_dir)), wfe="sqn").select(*_CHECK)
+
+
+_EVENTS = f"""
+WITH g AS (SELECT segment || '/' || exit_reason AS params, avg(r) AS score, min(entry_date) AS ts, exit_reason, count(*) AS k FROM ({fx.TRADES}) GROUP BY ALL),
+e AS (SELECT 'entry' AS event, params, score, ts, 1 AS n FROM g UNION ALL SELECT 'entry', params, score - 0.01, ts, 2 FROM g WHERE k % 2 = 0 UNION ALL SELECT 'select', params, score, ts, 3 FROM g WHERE exit_reason = 'TP'),
+c AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY params ORDER BY n DESC) <= (SELECT count(*) FROM e s WHERE s.event = 'select' AND s.params = e.params) THEN 'selected' ELSE 'tried' END AS status FROM e WHERE event = 'entry')"""
+
+
+def _events(spark, sf_dir):
+    """A search's ledger: each segment and exit reason was tried, every other one twice, and winners were selected."""
+    g = fx.trades(spark, sf_dir).groupBy(F.concat_ws("/", "segment", "exit_reason").alias("params"), "exit_reason").agg(F.avg("r").alias("score"), F.min("entry_date").alias("ts"), F.count("*").alias("k"))
+    event = lambda kind, score, n: (F.lit(kind).alias("event"), "params", score.alias("score"), "ts", F.lit(n).alias("n"), F.lit("tried").alias("status"))
+    s = F.col("score")
+    return g.select(*event("entry", s, 1)).union(g.where("k % 2 = 0").select(*event("entry", s - 0.01, 2))).union(g.where("exit_reason = 'TP'").select(*event("select", s, 3)))
+
+
+@query(f"{_EVENTS} SELECT params, n::BIGINT AS n, {_r('score')} AS score, status FROM c")
+def ledger_entries(spark, sf_dir):
+    return search.current_entries(_events(spark, sf_dir)).select("params", "n", "score", "status")
+
+
+@query(f"{_EVENTS} SELECT params, n::BIGINT AS n, {_r('score')} AS score, status FROM c ORDER BY c.score DESC, ts, c.n LIMIT 1")
+def ledger_best(spark, sf_dir):
+    return search.best_entry(search.current_entries(_events(spark, sf_dir))).select("params", "n", "score", "status")
+
+
+@query(f"""
+WITH RECURSIVE b AS (SELECT avg(r) AS m, stddev_samp(r) AS sd, count(*) AS n, count(*) * 365.25 / ((epoch_us(max(entry_date)) - epoch_us(min(entry_date))) / 86400000000.0) AS rate FROM ({fx.TRADES})),
+d AS (SELECT *, m / sd AS delta, m / sd / 2 AS drift, 2 * power(m / sd / 2, 2) * rate * 25 AS c FROM b),
+newton AS (SELECT 0 AS i, c, ln(1 + c) + 5 AS y FROM d UNION ALL SELECT i + 1, c, y - (exp(y) - 1 - y - c) / (exp(y) - 1) FROM newton WHERE i < 60),
+h AS (SELECT d.*, y, y / (2 * drift) - 1.166 AS h FROM d, newton WHERE i = 60)
+SELECT {_r("m")} AS expectancy, {_r("sd")} AS sigma, n AS n_trades, {_r("rate")} AS trades_per_year, {_r("m / 2")} AS k, {_r("drift")} AS k_std, {_r("h")} AS h, {_r("delta")} AS delta,
+  {_r("rate * 25 / 1000")} AS arl0_thousands, {_r("(exp(-y) + y - 1) / (2 * drift * drift)")} AS arl1 FROM h""")
+def monitor_design(spark, sf_dir):
+    """The baseline that a book freezes and the detector designed for it; one false alarm in 25 years."""
+    b = monitor.baseline(fx.trades(spark, sf_dir))
+    d = cusum_design(b)
+    return spark.createDataFrame([(b.expectancy, b.sigma, b.n_trades, b.trades_per_year, d.k, d.k_std, d.h, d.delta, d.arl0 / 1000, d.arl1)], "expectancy double, sigma double, n_trades long, trades_per_year double, k double, k_std double, h double, delta double, arl0_thousands double, arl1 double")
 
 
 _CUSUM = f"""SELECT *, c - least(0, min(c) OVER (PARTITION BY segment ORDER BY trade_seq)) AS cusum FROM (
