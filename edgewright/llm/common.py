@@ -35,17 +35,36 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def stored(df: DataFrame, tag: str) -> DataFrame:
-    """``df`` written once to the shared folder and read again: it cuts the lineage and outlives lost executors."""
+def _place(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
+def stored(df: DataFrame, tag: str, by: str | None = None) -> DataFrame:
+    """``df`` written once to the shared folder, in folders by the column ``by`` if given, and read again: it cuts the
+    lineage and outlives lost executors. It goes when the application ends, if nothing drops it before."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/edgewright/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    passing(spark, path)
     found = spark.read.schema(df.schema).parquet(path)
     found._stored = path
     _tables.append(path)
     return found
 
 
+def passing(spark: SparkSession, path: str) -> None:
+    """What is written to ``path`` goes when the application ends."""
+    files, place = _place(spark, path)
+    files.deleteOnExit(place)
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this application has written."""
+    files, place = _place(spark, path)
+    files.delete(place, True)
+
+
 #: Tables that ``stored`` has written and nothing has dropped yet.
 _tables: list[str] = []
 
@@ -57,8 +76,7 @@ def dropped(*tables: DataFrame | str | None) -> None:
         path = found if isinstance(found, str) else getattr(found, "_stored", None)
         if path in _tables:
             _tables.remove(path)
-            place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+            removed(spark, path)
 
 
 @contextlib.contextmanager

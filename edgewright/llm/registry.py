@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from edgewright.llm import bpe, classlm, langid, licences, merkle, neardup, packing, pagediff, quality, runs, substrings, winnow
+from edgewright.llm import bpe, classlm, langid, licences, linededup, merkle, neardup, packing, pagediff, quality, runs, substrings, winnow
 
 QUERIES = {
     "op1_nearest_page_difference": pagediff.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_risk_controlled_quality": quality.query,
     "op10_class_bigram_score": classlm.query,
     "op11_merkle_manifest": merkle.query,
+    "op12_levelled_line_runs": linededup.query,
     "op13_suffix_tree_runs": runs.query,
 }
 SQL: dict[str, str] = {
@@ -23,4 +24,5 @@ SQL: dict[str, str] = {
     "op2_super_kmer_substrings": substrings.SQL,
     "op6_minhash_groups": neardup.SQL,
     "op11_merkle_manifest": merkle.SQL,
+    "op12_levelled_line_runs": linededup.SQL,
 }
