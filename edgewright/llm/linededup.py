@@ -76,7 +76,7 @@ class Runs:
     def counted(self, names: list[str]) -> DataFrame:
         """The entries of runs, one for each key. Runs are read as plain files here: a union of bucketed tables passes for
         dealt by key, and was not (Spark 4.1)."""
-        entries = self.spark.read.parquet(*map(self._path, names))
+        entries = self.spark.read.schema(self.spark.table(names[0]).schema).parquet(*map(self._path, names))
         return entries.groupBy("key").agg(F.sum("docs").alias("docs"), F.max("last").alias("last"))
 
     def add(self, batch: DataFrame) -> None:
