@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from edgewright.operators.signals import by_bar, with_atr
 
+TIMEOUT = 20
 TRADE_COLUMNS = ("symbol", "trade_seq", "r", "mfe", "mae", "bars_held", "entry_date", "exit_date", "exit_reason")
 
 
-def paths(bars: DataFrame, side: str = "long", *, tp: float = 2.0, sl: float = 1.0, timeout: int = 20, risk_unit: str = "atr", entry: str = "next_open", keep: list[str] | None = None) -> DataFrame:
+def paths(bars: DataFrame, side: str = "long", *, tp: float = 2.0, sl: float = 1.0, timeout: int = TIMEOUT, risk_unit: str = "atr", entry: str = "next_open", keep: list[str] | None = None) -> DataFrame:
     """What each bar's entry would lead to: (symbol, bar_seq, exit_seq, r, mfe, mae, bars_held, dates, exit_reason).
 
     A bar's exit depends on that bar alone, so all are resolved at once. Entry bars meet the bars of their horizon
@@ -56,27 +56,46 @@ def paths(bars: DataFrame, side: str = "long", *, tp: float = 2.0, sl: float = 1
     )
 
 
-def chained(found: DataFrame, by: list[str]) -> DataFrame:
-    """Of each group's candidates in order of their bars, those that start after the exit of the one taken before."""
-    spans = found.select(*by, "bar_seq", "exit_seq")
+#: Bars of a block of the chain.
+BLOCK = 4096
 
-    def pick(group: pa.Table) -> pa.Table:
-        group = group.sort_by("bar_seq")
-        free, kept = -1, []
-        for i, (bar, leaves) in enumerate(zip(group.column("bar_seq").to_pylist(), group.column("exit_seq").to_pylist(), strict=True)):
-            if bar > free:
-                free = leaves
-                kept.append(i)
-        return group.take(pa.array(kept, pa.int64())).select([*by, "bar_seq"])
 
-    kinds = ", ".join(f"`{c}` {spans.schema[c].dataType.simpleString()}" for c in (*by, "bar_seq"))
-    return found.join(spans.groupBy(*by).applyInArrow(pick, kinds), [*by, "bar_seq"])
+def chained(found: DataFrame, by: list[str], longest: int, block: int = BLOCK) -> DataFrame:
+    """Of each group's candidates in order of their bars, those that start after the exit of the one taken before.
+
+    All that a block of bars needs to know of the bars before it is where the last trade exits, at most ``longest`` bars
+    after it began. So each block says apart where its own last trade exits for each of these few cases; a group's blocks
+    are walked by these tables alone, and then each block picks its trades from the case that came true.
+    """
+    block = max(block, 4 * longest)
+    others = [c for c in found.columns if c not in by]
+    rows = found.select(*by, F.floor(F.col("bar_seq") / block).alias("_block"), F.struct("bar_seq", "exit_seq", *(c for c in others if c not in ("bar_seq", "exit_seq"))).alias("_x"))
+    blocks = rows.groupBy(*by, "_block").agg(F.sort_array(F.collect_list("_x")).alias("_xs"))
+    first = F.col("_block") * block - 1  # a trade that exits here or before leaves the whole block free
+    spans = F.transform("_xs", lambda x: F.struct(x["bar_seq"].cast("bigint").alias("i"), x["exit_seq"].cast("bigint").alias("j")))
+    leaves = lambda free: F.aggregate("spans", free, lambda at, x: F.when(x["i"] > at, x["j"]).otherwise(at))
+    cases = F.transform(F.sequence(F.lit(0).cast("bigint"), F.lit(longest).cast("bigint")), lambda k: leaves(first + k))
+    tables = blocks.select(*by, "_block", spans.alias("spans")).select(*by, "_block", cases.alias("cases"))
+    walked = tables.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("_block", "cases"))).alias("tables"))
+    begin = F.array(F.struct(F.lit(-1).cast("bigint").alias("free"), F.lit(-1).cast("bigint").alias("after")))
+
+    def step(out, t):
+        free = F.greatest(F.element_at(out, -1)["after"], t["_block"] * block - 1)
+        return F.concat(out, F.array(F.struct(free.alias("free"), F.get(t["cases"], (free - t["_block"] * block + 1).cast("int")).alias("after"))))
+
+    free = F.slice(F.aggregate("tables", begin, step), F.lit(2), F.size("tables"))
+    entries = walked.select(*by, F.explode(F.arrays_zip(F.transform("tables", lambda t: t["_block"]).alias("b"), F.transform(free, lambda x: x["free"]).alias("f"))).alias("z"))
+    entries = entries.select(*by, F.col("z.b").alias("_block"), F.col("z.f").alias("_free"))
+    state = F.struct(F.col("_free").alias("free"), F.slice("_xs", 1, 0).alias("kept"))
+    take = lambda s, x: F.when(x["bar_seq"] > s["free"], F.struct(x["exit_seq"].cast("bigint").alias("free"), F.concat(s["kept"], F.array(x)).alias("kept"))).otherwise(s)
+    kept = blocks.join(entries, [*by, "_block"]).select(*by, F.explode(F.aggregate("_xs", state, take)["kept"]).alias("_x"))
+    return kept.select(*by, *(F.col(f"_x.{c}").alias(c) for c in others))
 
 
 def barrier_trades(bars: DataFrame, signal: str = "signal", side: str = "long", **options) -> DataFrame:
     """The trade log of the bars where ``signal`` is true; without any, an empty one with the same columns."""
     found = paths(bars, side, keep=[signal], **options).where(F.coalesce(F.col(signal), F.lit(False)))
-    taken = chained(found, ["symbol"])
+    taken = chained(found, ["symbol"], options.get("timeout", TIMEOUT) + 1)
     return taken.withColumn("trade_seq", F.col("bar_seq")).select(*TRADE_COLUMNS)
 
 

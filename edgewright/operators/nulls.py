@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from edgewright.functions import rng
-from edgewright.operators.barriers import chained, paths
+from edgewright.operators.barriers import TIMEOUT, chained, paths
 from edgewright.operators.signals import by_bar
 
 
@@ -22,7 +22,7 @@ def random_entry_null(bars: DataFrame, side: str = "long", *, n_entries: int, n_
     # a simulation's picks of each symbol, as one array: ranks of its numbers among all bars but the last
     picks = each.join(F.broadcast(bars_)).withColumn("ranked", F.sort_array(F.transform(F.sequence(F.lit(0), F.col("last") - 1), lambda i: F.struct(rng.u52(seed, F.col("sim"), F.col("symbol"), i).alias("u"), i.cast("bigint").alias("i")))))
     picked = picks.select("sim", "symbol", F.explode(F.transform(F.slice("ranked", 1, n_entries), lambda x: x["i"])).alias("bar_seq"))
-    taken = chained(picked.join(found, ["symbol", "bar_seq"]), ["sim", "symbol"])
+    taken = chained(picked.join(found, ["symbol", "bar_seq"]), ["sim", "symbol"], options.get("timeout", TIMEOUT) + 1)
     made = taken.groupBy("sim", "symbol").agg(F.avg("r").alias("expectancy"), F.count("*").alias("n"))
     return each.join(F.broadcast(bars_.select("symbol"))).join(made, ["sim", "symbol"], "left").select("sim", "symbol", "expectancy", F.coalesce("n", F.lit(0)).alias("n"))
 

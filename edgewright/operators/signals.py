@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from edgewright.functions import rng
-
+from edgewright.schema import clean
 
 
 def by_bar():
@@ -26,19 +25,93 @@ def sma(price: str, span: int) -> Column:
     return F.when(F.count(price).over(frame) == span, F.avg(price).over(frame))
 
 
-def with_ewm(df: DataFrame, columns: dict[str, tuple[str, float]]) -> DataFrame:
-    """``df`` with exponential means: name to (column, span). A recursion that no window expresses: each symbol's series
-    is run through in one pass of pandas, so time is linear in its length; symbols run in parallel."""
-    inputs = sorted({c for c, _ in columns.values()})
-    kinds = {c: df.schema[c].dataType.simpleString() for c in ("symbol", "bar_seq")}
-
-    def run(bars: pd.DataFrame) -> pd.DataFrame:
-        bars = bars.sort_values("bar_seq")
-        smooth = {n: bars[c].ewm(span=s, adjust=False).mean() for n, (c, s) in columns.items()}
-        return bars[["symbol", "bar_seq"]].assign(**smooth)
-
-    schema = f"symbol {kinds['symbol']}, bar_seq {kinds['bar_seq']}, " + ", ".join(f"{n} double" for n in columns)
-    return df.join(df.select("symbol", "bar_seq", *inputs).groupBy("symbol").applyInPandas(run, schema), ["symbol", "bar_seq"])
+class _Mean:
+    """How one exponential mean composes. A summary of consecutive bars is its first observed one (``p``, ``v``), the affine
+    map y -> a*y + b of all after that, and the ``last`` observed one; missing bars only widen the gap before the next."""
+
+    def __init__(self, column: str, span: float):
+        self.column, self.alpha = column, 2 / (span + 1)
+
+    def _pair(self, gap: Column) -> tuple[Column, Column]:
+        old = F.pow(F.lit(1 - self.alpha), gap)
+        return F.when(gap == 1, 1 - self.alpha).otherwise(old / (old + self.alpha)), F.when(gap == 1, self.alpha).otherwise(self.alpha / (old + self.alpha))
+
+    def _summary(self, p: Column, v: Column, a: Column, b: Column, last: Column) -> Column:
+        return F.struct(p.alias("p"), v.alias("v"), a.alias("a"), b.alias("b"), last.alias("last"))
+
+    def add_bar(self, s: Column, x: Column) -> Column:
+        """A summary and the bar behind it."""
+        v, at = clean(x[self.column]), x["bar_seq"]
+        keep, add = self._pair(at - s["last"])
+        first = self._summary(at, v, F.lit(1.0), F.lit(0.0), at)
+        near = self._summary(s["p"], s["v"], s["a"] * (1 - self.alpha), s["b"] * (1 - self.alpha) + v * self.alpha, at)
+        far = self._summary(s["p"], s["v"], s["a"] * keep, s["b"] * keep + v * add, at)
+        return F.when(v.isNull(), s).when(s["p"].isNull(), first).when(at - s["last"] == 1, near).otherwise(far)
+
+    def compose(self, s: Column, t: Column) -> Column:
+        keep, add = self._pair(t["p"] - s["last"])
+        both = self._summary(s["p"], s["v"], s["a"] * keep * t["a"], t["a"] * (keep * s["b"] + add * t["v"]) + t["b"], t["last"])
+        return F.when(s["p"].isNull(), t).when(t["p"].isNull(), s).otherwise(both)
+
+    def after_bar(self, state: Column, x: Column) -> Column:
+        v, at = clean(x[self.column]), x["bar_seq"]
+        keep, add = self._pair(at - state["seen"])
+        after = lambda y: F.struct(y.alias("y"), at.alias("seen"))
+        near = after(state["y"] * (1 - self.alpha) + v * self.alpha)
+        return F.when(v.isNull(), state).when(state["seen"].isNull(), after(v)).when(at - state["seen"] == 1, near).otherwise(after(keep * state["y"] + add * v))
+
+    def after(self, state: Column, t: Column) -> Column:
+        keep, add = self._pair(t["p"] - state["seen"])
+        first = F.when(state["seen"].isNull(), t["v"]).otherwise(keep * state["y"] + add * t["v"])
+        return F.when(t["p"].isNull(), state).otherwise(F.struct((t["a"] * first + t["b"]).alias("y"), t["last"].alias("seen")))
+
+
+def _walk(items: Column, start: Column, step) -> Column:
+    """The state at the start and after each item."""
+    return F.aggregate(items, F.array(start).cast(_STATES), lambda out, t: F.concat(out, F.array(step(F.element_at(out, -1), t))))
+
+
+_NOTHING = "named_struct('p', cast(null as bigint), 'v', cast(null as double), 'a', 1d, 'b', 0d, 'last', cast(null as bigint))"
+_BEFORE = "named_struct('y', cast(null as double), 'seen', cast(null as bigint))"
+_STATES = "array<struct<y:double,seen:bigint>>"
+#: Bars of a chunk and chunks of a range: what one row of arrays holds.
+CHUNK, RANGE = 64, 1024
+
+
+def with_ewm(df: DataFrame, columns: dict[str, tuple[str, float]], chunk: int = CHUNK, range_: int = RANGE) -> DataFrame:
+    """``df`` with exponential means: name to (column, span), y = (1 - alpha) * y + alpha * x from the first observed x.
+
+    A mean is a chain of affine maps, and maps compose: chunks of bars become one map each, ranges of chunks too, and a
+    symbol's few ranges are walked in order. Then each chunk is walked from the value that reaches it. So a long symbol
+    is many tasks' work, in JVM functions alone; what one row holds is bounded by ``chunk`` and ``range_``.
+    """
+    others = [c for c in df.columns if c not in ("symbol", "bar_seq", *columns)]
+    means = {n: _Mean(c, span) for n, (c, span) in columns.items()}
+    at = F.floor(F.col("bar_seq") / chunk)
+    rows = df.select("symbol", at.alias("_chunk"), F.floor(at / range_).alias("_range"), F.struct(F.col("bar_seq").cast("bigint").alias("bar_seq"), *others).alias("_x"))
+    parts = rows.groupBy("symbol", "_range", "_chunk").agg(F.sort_array(F.collect_list("_x")).alias("_xs"))
+
+    def part_of(name: str) -> Column:
+        return F.transform("items", lambda t: t[name])
+
+    def collected(df: DataFrame, by: list[str], key: str) -> DataFrame:
+        return df.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(key, *columns))).alias("items"))
+
+    def handed_down(df: DataFrame, by: list[str], key: str, start: dict[str, Column]) -> DataFrame:
+        """(by, key, and each mean's state before it)."""
+        states = [F.slice(_walk(part_of(n), start[n], mean.after), F.lit(1), F.size("items")).alias(n) for n, mean in means.items()]
+        zipped = df.select(*by, F.explode(F.arrays_zip(F.transform("items", lambda t: t[key]).alias("k"), *states)).alias("z"))
+        return zipped.select(*by, F.col("z.k").alias(key), *(F.col(f"z.{n}").alias(f"{n}_in") for n in columns))
+
+    chunks = parts.select("symbol", "_range", "_chunk", *(F.aggregate("_xs", F.expr(_NOTHING), mean.add_bar).alias(n) for n, mean in means.items()))
+    ranges = collected(chunks, ["symbol", "_range"], "_chunk")
+    summed = ranges.select("symbol", "_range", *(F.aggregate(part_of(n), F.expr(_NOTHING), mean.compose).alias(n) for n, mean in means.items()))
+    into_range = handed_down(collected(summed, ["symbol"], "_range"), ["symbol"], "_range", {n: F.expr(_BEFORE) for n in columns})
+    into_chunk = handed_down(ranges.join(into_range, ["symbol", "_range"]), ["symbol", "_range"], "_chunk", {n: F.col(f"{n}_in") for n in columns})
+    walked = parts.join(into_chunk, ["symbol", "_range", "_chunk"])
+    states = [F.slice(_walk(F.col("_xs"), F.col(f"{n}_in"), mean.after_bar), F.lit(2), F.size("_xs")).alias(n) for n, mean in means.items()]
+    out = walked.select("symbol", F.explode(F.arrays_zip(F.col("_xs").alias("x"), *states)).alias("z"))
+    return out.select("symbol", F.col("z.x.bar_seq").cast(df.schema["bar_seq"].dataType).alias("bar_seq"), *(F.col(f"z.x.{c}").alias(c) for c in others), *(F.col(f"z.{n}.y").alias(n) for n in columns)).select(*[c for c in df.columns if c not in columns], *columns)
 
 
 def ma_cross(df: DataFrame, fast: int = 20, slow: int = 50, price: str = "close", kind: str = "sma") -> DataFrame:

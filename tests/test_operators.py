@@ -1,5 +1,6 @@
 import datetime as dt
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -176,6 +177,40 @@ def test_ewm_recursion(spark):
     assert got == [1.0, 1.5, 2.25]
 
 
+def test_ewm_in_chunks_equals_one_recursion(spark):
+    x = [None if i in (0, 1, 17) or 30 < i < 52 else math.sin(i) + i % 7 for i in range(90)]
+    rows = [(s, i, v) for s, n in (("a", 90), ("b", 1), ("c", 40)) for i, v in enumerate(x[:n])]
+    df = spark.createDataFrame(rows, "symbol string, bar_seq int, close double")
+    want = {}
+    for s, i, v in rows:
+        for name, span in (("e", 5), ("f", 1), ("g", 60)):
+            alpha = 2 / (span + 1)
+            y, old = want.get((s, i - 1, name), (None, 1.0))
+            old *= 1 - alpha
+            want[s, i, name] = (y, old) if v is None else (v if y is None else (old * y + alpha * v) / (old + alpha), 1.0)
+    for chunk, ranged in ((4, 3), (64, 1024)):
+        got = signals.with_ewm(df, {"e": ("close", 5), "f": ("close", 1), "g": ("close", 60)}, chunk, ranged).collect()
+        assert len(got) == len(rows)
+        for r in got:
+            for name in "efg":
+                assert r[name] == (pytest.approx(want[r.symbol, r.bar_seq, name][0], rel=1e-12) if want[r.symbol, r.bar_seq, name][0] is not None else None)
+
+
+def test_chains_in_blocks_equal_one_walk(spark):
+    rng_ = random.Random(2)
+    rows = [(g, i, i + rng_.randrange(6), f"{g}{i}") for g in "ab" for i in range(300) if rng_.random() < 0.6] + [("c", 7, 9, "c7")]
+    want, free = [], {}
+    for g, i, j, name in rows:
+        if i > free.get(g, -1):
+            free[g] = j
+            want.append(name)
+    df = spark.createDataFrame(rows, "g string, bar_seq long, exit_seq long, name string")
+    for block in (24, 50, 4096):
+        got = barriers.chained(df, ["g"], 6, block)
+        assert sorted(r.name for r in got.collect()) == sorted(want)
+        assert got.columns == df.columns and "Python" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_folds_and_grid(spark):
     assert walkforward.param_grid({}) == [{}] and len(walkforward.param_grid({"a": [1, 2], "b": [3, 4]})) == 4
     f = walkforward.folds(spark, dt.datetime(2020, 1, 1), dt.datetime(2021, 1, 1), is_days=100, oos_days=100, purge_days=5, embargo_days=2).collect()
