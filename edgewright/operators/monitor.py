@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from edgewright.functions.scalars import Baseline, CusumDesign, cusum_design
+from edgewright.operators.ordered import joined, running
 from edgewright.schema import SEQ, clean
 
 ROLLING, SLIP, SLOW = 30, 0.5, 0.6
@@ -46,27 +47,13 @@ def baseline(trades: DataFrame, *, deflated=None, rate: float | None = None, rat
 
 
 def cusum_path(trades: DataFrame, k: float, sigma: float, *, by: list[str] | None = None, order: str = SEQ) -> DataFrame:
-    """``trades`` with ``cusum``: max(0, what it was + (k - r) / sigma), from window functions alone.
+    """``trades`` with ``cusum``: max(0, what it was + (k - r) / sigma); a missing r leaves it as it was.
 
-    The reflected sum is the running sum less its lowest value so far (or 0), so nothing has to loop over rows.
+    The reflected sum is the running sum less its lowest value so far (or 0), so nothing has to loop over rows, and both
+    run in ranges of the order, so a long book is many tasks' work.
     """
-    w = Window.partitionBy(*(by or [])).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ran = trades.withColumn("_c", F.sum((F.lit(k) - F.col("r")) / sigma).over(w))
-    return ran.withColumn("cusum", F.col("_c") - F.least(F.lit(0.0), F.min("_c").over(w))).drop("_c")
-
-
-def two_level_cusum(trades: DataFrame, k: float, sigma: float, *, order: str = SEQ, parts: int = 64) -> DataFrame:
-    """The same for one long book: running sums within ranges of the order, then the ranges' sums and lows before them."""
-    ranged = trades.repartitionByRange(parts, order).withColumn("_p", F.spark_partition_id())
-    w = Window.partitionBy("_p").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    inner = ranged.withColumn("_c", F.sum((F.lit(k) - F.col("r")) / sigma).over(w))
-    ends = inner.groupBy("_p").agg(F.max_by("_c", order).alias("end"), F.min("_c").alias("low"))
-    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    ends = ends.withColumn("_off", F.coalesce(F.sum("end").over(before), F.lit(0.0)))
-    ends = ends.withColumn("_lows", F.coalesce(F.min(F.col("low") + F.col("_off")).over(before), F.lit(0.0))).select("_p", "_off", "_lows")
-    joined = inner.join(F.broadcast(ends), "_p").withColumn("_t", F.col("_c") + F.col("_off"))
-    low = F.least(F.lit(0.0), F.col("_lows"), F.min("_t").over(w))
-    return joined.withColumn("cusum", F.col("_t") - low).drop("_p", "_c", "_off", "_lows", "_t")
+    ran = running(trades, by or [], [order], {"_c": (F.lit(k) - F.col("r")) / sigma}, low={"_low": "_c"})
+    return ran.withColumn("cusum", F.col("_c") - F.least(F.lit(0.0), F.col("_low"))).drop("_c", "_low")
 
 
 def rolling_expectancy(trades: DataFrame, window: int = ROLLING, *, by: list[str] | None = None, order: str = SEQ) -> DataFrame:
@@ -80,14 +67,17 @@ def rolling_expectancy(trades: DataFrame, window: int = ROLLING, *, by: list[str
 def edge_monitor(trades: DataFrame, base: Baseline, *, design: CusumDesign | None = None, window: int = ROLLING, slip: float = SLIP, slow: float = SLOW, by: list[str] | None = None, order: str = SEQ) -> DataFrame:
     """One verdict for each book. Only the CUSUM says DEGRADED; a low rolling mean or rate says SLIPPING; else HOLDING."""
     design, by = design or cusum_design(base), by or []
-    ran = rolling_expectancy(cusum_path(trades, design.k, design.sigma, by=by, order=order), window, by=by, order=order)
-    ran = ran.withColumn("_i", F.row_number().over(Window.partitionBy(*by).orderBy(order)))
+    ran = running(trades, by, [order], {"_c": (F.lit(design.k) - F.col("r")) / design.sigma, "_i": F.lit(1)}, low={"_low": "_c"})
+    ran = ran.withColumn("cusum", F.col("_c") - F.least(F.lit(0.0), F.col("_low")))
     date = _date(trades)
     days = (F.unix_micros(F.max(date)) - F.unix_micros(F.min(date))) / 86_400_000_000 if date else F.lit(None).cast("double")
     found = ran.groupBy(*by).agg(
         F.count("*").alias("n"), F.max_by("cusum", "_i").alias("cusum"), F.max("cusum").alias("peak"), F.min(F.when(F.col("cusum") > design.h, F.col("_i"))).alias("alarm_at"),
-        F.max_by("rolling", "_i").alias("rolling"), (F.count(date) if date else F.lit(0)).alias("dated"), days.alias("days"),
+        (F.count(date) if date else F.lit(0)).alias("dated"), days.alias("days"),
     )
+    latest = joined(ran.select(*by, "_i", "r"), found.select(*by, F.col("n").alias("_n")), by).where(F.col("_i") > F.col("_n") - window)
+    latest = latest.groupBy(*by).agg(F.when(F.count("*") == window, F.avg("r")).alias("rolling"))
+    found = joined(found, latest, by, "left")
     rate = F.when((F.col("dated") >= 2) & (F.col("days") > 0), F.col("dated") * 365.25 / F.col("days"))
     found = found.withColumn("rolling_ratio", F.col("rolling") / base.reference).withColumn("rate_ratio", rate / base.trades_per_year if base.trades_per_year else F.lit(None).cast("double"))
     alarm, low, thin = F.col("alarm_at").isNotNull(), F.coalesce(F.col("rolling_ratio") < slip, F.lit(False)), F.coalesce(F.col("rate_ratio") < slow, F.lit(False))

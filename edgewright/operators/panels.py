@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from edgewright.operators import metrics, resample
+from edgewright.operators.ordered import running
 from edgewright.schema import clean
 
 REASONS = {"SL": "stop", "TP": "target", "timeout": "time limit", "eod": "end of data"}
@@ -16,19 +17,15 @@ def order_date(trades: DataFrame) -> list[str]:
     return [next((c for c in ("exit_date", "entry_date") if c in trades.columns), "trade_seq"), "trade_seq"]
 
 
-def _running(trades: DataFrame, by: list[str] | None = None):
-    return Window.partitionBy(*(by or [])).orderBy(*order_date(trades)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-
-
 def cumulative_r(trades: DataFrame, by: list[str] | None = None) -> DataFrame:
     """``trades`` with ``cum_r``."""
-    return trades.withColumn("cum_r", F.sum(F.coalesce(clean("r"), F.lit(0.0))).over(_running(trades, by)))
+    return running(trades, by or [], order_date(trades), {"cum_r": clean("r")})
 
 
 def drawdown(trades: DataFrame, by: list[str] | None = None) -> DataFrame:
     """``trades`` with ``cum_r`` and ``drawdown``: how far it is below its highest value so far."""
-    ran = cumulative_r(trades, by)
-    return ran.withColumn("drawdown", F.col("cum_r") - F.max("cum_r").over(_running(trades, by)))
+    ran = running(trades, by or [], order_date(trades), {"cum_r": clean("r")}, high={"_high": "cum_r"})
+    return ran.withColumn("drawdown", F.col("cum_r") - F.col("_high")).drop("_high")
 
 
 def exit_reasons(trades: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -68,10 +65,10 @@ def gross_net(trades: DataFrame, cost: str | float | None = None) -> DataFrame:
     """``trades`` with running net and gross R; empty where there are no costs."""
     name = cost if isinstance(cost, str) else next((c for c in ("cost", "cost_r") if c in trades.columns), None)
     paid: Column = F.lit(float(cost)) if isinstance(cost, (int, float)) else F.coalesce(F.col(name), F.lit(0.0)) if name else F.lit(0.0)
-    w = _running(trades)
     rows = trades.withColumn("_c", paid)
     total = rows.agg(F.sum("_c").alias("total_cost"))
-    ran = rows.withColumns({"net": F.sum(F.coalesce(clean("r"), F.lit(0.0))).over(w), "gross": F.sum(F.coalesce(clean("r"), F.lit(0.0)) + F.col("_c")).over(w)})
+    r = F.coalesce(clean("r"), F.lit(0.0))
+    ran = running(rows, [], order_date(trades), {"net": r, "gross": r + F.col("_c")})
     return ran.join(F.broadcast(total)).where("total_cost != 0").drop("_c", "total_cost")
 
 
@@ -79,9 +76,8 @@ def concurrency(trades: DataFrame) -> DataFrame:
     """(t, open): how many trades are open after each moment; at equal times entries count first."""
     events = trades.where("entry_date is not null and exit_date is not null").select(F.explode(F.array(F.struct(F.col("entry_date").alias("t"), F.lit(1).alias("step")), F.struct(F.col("exit_date").alias("t"), F.lit(-1).alias("step")))).alias("e")).select("e.*")
     moments = events.groupBy("t").agg(F.sum(F.when(F.col("step") > 0, 1).otherwise(0)).alias("entries"), F.sum("step").alias("net"))
-    w = Window.orderBy("t").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    after = F.sum("net").over(w)
-    return moments.select("t", after.cast("bigint").alias("open"), (after - F.col("net") + F.col("entries")).cast("bigint").alias("peak"))
+    after = F.col("after")
+    return running(moments, [], ["t"], {"after": F.col("net")}).select("t", after.cast("bigint").alias("open"), (after - F.col("net") + F.col("entries")).cast("bigint").alias("peak"))
 
 
 def edge_ratio_curve(excursions: DataFrame) -> DataFrame:

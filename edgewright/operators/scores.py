@@ -3,17 +3,16 @@
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from edgewright.operators.ordered import joined, placed, value_ranks
 from edgewright.schema import finite
-
-
-def average_rank(value: str, by: list[str]) -> Column:
-    """The mean rank of ties."""
-    w = Window.partitionBy(*by)
-    return F.rank().over(w.orderBy(value)) + (F.count(F.lit(1)).over(w.partitionBy(*by, value)) - 1) / 2
+from edgewright.tables import written
 
 
 def correlation(a: str, b: str) -> Column:
@@ -21,14 +20,31 @@ def correlation(a: str, b: str) -> Column:
     return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
 
 
+def with_ranks_of(rows: DataFrame, cells: DataFrame, by: list[str]) -> DataFrame:
+    """``cells`` (by, a, b, k) of ``rows`` with the average ranks ra and rb of their values among the rows. Rows with equal
+    pairs are one cell, so a value that most rows have doesn't gather them."""
+    ra, rb = value_ranks(rows, by, "a", "ra"), value_ranks(rows, by, "b", "rb")
+    return joined(joined(cells, ra, [*by, "a"]), rb, [*by, "b"])
+
+
+def weighted(cells: DataFrame, by: list[str]) -> DataFrame:
+    """(by, n, c): rows and Pearson's correlation of ra and rb, each cell counting ``k`` times; NULL where one is constant."""
+    k, a, b = F.col("k"), F.col("ra"), F.col("rb")
+    sums = cells.groupBy(*by).agg(F.sum(k).alias("n"), *(F.sum(k * x).alias(name) for name, x in (("a", a), ("b", b))))
+    means = sums.select(*by, "n", (F.col("a") / F.col("n")).alias("ma"), (F.col("b") / F.col("n")).alias("mb"))
+    da, db = a - F.col("ma"), b - F.col("mb")
+    parts = joined(cells.select(*by, "k", "ra", "rb"), means, by).groupBy(*by, "n").agg(F.sum(k * da * db).alias("ab"), F.sum(k * da * da).alias("aa"), F.sum(k * db * db).alias("bb"))
+    return parts.select(*by, "n", F.try_divide("ab", F.sqrt(F.col("aa") * F.col("bb"))).alias("c"))
+
+
 def information_coefficient(preds: DataFrame, *, score: str = "score", label: str = "label", by: list[str] | None = None) -> DataFrame:
     """(n, ic): the correlation of average ranks; 0 for a missing column, under 5 rows or a constant side."""
     by = by or []
     if not {score, label} <= set(preds.columns):
         return preds.groupBy(*by).agg(F.lit(0).cast("bigint").alias("n"), F.lit(0.0).alias("ic"))
     rows = preds.select(*by, finite(score).alias("a"), finite(label).alias("b")).where("a is not null and b is not null")
-    ranked = rows.select(*by, average_rank("a", by).alias("ra"), average_rank("b", by).alias("rb"))
-    found = ranked.groupBy(*by).agg(F.count("*").alias("n"), correlation("ra", "rb").alias("c"))
+    cells = rows.groupBy(*by, "a", "b").agg(F.count("*").alias("k"))
+    found = weighted(with_ranks_of(rows, cells, by), by)
     return found.select(*by, "n", F.when(F.col("n") >= 5, F.coalesce("c", F.lit(0.0))).otherwise(0.0).alias("ic"))
 
 
@@ -46,10 +62,9 @@ def quantile_decay(preds: DataFrame, q: int = 5, *, score: str = "score", label:
     rows = preds.select(finite(score).alias("score"), finite(label).alias("label"), order).where("score is not null and label is not null")
     if rows.limit(q).count() < q:
         raise ValueError(f"{q} buckets need {q} rows with both score and label")
-    n = F.count(F.lit(1)).over(Window.partitionBy())
-    placed = rows.withColumns({"i": F.row_number().over(Window.orderBy("score", order)), "n": n})
-    bucket = F.greatest(F.lit(1), F.ceil((F.col("i") - 1) * q / F.greatest(F.col("n") - 1, F.lit(1)))).cast("int")
-    return placed.groupBy(bucket.alias("bucket")).agg(F.avg((F.col("label") > 0).cast("double")).alias("win_rate"), F.avg("score").alias("avg_score"), F.count("*").alias("n"))
+    ranked = placed(rows, [], ["score", order], "i").join(F.broadcast(rows.agg(F.count("*").alias("n"))))
+    bucket = F.greatest(F.lit(1), F.ceil(F.col("i") * q / F.greatest(F.col("n") - 1, F.lit(1)))).cast("int")
+    return ranked.groupBy(bucket.alias("bucket")).agg(F.avg((F.col("label") > 0).cast("double")).alias("win_rate"), F.avg("score").alias("avg_score"), F.count("*").alias("n"))
 
 
 def decay_summary(table: DataFrame) -> DataFrame:
@@ -75,15 +90,17 @@ def long_panel(panel: DataFrame, features: list[str], target: str, group: str, o
 
 def fold_ic(panel: DataFrame, features: list[str], target: str, *, group: str, order: str, n_splits: int = 5, min_test: int = 10, min_group: int = 40) -> DataFrame:
     """(feature, mean_ic, abs_ic, std_ic, ratio, n_folds): rank correlations in folds of each group's rows, in order."""
-    w = Window.partitionBy(group)
-    rows = panel.where(F.col(group).isNotNull()).withColumns({"_i": F.row_number().over(w.orderBy(order)) - 1, "_n": F.count(F.lit(1)).over(w)}).where(F.col("_n") >= min_group)
+    rows = panel.where(F.col(group).isNotNull())
+    sizes = rows.groupBy(group).agg(F.count("*").alias("_n")).where(F.col("_n") >= min_group)
+    rows = joined(placed(rows.select(group, order, target, *features), [group], [order], "_i"), sizes, [group])
     fold = F.floor(((F.col("_i") + 1) * n_splits - 1) / F.col("_n"))
     rows = rows.withColumn("fold", fold.cast("int"))
     cells = rows.select(F.col(group).alias("grp"), "fold", finite(target).alias("target"), *(finite(f).alias(f) for f in features)).unpivot(["grp", "fold", "target"], features, "feature", "value")
     by = ["grp", "fold", "feature"]
-    sized = cells.withColumns({"_rows": F.count(F.lit(1)).over(Window.partitionBy(*by))}).where(F.col("_rows") >= min_test).where("value is not null and target is not null")
-    ranked = sized.select(*by, "value", average_rank("value", by).alias("ra"), average_rank("target", by).alias("rb"))
-    ics = ranked.groupBy(*by).agg(F.countDistinct("value").alias("d"), correlation("ra", "rb").alias("ic")).where("d >= 2 and ic is not null")
+    thick = cells.groupBy(*by).agg(F.count("*").alias("_rows"), F.countDistinct(F.when(F.col("target").isNotNull(), F.col("value"))).alias("d")).where(F.col("_rows") >= min_test).where("d >= 2")
+    sized = written(cells.join(thick.select(*by), by).where("value is not null and target is not null").select(*by, F.col("value").alias("a"), F.col("target").alias("b")), "folds")
+    counted = sized.groupBy(*by, "a", "b").agg(F.count("*").alias("k"))
+    ics = weighted(with_ranks_of(sized, counted, by), by).select(*by, F.col("c").alias("ic")).where("ic is not null")
     found = ics.groupBy("feature").agg(F.avg("ic").alias("mean_ic"), F.abs(F.avg("ic")).alias("abs_ic"), F.stddev_pop("ic").alias("std_ic"), F.count("*").alias("n_folds"))
     return found.withColumn("ratio", F.try_divide("mean_ic", "std_ic")).orderBy(F.desc_nulls_last("abs_ic"), "feature")
 
@@ -94,26 +111,71 @@ def feature_kinds(panel: DataFrame, features: list[str], max_card: int = 3) -> t
     return [f for f in features if found[f] <= max_card], [f for f in features if found[f] > max_card]
 
 
+def gram(rows: DataFrame, vectors: str, width: int) -> DataFrame:
+    """(i, j, n, rho) of places i < j of arrays of doubles: Pearson's correlation over the rows where both are there, NULL
+    where one is constant. Tasks add up products of all pairs as matrices; what they send is one row for each pair."""
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        total = np.zeros((6, width, width))
+        for batch in batches:
+            flat = pa.compute.list_flatten(batch.column(0)).to_numpy(zero_copy_only=False).astype(float)
+            x = flat.reshape(-1, width)
+            there = (~np.isnan(x)).astype(float)
+            x = np.nan_to_num(x)
+            total += np.stack([there.T @ there, x.T @ there, there.T @ x, x.T @ x, (x * x).T @ there, there.T @ (x * x)])
+        i, j = np.triu_indices(width, 1)
+        names = ("n", "a", "b", "ab", "aa", "bb")
+        yield pa.RecordBatch.from_arrays([pa.array(i.astype("int32")), pa.array(j.astype("int32")), *(pa.array(t[i, j]) for t in total)], names=["i", "j", *names])
+
+    found = rows.select(vectors).mapInArrow(sums, "i int, j int, n double, a double, b double, ab double, aa double, bb double")
+    found = found.groupBy("i", "j").agg(*(F.sum(c).alias(c) for c in ("n", "a", "b", "ab", "aa", "bb")))
+    spread = lambda s, ss: F.greatest(F.lit(0.0), F.col(ss) - F.col(s) * F.col(s) / F.col("n"))
+    flat = (spread("a", "aa") <= 1e-12 * F.col("aa")) | (spread("b", "bb") <= 1e-12 * F.col("bb"))
+    rho = (F.col("ab") - F.col("a") * F.col("b") / F.col("n")) / F.sqrt(spread("a", "aa") * spread("b", "bb"))
+    return found.select("i", "j", F.col("n").cast("bigint").alias("n"), F.when((F.col("n") > 0) & ~flat, rho).alias("rho"))
+
+
+def rank_vectors(panel: DataFrame, features: list[str], order: str) -> DataFrame:
+    """(ranks) of every row: each feature's average rank in its column less the middle one, NULL where it is missing."""
+    cells = panel.select(F.col(order).alias("_row"), *(finite(f).alias(f) for f in features)).unpivot(["_row"], features, "feature", "value").where("value is not null")
+    ranks = value_ranks(cells, ["feature"], "value", "rank")
+    middle = cells.groupBy("feature").agg(((F.count("*") + 1) / 2).alias("middle"))
+    ranked = joined(joined(cells, ranks, ["feature", "value"]), middle, ["feature"]).select("_row", "feature", (F.col("rank") - F.col("middle")).alias("x"))
+    wide = ranked.groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("feature", "x"))).alias("m"))
+    return wide.select(F.array(*(F.try_element_at("m", F.lit(f)) for f in features)).alias("ranks"))
+
+
+def cramers_of_pairs(panel: DataFrame, features: list[str]) -> DataFrame:
+    """(a, b, v) of all pairs of few-valued features in order, missing values as 0, from the counts of all pairs at once."""
+    values = F.array(*(F.coalesce(finite(f), F.lit(0.0)) for f in features))
+    last = F.lit(len(features) - 1)
+    pair = lambda i, j: F.struct(i.alias("i"), j.alias("j"), F.get("x", i).alias("p"), F.get("x", j).alias("q"))
+    pairs = F.flatten(F.transform(F.sequence(F.lit(0), last - 1), lambda i: F.transform(F.sequence(i + 1, last), lambda j: pair(i, j))))
+    cells = panel.select(values.alias("x")).select(F.explode(pairs).alias("c")).groupBy("c.i", "c.j", "c.p", "c.q").agg(F.count("*").alias("o"))
+    left, right = cells.groupBy("i", "j", "p").agg(F.sum("o").alias("np")), cells.groupBy("i", "j", "q").agg(F.sum("o").alias("nq"))
+    sums = cells.join(left, ["i", "j", "p"]).join(right, ["i", "j", "q"]).groupBy("i", "j").agg(F.sum(F.col("o") * F.col("o") / (F.col("np") * F.col("nq"))).alias("t"), F.countDistinct("p").alias("r"), F.countDistinct("q").alias("c"))
+    low = F.least("r", "c")
+    v = F.when(low < 2, 0.0).otherwise(F.sqrt(F.greatest(F.lit(0.0), F.col("t") - 1) / F.greatest(low - 1, F.lit(1))))
+    names = F.array(*map(F.lit, features))
+    return sums.select(F.get(names, "i").alias("a"), F.get(names, "j").alias("b"), v.alias("v"))
+
+
 def redundancy_edges(panel: DataFrame, features: list[str], *, order: str, corr: float = 0.85, v: float = 0.80, max_card: int = 3) -> DataFrame:
     """(a, b, kind, strength) of pairs of features (a < b) that say the same: rank correlation, or Cramér's V of few-valued ones.
 
-    Ranks are taken in each column before pairs drop their missing rows. Pairs are of features, not rows: every pair's
-    statistic is one aggregate over the panel.
+    Ranks are taken in each column before pairs drop their missing rows. Neither the plan nor a task grows with the pairs
+    of rows; all pairs of features come from one pass each.
     """
-    few, many = feature_kinds(panel, features, max_card)
-    spark = panel.sparkSession
-    out = spark.createDataFrame([], "a string, b string, kind string, strength double")
+    few, many = map(sorted, feature_kinds(panel, features, max_card))
+    out = panel.sparkSession.createDataFrame([], "a string, b string, kind string, strength double")
     if len(many) > 1:
-        ranked = panel.select(*(F.when(finite(f).isNotNull(), average_rank(f, [])).alias(f) for f in many))
-        pairs = [(a, b) for i, a in enumerate(sorted(many)) for b in sorted(many)[i + 1 :]]
-        both = lambda a, b, x: F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), F.col(x))
-        stats = ranked.agg(*(F.abs(F.try_divide(F.covar_pop(both(a, b, a), both(a, b, b)), F.stddev_pop(both(a, b, a)) * F.stddev_pop(both(a, b, b)))).alias(f"{i}") for i, (a, b) in enumerate(pairs)))
-        rows = stats.select(F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit("rank").alias("kind"), F.col(f"`{i}`").alias("strength")) for i, (a, b) in enumerate(pairs)))).alias("x")).select("x.*")
-        out = out.union(rows.where(F.col("strength") >= corr))
-    filled = panel.select(*(F.coalesce(finite(f), F.lit(0.0)).alias(f) for f in few))
-    for i, a in enumerate(sorted(few)):
-        for b in sorted(few)[i + 1 :]:
-            out = out.union(cramers_v(filled, a, b).where(F.col("v") >= v).select(F.lit(a), F.lit(b), F.lit("cramer"), F.col("v")))
+        names = F.array(*map(F.lit, many))
+        pairs = gram(rank_vectors(panel, many, order), "ranks", len(many))
+        out = out.union(pairs.where(F.abs("rho") >= corr).select(F.get(names, "i"), F.get(names, "j"), F.lit("rank"), F.abs("rho")))
+    if len(few) > 1:
+        out = out.union(cramers_of_pairs(panel, few).where(F.col("v") >= v).select("a", "b", F.lit("cramer"), "v"))
     return out
 
 
@@ -150,17 +212,28 @@ def complete_panel(panel: DataFrame, min_obs: int = 30) -> DataFrame:
     """(ts, asset, ret) without missing values, thin assets, and then dates that lack an asset."""
     rows = panel.select("ts", "asset", finite("ret").alias("ret")).where("ret is not null")
     thick = rows.groupBy("asset").count().where(F.col("count") >= min_obs).select("asset")
-    rows = rows.join(F.broadcast(thick), "asset")
+    rows = rows.join(thick, "asset")
     width = thick.agg(F.count("*").alias("w"))
     full = rows.groupBy("ts").agg(F.count("*").alias("k")).join(F.broadcast(width)).where("k = w").select("ts")
     return rows.join(full, "ts")
 
 
+#: Assets of a panel at most, as all their pairs meet in each task and, for components, on the driver.
+MOST_ASSETS = 4000
+
+
 def correlations(panel: DataFrame, min_obs: int = 30) -> DataFrame:
-    """(a, b, rho) of all pairs of assets over the complete dates; dates join on themselves, assets are few."""
-    rows = complete_panel(panel, min_obs)
-    both = rows.select("ts", F.col("asset").alias("a"), F.col("ret").alias("x")).join(rows.select("ts", F.col("asset").alias("b"), F.col("ret").alias("y")), "ts")
-    return both.groupBy("a", "b").agg(correlation("x", "y").alias("rho"))
+    """(a, b, rho) of all pairs of assets, either way round and with themselves, over the complete dates. A date is one
+    array of its assets' returns, so no date is joined with itself."""
+    rows = written(complete_panel(panel, min_obs), "complete")
+    names = sorted(r.asset for r in rows.select("asset").distinct().limit(MOST_ASSETS + 1).collect())
+    if len(names) > MOST_ASSETS:
+        raise ValueError(f"there are more than {MOST_ASSETS} assets with {min_obs} dates: correlate groups of them")
+    dates = rows.groupBy("ts").agg(F.transform(F.sort_array(F.collect_list(F.struct("asset", "ret"))), lambda x: x["ret"]).alias("x"))
+    name = F.array(*map(F.lit, names)) if names else F.array().cast("array<string>")
+    pairs = gram(dates, "x", len(names)).select(F.get(name, "i").alias("a"), F.get(name, "j").alias("b"), "rho")
+    own = rows.groupBy("asset").agg(F.when(F.stddev_pop("ret") > 0, 1.0).alias("rho")).select(F.col("asset").alias("a"), F.col("asset").alias("b"), "rho")
+    return pairs.union(pairs.select("b", "a", "rho")).union(own)
 
 
 def effective_n(panel: DataFrame, min_obs: int = 30) -> DataFrame:

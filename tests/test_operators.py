@@ -250,15 +250,14 @@ def test_gate_logic(spark):
     assert not one(gates.gauntlet_verdict(soft))["passed"]
 
 
-def test_cusum_paths_agree(spark):
+def test_cusum_path_equals_the_recursion(spark):
     r = [0.5, -1.0, -1.0, 2.0, -0.7, 0.1, -1.3] * 9
     t = log(spark, r)
     level, want = 0.0, []
     for x in r:
         level = max(0.0, level + (0.1 - x) / 0.9)
         want.append(level)
-    for df in (monitor.cusum_path(t, 0.1, 0.9), monitor.two_level_cusum(t, 0.1, 0.9, parts=5)):
-        assert [x.cusum for x in df.orderBy("trade_seq").collect()] == pytest.approx(want)
+    assert [x.cusum for x in monitor.cusum_path(t, 0.1, 0.9).orderBy("trade_seq").collect()] == pytest.approx(want)
 
 
 def test_design_of_the_documented_size():
