@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from edgewright.functions import rng
 from edgewright.operators.barriers import TIMEOUT, chained, paths
+from edgewright.operators.ordered import joined, running
 from edgewright.operators.signals import by_bar
 
 
@@ -30,32 +31,29 @@ def random_entry_null(bars: DataFrame, side: str = "long", *, n_entries: int, n_
 def timing_null(bars: DataFrame, trades: DataFrame, *, n_samples: int = 2000, detrend: bool = True, seed: int = 42, price: str = "close") -> DataFrame:
     """(draw, mean): each trade's hold, direction and scale at a random start of the (detrended) series.
 
-    A window's compound return is a difference of running sums of logarithms. Trades need ``hold`` and may have
+    A window's compound return is a difference of running sums of logarithms, which a trade looks up by the places where
+    its window begins and ends: no series is one row, or sent whole to a task beyond what Spark broadcasts. Trades need ``hold`` and may have
     ``direction`` and ``scale``; a missing or short hold counts as 1, the others as 1.
     """
     before = F.lag(price).over(by_bar())
     returns = bars.select("symbol", "bar_seq", (F.try_divide(F.col(price), before) - 1).alias("x")).where("abs(x) < double('inf')")
-    mean = F.avg("x").over(Window.partitionBy("symbol")) if detrend else F.lit(0.0)
+    sizes = returns.groupBy("symbol").agg(F.avg("x").alias("mean"), F.count("*").alias("m")).where("m >= 3")
     # 1 + return may be zero or negative once detrended: its size, sign and zeros add up side by side
-    factor = 1 + F.col("x") - mean
-    run = by_bar().rowsBetween(Window.unboundedPreceding, 0)
-    steps = returns.withColumn("f", factor).select(
-        "symbol", "bar_seq", F.sum(F.when(F.col("f") == 0, 0.0).otherwise(F.log(F.abs("f")))).over(run).alias("y"), F.sum((F.col("f") < 0).cast("double")).over(run).alias("neg"), F.sum((F.col("f") == 0).cast("double")).over(run).alias("zero")
-    )
-    steps = steps.groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct("bar_seq", "y", "neg", "zero"))).alias("s"))
-
-    def sums_of(name: str):
-        return F.concat(F.array(F.lit(0.0)), F.transform("s", lambda x: x[name]))
-
-    sums = steps.where(F.size("s") >= 3).select("symbol", F.size("s").alias("m"), sums_of("y").alias("p"), sums_of("neg").alias("g"), sums_of("zero").alias("z"))
+    steps = joined(returns, sizes, ["symbol"]).withColumn("f", 1 + F.col("x") - (F.col("mean") if detrend else F.lit(0.0)))
+    summed = {"p": F.when(F.col("f") == 0, 0.0).otherwise(F.log(F.abs("f"))), "g": (F.col("f") < 0).cast("int"), "z": (F.col("f") == 0).cast("int"), "i": F.lit(1)}
+    sums = running(steps.select("symbol", "bar_seq", "f"), ["symbol"], ["bar_seq"], summed).select("symbol", F.col("i").cast("bigint").alias("i"), F.struct("p", "g", "z").alias("s"))
     one = F.lit(1.0)
     has = set(trades.columns)
     held = F.greatest(F.lit(1), F.coalesce(F.floor("hold"), F.lit(1))).cast("int")
     log = trades.select("symbol", "trade_seq", held.alias("hold"), (F.coalesce("direction", one) if "direction" in has else one).alias("direction"), (F.coalesce("scale", one) if "scale" in has else one).alias("scale"))
     draws = F.explode(F.sequence(F.lit(0), F.lit(n_samples - 1))).alias("draw")
-    placed = log.join(F.broadcast(sums), "symbol").withColumn("hold", F.least("hold", "m")).select("*", draws)
-    at = rng.index(F.col("m") - F.col("hold") + 1, seed, F.col("draw"), F.col("symbol"), F.col("trade_seq")).cast("int")
-    inside = lambda name: F.get(name, at + F.col("hold")) - F.get(name, at)
+    draws = F.explode(F.sequence(F.lit(0), F.lit(n_samples - 1))).alias("draw")
+    starts = log.join(sizes.select("symbol", "m"), "symbol").withColumn("hold", F.least("hold", "m")).select("*", draws)
+    at = rng.index(F.col("m") - F.col("hold") + 1, seed, F.col("draw"), F.col("symbol"), F.col("trade_seq")).cast("bigint")
+    starts = starts.select("symbol", "draw", (F.col("direction") * F.col("scale")).alias("w"), at.alias("at"), (at + F.col("hold")).alias("to"))
+    # sums are looked up by place; none is at place 0
+    ends = starts.join(sums.select("symbol", F.col("i").alias("to"), F.col("s").alias("b")), ["symbol", "to"])
+    ends = ends.join(sums.select("symbol", F.col("i").alias("at"), F.col("s").alias("a")), ["symbol", "at"], "left")
+    inside = lambda name: F.col("b")[name] - F.coalesce(F.col("a")[name], F.lit(0.0))
     grown = F.when(inside("z") > 0, 0.0).otherwise(F.exp(inside("p")) * F.when(inside("g") % 2 == 0, 1.0).otherwise(-1.0))
-    made = (grown - 1) * F.col("direction") * F.col("scale")
-    return placed.select("draw", made.alias("v")).groupBy("draw").agg(F.avg("v").alias("mean"))
+    return ends.select("draw", ((grown - 1) * F.col("w")).alias("v")).groupBy("draw").agg(F.avg("v").alias("mean"))

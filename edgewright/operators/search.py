@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from edgewright.functions import rng
 from edgewright.operators import resample
-from edgewright.operators.resample import book, checked, positions
+from edgewright.operators.ordered import placed
+from edgewright.operators.resample import book
 from edgewright.schema import SEQ, clean
 
 N_PERM, SEED = 5000, 42
@@ -18,10 +19,16 @@ N_PERM, SEED = 5000, 42
 
 def sign_permutation(trades: DataFrame, *, n_perm: int = N_PERM, seed: int = SEED) -> DataFrame:
     """(n, observed, p_value): how often random signs do as well as the signs observed."""
-    books = book(checked(trades)).select("n", "rs", F.when(F.col("n") > 0, F.aggregate("rs", F.lit(0.0), lambda a, x: a + x) / F.col("n")).alias("observed"))
-    each = trades.sparkSession.range(n_perm).withColumnRenamed("id", "draw").join(F.broadcast(books.where("n > 0")))
-    flipped = F.aggregate(F.transform("rs", lambda x, i: F.abs(x) * rng.sign(seed, F.col("draw"), i)), F.lit(0.0), lambda a, x: a + x) / F.col("n")
-    hits = each.agg(F.sum((flipped >= F.col("observed") - 1e-12).cast("int")).alias("hits"))
+    if trades.count() <= resample.LARGEST_BOOK:
+        books = book(trades).select("n", "rs", F.when(F.col("n") > 0, F.aggregate("rs", F.lit(0.0), lambda a, x: a + x) / F.col("n")).alias("observed"))
+        each = trades.sparkSession.range(n_perm).withColumnRenamed("id", "draw").join(F.broadcast(books.where("n > 0")))
+        means = each.select("draw", (F.aggregate(F.transform("rs", lambda x, i: F.abs(x) * rng.sign(seed, F.col("draw"), i)), F.lit(0.0), lambda a, x: a + x) / F.col("n")).alias("mean"))
+    else:  # each row takes its own signs, and tasks add up by draw before anything is shuffled
+        rows = placed(trades.select(SEQ, clean("r").alias("r")).where("r is not null"), [], [SEQ], "i")
+        books = rows.agg(F.count("*").alias("n"), F.avg("r").alias("observed"))
+        each = rows.select("i", "r", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_perm - 1).cast("bigint"))).alias("draw"))
+        means = each.groupBy("draw").agg(F.avg(F.abs("r") * rng.sign(seed, F.col("draw"), F.col("i"))).alias("mean"))
+    hits = means.join(F.broadcast(books.select("observed"))).agg(F.sum((F.col("mean") >= F.col("observed") - 1e-12).cast("int")).alias("hits"))
     return books.join(F.broadcast(hits)).select("n", "observed", F.coalesce((F.col("hits") + 1) / F.lit(n_perm + 1), F.lit(1.0)).alias("p_value"))
 
 
@@ -50,7 +57,7 @@ def _best_means(kept: DataFrame, variants: DataFrame, scale: str | None, n_perm:
         mean = F.aggregate(F.transform("rs", lambda x, i: x * rng.sign(seed, F.col("draw"), F.col("variant_ord"), i)), F.lit(0.0), lambda a, x: a + x) / F.size("rs")
         means = each.select("draw", (mean / F.col(scale) if scale else mean).alias("m"))
     else:
-        each = positions(rows, keys, order="obs_seq").select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_perm - 1).cast("bigint"))).alias("draw"))
+        each = placed(rows, keys, ["obs_seq"], "i").select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_perm - 1).cast("bigint"))).alias("draw"))
         mean = F.avg(F.abs("r") * rng.sign(seed, F.col("draw"), F.col("variant_ord"), F.col("i")))
         means = each.groupBy(*keys, "draw").agg((mean / F.col(scale) if scale else mean).alias("m"))
     return means.groupBy("draw").agg(F.max("m").alias("best"))

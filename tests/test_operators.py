@@ -60,36 +60,55 @@ def test_draws_do_not_depend_on_partitions(spark):
     assert a == b
 
 
-def test_distributed_draws_equal_folded_ones(spark):
-    t = log(spark, [0.5, -1.0, 2.0, 0.1, -0.3, 1.1])
-    small = {r.draw: r.expectancy for r in resample.draws(resample.book(t), 20, 3, ("expectancy",)).collect()}
-    large = {r.draw: r.expectancy for r in resample.distributed_draws(t.repartition(3), 20, 3, ("expectancy",)).collect()}
-    assert small.keys() == large.keys() and all(small[k] == pytest.approx(large[k]) for k in small)
-
-
-def test_large_books_give_the_same_answers(spark, monkeypatch):
-    seq = list(range(23))
-    t = log(spark, [((7 * i) % 11) - 4.5 for i in seq]).withColumn("market", F.when(F.col("trade_seq") < 16, "a").otherwise("b"))
+def test_multinomial_draws_follow_the_law_of_folded_ones(spark, monkeypatch):
+    r = [((7 * i) % 11) - 4.5 + (i % 3) / 7 for i in range(60)]
+    t = log(spark, r).withColumn("market", F.when(F.col("trade_seq") < 45, "a").otherwise("b"))
+    monkeypatch.setattr(resample, "RANGE_ROWS", 7)
+    names = ("expectancy", "win_rate", "sqn", "profit_factor")
+    for by in ([], ["market"]):
+        ask = lambda df: resample.multinomial_draws(df, 3000, 5, names, by=by)
+        drawn = ask(t).toPandas()
+        again = ask(t.repartition(5)).toPandas()
+        keys = [*by, "draw"]
+        a, b = (x.sort_values(keys)[list(names)].to_numpy() for x in (drawn, again))
+        assert a == pytest.approx(b)  # partitions change no more than the order of sums
+        folded = resample.draws(resample.book(t, by), 3000, 5, names, by).toPandas()
+        assert len(drawn) == len(folded)
+        for group in ("a", "b") if by else (None,):
+            x, y = (d[d["market"] == group] if by else d for d in (drawn, folded))
+            own = [v for i, v in enumerate(r) if group is None or (i < 45) == (group == "a")]
+            assert x["expectancy"].mean() == pytest.approx(sum(own) / len(own), abs=0.06)
+            for m in names:
+                for q in (0.05, 0.25, 0.5, 0.75, 0.95):
+                    assert x[m].quantile(q) == pytest.approx(y[m].quantile(q), abs=0.15 * y[m].std() + (1.01 / len(own) if m == "win_rate" else 0))
+
+
+def test_ranges_share_a_draw_without_remainder():
+    for n, width in ((60, 7), (7, 7), (1000, 3)):
+        shares = [resample._taken(n, at, width, 64, 10, 1) for at in range(-(-n // width))]
+        assert (sum(shares) == n).all() and all((x >= 0).all() for x in shares)
+
+
+def test_large_books_give_the_same_blocks_and_signs(spark, monkeypatch):
+    t = log(spark, [((7 * i) % 11) - 4.5 if i != 5 else float("nan") for i in range(23)])
     ask = (
-        lambda: sorted(map(tuple, resample.reality_check(t, n_boot=30, by=["market"]).select("market", "n", "ci_low", "ci_high", "p_positive", "verdict").collect())),
-        lambda: sorted(map(tuple, resample.bootstrap_metric_cis(t, n_boot=30).select("metric", "point", "ci_low", "ci_high").collect())),
-        lambda: [tuple(resample.bootstrap_ci(t, "profit_factor", n_boot=30).select("point", "ci_low", "ci_high").first())],
-    )
+        lambda: one(resample.block_bootstrap(t, n_boot=40)), lambda: one(resample.block_bootstrap(t, n_boot=40, block=50)),
+        lambda: one(resample.block_bootstrap(t, n_boot=40, stationary=True)), lambda: one(search.sign_permutation(t, n_perm=40)),
+    )
     folded = [f() for f in ask]
-    for name, n in (("LARGEST_BOOK", 5), ("RANGE_ROWS", 4), ("SLOTS", 3)):
+    for name, n in (("LARGEST_BOOK", 5), ("SLOTS", 3)):
         monkeypatch.setattr(resample, name, n)
     for want, got in zip(folded, [f() for f in ask], strict=True):
-        assert len(want) == len(got)
-        for x, y in zip(want, got, strict=True):
-            assert [v for v in x if isinstance(v, str)] == [v for v in y if isinstance(v, str)]
-            assert [v for v in x if not isinstance(v, str)] == pytest.approx([v for v in y if not isinstance(v, str)])
-    with pytest.raises(ValueError, match="too many"):
-        resample.block_bootstrap(t, n_boot=5)
+        assert got == pytest.approx(want)
+    monkeypatch.setattr(resample, "RANGE_ROWS", 4)
+    got = one(resample.bootstrap_metric_cis(t, ("expectancy",), n_boot=400))
+    assert got["ci_low"] < got["point"] < got["ci_high"]
+    assert one(resample.reality_check(t, n_boot=100))["n"] == 22
 
 
-def test_distributed_draws_of_no_trades(spark):
+def test_multinomial_draws_of_no_trades(spark):
     empty = log(spark, [1.0]).where("r > 5")
-    assert resample.distributed_draws(empty, 5, 3, ("expectancy",)).count() == 0
+    assert resample.multinomial_draws(empty, 5, 3, ("expectancy",)).count() == 0
 
 
 def test_strong_and_weak_books(spark):
@@ -111,7 +130,6 @@ def test_large_searches_give_the_same_answers(spark, monkeypatch):
     ask = (lambda: one(search.whites_reality_check(variants, n_perm=40)), lambda: one(search.spa_test(variants, n_perm=40)))
     folded = [f() for f in ask]
     monkeypatch.setattr(resample, "LARGEST_BOOK", 5)
-    monkeypatch.setattr(resample, "RANGE_ROWS", 4)
     assert [f() for f in ask] == folded
 
 
