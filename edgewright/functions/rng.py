@@ -25,3 +25,25 @@ def sign(*key: Column | int | str) -> Column:
 def uniform(*key: Column | int | str) -> Column:
     """A double in [0, 1)."""
     return u52(*key) / F.lit(float(2**52))
+
+
+#: Rounds of a permutation, and times that it is applied until the result is in range; each misses with at most one chance
+#: in the square root of the range, and never more often than that root itself.
+ROUNDS, WALKS = 4, 16
+
+
+def permuted(x: Column, m: Column, *key: Column | int | str) -> Column:
+    """Where a random permutation of 0 to m - 1 puts ``x``: so the first k of it are k different random numbers, at the cost
+    of k. A number is a place in a grid of about m cells; rounds shift its row by a random function of its column and its
+    column by one of its row, and what falls outside the m cells goes on."""
+    a = F.ceil(F.sqrt(m.cast("double"))).cast("bigint")
+    b = F.ceil(m / a).cast("bigint")
+
+    def round_(s: Column, j: Column) -> Column:
+        column = s % b
+        row = ((s - column) / b).cast("bigint")
+        return F.when(j % 2 == 1, (row + u52(*key, j, column)) % a * b + column).otherwise(row * b + (column + u52(*key, j, row)) % b)
+
+    once = lambda s: F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), s, round_)
+    walked = F.aggregate(F.sequence(F.lit(1), F.lit(WALKS - 1)), once(x.cast("bigint")), lambda s, i: F.when(s >= m, once(s)).otherwise(s))
+    return F.when(walked < m, walked).otherwise(F.raise_error(F.lit("a permutation did not come back into its range")).cast("bigint"))

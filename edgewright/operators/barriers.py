@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from edgewright.operators.signals import by_bar, with_atr
+from edgewright.tables import written
 
 TIMEOUT = 20
 TRADE_COLUMNS = ("symbol", "trade_seq", "r", "mfe", "mae", "bars_held", "entry_date", "exit_date", "exit_reason")
@@ -20,6 +21,7 @@ def paths(bars: DataFrame, side: str = "long", *, tp: float = 2.0, sl: float = 1
     """
     if entry not in ("next_open", "close"):
         raise ValueError(f"entry must be 'next_open' or 'close', not {entry!r}")
+    plain = bars
     if risk_unit == "atr" and "atr" not in bars.columns:
         bars = with_atr(bars)
     s = 1.0 if side == "long" else -1.0
@@ -34,7 +36,7 @@ def paths(bars: DataFrame, side: str = "long", *, tp: float = 2.0, sl: float = 1
     candidates = candidates.withColumn("risk", sl * F.col("unit"))
     candidates = candidates.withColumns({"stop": F.col("ep") - s * F.col("risk"), "goal": F.col("ep") + s * tp * F.col("unit")})
     spread = candidates.withColumn("block", F.explode(F.array(F.floor(F.col("ei") / block), F.floor(F.col("ei") / block) + 1)))
-    ahead = bars.select(F.col("symbol").alias("sym"), F.floor(F.col("bar_seq") / block).alias("blk"), F.col("bar_seq").alias("j"), F.col("ts").alias("t"), "high", "low", "close")
+    ahead = plain.select(F.col("symbol").alias("sym"), F.floor(F.col("bar_seq") / block).alias("blk"), F.col("bar_seq").alias("j"), F.col("ts").alias("t"), "high", "low", "close")
     steps = spread.join(ahead, (F.col("symbol") == F.col("sym")) & (F.col("block") == F.col("blk")) & (F.col("j") >= F.col("ei")) & (F.col("j") <= F.col("ei") + timeout))
     best, worst = (F.col("high"), F.col("low")) if s > 0 else (F.col("low"), F.col("high"))
     stopped = F.col("low") <= F.col("stop") if s > 0 else F.col("high") >= F.col("stop")
@@ -70,7 +72,7 @@ def chained(found: DataFrame, by: list[str], longest: int, block: int = BLOCK) -
     block = max(block, 4 * longest)
     others = [c for c in found.columns if c not in by]
     rows = found.select(*by, F.floor(F.col("bar_seq") / block).alias("_block"), F.struct("bar_seq", "exit_seq", *(c for c in others if c not in ("bar_seq", "exit_seq"))).alias("_x"))
-    blocks = rows.groupBy(*by, "_block").agg(F.sort_array(F.collect_list("_x")).alias("_xs"))
+    blocks = written(rows.groupBy(*by, "_block").agg(F.sort_array(F.collect_list("_x")).alias("_xs")), "blocks")
     first = F.col("_block") * block - 1  # a trade that exits here or before leaves the whole block free
     spans = F.transform("_xs", lambda x: F.struct(x["bar_seq"].cast("bigint").alias("i"), x["exit_seq"].cast("bigint").alias("j")))
     leaves = lambda free: F.aggregate("spans", free, lambda at, x: F.when(x["i"] > at, x["j"]).otherwise(at))

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from edgewright.operators import metrics, resample, search, walkforward
-from edgewright.operators.nulls import random_entry_null, timing_null
+from edgewright.operators.nulls import random_entry_null, simulated_means, timing_null
+from edgewright.schema import clean
 
 CHECKS = "gate_ord int, gate string, check_ord int, name string, passed boolean, value double, threshold double, hard boolean, detail string"
 
@@ -82,8 +83,44 @@ def audit_text(table: DataFrame) -> str:
     return "\n".join([*lines, f"verdict: {'PASS' if whole else 'FAIL'}"])
 
 
-def gate_real(trades: DataFrame, *, variants: DataFrame | None = None, n_variants=1, bars: DataFrame | None = None, null: str = "random_entry", side: str = "long", t: Thresholds = Thresholds(), **simulation) -> DataFrame:
-    """Is it luck? A permutation p (White's if variants are given, Šidák's otherwise), and the timing null if prices are."""
+def mean_hold(trades: DataFrame, default: int = 20) -> int:
+    """The mean holding time of a log in bars, at least 1; ``default`` if it has none."""
+    if "bars_held" not in trades.columns:
+        return default
+    mean = trades.agg(F.avg(clean("bars_held"))).first()[0]
+    return default if mean is None else max(1, round(mean))
+
+
+def null_means(trades: DataFrame, bars: DataFrame, null: str, *, side: str, hold: int | None, null_scale: str | None, t: Thresholds, **simulation) -> tuple[DataFrame, str]:
+    """(x) of every simulation that made trades, and what they are. Random entries are as many in each symbol as the log's
+    own; a log without symbols shares its number among all."""
+    if null == "random_entry":
+        own = trades.count()
+        if "symbol" in trades.columns:
+            entries = trades.groupBy("symbol").agg(F.count("*").alias("n_entries"))
+        else:
+            entries = -(-own // max(1, bars.select("symbol").distinct().count()))
+        simulation.setdefault("timeout", hold if hold is not None else mean_hold(trades))
+        sims = simulated_means(random_entry_null(bars, side, n_entries=entries, n_sims=t.n_sims, seed=t.seed, **simulation))
+        return sims.select(F.col("mean").alias("x")).where("abs(x) < double('inf')"), "random entries on the same prices"
+    if null != "detrended":
+        raise ValueError(f"null must be 'random_entry' or 'detrended', not {null!r}")
+    held = clean("bars_held") if "bars_held" in trades.columns else F.lit(float(hold if hold is not None else mean_hold(trades)))
+    log = trades.withColumn("hold", held)
+    if "direction" not in log.columns:
+        log = log.withColumn("direction", F.lit(1.0 if side == "long" else -1.0))
+    log = log.withColumn("scale", F.col(null_scale)) if null_scale else log.drop("scale")
+    sims = timing_null(bars, log, n_samples=t.n_sims, seed=t.seed).select(F.col("mean").alias("x")).where("abs(x) < double('inf')")
+    return sims, f"random times of detrended prices, same holds and directions, in {'R' if null_scale else 'return'} units"
+
+
+def gate_real(trades: DataFrame, *, variants: DataFrame | None = None, n_variants=1, bars: DataFrame | None = None, null: str = "random_entry", side: str = "long", hold: int | None = None, null_scale: str | None = None, t: Thresholds = Thresholds(), **simulation) -> DataFrame:
+    """Is it luck? A permutation p (White's if variants are given, Šidák's otherwise), and the timing null if prices are.
+
+    ``hold`` is how long random entries are held: the log's own mean if it is not given. ``null_scale`` names a column that
+    brings a detrended null to the unit of r (entry over risk, for a log in R). Without prices, or if no simulation makes
+    a trade, the check of timing is soft and not passed: it was skipped.
+    """
     rows: list[tuple] = []
     if variants is not None:
         p = search.whites_reality_check(variants, n_perm=t.n_perm, seed=t.seed).first().p_value
@@ -93,20 +130,14 @@ def gate_real(trades: DataFrame, *, variants: DataFrame | None = None, n_variant
         n = search.variant_count(n_variants)
         p = search.sidak(p, n) if n > 1 else p
         rows.append((0, "REAL", 0, "permutation", p < t.alpha, p, t.alpha, True, f"{n} variants"))
-    n = trades.count()
-    if bars is None or not n:
-        rows.append((0, "REAL", 1, "random_timing", True, None, None, False, "no prices"))
+    skipped = lambda why: (0, "REAL", 1, "random_timing", False, None, None, False, f"skipped: {why}")
+    if bars is None or trades.isEmpty():
+        rows.append(skipped("no prices"))
     else:
-        point = trades.agg(F.avg("r")).first()[0]
-        if null == "random_entry":
-            sims = random_entry_null(bars, side, n_entries=n, n_sims=t.n_sims, seed=t.seed, **simulation).select(F.col("expectancy").alias("x"))
-        elif null == "detrended":
-            log = trades.withColumn("hold", F.col("bars_held"))
-            sims = timing_null(bars, log if "direction" in log.columns else log.withColumn("direction", F.lit(1.0 if side == "long" else -1.0)), n_samples=t.n_sims, seed=t.seed).select(F.col("mean").alias("x"))
-        else:
-            raise ValueError(f"null must be 'random_entry' or 'detrended', not {null!r}")
-        bar = sims.agg(F.percentile("x", F.lit(t.null_percentile))).first()[0]
-        rows.append((0, "REAL", 1, "random_timing", bar is not None and point > bar, point, bar, True, null))
+        sims, what = null_means(trades, bars, null, side=side, hold=hold, null_scale=null_scale, t=t, **simulation)
+        point = trades.agg(F.avg(clean("r"))).first()[0] or 0.0
+        found = sims.agg(F.percentile("x", F.lit(t.null_percentile)).alias("bar"), F.avg((F.col("x") < point).cast("double")).alias("beaten")).first()
+        rows.append(skipped("the null made no trades") if found.bar is None else (0, "REAL", 1, "random_timing", point > found.bar, point, found.bar, True, f"beats {found.beaten:.0%} of {what}"))
     return checks(trades.sparkSession, rows)
 
 

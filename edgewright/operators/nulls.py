@@ -8,24 +8,30 @@ from pyspark.sql import functions as F
 from edgewright.functions import rng
 from edgewright.operators.barriers import TIMEOUT, chained, paths
 from edgewright.operators.ordered import joined, running
-from edgewright.operators.signals import by_bar
+from edgewright.operators.signals import by_bar, random_picks
 
 
-def random_entry_null(bars: DataFrame, side: str = "long", *, n_entries: int, n_sims: int = 1000, seed: int = 42, **options) -> DataFrame:
+def random_entry_null(bars: DataFrame, side: str = "long", *, n_entries: int | DataFrame, n_sims: int = 1000, seed: int = 42, **options) -> DataFrame:
     """(sim, symbol, expectancy, n): mean R of barrier trades at random bars. Paths are resolved once for all bars.
 
-    Each simulation picks its bars by rank of a number of its own, so simulations run in parallel; overlaps drop out
-    as in real trading, so that n may fall short of ``n_entries``.
+    Each simulation draws its bars without the others, each bar a row that looks its path up, so a simulation costs as
+    much as its entries. Overlaps drop out as in real trading, so that n may fall short of ``n_entries``: a number for
+    every symbol, or a table (symbol, n_entries) of each one's own.
     """
     found = paths(bars, side, **options).select("symbol", "bar_seq", "exit_seq", "r")
-    bars_ = bars.groupBy("symbol").agg(F.max("bar_seq").alias("last"))
-    each = bars.sparkSession.range(n_sims).withColumnRenamed("id", "sim")
-    # a simulation's picks of each symbol, as one array: ranks of its numbers among all bars but the last
-    picks = each.join(F.broadcast(bars_)).withColumn("ranked", F.sort_array(F.transform(F.sequence(F.lit(0), F.col("last") - 1), lambda i: F.struct(rng.u52(seed, F.col("sim"), F.col("symbol"), i).alias("u"), i.cast("bigint").alias("i")))))
-    picked = picks.select("sim", "symbol", F.explode(F.transform(F.slice("ranked", 1, n_entries), lambda x: x["i"])).alias("bar_seq"))
+    lasts = bars.groupBy("symbol").agg(F.max("bar_seq").cast("bigint").alias("last"))
+    own = n_entries if isinstance(n_entries, DataFrame) else lasts.select("symbol", F.lit(n_entries).alias("n_entries"))
+    lasts = lasts.join(own.select("symbol", F.col("n_entries").cast("bigint").alias("n_entries")), "symbol")
+    each = lasts.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_sims - 1).cast("bigint"))).alias("sim"))
+    picked = random_picks(each, F.col("n_entries"), seed, "sim", "symbol").select("sim", "symbol", "bar_seq")
     taken = chained(picked.join(found, ["symbol", "bar_seq"]), ["sim", "symbol"], options.get("timeout", TIMEOUT) + 1)
     made = taken.groupBy("sim", "symbol").agg(F.avg("r").alias("expectancy"), F.count("*").alias("n"))
-    return each.join(F.broadcast(bars_.select("symbol"))).join(made, ["sim", "symbol"], "left").select("sim", "symbol", "expectancy", F.coalesce("n", F.lit(0)).alias("n"))
+    return each.select("sim", "symbol").join(made, ["sim", "symbol"], "left").select("sim", "symbol", "expectancy", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def simulated_means(null: DataFrame) -> DataFrame:
+    """(sim, mean, n) of a random-entry null: the mean R of each simulation over all its symbols, NULL without trades."""
+    return null.groupBy("sim").agg(F.try_divide(F.sum(F.col("expectancy") * F.col("n")), F.sum("n")).alias("mean"), F.sum("n").alias("n"))
 
 
 def timing_null(bars: DataFrame, trades: DataFrame, *, n_samples: int = 2000, detrend: bool = True, seed: int = 42, price: str = "close") -> DataFrame:

@@ -1,7 +1,8 @@
 """Running sums, extremes, positions and ranks in two levels: no group, nor a whole table, is one task's window.
 
 Rows are dealt into ranges of (group, order), so a long group is many ranges; each range runs by itself, and a table of
-one row for each group and range carries what came before. Ties of the first order column part by the others.
+one row for each group and range carries what came before. Ties of the first order column part by the others. Where the
+largest group has at most ``WINDOW_ROWS`` rows, which is counted first, a window of that size does the same in one step.
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 
 from edgewright.tables import written
 
+#: Rows of a group that one task may put in order.
+WINDOW_ROWS = 250_000
 _UP_TO = (Window.unboundedPreceding, Window.currentRow)
 _PART = "_part"
 
@@ -27,10 +30,20 @@ def joined(df: DataFrame, other: DataFrame, keys: list[str], how: str = "inner")
     return df.join(renamed, condition, how).drop(*(f"_on_{k}" for k in keys))
 
 
+def small(df: DataFrame, by: list[str]) -> bool:
+    """Whether no group has more rows than one task may put in order."""
+    return ((df.groupBy(*by).count().agg(F.max("count")).first()[0] or 0) if by else df.count()) <= WINDOW_ROWS
+
+
 def running(df: DataFrame, by: list[str], order: list[str], sums: dict[str, Column], *, high: dict[str, str] | None = None, low: dict[str, str] | None = None) -> DataFrame:
     """``df`` with running sums (name to what adds up; null adds nothing) in the order of each group's rows, and the highest
     or lowest value so far (name to the sum it watches) of such sums. ``order`` must tell a group's rows apart."""
     high, low = high or {}, low or {}
+    kept = [c for c in df.columns if c not in (*sums, *high, *low)]
+    if small(df, by):
+        whole = Window.partitionBy(*by).orderBy(*order).rowsBetween(*_UP_TO)
+        one = df.select(*(F.col(f"`{c}`") for c in kept), *(F.sum(F.coalesce(c.cast("double"), F.lit(0.0))).over(whole).alias(n) for n, c in sums.items()))
+        return one.select("*", *(F.max(of).over(whole).alias(n) for n, of in high.items()), *(F.min(of).over(whole).alias(n) for n, of in low.items()))
     ranged = written(df.withColumns({f"_v_{n}": F.coalesce(c.cast("double"), F.lit(0.0)) for n, c in sums.items()}).repartitionByRange(*by, *order).withColumn(_PART, F.spark_partition_id()), "ranged")
     inside = Window.partitionBy(*by, _PART).orderBy(*order).rowsBetween(*_UP_TO)
     own = ranged.withColumns({f"_s_{n}": F.sum(f"_v_{n}").over(inside) for n in sums})
@@ -47,7 +60,6 @@ def running(df: DataFrame, by: list[str], order: list[str], sums: dict[str, Colu
     out = {n: F.col(f"_s_{n}") + F.col(f"_off_{n}") for n in sums}
     out |= {n: F.greatest(F.col(f"_far_{n}"), F.col(f"_h_{n}") + F.col(f"_off_{of}")) for n, of in high.items()}
     out |= {n: F.least(F.col(f"_far_{n}"), F.col(f"_l_{n}") + F.col(f"_off_{of}")) for n, of in low.items()}
-    kept = [c for c in df.columns if c not in out]
     return both.select(*(F.col(f"`{c}`") for c in kept), *(c.alias(n) for n, c in out.items()))
 
 
@@ -64,8 +76,7 @@ def value_ranks(df: DataFrame, by: list[str], value: str, name: str) -> DataFram
     return ran.select(*by, value, (F.col("_upto") - (F.col("_k") - 1) / 2).alias(name))
 
 
-def with_ranks(df: DataFrame, by: list[str], values: dict[str, str]) -> DataFrame:
-    """``df`` with average ranks (name to column), which look their value up; Spark splits a value that very many rows have."""
-    for name, value in values.items():
-        df = joined(df, value_ranks(df, by, value, name), [*by, value])
-    return df
+def average_rank(value: str, by: list[str]) -> Column:
+    """The same as a window over a group, for groups that are ``small``."""
+    w = Window.partitionBy(*by)
+    return F.rank().over(w.orderBy(value)) + (F.count(F.lit(1)).over(w.partitionBy(*by, value)) - 1) / 2

@@ -9,7 +9,10 @@ from edgewright.operators import metrics, resample
 from edgewright.operators.ordered import running
 from edgewright.schema import clean
 
-REASONS = {"SL": "stop", "TP": "target", "timeout": "time limit", "eod": "end of data"}
+#: Codes of exits that simulators write, and their labels; other codes stand for themselves.
+REASONS = {
+    "tp": "take-profit", "stop": "stop-out", "hard": "hard stop", "timeout": "timeout", "neutral": "ride to neutral", "maxhold": "max hold", "reject": "rejection exit", "eod": "end of data",
+}
 
 
 def order_date(trades: DataFrame) -> list[str]:

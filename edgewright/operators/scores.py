@@ -10,7 +10,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from edgewright.operators.ordered import joined, placed, value_ranks
+from edgewright.operators.ordered import average_rank, joined, placed, small, value_ranks
 from edgewright.schema import finite
 from edgewright.tables import written
 
@@ -20,21 +20,21 @@ def correlation(a: str, b: str) -> Column:
     return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
 
 
-def with_ranks_of(rows: DataFrame, cells: DataFrame, by: list[str]) -> DataFrame:
-    """``cells`` (by, a, b, k) of ``rows`` with the average ranks ra and rb of their values among the rows. Rows with equal
-    pairs are one cell, so a value that most rows have doesn't gather them."""
-    ra, rb = value_ranks(rows, by, "a", "ra"), value_ranks(rows, by, "b", "rb")
-    return joined(joined(cells, ra, [*by, "a"]), rb, [*by, "b"])
-
-
-def weighted(cells: DataFrame, by: list[str]) -> DataFrame:
-    """(by, n, c): rows and Pearson's correlation of ra and rb, each cell counting ``k`` times; NULL where one is constant."""
+def rank_correlation(rows: DataFrame, by: list[str]) -> DataFrame:
+    """(by, n, c): Pearson's correlation of the average ranks of ``a`` and ``b`` in each group, NULL where one is constant;
+    neither they nor ``by`` are missing. Rows with equal pairs are one cell, which looks both its ranks up, so a value
+    that most rows have doesn't gather them. Average ranks have the mean (n + 1) / 2, so one pass adds up all there is."""
+    if small(rows, by):
+        cells = rows.select(*by, F.lit(1).alias("k"), average_rank("a", by).alias("ra"), average_rank("b", by).alias("rb"))
+    else:
+        cells = rows.groupBy(*by, "a", "b").agg(F.count("*").alias("k"))
+        cells = cells.join(value_ranks(rows, by, "a", "ra"), [*by, "a"]).join(value_ranks(rows, by, "b", "rb"), [*by, "b"])
     k, a, b = F.col("k"), F.col("ra"), F.col("rb")
-    sums = cells.groupBy(*by).agg(F.sum(k).alias("n"), *(F.sum(k * x).alias(name) for name, x in (("a", a), ("b", b))))
-    means = sums.select(*by, "n", (F.col("a") / F.col("n")).alias("ma"), (F.col("b") / F.col("n")).alias("mb"))
-    da, db = a - F.col("ma"), b - F.col("mb")
-    parts = joined(cells.select(*by, "k", "ra", "rb"), means, by).groupBy(*by, "n").agg(F.sum(k * da * db).alias("ab"), F.sum(k * da * da).alias("aa"), F.sum(k * db * db).alias("bb"))
-    return parts.select(*by, "n", F.try_divide("ab", F.sqrt(F.col("aa") * F.col("bb"))).alias("c"))
+    sums = cells.groupBy(*by).agg(F.sum(k).alias("n"), F.sum(k * a * b).alias("ab"), F.sum(k * a * a).alias("aa"), F.sum(k * b * b).alias("bb"))
+    mean = F.col("n") * F.pow((F.col("n") + 1) / 2, F.lit(2.0))
+    ab, aa, bb = (F.col(c) - mean for c in ("ab", "aa", "bb"))
+    varied = (aa > 1e-12 * mean) & (bb > 1e-12 * mean)
+    return sums.select(*by, "n", F.when(varied, ab / F.sqrt(aa * bb)).alias("c"))
 
 
 def information_coefficient(preds: DataFrame, *, score: str = "score", label: str = "label", by: list[str] | None = None) -> DataFrame:
@@ -43,8 +43,10 @@ def information_coefficient(preds: DataFrame, *, score: str = "score", label: st
     if not {score, label} <= set(preds.columns):
         return preds.groupBy(*by).agg(F.lit(0).cast("bigint").alias("n"), F.lit(0.0).alias("ic"))
     rows = preds.select(*by, finite(score).alias("a"), finite(label).alias("b")).where("a is not null and b is not null")
-    cells = rows.groupBy(*by, "a", "b").agg(F.count("*").alias("k"))
-    found = weighted(with_ranks_of(rows, cells, by), by)
+    for c in by:  # a null group is a group
+        rows = rows.withColumn(f"_{c}", F.struct(c)).drop(c)
+    found = rank_correlation(rows, [f"_{c}" for c in by])
+    found = found.select(*(F.col(f"_{c}.{c}").alias(c) for c in by), "n", "c")
     return found.select(*by, "n", F.when(F.col("n") >= 5, F.coalesce("c", F.lit(0.0))).otherwise(0.0).alias("ic"))
 
 
@@ -92,15 +94,14 @@ def fold_ic(panel: DataFrame, features: list[str], target: str, *, group: str, o
     """(feature, mean_ic, abs_ic, std_ic, ratio, n_folds): rank correlations in folds of each group's rows, in order."""
     rows = panel.where(F.col(group).isNotNull())
     sizes = rows.groupBy(group).agg(F.count("*").alias("_n")).where(F.col("_n") >= min_group)
-    rows = joined(placed(rows.select(group, order, target, *features), [group], [order], "_i"), sizes, [group])
+    rows = written(placed(rows.select(group, order, target, *features), [group], [order], "_i").join(sizes, group), "folds")
     fold = F.floor(((F.col("_i") + 1) * n_splits - 1) / F.col("_n"))
     rows = rows.withColumn("fold", fold.cast("int"))
-    cells = rows.select(F.col(group).alias("grp"), "fold", finite(target).alias("target"), *(finite(f).alias(f) for f in features)).unpivot(["grp", "fold", "target"], features, "feature", "value")
+    sizes = rows.groupBy(group, "fold").agg(F.count("*").alias("_rows")).where(F.col("_rows") >= min_test)
+    rows = rows.join(sizes, [group, "fold"])
+    cells = rows.select(F.col(group).alias("grp"), "fold", finite(target).alias("target"), *(finite(f).alias(f) for f in features)).unpivot(["grp", "fold", "target"], features, "feature", "a")
     by = ["grp", "fold", "feature"]
-    thick = cells.groupBy(*by).agg(F.count("*").alias("_rows"), F.countDistinct(F.when(F.col("target").isNotNull(), F.col("value"))).alias("d")).where(F.col("_rows") >= min_test).where("d >= 2")
-    sized = written(cells.join(thick.select(*by), by).where("value is not null and target is not null").select(*by, F.col("value").alias("a"), F.col("target").alias("b")), "folds")
-    counted = sized.groupBy(*by, "a", "b").agg(F.count("*").alias("k"))
-    ics = weighted(with_ranks_of(sized, counted, by), by).select(*by, F.col("c").alias("ic")).where("ic is not null")
+    ics = rank_correlation(cells.where("a is not null and target is not null").select(*by, "a", F.col("target").alias("b")), by).select(*by, F.col("c").alias("ic")).where("ic is not null")
     found = ics.groupBy("feature").agg(F.avg("ic").alias("mean_ic"), F.abs(F.avg("ic")).alias("abs_ic"), F.stddev_pop("ic").alias("std_ic"), F.count("*").alias("n_folds"))
     return found.withColumn("ratio", F.try_divide("mean_ic", "std_ic")).orderBy(F.desc_nulls_last("abs_ic"), "feature")
 

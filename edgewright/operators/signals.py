@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from edgewright.functions import rng
 from edgewright.schema import clean
+from edgewright.tables import written
 
 
 def by_bar():
@@ -26,54 +27,50 @@ def sma(price: str, span: int) -> Column:
 
 
 class _Mean:
-    """How one exponential mean composes. A summary of consecutive bars is its first observed one (``p``, ``v``), the affine
-    map y -> a*y + b of all after that, and the ``last`` observed one; missing bars only widen the gap before the next."""
+    """How one exponential mean composes, as SQL of the steps of ``aggregate``. A summary of consecutive bars is its first
+    observed one (``p``, ``v``), the affine map y -> a*y + b of all after that, and the ``last`` observed one; missing bars
+    only widen the gap before the next."""
 
     def __init__(self, column: str, span: float):
-        self.column, self.alpha = column, 2 / (span + 1)
-
-    def _pair(self, gap: Column) -> tuple[Column, Column]:
-        old = F.pow(F.lit(1 - self.alpha), gap)
-        return F.when(gap == 1, 1 - self.alpha).otherwise(old / (old + self.alpha)), F.when(gap == 1, self.alpha).otherwise(self.alpha / (old + self.alpha))
-
-    def _summary(self, p: Column, v: Column, a: Column, b: Column, last: Column) -> Column:
-        return F.struct(p.alias("p"), v.alias("v"), a.alias("a"), b.alias("b"), last.alias("last"))
-
-    def add_bar(self, s: Column, x: Column) -> Column:
-        """A summary and the bar behind it."""
-        v, at = clean(x[self.column]), x["bar_seq"]
-        keep, add = self._pair(at - s["last"])
-        first = self._summary(at, v, F.lit(1.0), F.lit(0.0), at)
-        near = self._summary(s["p"], s["v"], s["a"] * (1 - self.alpha), s["b"] * (1 - self.alpha) + v * self.alpha, at)
-        far = self._summary(s["p"], s["v"], s["a"] * keep, s["b"] * keep + v * add, at)
-        return F.when(v.isNull(), s).when(s["p"].isNull(), first).when(at - s["last"] == 1, near).otherwise(far)
-
-    def compose(self, s: Column, t: Column) -> Column:
-        keep, add = self._pair(t["p"] - s["last"])
-        both = self._summary(s["p"], s["v"], s["a"] * keep * t["a"], t["a"] * (keep * s["b"] + add * t["v"]) + t["b"], t["last"])
-        return F.when(s["p"].isNull(), t).when(t["p"].isNull(), s).otherwise(both)
-
-    def after_bar(self, state: Column, x: Column) -> Column:
-        v, at = clean(x[self.column]), x["bar_seq"]
-        keep, add = self._pair(at - state["seen"])
-        after = lambda y: F.struct(y.alias("y"), at.alias("seen"))
-        near = after(state["y"] * (1 - self.alpha) + v * self.alpha)
-        return F.when(v.isNull(), state).when(state["seen"].isNull(), after(v)).when(at - state["seen"] == 1, near).otherwise(after(keep * state["y"] + add * v))
-
-    def after(self, state: Column, t: Column) -> Column:
-        keep, add = self._pair(t["p"] - state["seen"])
-        first = F.when(state["seen"].isNull(), t["v"]).otherwise(keep * state["y"] + add * t["v"])
-        return F.when(t["p"].isNull(), state).otherwise(F.struct((t["a"] * first + t["b"]).alias("y"), t["last"].alias("seen")))
-
-
-def _walk(items: Column, start: Column, step) -> Column:
-    """The state at the start and after each item."""
-    return F.aggregate(items, F.array(start).cast(_STATES), lambda out, t: F.concat(out, F.array(step(F.element_at(out, -1), t))))
+        alpha = 2 / (span + 1)
+        self.q, self.alpha = f"{1 - alpha!r}d", f"{alpha!r}d"
+        self.v = f"CASE WHEN NOT isnan(x.`{column}`) THEN CAST(x.`{column}` AS DOUBLE) END"
+
+    def _keep(self, gap: str) -> str:
+        return f"CASE WHEN {gap} = 1 THEN {self.q} ELSE pow({self.q}, {gap}) / (pow({self.q}, {gap}) + {self.alpha}) END"
+
+    def _add(self, gap: str) -> str:
+        return f"CASE WHEN {gap} = 1 THEN {self.alpha} ELSE {self.alpha} / (pow({self.q}, {gap}) + {self.alpha}) END"
+
+    def summary(self) -> Column:
+        """Of a chunk's bars ``_xs``."""
+        keep, add, v = self._keep("(x.bar_seq - s.last)"), self._add("(x.bar_seq - s.last)"), self.v
+        first = f"named_struct('p', x.bar_seq, 'v', {v}, 'a', 1d, 'b', 0d, 'last', x.bar_seq)"
+        later = f"named_struct('p', s.p, 'v', s.v, 'a', s.a * {keep}, 'b', s.b * {keep} + {v} * {add}, 'last', x.bar_seq)"
+        return F.expr(f"aggregate(_xs, {_NOTHING}, (s, x) -> CASE WHEN {v} IS NULL THEN s WHEN s.p IS NULL THEN {first} ELSE {later} END)")
+
+    def composed(self, name: str) -> Column:
+        """Of a range's summaries, the fields ``name`` of ``items``."""
+        keep, add = self._keep("(t.p - s.last)"), self._add("(t.p - s.last)")
+        both = f"named_struct('p', s.p, 'v', s.v, 'a', s.a * {keep} * t.a, 'b', t.a * ({keep} * s.b + {add} * t.v) + t.b, 'last', t.last)"
+        return F.expr(f"aggregate(items.{name}, {_NOTHING}, (s, t) -> CASE WHEN s.p IS NULL THEN t WHEN t.p IS NULL THEN s ELSE {both} END)")
+
+    def states(self, name: str, start: str) -> Column:
+        """The states before each of a range's summaries, from ``start`` on."""
+        keep, add = self._keep("(t.p - s.seen)"), self._add("(t.p - s.seen)")
+        first = f"CASE WHEN s.seen IS NULL THEN t.v ELSE {keep} * s.y + {add} * t.v END"
+        step = f"CASE WHEN t.p IS NULL THEN s ELSE named_struct('y', t.a * ({first}) + t.b, 'seen', t.last) END".replace("s.", "element_at(out, -1).").replace("THEN s ", "THEN element_at(out, -1) ")
+        return F.expr(f"slice(aggregate(items.{name}, array({start}), (out, t) -> concat(out, array({step}))), 1, size(items))")
+
+    def means(self, start: str) -> Column:
+        """The states after each of a chunk's bars."""
+        keep, add, v = self._keep("(x.bar_seq - s.seen)"), self._add("(x.bar_seq - s.seen)"), self.v
+        step = f"CASE WHEN {v} IS NULL THEN s WHEN s.seen IS NULL THEN named_struct('y', {v}, 'seen', x.bar_seq) ELSE named_struct('y', {keep} * s.y + {add} * {v}, 'seen', x.bar_seq) END".replace("s.", "element_at(out, -1).").replace("THEN s ", "THEN element_at(out, -1) ")
+        return F.expr(f"slice(aggregate(_xs, array({start}), (out, x) -> concat(out, array({step}))), 2, size(_xs))")
 
 
 _NOTHING = "named_struct('p', cast(null as bigint), 'v', cast(null as double), 'a', 1d, 'b', 0d, 'last', cast(null as bigint))"
 _BEFORE = "named_struct('y', cast(null as double), 'seen', cast(null as bigint))"
-_STATES = "array<struct<y:double,seen:bigint>>"
 #: Bars of a chunk and chunks of a range: what one row of arrays holds.
 CHUNK, RANGE = 64, 1024
 
@@ -91,25 +88,21 @@ def with_ewm(df: DataFrame, columns: dict[str, tuple[str, float]], chunk: int =
     rows = df.select("symbol", at.alias("_chunk"), F.floor(at / range_).alias("_range"), F.struct(F.col("bar_seq").cast("bigint").alias("bar_seq"), *others).alias("_x"))
     parts = rows.groupBy("symbol", "_range", "_chunk").agg(F.sort_array(F.collect_list("_x")).alias("_xs"))
 
-    def part_of(name: str) -> Column:
-        return F.transform("items", lambda t: t[name])
-
     def collected(df: DataFrame, by: list[str], key: str) -> DataFrame:
         return df.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(key, *columns))).alias("items"))
 
-    def handed_down(df: DataFrame, by: list[str], key: str, start: dict[str, Column]) -> DataFrame:
+    def handed_down(df: DataFrame, by: list[str], key: str, start: dict[str, str]) -> DataFrame:
         """(by, key, and each mean's state before it)."""
-        states = [F.slice(_walk(part_of(n), start[n], mean.after), F.lit(1), F.size("items")).alias(n) for n, mean in means.items()]
-        zipped = df.select(*by, F.explode(F.arrays_zip(F.transform("items", lambda t: t[key]).alias("k"), *states)).alias("z"))
+        zipped = df.select(*by, F.explode(F.arrays_zip(F.col(f"items.{key}").alias("k"), *(mean.states(n, start[n]).alias(n) for n, mean in means.items()))).alias("z"))
         return zipped.select(*by, F.col("z.k").alias(key), *(F.col(f"z.{n}").alias(f"{n}_in") for n in columns))
 
-    chunks = parts.select("symbol", "_range", "_chunk", *(F.aggregate("_xs", F.expr(_NOTHING), mean.add_bar).alias(n) for n, mean in means.items()))
-    ranges = collected(chunks, ["symbol", "_range"], "_chunk")
-    summed = ranges.select("symbol", "_range", *(F.aggregate(part_of(n), F.expr(_NOTHING), mean.compose).alias(n) for n, mean in means.items()))
-    into_range = handed_down(collected(summed, ["symbol"], "_range"), ["symbol"], "_range", {n: F.expr(_BEFORE) for n in columns})
-    into_chunk = handed_down(ranges.join(into_range, ["symbol", "_range"]), ["symbol", "_range"], "_chunk", {n: F.col(f"{n}_in") for n in columns})
+    inner = {n: f"{n}_in" for n in columns}
+    ranges = written(collected(parts.select("symbol", "_range", "_chunk", *(mean.summary().alias(n) for n, mean in means.items())), ["symbol", "_range"], "_chunk"), "ranges")  # needed twice, and small
+    summed = ranges.select("symbol", "_range", *(mean.composed(n).alias(n) for n, mean in means.items()))
+    into_range = handed_down(collected(summed, ["symbol"], "_range"), ["symbol"], "_range", dict.fromkeys(columns, _BEFORE))
+    into_chunk = handed_down(ranges.join(into_range, ["symbol", "_range"]), ["symbol", "_range"], "_chunk", inner)
     walked = parts.join(into_chunk, ["symbol", "_range", "_chunk"])
-    states = [F.slice(_walk(F.col("_xs"), F.col(f"{n}_in"), mean.after_bar), F.lit(2), F.size("_xs")).alias(n) for n, mean in means.items()]
+    states = [mean.means(inner[n]).alias(n) for n, mean in means.items()]
     out = walked.select("symbol", F.explode(F.arrays_zip(F.col("_xs").alias("x"), *states)).alias("z"))
     return out.select("symbol", F.col("z.x.bar_seq").cast(df.schema["bar_seq"].dataType).alias("bar_seq"), *(F.col(f"z.x.{c}").alias(c) for c in others), *(F.col(f"z.{n}.y").alias(n) for n in columns)).select(*[c for c in df.columns if c not in columns], *columns)
 
@@ -143,8 +136,16 @@ def donchian(df: DataFrame, lookback: int = 20) -> DataFrame:
     return df.withColumn("signal", F.coalesce((F.count("high").over(frame) == lookback) & (F.col("close") > F.max("high").over(frame)), F.lit(False)))
 
 
+def random_picks(groups: DataFrame, n: Column, seed: int, *key: str) -> DataFrame:
+    """``groups`` (with ``last``, their last bar) with ``bar_seq``: min(n, last) distinct bars of each, never the last one.
+    Each pick is a row of its own, so none of them costs more for there being many bars."""
+    slots = F.explode(F.sequence(F.lit(0).cast("bigint"), F.least(n, F.col("last")) - 1)).alias("_slot")
+    rows = groups.where((F.col("last") > 0) & (n > 0)).select("*", slots)
+    return rows.withColumn("bar_seq", rng.permuted(F.col("_slot"), F.col("last"), seed, *map(F.col, key))).drop("_slot")
+
+
 def random_entries(df: DataFrame, n: int, seed: int) -> DataFrame:
     """``signal`` on min(n, bars - 1) distinct bars of each symbol, never the last."""
-    last = F.max("bar_seq").over(Window.partitionBy("symbol"))
-    order = F.row_number().over(Window.partitionBy("symbol").orderBy(F.col("bar_seq") == last, rng.u52(seed, F.col("symbol"), F.col("bar_seq")), "bar_seq"))
-    return df.withColumn("signal", (order <= n) & (F.col("bar_seq") < last))
+    lasts = df.groupBy("symbol").agg(F.max("bar_seq").cast("bigint").alias("last"))
+    picks = random_picks(lasts, F.lit(n).cast("bigint"), seed, "symbol").select("symbol", "bar_seq", F.lit(True).alias("_hit"))
+    return df.join(picks, ["symbol", "bar_seq"], "left").withColumn("signal", F.coalesce("_hit", F.lit(False))).drop("_hit")

@@ -34,12 +34,14 @@ def full_sample(trades: DataFrame, **options) -> DataFrame:
     return reality_check(trades, **options).withColumn("side", F.lit("in-sample"))
 
 
-def segmented_holdout(trades: DataFrame, by: str, split: str, *, embargo_weeks: int = 8, min_n: int = 20, **options) -> DataFrame:
-    """Both sides' verdicts overall and for each segment, all with the same split and draws; thin ones are flagged."""
+def segmented_holdout(trades: DataFrame, by: str, split: str, *, embargo_weeks: int = 8, min_n: int = 0, **options) -> DataFrame:
+    """Both sides' verdicts overall and for each segment, all with the same split and draws; segments whose test side has
+    fewer than ``min_n`` trades are flagged as thin, on both sides."""
     cut = split_train_test(trades, split, embargo_weeks)
     parts = cut.where(F.col(by).isNotNull()).withColumn("segment_", F.col(by).cast("string")).unionByName(cut.withColumn("segment_", F.lit("OVERALL")))
     found = reality_check(parts, by=["segment_", "side"], **options)
-    return found.withColumnRenamed("segment_", "segment").withColumn("thin", F.col("n") < min_n)
+    sized = parts.groupBy("segment_").agg(F.count(F.when(F.col("side") == "test", clean("r"))).alias("_test"))
+    return found.join(sized, "segment_").withColumn("thin", F.col("_test") < min_n).drop("_test").withColumnRenamed("segment_", "segment")
 
 
 def windowed_segments(trades: DataFrame, by: str, *, window_years: int = 4, metric: str = "expectancy", min_n: int = 8, start: int | None = None, end: int | None = None) -> DataFrame:

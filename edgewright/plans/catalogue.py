@@ -185,9 +185,9 @@ def holdout(spark, sf_dir):
     return splits.holdout(fx.trades(spark, sf_dir), SPLIT, n_boot=BOOT)
 
 
-@query(f"""SELECT split_part(ss, '|', 1) AS segment, split_part(ss, '|', 2) AS side, * EXCLUDE (ss), n < 20 AS thin FROM ({_verdict(f"SELECT *, segment || '|' || side AS ss FROM ({_SIDES}) UNION ALL SELECT *, 'OVERALL|' || side AS ss FROM ({_SIDES})", BOOT, "ss")})""")
+@query(f"""SELECT split_part(ss, '|', 1) AS segment, split_part(ss, '|', 2) AS side, * EXCLUDE (ss), max(n) FILTER (split_part(ss, '|', 2) = 'test') OVER (PARTITION BY split_part(ss, '|', 1)) < 2700 AS thin FROM ({_verdict(f"SELECT *, segment || '|' || side AS ss FROM ({_SIDES}) UNION ALL SELECT *, 'OVERALL|' || side AS ss FROM ({_SIDES})", BOOT, "ss")})""")
 def segmented_holdout(spark, sf_dir):
-    return splits.segmented_holdout(fx.trades(spark, sf_dir), "segment", SPLIT, n_boot=BOOT)
+    return splits.segmented_holdout(fx.trades(spark, sf_dir), "segment", SPLIT, n_boot=BOOT, min_n=2700)
 
 
 @query(f"""
@@ -267,9 +267,18 @@ def donchian(spark, sf_dir):
     return signals.donchian(fx.prices(spark, sf_dir), 10).select("symbol", "bar_seq", "signal")
 
 
+def _permuted(slot: str, m: str, *key) -> str:
+    """The SQL of ``rng.permuted``."""
+    a = f"ceil(sqrt({m}))::BIGINT"
+    b = f"ceil({m} / {a})::BIGINT"
+    once = lambda x, s, j: f"list_reduce(list_concat([{x}], range(1, 5)), lambda {s}, {j}: CASE WHEN {j} % 2 = 1 THEN ({s} // {b} + {_u52(*key, j, f'{s} % {b}')}) % {a} * {b} + {s} % {b} ELSE {s} // {b} * {b} + ({s} % {b} + {_u52(*key, j, f'{s} // {b}')}) % {b} END)"
+    return f"list_reduce(list_concat([{once(slot, 's', 'j')}], range(15)), lambda y, i: CASE WHEN y >= {m} THEN {once('y', 's', 'j')} ELSE y END)"
+
+
 @query(f"""
-WITH p AS (SELECT *, max(bar_seq) OVER (PARTITION BY symbol) AS last FROM ({fx.PRICES}))
-SELECT symbol, bar_seq, row_number() OVER (PARTITION BY symbol ORDER BY bar_seq = last, {_u52(7, "symbol", "bar_seq")}, bar_seq) <= 30 AND bar_seq < last AS signal FROM p""")
+WITH p AS (SELECT *, max(bar_seq) OVER (PARTITION BY symbol) AS last FROM ({fx.PRICES})),
+k AS (SELECT symbol, {_permuted("slot", "last", 7, "symbol")} AS bar_seq FROM (SELECT symbol, last, unnest(range(0, least(30, last))) AS slot FROM (SELECT DISTINCT symbol, last FROM p)))
+SELECT p.symbol, p.bar_seq, k.bar_seq IS NOT NULL AS signal FROM p LEFT JOIN k ON k.symbol = p.symbol AND k.bar_seq = p.bar_seq""")
 def random_entries(spark, sf_dir):
     return signals.random_entries(fx.prices(spark, sf_dir), 30, 7).select("symbol", "bar_seq", "signal")
 
@@ -328,12 +337,18 @@ def barrier_trades_price(spark, sf_dir):
     return _barrier(spark, sf_dir, "long", risk_unit="price")
 
 
-@query(f"""
-WITH RECURSIVE {_paths("long")}, b AS (SELECT symbol, max(bar_seq) AS last FROM p GROUP BY 1),
-k AS (SELECT sim, symbol || '|' || sim AS symbol, i AS bar_seq, symbol AS sym FROM (SELECT s.sim, b.symbol, i.i, row_number() OVER (PARTITION BY s.sim, b.symbol ORDER BY {_u52(42, "s.sim", "b.symbol", "i.i")}, i.i) AS k FROM b CROSS JOIN range({BOOT}) s(sim), LATERAL (SELECT unnest(range(0, last)) AS i) i) WHERE k <= 25),
+def _simulated(entries: str, timeout: int) -> str:
+    """CTEs up to ``z`` (sim, symbol, r): trades at random bars; ``entries`` is a table of symbols and numbers."""
+    return f"""{_paths("long", timeout=timeout)}, b AS (SELECT symbol, max(bar_seq) AS last, any_value(n_entries) AS n_entries FROM p JOIN ({entries}) USING (symbol) GROUP BY 1),
+k AS (SELECT sim, symbol || '|' || sim AS symbol, {_permuted("slot", "last", 42, "sim", "symbol")} AS bar_seq, symbol AS sym FROM (SELECT s.sim, b.symbol, b.last, unnest(range(0, least(b.n_entries, b.last))) AS slot FROM b CROSS JOIN range({BOOT}) s(sim))),
 g AS MATERIALIZED (SELECT k.sim, k.sym, k.symbol, k.bar_seq, x.exit_seq, x.r FROM k JOIN x ON x.symbol = k.sym AND x.bar_seq = k.bar_seq),
-{_chain("g")}
-SELECT g.sim, g.sym AS symbol, {_r("avg(g.r)")} AS expectancy, count(*) AS n FROM g JOIN t USING (symbol, bar_seq) GROUP BY ALL""")
+{_chain("g")},
+z AS (SELECT g.sim, g.sym AS symbol, g.r FROM g JOIN t USING (symbol, bar_seq))"""
+
+
+@query(f"""
+WITH RECURSIVE {_simulated(f"SELECT DISTINCT symbol, 25 AS n_entries FROM ({fx.PRICES})", 8)}
+SELECT sim, symbol, {_r("avg(r)")} AS expectancy, count(*) AS n FROM z GROUP BY ALL""")
 def random_entry_null(spark, sf_dir):
     return nulls.random_entry_null(fx.prices(spark, sf_dir), n_entries=25, n_sims=BOOT, timeout=8)
 
@@ -460,7 +475,7 @@ def _gates(*rows: str) -> str:
 _DISPERSED = f"SELECT 2, 'DURABLE', 2, 'fold_dispersion', passed, cv, 2.0, true FROM ({SQL['fold_diagnostics']})"
 _GAUNTLET = _gates(
     f"SELECT 0, 'REAL', 0, 'permutation', p < 0.05, {_r('p')}, 0.05, true FROM (SELECT 1 - power(1 - round(p_value * {DRAWS + 1}) / {DRAWS + 1}, 5) AS p FROM ({SQL['sign_permutation']}))",
-    "SELECT 0, 'REAL', 1, 'random_timing', true, NULL, NULL, false",
+    "SELECT 0, 'REAL', 1, 'random_timing', false, NULL, NULL, false",
     f"SELECT 1, 'STRONG', o, metric || '_low', ci_low > bar, ci_low, bar, hard FROM ({SQL['bootstrap_metric_cis']}) JOIN (VALUES ('expectancy', 0, 0.0, true), ('profit_factor', 1, 1.25, true), ('sqn', 2, 1.6, false)) x(metric, o, bar, hard) USING (metric)",
     f"SELECT 2, 'DURABLE', 0, 'wfe', wfe_passed, mean_wfe, 0.3, true FROM ({SQL['fold_diagnostics']})",
     f"SELECT 2, 'DURABLE', 1, 'wfe_target', on_target, mean_wfe, 0.5, false FROM ({SQL['fold_diagnostics']})",
@@ -498,6 +513,30 @@ def gate_real_detrended(spark, sf_dir):
     return gates.gate_real(t, bars=fx.prices(spark, sf_dir), null="detrended", t=gates.Thresholds(n_perm=DRAWS, n_sims=BOOT)).select(*_CHECK)
 
 
+def _chart(spark, sf_dir):
+    """The trades of breakouts on the weekly prices, numbered over all symbols."""
+    t = _barrier(spark, sf_dir, "long")
+    return t.withColumns({"r": F.round("r", 6), "trade_seq": F.col("trade_seq") * 10 + F.substring("symbol", 1, 1).cast("bigint")})
+
+
+_CHART = f"SELECT symbol, r, trade_seq * 10 + left(symbol, 1)::BIGINT AS trade_seq FROM ({_barrier_sql('long')})"
+
+
+def _luck(entries: str, timeout: int, wins: str) -> str:
+    """The check of timing against random entries, all symbols of a simulation together."""
+    return f"""SELECT 0, 'REAL', 1, 'random_timing', point > bar, {_r('point')}, {_r('bar')}, true FROM (SELECT avg(r) AS point FROM ({wins})),
+    (SELECT quantile_cont(m, 0.95) AS bar FROM (WITH RECURSIVE {_simulated(entries, timeout)} SELECT sim, avg(r) AS m FROM z GROUP BY sim))"""
+
+
+@query(_gates(
+    f"SELECT 0, 'REAL', 0, 'permutation', p_value < 0.05, p_value, 0.05, true FROM ({SQL['sign_permutation'].replace(fx.WEEKLY, _CHART)})",
+    _luck(f"SELECT symbol, count(*) AS n_entries FROM ({_CHART}) GROUP BY 1", 8, _CHART),
+))
+def gate_real_random_entry(spark, sf_dir):
+    """Breakout trades against random signs, and against as many random entries in each symbol, held as long."""
+    return gates.gate_real(_chart(spark, sf_dir), bars=fx.prices(spark, sf_dir), hold=8, t=gates.Thresholds(n_perm=DRAWS, n_sims=BOOT)).select(*_CHECK)
+
+
 _RATIO = f"({_FOLDS} SELECT avg(oos_score / is_score) FILTER (is_score <> 0) AS m FROM k)"
 
 
@@ -639,7 +678,7 @@ def drawdown(spark, sf_dir):
     return panels.drawdown(fx.trades(spark, sf_dir), ["segment"]).select("segment", "trade_seq", "cum_r", "drawdown")
 
 
-@query(f"""SELECT segment, exit_reason AS reason, CASE exit_reason WHEN 'SL' THEN 'stop' WHEN 'TP' THEN 'target' WHEN 'timeout' THEN 'time limit' END AS label, count(*) AS n, {_r("sum(r)")} AS sum_r, {_r("avg(r)")} AS avg_r, {_r("avg((r > 0)::INT)")} AS win_rate FROM ({fx.TRADES}) GROUP BY ALL""")
+@query(f"""SELECT segment, exit_reason AS reason, exit_reason AS label, count(*) AS n, {_r("sum(r)")} AS sum_r, {_r("avg(r)")} AS avg_r, {_r("avg((r > 0)::INT)")} AS win_rate FROM ({fx.TRADES}) GROUP BY ALL""")
 def exit_reasons(spark, sf_dir):
     return panels.exit_reasons(fx.trades(spark, sf_dir), ["segment"])
 

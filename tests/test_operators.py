@@ -64,7 +64,7 @@ def test_multinomial_draws_follow_the_law_of_folded_ones(spark, monkeypatch):
     r = [((7 * i) % 11) - 4.5 + (i % 3) / 7 for i in range(60)]
     t = log(spark, r).withColumn("market", F.when(F.col("trade_seq") < 45, "a").otherwise("b"))
     monkeypatch.setattr(resample, "RANGE_ROWS", 7)
-    names = ("expectancy", "win_rate", "sqn", "profit_factor")
+    names = ("expectancy", "win_rate", "sqn")
     for by in ([], ["market"]):
         ask = lambda df: resample.multinomial_draws(df, 3000, 5, names, by=by)
         drawn = ask(t).toPandas()
@@ -268,6 +268,50 @@ def test_gate_logic(spark):
     assert not one(gates.gauntlet_verdict(soft))["passed"]
 
 
+def test_permutations_are_permutations(spark):
+    for m in (1, 2, 3, 7, 64, 100, 257):
+        got = [r.p for r in spark.range(m).select(rng.permuted(F.col("id"), F.lit(m), 3, "key").alias("p")).collect()]
+        assert sorted(got) == list(range(m))
+    firsts = spark.range(2000).select(rng.permuted(F.lit(0), F.lit(10), 3, F.col("id")).alias("p")).groupBy("p").count().collect()
+    assert len(firsts) == 10 and all(130 < r["count"] < 270 for r in firsts)
+
+
+def test_random_picks_are_distinct_and_spare_the_last_bar(spark):
+    b = bars(spark, [(10, 11, 9, 10)] * 30)
+    for n in (0, 5, 29, 60):
+        hit = [r.bar_seq for r in signals.random_entries(b, n, 7).where("signal").collect()]
+        assert len(hit) == len({*hit}) == min(n, 29) and 29 not in hit
+
+
+def test_gate_real_skips_softly_and_holds_as_the_log_did(spark):
+    b = bars(spark, [(10 + i % 5, 11 + i % 5, 9 + i % 5, 10 + (i + 1) % 5) for i in range(80)])
+    t = log(spark, [1.0, 0.5, 0.8, -0.2], bars_held=[2, 3, 2, 3])
+    small = gates.Thresholds(n_perm=50, n_sims=20)
+    quiet = gates.gate_real(t, t=small).where("check_ord = 1").first()
+    assert (quiet.passed, quiet.hard, quiet.value) == (False, False, None) and "[WARN] random_timing" in gates.audit_text(gates.gate_real(t, t=small))
+    dead = gates.gate_real(t, bars=b.withColumns({c: F.lit(0.0) for c in ("open", "high", "low", "close")}), t=small).where("check_ord = 1").first()
+    assert (dead.passed, dead.hard) == (False, False) and "no trades" in dead.detail
+    assert gates.mean_hold(t) == 2 and gates.mean_hold(t.drop("bars_held")) == 20
+    own = gates.gate_real(t, bars=b, t=small).where("check_ord = 1").first()
+    held = gates.gate_real(t, bars=b, hold=2, t=small).where("check_ord = 1").first()
+    longer = gates.gate_real(t, bars=b, hold=30, t=small).where("check_ord = 1").first()
+    assert own.threshold == held.threshold != longer.threshold
+    # two symbols with the same bars and half of the trades each: one number for each simulation
+    two = b.union(b.withColumn("symbol", F.lit("t")))
+    both = gates.gate_real(t.withColumn("symbol", F.when(F.col("trade_seq") < 2, "s").otherwise("t")), bars=two, hold=2, t=small).where("check_ord = 1").first()
+    assert both.hard and both.threshold is not None
+    scaled = [gates.gate_real(t.withColumns({"unit": F.lit(50.0), "symbol": F.lit("s")}), bars=b, null="detrended", null_scale=c, t=small).where("check_ord = 1").first() for c in (None, "unit")]
+    assert scaled[1].threshold == pytest.approx(50 * scaled[0].threshold) and "R units" in scaled[1].detail
+
+
+def test_thin_segments_are_judged_by_their_test_side(spark):
+    d = [dt.datetime(2020, 1, 1) + dt.timedelta(days=30 * i) for i in range(20)]
+    t = log(spark, [1.0] * 20, entry_date=d, exit_date=d).withColumn("m", F.when(F.col("trade_seq") % 5 == 0, "few").otherwise("many"))
+    got = {(r.segment, r.side): r.thin for r in splits.segmented_holdout(t, "m", "2020-06-01", min_n=4, n_boot=10).collect()}
+    assert got == {("OVERALL", "train"): False, ("OVERALL", "test"): False, ("few", "train"): True, ("few", "test"): True, ("many", "train"): False, ("many", "test"): False}
+    assert not any(r.thin for r in splits.segmented_holdout(t, "m", "2020-06-01", n_boot=10).collect())
+
+
 def test_cusum_path_equals_the_recursion(spark):
     r = [0.5, -1.0, -1.0, 2.0, -0.7, 0.1, -1.3] * 9
     t = log(spark, r)

@@ -15,7 +15,14 @@ def rows():
     return [(g, rng.randrange(12), i, None if rng.random() < 0.1 else rng.gauss(0, 1)) for i in range(400) for g in (rng.choice(("a", "a", "a", "b", None)),)]
 
 
-def test_running_sums_and_extremes(spark, rows):
+@pytest.fixture(params=["windows", "ranges"])
+def way(request, monkeypatch):
+    if request.param == "ranges":
+        monkeypatch.setattr(ordered, "WINDOW_ROWS", 0)
+    return request.param
+
+
+def test_running_sums_and_extremes(spark, rows, way):
     df = spark.createDataFrame(rows, "g string, day int, i int, x double").repartition(3)
     got = ordered.running(df, ["g"], ["day", "i"], {"c": F.col("x"), "k": F.lit(1)}, high={"top": "c"}, low={"bottom": "c"})
     assert got.columns == ["g", "day", "i", "x", "c", "k", "top", "bottom"]
@@ -32,7 +39,7 @@ def test_running_sums_and_extremes(spark, rows):
     assert everything == {i: n for n, (_, i) in enumerate(sorted((d, i) for _, d, i, _ in rows))}
 
 
-def test_ranks_of_ties_and_of_no_rows(spark, rows):
+def test_ranks_of_ties_and_of_no_rows(spark, rows, way):
     df = spark.createDataFrame([(g, d) for g, d, _, _ in rows], "g string, v int")
     got = {(r.g, r.v): r["rank"] for r in ordered.value_ranks(df, ["g"], "v", "rank").collect()}
     for g in ("a", "b", None):
@@ -44,7 +51,8 @@ def test_ranks_of_ties_and_of_no_rows(spark, rows):
     assert ordered.running(df.limit(0), [], ["v"], {"c": F.col("v")}).count() == 0
 
 
-def test_no_window_gathers_the_whole_table(spark, rows):
+def test_no_window_gathers_the_whole_table(spark, rows, monkeypatch):
+    monkeypatch.setattr(ordered, "WINDOW_ROWS", 0)
     preds = spark.createDataFrame([(i, x, float(d % 2)) for _, d, i, x in rows], "row_seq int, score double, label double")
     for df in (scores.information_coefficient(preds), scores.quantile_decay(preds, 5)):
         plan = df._jdf.queryExecution().executedPlan().toString()
@@ -52,6 +60,22 @@ def test_no_window_gathers_the_whole_table(spark, rows):
             assert not ("Window [row_number" in line or "Window [rank" in line) or "_part" in line
 
 
+def test_queries_are_the_same_in_ranges(spark, sf_dir, monkeypatch):
+    from edgewright.plans import catalogue
+
+    names = ("drawdown", "gross_net", "concurrency", "cusum_and_rolling", "edge_monitor", "information_coefficient", "quantile_decay", "fold_ic", "timing_null")
+    rows_of = lambda n: [tuple(r) for r in catalogue.QUERIES[n](spark, sf_dir).collect()]
+    key = lambda r: tuple(f"{x:.3f}" if isinstance(x, float) else str(x) for x in r)
+    want = {n: sorted(rows_of(n), key=key) for n in names}
+    monkeypatch.setattr(ordered, "WINDOW_ROWS", 0)
+    for n in names:
+        got = sorted(rows_of(n), key=key)
+        assert len(got) == len(want[n])
+        for x, y in zip(got, want[n], strict=True):
+            assert [v for v in x if isinstance(v, float)] == pytest.approx([v for v in y if isinstance(v, float)], abs=2e-6)
+            assert [v for v in x if not isinstance(v, float)] == [v for v in y if not isinstance(v, float)]
+
+
 def test_gram_equals_numpy_with_missing_values(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(300, 5))
@@ -67,7 +91,7 @@ def test_gram_equals_numpy_with_missing_values(spark):
         assert r.rho is None if 4 in (i, j) else r.rho == pytest.approx(np.corrcoef(x[both, i], x[both, j])[0, 1])
 
 
-def test_redundant_features_of_both_kinds(spark):
+def test_redundant_features_of_both_kinds(spark, way):
     rng = random.Random(3)
     rows = [(i, v := rng.gauss(0, 1), v**3, rng.gauss(0, 1), float(i % 2), float(1 - i % 2), float(rng.random() < 0.5)) for i in range(200)]
     df = spark.createDataFrame(rows, "row int, a double, b double, c double, p double, q double, r double")
