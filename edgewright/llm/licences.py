@@ -36,7 +36,7 @@ TEXTS, FULL = Path(__file__).with_name("licence_texts.json"), 0.85
 COMMON = frozenset("a and any are by in is of the this to under all released mit sa 1.0 2.0 4.0 2 3 v".split())
 #: Common terms that do state a licence when written so.
 WRITTEN = r"(?<![A-Za-z0-9])(?:MIT|SA)(?![A-Za-z0-9])|(?i:under (?:the )?mit)(?![A-Za-z0-9])"
-#: What a line must hold in the SQL twin; the scan itself reads more lines (``may_state``).
+#: Parts of words that may state a licence too.
 HINTS = ("licen", "copyright", "public domain", "permission is hereby", "cc by", "cc0", "gnu ")
 #: The notices by which licences are stated.
 TEMPLATES = {
@@ -183,26 +183,39 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(docs)
 
 
+def _may_state_sql(text: str) -> str:
+    """``may_state`` for an engine without looking around: what stands beside a term is part of the match."""
+    terms = "|".join(sorted({re.escape(t) for t in weights()[0]} - {re.escape(t) for t in COMMON}))
+    found = [rf"(?i){'|'.join(HINTS)}|(?:^|[^a-z0-9])(?:{terms})(?:[^a-z0-9]|$)", r"(?:^|[^A-Za-z0-9])(?:MIT|SA)(?:[^A-Za-z0-9]|$)", r"(?i)under (?:the )?mit(?:[^a-z0-9]|$)"]
+    return "(" + " OR ".join(f"regexp_matches({text}, '{x}')" for x in found) + ")"
+
+
 def _sql() -> str:
     idf, other, templates = weights()
     rows = ", ".join(f"({-i}, '{licence_name(name)}', '{t}', {w!r})" for i, (name, ws) in enumerate(templates.items()) for t, w in ws.items())
-    hints = " OR ".join(f"contains(lower(x), '{h}')" for h in HINTS)
+    names, rare, known = full_weights()
+    full = ", ".join(f"('{t}', {v!r}::DOUBLE, [{', '.join(map(repr, ws))}]::DOUBLE[])" for t, v, ws in known)
+    scores = ", ".join(f"{{'score': round(dot[{i + 1}] / norm, 6), 'licence': '{name}'}}" for i, name in enumerate(names))
+    dots = ", ".join(f"coalesce(sum(tf * ws[{i + 1}]), 0)" for i in range(len(names)))
     return rf"""
 WITH tpl(ord, licence, term, w) AS (VALUES {rows}),
 idf(term, v) AS (VALUES {", ".join(f"('{t}', {v!r})" for t, v in idf.items())}),
+known(term, v, ws) AS (VALUES {full}),
 d AS (SELECT doc_id, text, coalesce(source, 'unknown') || CASE WHEN len(doc_id::VARCHAR) > 1 THEN '/' || array_to_string(regexp_extract_all(left(doc_id::VARCHAR, len(doc_id::VARCHAR) - 1), '.'), '/') ELSE '' END AS folder, doc_id || '.txt' AS leaf FROM documents),
-p AS (
-  SELECT doc_id, false AS whole, x FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM d) WHERE {hints}
-  UNION ALL SELECT doc_id, true, text AS x FROM (SELECT doc_id, text, text AS x FROM d) WHERE {hints}
-), n AS (SELECT row_number() OVER () AS part, * FROM p),
-b AS (SELECT part, term, count(*) AS tf FROM (SELECT part, unnest(regexp_extract_all(lower(x), '{TERM}')) AS term FROM n) GROUP BY ALL),
+m AS MATERIALIZED (SELECT doc_id, text FROM d WHERE {_may_state_sql("text")}),
+p AS (SELECT doc_id, false AS whole, x FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM m) WHERE {_may_state_sql("x")} UNION ALL SELECT doc_id, true, text FROM m),
+n AS MATERIALIZED (SELECT row_number() OVER () AS part, * FROM p),
+b AS MATERIALIZED (SELECT part, term, count(*) AS tf FROM (SELECT part, unnest(regexp_extract_all(lower(x), '{TERM}')) AS term FROM n) GROUP BY ALL),
 z AS (SELECT part, sqrt(sum(power(tf * coalesce(v, {other!r}), 2))) AS norm FROM b LEFT JOIN idf USING (term) GROUP BY part),
 s AS (SELECT part, ord, licence, sum(tf * w) AS dot FROM b JOIN tpl USING (term) GROUP BY ALL),
 c AS (SELECT n.doc_id, n.whole, round(dot / norm, 6) AS score, ord, licence FROM s JOIN z USING (part) JOIN n USING (part)),
 o AS (SELECT doc_id, score AS own_score, licence AS own_licence FROM c WHERE NOT whole QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, ord DESC) = 1),
 a AS (SELECT doc_id, score AS whole_score, licence AS whole_licence FROM c WHERE whole QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, ord DESC) = 1),
-f AS (SELECT d.doc_id, d.folder, d.leaf, CASE WHEN own_score >= {SIMILAR} THEN own_licence END AS own_licence, coalesce(CASE WHEN own_score >= {SIMILAR} THEN own_score END, 0.0) AS own_score, coalesce(whole_score >= {WHOLE}, false) AS licence_file, whole_score, whole_licence
-  FROM d LEFT JOIN o USING (doc_id) LEFT JOIN a USING (doc_id)),
+y AS (SELECT doc_id, sqrt(sum(power(tf * coalesce(v, {rare!r}), 2))) AS norm, [{dots}] AS dot FROM b JOIN n USING (part) LEFT JOIN known USING (term) WHERE whole GROUP BY doc_id),
+x AS (SELECT doc_id, q.score AS full_score, q.licence AS full_licence FROM (SELECT doc_id, unnest([{scores}]) AS q FROM y) WHERE q.score >= {FULL} QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY q.score DESC, q.licence) = 1),
+f AS (SELECT d.doc_id, d.folder, d.leaf, coalesce(full_licence, CASE WHEN own_score >= {SIMILAR} THEN own_licence END) AS own_licence, coalesce(full_score, CASE WHEN own_score >= {SIMILAR} THEN own_score END, 0.0) AS own_score,
+  coalesce(full_score IS NOT NULL OR (own_score >= {SIMILAR} AND whole_score >= {WHOLE} AND whole_licence = o.own_licence), false) AS licence_file, coalesce(full_score, whole_score) AS whole_score, coalesce(full_licence, whole_licence) AS whole_licence
+  FROM d LEFT JOIN o USING (doc_id) LEFT JOIN a USING (doc_id) LEFT JOIN x USING (doc_id)),
 l AS (SELECT folder AS above, whole_licence AS licence FROM f WHERE licence_file QUALIFY row_number() OVER (PARTITION BY folder ORDER BY whole_score DESC, folder || '/' || leaf) = 1),
 r AS (SELECT f.doc_id, l.above, l.licence FROM f JOIN l ON f.folder = l.above OR starts_with(f.folder, l.above || '/') QUALIFY row_number() OVER (PARTITION BY f.doc_id ORDER BY len(l.above) DESC) = 1)
 SELECT f.doc_id, own_licence, own_score, licence_file, coalesce(own_licence, r.licence, 'NONE') AS licence, CASE WHEN own_licence IS NULL THEN r.above END AS licence_folder
