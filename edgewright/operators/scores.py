@@ -94,7 +94,7 @@ def fold_ic(panel: DataFrame, features: list[str], target: str, *, group: str, o
     """(feature, mean_ic, abs_ic, std_ic, ratio, n_folds): rank correlations in folds of each group's rows, in order."""
     rows = panel.where(F.col(group).isNotNull())
     sizes = rows.groupBy(group).agg(F.count("*").alias("_n")).where(F.col("_n") >= min_group)
-    rows = written(placed(rows.select(group, order, target, *features), [group], [order], "_i").join(sizes, group), "folds")
+    rows = placed(rows.select(group, order, target, *features), [group], [order], "_i").join(sizes, group)
     fold = F.floor(((F.col("_i") + 1) * n_splits - 1) / F.col("_n"))
     rows = rows.withColumn("fold", fold.cast("int"))
     sizes = rows.groupBy(group, "fold").agg(F.count("*").alias("_rows")).where(F.col("_rows") >= min_test)
