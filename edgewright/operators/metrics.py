@@ -6,6 +6,8 @@ use the same accumulator.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +33,7 @@ def moments(r: Column | str = "r") -> list[Column]:
         F.coalesce(F.sum(down), zero).alias("s_loss"),
         F.stddev_samp(r).alias("sd"),
         F.coalesce(F.avg(F.abs(r)), zero).alias("size"),
+        *(F.coalesce(F.sum(f(r).cast("double")), zero).alias(name) for name, f in SUMS.items()),
     ]
 
 
@@ -59,7 +62,30 @@ def sqn(cap: int = SQN_CAP) -> Column:
     return F.when((F.col("n") < 2) | flat, 0.0).otherwise(F.try_divide(F.try_divide("s", "n"), F.col("sd")) * F.sqrt(F.least("n", F.lit(cap)).cast("double")))
 
 
-SCORES = {"win_rate": win_rate, "expectancy": expectancy, "profit_factor": profit_factor, "payoff_ratio": payoff_ratio, "sqn": sqn}
+SCORES: dict[str, Callable[[], Column]] = {"win_rate": win_rate, "expectancy": expectancy, "profit_factor": profit_factor, "payoff_ratio": payoff_ratio, "sqn": sqn}
+#: Sums of registered metrics, beside those of ``moments``: what each trade adds, as a function of its r.
+SUMS: dict[str, Callable[[Column], Column]] = {}
+_OWN = ("n", "n_win", "n_loss", "s", "s_win", "s_loss", "sd", "size")
+
+
+def register(name: str, finish: Callable[[], Column], sums: dict[str, Callable[[Column], Column]] | None = None) -> None:
+    """Make a metric of one's own known by name to every report, resample, fold and split: ``finish`` is a column over the
+    accumulator (``moments``), ``sums`` add to it what each trade adds. Columns only, so it runs where the others do; as
+    sums of parts add up to the sum of all, it also serves blocks, ranges and draws."""
+    for part, f in (sums or {}).items():
+        if part in _OWN or (part in SUMS and SUMS[part] is not f):
+            raise ValueError(f"there is a sum {part!r} already")
+    if name in SCORES:
+        raise ValueError(f"there is a metric {name!r} already")
+    SUMS.update(sums or {})
+    SCORES[name] = finish
+
+
+def unregister(name: str, sums: tuple[str, ...] = ()) -> None:
+    """Forget a registered metric and those of its sums that no other one needs."""
+    SCORES.pop(name)
+    for part in sums:
+        SUMS.pop(part)
 
 
 def scored(summed: DataFrame, by: list[str], names: tuple[str, ...] = tuple(SCORES)) -> DataFrame:

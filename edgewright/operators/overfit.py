@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
-from itertools import combinations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from edgewright.functions.scalars import expected_max_sharpe, probabilistic_sharpe
+from edgewright.operators import metrics
+from edgewright.operators.ordered import placed
 from edgewright.operators.search import variant_count
 from edgewright.schema import clean, finite
 
@@ -33,25 +34,45 @@ def _sharpe(n: str, s: str, ss: str):
     return F.when((F.col(n) < 2) | (var <= 1e-18) | var.isNull(), 0.0).otherwise(mean / F.sqrt(F.greatest(var, F.lit(1e-300))))
 
 
-def cscv(matrix: DataFrame, splits: int = 16) -> DataFrame:
+#: What a block of rows adds up to; deviation and size of a metric's accumulator follow from it.
+_ADDED = ("n", "n_win", "n_loss", "s", "s_win", "s_loss", "ss", "abs")
+
+
+def _added() -> list[Column]:
+    r = F.col("ret")
+    parts = {"n": F.lit(1.0), "n_win": (r > 0).cast("double"), "n_loss": (r < 0).cast("double"), "s": r, "s_win": F.greatest(r, F.lit(0.0)), "s_loss": F.least(r, F.lit(0.0)), "ss": r * r, "abs": F.abs(r)}
+    return [F.sum(c).alias(name) for name, c in parts.items()] + [F.sum(F.coalesce(f(r).cast("double"), F.lit(0.0))).alias(name) for name, f in metrics.SUMS.items()]
+
+
+def _scores(halves: DataFrame, by: list[str], metric: str) -> DataFrame:
+    """(by, score) from added up blocks."""
+    if metric == "sharpe":
+        return halves.select(*by, _sharpe("n", "s", "ss").alias("score"))
+    n = F.col("n")
+    spread = F.greatest(F.lit(0.0), (F.col("ss") - F.col("s") * F.col("s") / n) / (n - 1))
+    whole = halves.withColumns({"sd": F.when(n > 1, F.sqrt(spread)), "size": F.coalesce(F.try_divide("abs", "n"), F.lit(0.0))})
+    return whole.select(*by, metrics.SCORES[metric]().alias("score"))
+
+
+def cscv(matrix: DataFrame, splits: int = 16, *, metric: str = "sharpe") -> DataFrame:
     """(split_id, config, is_score, oos_score, omega, logit) of every split: the best in sample and its rank out of sample.
 
-    Blocks keep three sums for each configuration, so a split adds up blocks instead of reading rows. The leading
-    rows that do not fill a block are left out. The list of splits is the driver's; all else is joined and grouped.
+    ``metric`` is the Sharpe ratio or any named or registered one. Blocks keep sums for each configuration, so a split adds
+    up blocks instead of reading rows: each block's sums, one row for each configuration and block, meet the few splits.
+    The leading rows that do not fill a block are left out.
     """
     t, n = check_matrix(matrix, splits)
     size = t // splits
     skip = t - size * splits
-    order = F.dense_rank().over(Window.orderBy("period_seq")) - 1
-    periods = matrix.select("period_seq").distinct().withColumn("o", order).where(F.col("o") >= skip).select("period_seq", F.floor((F.col("o") - skip) / size).cast("int").alias("block"))
-    sums = matrix.join(F.broadcast(periods), "period_seq").groupBy("config", "block").agg(F.count("*").alias("n"), F.sum("ret").alias("s"), F.sum(F.col("ret") * F.col("ret")).alias("ss"))
-    spark = matrix.sparkSession
-    chosen = [(i, list(c)) for i, c in enumerate(combinations(range(splits), splits // 2))]
-    halves = spark.createDataFrame(chosen, "split_id int, blocks array<int>")
-    each = sums.join(F.broadcast(halves)).withColumn("inside", F.array_contains("blocks", F.col("block")))
-    total = lambda c, inside: F.sum(F.when(F.col("inside") == inside, F.col(c)).otherwise(0)).alias(f"{c}_{'is' if inside else 'oos'}")
-    scored = each.groupBy("split_id", "config").agg(*(total(c, i) for c in ("n", "s", "ss") for i in (True, False)))
-    scored = scored.select("split_id", "config", _sharpe("n_is", "s_is", "ss_is").alias("is_score"), _sharpe("n_oos", "s_oos", "ss_oos").alias("oos_score"))
+    periods = placed(matrix.select("period_seq").distinct(), [], ["period_seq"], "o").where(F.col("o") >= skip).select("period_seq", F.floor((F.col("o") - skip) / size).cast("int").alias("block"))
+    sums = matrix.join(periods, "period_seq").groupBy("config", "block").agg(*_added())
+    # a split is a number whose bits are the blocks, the first block highest: downwards they come in order of their blocks
+    masks = F.filter(F.sequence(F.lit(2**splits - 1), F.lit(0), F.lit(-1)), lambda k: F.bit_count(k) == splits // 2)
+    each = sums.select("*", F.posexplode(masks).alias("split_id", "mask")).withColumn("inside", F.expr(f"(mask >> ({splits - 1} - block)) & 1 = 1"))
+    names = [*_ADDED, *metrics.SUMS]
+    by = ["split_id", "config", "inside"]
+    scored = _scores(each.groupBy(*by).agg(*(F.sum(c).alias(c) for c in names)), by, metric)
+    scored = scored.groupBy("split_id", "config").agg(F.max(F.when(F.col("inside"), F.col("score"))).alias("is_score"), F.max(F.when(~F.col("inside"), F.col("score"))).alias("oos_score"))
     w = Window.partitionBy("split_id")
     ranked = scored.withColumns({"place": F.row_number().over(w.orderBy(F.desc("is_score"), "config")), "rank": F.count("*").over(w.orderBy("oos_score").rangeBetween(Window.unboundedPreceding, Window.currentRow))})
     best = ranked.where("place = 1").withColumn("omega", F.col("rank") / (n + 1))
@@ -66,10 +87,10 @@ def ols(x: str, y: str) -> tuple:
     return slope, fit
 
 
-def pbo(matrix: DataFrame, splits: int = 16) -> DataFrame:
+def pbo(matrix: DataFrame, splits: int = 16, *, metric: str = "sharpe") -> DataFrame:
     """(pbo, prob_oos_loss, slope, r2, n_splits, label)."""
     slope, fit = ols("is_score", "oos_score")
-    found = cscv(matrix, splits).agg(F.avg((F.col("logit") < 0).cast("double")).alias("pbo"), F.avg((F.col("oos_score") < 0).cast("double")).alias("prob_oos_loss"), slope.alias("slope"), fit.alias("r2"), F.count("*").alias("n_splits"))
+    found = cscv(matrix, splits, metric=metric).agg(F.avg((F.col("logit") < 0).cast("double")).alias("pbo"), F.avg((F.col("oos_score") < 0).cast("double")).alias("prob_oos_loss"), slope.alias("slope"), fit.alias("r2"), F.count("*").alias("n_splits"))
     return found.withColumn("label", F.when(F.col("pbo") <= 0.10, "ROBUST").when(F.col("pbo") <= 0.35, "GUARDED").otherwise("OVERFIT"))
 
 

@@ -52,6 +52,7 @@ def _fold(values: Column) -> Column:
         total(lambda x: F.least(x, F.lit(0.0))).alias("s_loss"),
         F.when(n > 1, F.sqrt(F.greatest(F.lit(0.0), (ss - s * s / n) / (n - 1)))).alias("sd"),
         F.when(n > 0, total(F.abs) / n).otherwise(0.0).alias("size"),
+        *(total(lambda x, f=f: F.coalesce(f(x).cast("double"), F.lit(0.0))).alias(name) for name, f in metrics.SUMS.items()),
     )
 
 
@@ -85,16 +86,17 @@ def multinomial_draws(trades: DataFrame, n_boot: int, seed: int, names: tuple[st
     rows = trades.select(*by, SEQ, clean(value).alias("r")).where("r is not null")
     if by:
         rows = rows.dropna(subset=by)
-    rows = placed(rows, by, [SEQ], "i")
+    own = tuple(metrics.SUMS)
+    rows = placed(rows, by, [SEQ], "i").select("*", *(F.coalesce(f(F.col("r")).cast("double"), F.lit(0.0)).alias(name) for name, f in metrics.SUMS.items()))
     books = rows.groupBy(*by).agg(F.count("*").alias("n"), F.avg("r").alias("mean"))
-    ranged = joined(rows.select(*by, "i", "r"), books, by).withColumn("_range", F.floor(F.col("i") / width))
-    sums = ("n", "n_win", "n_loss", "s", "s_win", "s_loss", "d", "dd", "abs")
+    ranged = joined(rows.select(*by, "i", "r", *own), books, by).withColumn("_range", F.floor(F.col("i") / width))
+    sums = ("n", "n_win", "n_loss", "s", "s_win", "s_loss", "d", "dd", "abs", *own)
 
     def add_up(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by("i")
         x, at, n = rows["r"].to_numpy(), rows["_range"][0].as_py(), rows["n"][0].as_py()
         d = x - rows["mean"][0].as_py()
-        features = np.stack([np.ones(len(x)), x > 0, x < 0, x, np.maximum(x, 0), np.minimum(x, 0), d, d * d, np.abs(x)], 1)
+        features = np.stack([np.ones(len(x)), x > 0, x < 0, x, np.maximum(x, 0), np.minimum(x, 0), d, d * d, np.abs(x), *(rows[c].to_numpy() for c in own)], 1)
         out = []
         for batch in range(0, n_boot, AT_ONCE):
             taken = _taken(n, at, width, batch, min(AT_ONCE, n_boot - batch), seed)

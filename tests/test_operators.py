@@ -243,6 +243,35 @@ def test_pbo_rejects_bad_matrices(spark):
         overfit.pbo(m.where("not (period_seq = 1 and config = 'a')"), 2)
 
 
+def test_a_metric_of_ones_own_goes_everywhere(spark, monkeypatch):
+    tail = lambda r: F.when(r < -1, r).otherwise(0.0)
+    metrics.register("gain_over_tail", lambda: F.try_divide("s", F.abs("tail")), {"tail": tail})
+    try:
+        r = [((7 * i) % 11) / 2 - 2.4 for i in range(40)]
+        t = log(spark, r)
+        own = sum(r) / abs(sum(x for x in r if x < -1))
+        found = one(resample.bootstrap_ci(t, "gain_over_tail", n_boot=300))
+        assert found["point"] == pytest.approx(own) and found["ci_low"] < own < found["ci_high"]
+        monkeypatch.setattr(resample, "LARGEST_BOOK", 5)
+        monkeypatch.setattr(resample, "RANGE_ROWS", 9)
+        large = one(resample.bootstrap_ci(t, "gain_over_tail", n_boot=300))
+        assert large["point"] == pytest.approx(own) and large["ci_low"] == pytest.approx(found["ci_low"], abs=0.2)
+        rows = [(i, c, r[(i * k) % 40] + (0.5 if c == "a" else 0)) for i in range(40) for c, k in (("a", 1), ("b", 3), ("c", 7))]
+        m = spark.createDataFrame(rows, "period_seq int, config string, ret double")
+        splits_ = {x.split_id: x for x in overfit.cscv(m, 4, metric="gain_over_tail").collect()}
+        inside = lambda i, blocks: i // 10 in blocks
+        ratio = lambda xs: sum(xs) / abs(sum(x for x in xs if x < -1))
+        for k, blocks in enumerate(((0, 1), (0, 2), (0, 3), (1, 2), (1, 3), (2, 3))):
+            best = max("abc", key=lambda c: ratio([x for i, d, x in rows if d == c and inside(i, blocks)]))
+            assert splits_[k].config == best
+            assert splits_[k].oos_score == pytest.approx(ratio([x for i, d, x in rows if d == best and not inside(i, blocks)]))
+        assert one(overfit.pbo(m, 4, metric="expectancy"))["n_splits"] == 6
+        with pytest.raises(ValueError, match="already"):
+            metrics.register("sqn", metrics.expectancy)
+    finally:
+        metrics.unregister("gain_over_tail", ("tail",))
+
+
 def test_a_dominant_configuration_is_robust(spark):
     rows = [(i, c, (1.0 if c == "a" else -1.0) + (0.1 if i % 2 else -0.1)) for i in range(32) for c in "abc"]
     got = one(overfit.pbo(spark.createDataFrame(rows, "period_seq int, config string, ret double"), 8))
