@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from edgewright.operators import metrics
+from edgewright.operators.barriers import TIMEOUT, chained, paths
+from edgewright.operators.ordered import running
 
 FOLDS = "fold_id int, is_start timestamp, is_end timestamp, oos_start timestamp, oos_from timestamp, oos_end timestamp"
 
@@ -27,6 +29,39 @@ def simulate(bars: DataFrame, grid: dict[str, list], strategy, simulator) -> Dat
     return out
 
 
+def crossing_signals(bars: DataFrame, settings: DataFrame, *, price: str = "close") -> DataFrame:
+    """(combo_id, symbol, bar_seq) of every bar where a setting's fast mean rises above its slow one; ``settings`` is a table
+    (combo_id, fast, slow). A mean of any span is a difference of two running sums, so all spans come from one column, and
+    the plan is the same for any number of settings."""
+    sums = running(bars.select("symbol", "bar_seq", F.col(price).alias("_v")), ["symbol"], ["bar_seq"], {"p": F.col("_v")}).select("symbol", "bar_seq", "p")
+    spans = settings.select(F.explode(F.array("fast", "slow")).alias("span")).distinct().agg(F.sort_array(F.collect_list("span")).alias("spans"))
+    # each bar gives every span what is subtracted where its mean ends, and the means of two bars beside each other cross
+    ended = sums.crossJoin(F.broadcast(spans)).select("symbol", F.col("bar_seq").alias("at"), "p", F.explode("spans").alias("span"))
+    before = ended.select("symbol", (F.col("at") + F.col("span")).alias("at"), "span", F.col("p").alias("less"))
+    means = ended.join(before, ["symbol", "at", "span"], "left").select("symbol", "at", "span", F.when(F.col("at") >= F.col("span") - 1, (F.col("p") - F.coalesce("less", F.lit(0.0))) / F.col("span")).alias("mean")).where("mean is not null")
+    by_bar = means.groupBy("symbol", "at").agg(F.map_from_entries(F.collect_list(F.struct("span", "mean"))).alias("now"))
+    last = by_bar.select("symbol", (F.col("at") + 1).alias("at"), F.col("now").alias("was"))
+    both = by_bar.join(last, ["symbol", "at"]).crossJoin(F.broadcast(settings.select("combo_id", "fast", "slow")))
+    value = lambda when, which: F.try_element_at(when, F.col(which))
+    return both.where((value("was", "fast") <= value("was", "slow")) & (value("now", "fast") > value("now", "slow"))).select("combo_id", "symbol", F.col("at").alias("bar_seq"))
+
+
+def simulate_crossings(bars: DataFrame, settings: DataFrame, side: str = "long", *, price: str = "close", **options) -> DataFrame:
+    """The trades of every setting of a crossing of means, by ``combo_id``. What each bar's entry leads to does not depend on
+    the setting, so paths are resolved once; settings only choose among them."""
+    found = paths(bars, side, **options)
+    hits = crossing_signals(bars, settings, price=price).join(found, ["symbol", "bar_seq"])
+    return chained(hits, ["combo_id", "symbol"], options.get("timeout", TIMEOUT) + 1)
+
+
+def folds_of(trades: DataFrame, **days) -> DataFrame:
+    """``folds`` from a log's first entry to its last."""
+    ends = trades.agg(F.min("entry_date").alias("a"), F.max("entry_date").alias("b")).first()
+    if ends.a is None:
+        return trades.sparkSession.createDataFrame([], FOLDS)
+    return folds(trades.sparkSession, ends.a, ends.b, **days)
+
+
 def folds(spark: SparkSession, first: dt.datetime, last: dt.datetime, *, is_days: int, oos_days: int, purge_days: int = 0, embargo_days: int = 0, anchored: bool = False) -> DataFrame:
     """The windows of each fold. They depend on two dates only, so the driver makes them."""
     day, rows, start = dt.timedelta(days=1), [], first + dt.timedelta(days=is_days)

@@ -5,7 +5,6 @@ Every query runs over its whole tables. Doubles are rounded, as sums come in any
 
 from __future__ import annotations
 
-import datetime as dt
 import math
 from collections.abc import Callable
 
@@ -15,6 +14,7 @@ from pyspark.sql import functions as F
 from edgewright.functions.scalars import EULER, NORMAL, Baseline, cusum_design
 from edgewright.operators import barriers, gates, metrics, monitor, nulls, overfit, panels, resample, scores, search, signals, splits, walkforward
 from edgewright.sources import fixtures as fx
+from edgewright.tables import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -373,24 +373,26 @@ def timing_null(spark, sf_dir):
 
 #: Fixed folds over the orders' years; each segment is a setting to choose.
 FOLDS = {"is_days": 730, "oos_days": 182, "purge_days": 7, "embargo_days": 14}
-FIRST, LAST = dt.datetime(1992, 1, 1), dt.datetime(1998, 8, 2)
 
 
 def _fold_rows(spark, sf_dir):
     t = fx.trades(spark, sf_dir)
     combos = t.join(F.broadcast(t.select("segment").distinct().withColumn("combo_id", F.row_number().over(Window.orderBy("segment")) - 1)), "segment")
-    return combos, walkforward.folds(spark, FIRST, LAST, **FOLDS)
+    return combos, walkforward.folds_of(t, **FOLDS)
 
 
-_FOLDS = f"""
-WITH RECURSIVE w AS (SELECT 0 AS fold_id, TIMESTAMP '{FIRST}' + INTERVAL 730 DAY AS s UNION ALL SELECT fold_id + 1, s + INTERVAL 182 DAY FROM w WHERE s + INTERVAL 182 DAY < TIMESTAMP '{LAST}'),
-f AS (SELECT fold_id, greatest(TIMESTAMP '{FIRST}', s - INTERVAL 730 DAY) AS is_start, s - INTERVAL 7 DAY AS is_end, s + INTERVAL 14 DAY AS oos_from, least(s + INTERVAL 182 DAY, TIMESTAMP '{LAST}') AS oos_end FROM w),
-t AS (SELECT *, dense_rank() OVER (ORDER BY segment) - 1 AS combo_id FROM ({fx.TRADES})),
+#: From settings' trades ``t`` up to the choices' folds ``k``.
+_WALK = f"""
+e AS (SELECT min(entry_date)::TIMESTAMP AS a, max(entry_date)::TIMESTAMP AS b FROM t),
+w AS (SELECT 0 AS fold_id, a + INTERVAL 730 DAY AS s FROM e WHERE a + INTERVAL 730 DAY < b UNION ALL SELECT fold_id + 1, s + INTERVAL 182 DAY FROM w, e WHERE s + INTERVAL 182 DAY < b),
+f AS (SELECT fold_id, greatest(a, s - INTERVAL 730 DAY) AS is_start, s - INTERVAL 7 DAY AS is_end, s + INTERVAL 14 DAY AS oos_from, least(s + INTERVAL 182 DAY, b) AS oos_end FROM w, e),
 i AS (SELECT fold_id, combo_id, count(*) AS is_n, sum(r) AS is_sum, {_score("sqn")} AS is_score FROM t JOIN f ON entry_date >= is_start AND entry_date < is_end AND exit_date < is_end GROUP BY ALL HAVING count(*) >= 10),
 c AS (SELECT * FROM i QUALIFY row_number() OVER (PARTITION BY fold_id ORDER BY is_score DESC, combo_id) = 1),
 o AS (SELECT fold_id, count(*) AS oos_n, sum(r) AS oos_sum, {_score("sqn")} AS oos_score FROM t JOIN c USING (combo_id) JOIN f USING (fold_id) WHERE entry_date >= oos_from AND entry_date < oos_end GROUP BY ALL),
 k AS (SELECT fold_id, combo_id, is_n, is_score, coalesce(oos_n, 0) AS oos_n, coalesce(oos_score, 0.0) AS oos_score, CASE WHEN is_sum <= 0 OR oos_n IS NULL THEN 0.0 ELSE
   (oos_sum / greatest(date_diff('day', oos_from, oos_end) / 365.25, 1e-9)) / (is_sum / greatest(date_diff('day', is_start, is_end) / 365.25, 1e-9)) END AS wfe FROM c JOIN f USING (fold_id) LEFT JOIN o USING (fold_id))"""
+_FOLDS = f"""
+WITH RECURSIVE t AS (SELECT *, dense_rank() OVER (ORDER BY segment) - 1 AS combo_id FROM ({fx.TRADES})), {_WALK}"""
 
 
 @query(f"{_FOLDS} SELECT fold_id::BIGINT AS fold_id, combo_id, is_n, {_r('is_score')} AS is_score, oos_n, {_r('oos_score')} AS oos_score, {_r('wfe')} AS wfe FROM k")
@@ -404,6 +406,35 @@ def walk_forward_stitched(spark, sf_dir):
     return walkforward.stitched(t, w, walkforward.choices(t, w)).select("fold_id", "combo_id", "trade_seq", "r")
 
 
+#: Spans of the crossing means that the grid tries.
+GRID = {"fast": [2, 3, 5, 8], "slow": [10, 13, 21, 34, 55]}
+
+
+def _grid_rows(spark, sf_dir):
+    bars = fx.prices(spark, sf_dir)
+    grid = [(i, p["fast"], p["slow"]) for i, p in enumerate(walkforward.param_grid(GRID))]
+    t = walkforward.simulate_crossings(bars, spark.createDataFrame(grid, "combo_id int, fast int, slow int"), timeout=8)
+    t = written(t.withColumn("r", F.round("r", 6)), "grid")
+    return t, walkforward.folds_of(t, **FOLDS)
+
+
+_GRID = f"""
+WITH RECURSIVE {_paths("long")},
+q AS MATERIALIZED (SELECT symbol, bar_seq, sum(close) OVER ({_W} ROWS UNBOUNDED PRECEDING) AS s FROM p),
+h AS (SELECT (row_number() OVER ()) - 1 AS combo_id, fast, slow FROM (SELECT unnest({GRID["fast"]}) AS fast), (SELECT unnest({GRID["slow"]}) AS slow) ORDER BY fast, slow),
+v AS MATERIALIZED (SELECT q.symbol, q.bar_seq, x.span, CASE WHEN q.bar_seq >= x.span - 1 THEN (q.s - coalesce(b.s, 0)) / x.span END AS mean FROM q CROSS JOIN (SELECT unnest({sorted({*GRID["fast"], *GRID["slow"]})}) AS span) x LEFT JOIN q b ON b.symbol = q.symbol AND b.bar_seq = q.bar_seq - x.span),
+g AS MATERIALIZED (SELECT h.combo_id, x.symbol AS sym, x.symbol || '|' || h.combo_id AS symbol, x.bar_seq, x.exit_seq, round(x.r, 6) AS r FROM h JOIN v a ON a.span = h.fast JOIN v b ON b.span = h.slow AND b.symbol = a.symbol AND b.bar_seq = a.bar_seq
+  JOIN v c ON c.span = h.fast AND c.symbol = a.symbol AND c.bar_seq = a.bar_seq - 1 JOIN v d ON d.span = h.slow AND d.symbol = a.symbol AND d.bar_seq = a.bar_seq - 1 JOIN x ON x.symbol = a.symbol AND x.bar_seq = a.bar_seq WHERE c.mean <= d.mean AND a.mean > b.mean),
+{_chain("g")}
+SELECT g.combo_id, g.sym AS symbol, g.bar_seq, g.r, n.ts AS entry_date, m.ts AS exit_date FROM g JOIN t USING (symbol, bar_seq) JOIN p n ON n.symbol = g.sym AND n.bar_seq = g.bar_seq + 1 JOIN p m ON m.symbol = g.sym AND m.bar_seq = g.exit_seq"""
+
+
+@query(f"WITH RECURSIVE t AS MATERIALIZED (SELECT * FROM ({_GRID})), {_WALK} SELECT fold_id::BIGINT AS fold_id, combo_id, is_n, {_r('is_score')} AS is_score, oos_n, {_r('oos_score')} AS oos_score, {_r('wfe')} AS wfe FROM k")
+def walk_forward_grid(spark, sf_dir):
+    """Twenty settings of crossing means simulated on the whole series, chosen in sample and judged out of it."""
+    return walkforward.fold_table(*_grid_rows(spark, sf_dir))
+
+
 @query(f"""{_FOLDS}, d AS (SELECT count(*) AS n, avg((oos_score > 0)::INT) AS share, avg(oos_score) AS m, coalesce(stddev_samp(oos_score), 0) AS sd, avg(wfe) AS e FROM k)
 SELECT n, {_r("share")} AS share_positive, {_r("abs(sd / m)")} AS cv, share >= 0.5 AND abs(sd / m) <= 2 AS passed, {_r("e")} AS mean_wfe, e >= 0.3 AND e <= 1.0 AS wfe_passed, e >= 0.5 AND e <= 0.8 AS on_target FROM d""")
 def fold_diagnostics(spark, sf_dir):

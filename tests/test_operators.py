@@ -235,6 +235,24 @@ def test_folds_and_grid(spark):
     assert len(f) == 3 and f[0].is_end == f[0].oos_start - dt.timedelta(days=5) and f[-1].oos_end == dt.datetime(2021, 1, 1)
 
 
+def test_a_grid_as_data_trades_as_each_setting_alone(spark):
+    rng_ = random.Random(5)
+    level, rows = 50.0, []
+    for _ in range(160):
+        step = rng_.gauss(0, 1)
+        rows.append((level, max(level, level + step) + 0.5, min(level, level + step) - 0.5, level + step))
+        level += step
+    b = bars(spark, rows)
+    grid = [(i, p["fast"], p["slow"]) for i, p in enumerate(walkforward.param_grid({"fast": [2, 3], "slow": [5, 9]}))]
+    got = walkforward.simulate_crossings(b, spark.createDataFrame(grid, "combo_id int, fast int, slow int"), timeout=6).collect()
+    want = walkforward.simulate(b, {"fast": [2, 3], "slow": [5, 9]}, signals.ma_cross, lambda x: barriers.barrier_trades(x, timeout=6)).collect()
+    assert len(want) > 10
+    assert sorted((r.combo_id, r.bar_seq, r.exit_reason, round(r.r, 9)) for r in got) == sorted((r.combo_id, r.trade_seq, r.exit_reason, round(r.r, 9)) for r in want)
+    many = spark.createDataFrame([(i, 2 + i % 20, 30 + i // 20) for i in range(200)], "combo_id int, fast int, slow int")
+    lines = walkforward.crossing_signals(b, many)._jdf.queryExecution().optimizedPlan().toString().count("\n")
+    assert lines == walkforward.crossing_signals(b, spark.createDataFrame(grid, "combo_id int, fast int, slow int"))._jdf.queryExecution().optimizedPlan().toString().count("\n")
+
+
 def test_pbo_rejects_bad_matrices(spark):
     m = spark.createDataFrame([(i, c, float(i)) for i in range(4) for c in "ab"], "period_seq int, config string, ret double")
     with pytest.raises(ValueError, match="even"):
