@@ -129,3 +129,19 @@ def empirical_arl(trades: DataFrame, design: CusumDesign, *, shift: float = 0.0,
     return runs.agg(F.avg("length").alias("mean"), F.median("length").alias("median"), (F.avg("length") / nominal).alias("inflation"), F.sum(F.col("censored").cast("int")).alias("censored"))
 
 
+
+
+def monitor_curve(trades: DataFrame, base: Baseline, *, design: CusumDesign | None = None, window: int = ROLLING, pixels: int = 720, order: str = SEQ) -> DataFrame:
+    """(pixel, n, the extremes of ``cusum`` and ``rolling``, alarm_at): both channels of one book as a page draws them, and the
+    number of the first trade beyond the threshold where it is drawn. The rolling mean is a difference of two running sums,
+    looked up by position."""
+    from edgewright.operators.panels import curve
+
+    design = design or cusum_design(base)
+    ran = running(trades.select(order, "r"), [], [order], {"_c": (F.lit(design.k) - F.col("r")) / design.sigma, "_s": F.col("r"), "_at": F.lit(1)}, low={"_low": "_c"})
+    ran = ran.select(F.col("_at").cast("bigint").alias("_at"), "_s", (F.col("_c") - F.least(F.lit(0.0), F.col("_low"))).alias("cusum"))
+    before = ran.select((F.col("_at") + window).alias("_at"), F.col("_s").alias("_less"))
+    mean = F.when(F.col("_at") >= window, (F.col("_s") - F.coalesce("_less", F.lit(0.0))) / window)
+    both = ran.join(before, "_at", "left").select("_at", "cusum", mean.alias("rolling"), F.when(F.col("cusum") > design.h, F.col("_at")).alias("alarm"))
+    drawn = curve(both, "_at", ["cusum", "rolling", "alarm"], pixels)
+    return drawn.select("pixel", "n", *(f"{v}_{k}" for v in ("cusum", "rolling") for k in ("first", "last", "low", "high")), F.when(F.col("alarm_low") == F.min("alarm_low").over(Window.partitionBy(F.lit(0))), F.col("alarm_low")).alias("alarm_at"))

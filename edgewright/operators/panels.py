@@ -31,6 +31,57 @@ def drawdown(trades: DataFrame, by: list[str] | None = None) -> DataFrame:
     return ran.withColumn("drawdown", F.col("cum_r") - F.col("_high")).drop("_high")
 
 
+def curve(rows: DataFrame, place: str, values: list[str], pixels: int = 720) -> DataFrame:
+    """(pixel, n, and of each value its first, last, least and greatest, as ``name_first`` ..., missing ones left out) of
+    ``rows`` whose places go from 1 up: a book of any size draws its true extremes in as many rows as there are pixels."""
+    total = rows.agg(F.max(place).alias("_all"))
+    at = F.floor((F.col(place) - 1) * pixels / F.greatest(F.col("_all"), F.lit(pixels))).cast("int")
+    parts = []
+    for v in values:
+        there = F.when(F.col(v).isNotNull(), F.col(place))
+        parts += [F.min_by(v, there).alias(f"{v}_first"), F.max_by(v, there).alias(f"{v}_last"), F.min(v).alias(f"{v}_low"), F.max(v).alias(f"{v}_high")]
+    return rows.join(F.broadcast(total)).groupBy(at.alias("pixel")).agg(F.count("*").alias("n"), *parts)
+
+
+def r_curve(trades: DataFrame, pixels: int = 720) -> DataFrame:
+    """``curve`` of the cumulative R (``cum_r``) and how far it is below its highest value so far (``drawdown``)."""
+    ran = running(trades, [], order_date(trades), {"cum_r": clean("r"), "_at": F.lit(1)}, high={"_high": "cum_r"})
+    return curve(ran.select("_at", "cum_r", (F.col("cum_r") - F.col("_high")).alias("drawdown")), "_at", ["cum_r", "drawdown"], pixels)
+
+
+def excursion_bins(trades: DataFrame, bins: int = 40) -> DataFrame:
+    """(mae_bin, mfe_bin, won, n, over) of trades by both excursions: bins of equal width up to the 99th percentile of each
+    side's size (at least 1), the last one with all that lies beyond, which ``over`` counts."""
+    up, down, r = clean("mfe"), -clean("mae"), clean("r")
+    rows = trades.select(up.alias("up"), down.alias("down"), r.alias("r")).where("up is not null and down is not null and r is not null")
+    ends = rows.agg(*(F.greatest(F.percentile(c, F.lit(0.99)), F.lit(1.0)).alias(f"{c}_end") for c in ("up", "down")))
+    at = lambda c: F.greatest(F.lit(0), F.least(F.lit(bins - 1), F.floor(F.col(c) / F.col(f"{c}_end") * bins))).cast("int")
+    over = ((F.col("up") > F.col("up_end")) | (F.col("down") > F.col("down_end"))).cast("int")
+    return rows.join(F.broadcast(ends)).groupBy(at("down").alias("mae_bin"), at("up").alias("mfe_bin"), (F.col("r") > 0).alias("won")).agg(F.count("*").alias("n"), F.sum(over).alias("over"))
+
+
+def bootstrap_bins(trades: DataFrame, *, bins: int = 40, n_boot: int = 5000, seed: int = 42) -> DataFrame:
+    """(bin, lo, hi, n) of the draws' expectancy, between their least and greatest."""
+    means = resample.drawn(trades, n_boot, seed, ("expectancy",)).select(F.col("expectancy").alias("x"))
+    ends = means.agg(F.min("x").alias("a"), F.max("x").alias("b"))
+    width = F.greatest(F.col("b") - F.col("a"), F.lit(1e-12)) / bins
+    at = F.least(F.lit(bins - 1), F.floor((F.col("x") - F.col("a")) / F.col("w"))).cast("int")
+    rows = means.join(F.broadcast(ends.withColumn("w", width))).select(at.alias("bin"), "a", "w")
+    return rows.groupBy("bin").agg((F.first("a") + F.col("bin") * F.first("w")).alias("lo"), (F.first("a") + (F.col("bin") + 1) * F.first("w")).alias("hi"), F.count("*").alias("n"))
+
+
+def block_panel(periods: DataFrame, *, block: int = 6, stationary: bool = False, n_boot: int = 10_000, alpha: float = 0.05, seed: int = 42, order: str = "period") -> DataFrame:
+    """(series, block, point, ci_low, ci_high, p_value, verdict): the mean of a series of periods with the interval of single
+    periods and that of blocks, which is wider where periods follow one another. Nothing below two periods."""
+    out = None
+    for label, size, kind in (("single", 1, False), ("blocks", block, stationary)):
+        found = resample.block_bootstrap(periods, block=size, n_boot=n_boot, alpha=alpha, seed=seed, stationary=kind, order=order).where("n >= 2")
+        verdict = F.when(F.col("ci_low") > 0, "holds").when(F.col("observed") > 0, "straddles zero").otherwise("fails")
+        one = found.select(F.lit(label).alias("series"), F.lit(size).cast("bigint").alias("block"), F.col("observed").alias("point"), "ci_low", "ci_high", "p_value", verdict.alias("verdict"))
+        out = one if out is None else out.union(one)
+    return out
+
+
 def exit_reasons(trades: DataFrame, by: list[str] | None = None) -> DataFrame:
     """(reason, label, n, sum_r, avg_r, win_rate), the worst sum first."""
     label = F.coalesce(*(F.when(F.col("exit_reason") == k, v) for k, v in REASONS.items()), F.col("exit_reason"))

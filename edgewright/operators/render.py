@@ -6,7 +6,7 @@ import html
 
 from pyspark.sql import DataFrame
 
-from edgewright.operators import gates, metrics, monitor, panels, resample, scores
+from edgewright.operators import gates, metrics, monitor, panels, resample, scores, splits
 from edgewright.sources.files import small, write_page
 
 CSS = """:root{--ink:#20242b;--bg:#fdfdfd;--good:#0b6e4f;--bad:#a4133c;--soft:#7a5c00;--line:#4f6d7a}
@@ -62,21 +62,75 @@ def page(title: str, parts: list[str], path: str | None = None, *, costs_atteste
     return write_page(f'<!doctype html><html lang="en"><head><meta charset="utf-8"><title>{html.escape(title)}</title><style>{CSS}</style></head><body><h1>{html.escape(title)}</h1>{stamp}{"".join(parts)}</body></html>', path)
 
 
+#: What each gate asks, in a line.
+ASKS = {"REAL": "Is it more than luck, given all that was tried?", "STRONG": "Is it large enough to matter?", "DURABLE": "Does it last out of sample?", "GENERAL": "Does it hold in other markets?"}
+
+
+def drawn(rows: list, value: str) -> list[tuple[float, float]]:
+    """The points of a curve's pixels: each goes through its first, least, greatest and last value."""
+    out = []
+    for r in sorted(rows, key=lambda r: r.pixel):
+        out += [(r.pixel, r[f"{value}_{k}"]) for k in ("first", "low", "high", "last") if r[f"{value}_{k}"] is not None]
+    return out
+
+
+def grid(rows: list, title: str, bins: int = 40) -> str:
+    """Cells of two excursions, shaded by how many trades they hold; green where most of them won."""
+    if not rows:
+        return ""
+    cells: dict[tuple[int, int], list[int]] = {}
+    for r in rows:
+        cells.setdefault((r.mae_bin, r.mfe_bin), [0, 0])[0 if r.won else 1] += r.n
+    most, step = max(map(sum, cells.values())), 400 / bins
+    rects = "".join(
+        f'<rect x="{x * step:.1f}" y="{400 - (y + 1) * step:.1f}" width="{step:.1f}" height="{step:.1f}" fill="var({"--good" if w >= n else "--bad"})" fill-opacity="{0.15 + 0.85 * (w + n) / most:.2f}"><title>{w} won, {n} lost</title></rect>'
+        for (x, y), (w, n) in sorted(cells.items())
+    )
+    beyond = sum(r.over for r in rows)
+    return f'<section><h2>{html.escape(title)}</h2><p>{beyond} trades lie beyond the axes, in the outer cells.</p><svg viewBox="0 0 400 400" role="img">{rects}</svg></section>'
+
+
+def gate_cards(checks: DataFrame) -> str:
+    """A card for each gate, open where it failed, with all of its checks."""
+    verdict = {r.gate: r.passed for r in gates.gate_verdicts(checks).collect()}
+    by: dict[str, list] = {}
+    for r in checks.orderBy("gate_ord", "check_ord").collect():
+        by.setdefault(r.gate, []).append(r)
+    cards = []
+    for gate, rows in by.items():
+        tag = lambda r: ("pass", "PASS") if r.passed else ("fail", "FAIL") if r.hard else ("warn", "warn")
+        body = "".join(f'<tr><td>{html.escape(r.name)}{"" if r.hard else " (soft)"}<br><small>{html.escape(r.detail or "")}</small></td><td>{cell(r.value)}</td><td>{cell(r.threshold)}</td><td class="{tag(r)[0]}">{tag(r)[1]}</td></tr>' for r in rows)
+        state = "pass" if verdict[gate] else "fail"
+        cards.append(f'<details{"" if verdict[gate] else " open"}><summary><strong>{html.escape(gate)}</strong> <span class="{state}">{state}</span> {html.escape(ASKS.get(gate, ""))}</summary><table><tr><th>Check</th><th>Value</th><th>Bar</th><th>Result</th></tr>{body}</table></details>')
+    return "".join(cards)
+
+
+def summary(checks: DataFrame) -> str:
+    """What holds and what does not, in a sentence each."""
+    verdict = [(r.gate, r.passed) for r in gates.gate_verdicts(checks).orderBy("gate_ord").collect()]
+    broken = [f"{r.gate} fails on {r.name}" for r in gates.failed_checks(checks).orderBy("gate_ord", "check_ord").collect()]
+    chips = " ".join(f'<span class="{"pass" if ok else "fail"}">{html.escape(g)} {"✓" if ok else "✗"}</span>' for g, ok in verdict)
+    said = "Every check that decides holds." if not broken else "; ".join(broken) + "."
+    return f"<p>{chips}</p><p>{html.escape(said)}</p>"
+
+
 def banner(checks: DataFrame) -> str:
     state = panels.verdict_state(checks).first().state
     words = {"pass": ("pass", "Every gate passes."), "scope": ("warn", "It holds here; other markets do not confirm it."), "fail": ("fail", "At least one gate fails.")}[state]
-    return f'<p class="{words[0]}"><strong>{words[1]}</strong></p><pre>{html.escape(gates.audit_text(checks))}</pre>'
+    return f'<p class="{words[0]}"><strong>{words[1]}</strong></p>{summary(checks)}{gate_cards(checks)}<pre>{html.escape(gates.audit_text(checks))}</pre>'
 
 
 def tearsheet(trades: DataFrame, path: str | None = None, *, title: str = "Edge report", n_boot: int = 2000) -> str:
     """One book: verdict, metrics, distribution, cumulative R and drawdown, exits, calibration."""
     parts = [table(resample.reality_check(trades, n_boot=n_boot), "Verdict"), table(metrics.flags(metrics.edge_report(trades)), "Metrics")]
     parts.append(columns([(f"{r.lo:.2f}", float(r.n)) for r in sorted(small(panels.r_histogram(trades)), key=lambda r: r.bin)], "R"))
-    ran = panels.drawdown(trades)
-    n = ran.count()
-    every = max(1, n // 2000)
-    rows = small(ran.select("trade_seq", *panels.order_date(trades)[:1], "cum_r", "drawdown").where(f"trade_seq % {every} = 0").orderBy(*panels.order_date(trades)))
-    parts += [line([(i, r.cum_r) for i, r in enumerate(rows)], "Cumulative R"), line([(i, r.drawdown) for i, r in enumerate(rows)], "Drawdown")]
+    ran = small(panels.r_curve(trades))
+    parts += [line(drawn(ran, "cum_r"), "Cumulative R", [0.0] if ran else []), line(drawn(ran, "drawdown"), "Drawdown")]
+    if {"mfe", "mae"} <= set(trades.columns):
+        parts.append(grid(small(panels.excursion_bins(trades)), "Favourable over adverse excursion"))
+    parts.append(columns([(f"{r.lo:.3f}", float(r.n)) for r in sorted(small(panels.bootstrap_bins(trades, n_boot=n_boot)), key=lambda r: r.bin)], "Bootstrapped expectancy"))
+    if {"exit_date", "entry_date"} & set(trades.columns):
+        parts.append(table(panels.block_panel(splits.period_r(trades), n_boot=n_boot), "Monthly mean, single months and blocks"))
     if "exit_reason" in trades.columns:
         parts.append(table(panels.exit_reasons(trades), "Exits"))
     if "bars_held" in trades.columns:
@@ -99,5 +153,9 @@ def decay_page(preds: DataFrame, path: str | None = None, *, q: int = 5) -> str:
 
 def monitor_page(trades: DataFrame, base, path: str | None = None) -> str:
     design = monitor.cusum_design(base)
-    ran = small(monitor.cusum_path(trades, design.k, design.sigma).select("trade_seq", "cusum").orderBy("trade_seq"))
-    return page("Edge monitor", [table(monitor.edge_monitor(trades, base, design=design), "Verdict"), line([(i, r.cusum) for i, r in enumerate(ran)], "CUSUM", [design.h])], path)
+    rows = small(monitor.monitor_curve(trades, base, design=design))
+    alarm = next((r.alarm_at for r in rows if r.alarm_at is not None), None)
+    said = "No alarm." if alarm is None else f"ALARM at trade {alarm}."
+    parts = [table(monitor.edge_monitor(trades, base, design=design), "Verdict"), f'<p class="{"pass" if alarm is None else "fail"}">{said}</p>']
+    parts.append(line(drawn(rows, "rolling"), "Rolling expectancy, with the baseline and the soft line", [base.expectancy, base.expectancy * monitor.SLIP]))
+    return page("Edge monitor", [*parts, line(drawn(rows, "cusum"), "CUSUM and its threshold", [design.h])], path)

@@ -709,6 +709,50 @@ def drawdown(spark, sf_dir):
     return panels.drawdown(fx.trades(spark, sf_dir), ["segment"]).select("segment", "trade_seq", "cum_r", "drawdown")
 
 
+def _pixels(rows: str, values: list[str], pixels: int) -> str:
+    """The SQL of ``panels.curve`` over rows with their place ``spot``."""
+    parts = ", ".join(f"{_r(f'arg_min({v}, spot)')} AS {v}_first, {_r(f'arg_max({v}, spot)')} AS {v}_last, {_r(f'min({v})')} AS {v}_low, {_r(f'max({v})')} AS {v}_high" for v in values)
+    return f"SELECT floor((spot - 1) * {pixels} / greatest(total, {pixels}))::BIGINT AS pixel, count(*) AS n, {parts} FROM (SELECT *, max(spot) OVER () AS total FROM ({rows})) GROUP BY 1"
+
+
+@query(_pixels(f"SELECT spot, cum_r, cum_r - max(cum_r) OVER (ORDER BY spot) AS drawdown FROM (SELECT row_number() OVER (ORDER BY exit_date, trade_seq) AS spot, sum(r) OVER ({_RAN}) AS cum_r FROM ({fx.TRADES}))", ["cum_r", "drawdown"], 100))
+def r_curve(spark, sf_dir):
+    """Cumulative R and drawdown of all trades by pixel, with their true extremes."""
+    return panels.r_curve(fx.trades(spark, sf_dir), 100)
+
+
+@query(f"""
+WITH t AS (SELECT mfe AS up, -mae AS down, r FROM ({fx.TRADES})), e AS (SELECT greatest(quantile_cont(up, 0.99), 1.0) AS u, greatest(quantile_cont(down, 0.99), 1.0) AS d FROM t)
+SELECT greatest(0, least(39, floor(down / d * 40)))::BIGINT AS mae_bin, greatest(0, least(39, floor(up / u * 40)))::BIGINT AS mfe_bin, r > 0 AS won, count(*) AS n, count(*) FILTER (up > u OR down > d) AS over FROM t, e GROUP BY ALL""")
+def excursion_bins(spark, sf_dir):
+    return panels.excursion_bins(fx.trades(spark, sf_dir))
+
+
+@query(f"""
+WITH m AS (SELECT draw, avg(r) AS x FROM {_draws(fx.WEEKLY, DRAWS)} GROUP BY draw), e AS (SELECT min(x) AS a, (max(x) - min(x)) / 20 AS w FROM m)
+SELECT least(19, floor((x - a) / w))::BIGINT AS bin, {_r("any_value(a) + bin * any_value(w)")} AS lo, {_r("any_value(a) + (bin + 1) * any_value(w)")} AS hi, count(*) AS n FROM m, e GROUP BY 1""")
+def bootstrap_bins(spark, sf_dir):
+    return panels.bootstrap_bins(fx.weekly(spark, sf_dir), bins=20, n_boot=DRAWS)
+
+
+_BLOCKS = SQL["block_bootstrap_circular"]
+_JUDGED = "CASE WHEN ci_low > 0 THEN 'holds' WHEN observed > 0 THEN 'straddles zero' ELSE 'fails' END AS verdict"
+
+
+@query(f"""
+SELECT 'blocks' AS series, 6 AS block, observed AS point, ci_low, ci_high, p_value, {_JUDGED} FROM ({_BLOCKS})
+UNION ALL SELECT 'single', 1, observed, ci_low, ci_high, p_value, {_JUDGED} FROM ({_BLOCKS.replace('b.i // 6', 'b.i // 1').replace('b.i % 6', 'b.i % 1')})""")
+def block_panel(spark, sf_dir):
+    return panels.block_panel(fx.weekly(spark, sf_dir), n_boot=DRAWS, order="trade_seq")
+
+
+@query(f"""WITH z AS ({_pixels(f"SELECT row_number() OVER (ORDER BY trade_seq) AS spot, c - least(0, min(c) OVER (ORDER BY trade_seq)) AS cusum, CASE WHEN count(*) OVER v = 30 THEN avg(r) OVER v END AS rolling FROM (SELECT trade_seq, r, sum(({DESIGN.k!r} - r) / {DESIGN.sigma!r}) OVER (ORDER BY trade_seq) AS c FROM ({fx.TRADES})) WINDOW v AS (ORDER BY trade_seq ROWS 29 PRECEDING)", ["cusum", "rolling"], 100)})
+SELECT * FROM z""")
+def monitor_curve(spark, sf_dir):
+    """CUSUM and rolling mean of the whole book by pixel."""
+    return monitor.monitor_curve(fx.trades(spark, sf_dir), BASE, design=DESIGN, pixels=100).drop("alarm_at")
+
+
 @query(f"""SELECT segment, exit_reason AS reason, exit_reason AS label, count(*) AS n, {_r("sum(r)")} AS sum_r, {_r("avg(r)")} AS avg_r, {_r("avg((r > 0)::INT)")} AS win_rate FROM ({fx.TRADES}) GROUP BY ALL""")
 def exit_reasons(spark, sf_dir):
     return panels.exit_reasons(fx.trades(spark, sf_dir), ["segment"])

@@ -422,3 +422,35 @@ def test_vendor_csv_and_pages(spark, tmp_path):
 def test_generator_is_a_function_of_its_key(spark):
     got = spark.range(3).select(rng.u52(1, F.col("id")).alias("u")).collect()
     assert len({r.u for r in got}) == 3 and all(0 <= r.u < 2**52 for r in got)
+
+
+def test_pages_of_gates_and_monitors(spark):
+    rows = [(0, "REAL", 0, "permutation", False, 0.2, 0.05, True, "1 variants"), (0, "REAL", 1, "random_timing", False, None, None, False, "skipped: no prices"), (1, "STRONG", 0, "expectancy_low", True, 0.1, 0.0, True, "")]
+    text = render.banner(gates.checks(spark, rows))
+    assert "<details open><summary><strong>REAL" in text and "<details><summary><strong>STRONG" in text
+    assert "REAL fails on permutation" in text and "random_timing (soft)" in text and ">warn<" in text
+    base = scalars.Baseline(0.5, 1.0, 100)
+    r = [0.5] * 40 + [-1.5] * 60
+    t = log(spark, r)
+    page = render.monitor_page(t, base)
+    alarm = one(monitor.edge_monitor(t, base))["alarm_at"]
+    assert f"ALARM at trade {alarm}." in page and "Rolling expectancy" in page
+    assert "No alarm." in render.monitor_page(log(spark, [0.5] * 40), base)
+
+
+def test_curves_keep_extremes(spark):
+    r = [0.1] * 5000
+    r[777], r[778] = -50.0, 50.0
+    rows = panels.r_curve(log(spark, r), 50).collect()
+    assert len(rows) == 50 and sum(x.n for x in rows) == 5000
+    assert min(x.drawdown_low for x in rows) == pytest.approx(-50.0) and {x.pixel: x.cum_r_low for x in rows}[7] == pytest.approx(77.7 - 50)
+    few = panels.r_curve(log(spark, [1.0, -2.0]), 50).collect()
+    assert sorted((x.pixel, x.cum_r_last) for x in few) == [(0, 1.0), (1, -1.0)]
+    m = {x.pixel: x for x in monitor.monitor_curve(log(spark, r), scalars.Baseline(0.5, 1.0, 100), window=10, pixels=50).collect()}
+    assert max(x.rolling_high for x in m.values()) == pytest.approx((50 + 0.9) / 10) and sum(x.alarm_at is not None for x in m.values()) == 1
+
+
+def test_excursion_bins_count_what_lies_beyond(spark):
+    t = log(spark, [1.0] * 99 + [9.0], mfe=[0.5] * 99 + [100.0], mae=[-0.2] * 100)
+    got = panels.excursion_bins(t, 4).collect()
+    assert sum(x.n for x in got) == 100 and sum(x.over for x in got) == 1
