@@ -69,14 +69,15 @@ def windowed_segments(trades: DataFrame, by: str, *, window_years: int = 4, metr
 
 
 def period_r(trades: DataFrame, period: str = "month") -> DataFrame:
-    """(period, r): the sum of R of each calendar period by exit (else entry) date, without gaps."""
+    """(period, r): the sum of R of each calendar period by exit (else entry) date, without gaps, by the period's last day."""
     date = next((c for c in ("exit_date", "entry_date") if c in trades.columns), None)
     if date is None:
         return trades.sparkSession.createDataFrame([], "period date, r double")
     rows = trades.where(F.col(date).isNotNull()).groupBy(F.trunc(date, period).alias("period")).agg(F.coalesce(F.sum(clean("r")), F.lit(0.0)).alias("r"))
     step = {"month": "INTERVAL 1 MONTH", "week": "INTERVAL 7 DAYS", "year": "INTERVAL 1 YEAR", "quarter": "INTERVAL 3 MONTHS"}[period]
     every = rows.agg(F.min("period").alias("a"), F.max("period").alias("b")).where("a is not null").select(F.explode(F.expr(f"sequence(a, b, {step})")).alias("period"))
-    return every.join(rows, "period", "left").select("period", F.coalesce("r", F.lit(0.0)).alias("r"))
+    # a period is named by its last day
+    return every.join(rows, "period", "left").select(F.expr(f"CAST(period + {step} - INTERVAL 1 DAY AS DATE)").alias("period"), F.coalesce("r", F.lit(0.0)).alias("r"))
 
 
 def asof_window(rows: DataFrame, cutoffs: DataFrame, *, lookback: int = 5, key: str = "symbol", time: str = "ts", inclusive: bool = True) -> DataFrame:

@@ -201,7 +201,7 @@ def windowed_segments(spark, sf_dir):
 
 @query(f"""
 WITH m AS (SELECT date_trunc('month', exit_date)::DATE AS period, sum(r) AS r FROM ({fx.TRADES}) GROUP BY 1)
-SELECT c.period, {_r("coalesce(r, 0)")} AS r FROM (SELECT unnest(generate_series((SELECT min(period) FROM m), (SELECT max(period) FROM m), INTERVAL 1 MONTH))::DATE AS period) c LEFT JOIN m USING (period)""")
+SELECT last_day(c.period) AS period, {_r("coalesce(r, 0)")} AS r FROM (SELECT unnest(generate_series((SELECT min(period) FROM m), (SELECT max(period) FROM m), INTERVAL 1 MONTH))::DATE AS period) c LEFT JOIN m USING (period)""")
 def monthly_r(spark, sf_dir):
     return splits.period_r(fx.trades(spark, sf_dir))
 
