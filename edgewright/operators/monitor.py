@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from edgewright.functions import rng
 from edgewright.functions.scalars import Baseline, CusumDesign, cusum_design
-from edgewright.operators.ordered import joined, running
+from edgewright.operators.ordered import joined, placed, running
 from edgewright.schema import SEQ, clean
+from edgewright.tables import written
 
 ROLLING, SLIP, SLOW = 30, 0.5, 0.6
 
@@ -86,51 +85,42 @@ def edge_monitor(trades: DataFrame, base: Baseline, *, design: CusumDesign | Non
     return found.select(*by, "n", "cusum", "peak", F.col("alarm_at").cast("bigint").alias("alarm_at"), "rolling_ratio", "rate_ratio", (F.coalesce("cusum", F.lit(0.0)) / design.h).alias("share_of_threshold"), label.alias("label"), F.array_join(reasons, ",").alias("reasons"))
 
 
+#: Steps of a simulated run that are taken before it is seen which runs go on.
+ROUND = 4096
+
+
 def empirical_arl(trades: DataFrame, design: CusumDesign, *, shift: float = 0.0, n_sims: int = 1000, max_run: int | None = None, seed: int = 42) -> DataFrame:
     """(mean, median, inflation, censored): steps to alarm on resampled trades recentred to the shifted mean.
 
-    Runs are long and sequential, so runs are stepped in numpy together; Spark deals them out. Each has a generator of
-    its own by its number, and the book is in order, so the result doesn't depend on how they are dealt.
-    The book is sent to the tasks, bounded as in resampling.
+    Every step of every run is a row that looks its trade up by position, so a book of any size serves; runs go on by
+    rounds of ``ROUND`` steps, and only those without an alarm do. Within a round a run is a running sum less its lowest
+    value. Steps are numbered by (seed, run, step), so the result depends on nothing else.
     """
-    from edgewright.operators.resample import LARGEST_BOOK
-
-    rows = trades.select("trade_seq", clean("r").alias("r")).where("r is not null")
-    n = rows.count()
-    if not 2 <= n <= LARGEST_BOOK:
-        raise ValueError(f"the book must have 2 to {LARGEST_BOOK} trades, not {n}")
-    rs = rows.orderBy("trade_seq", "r").toPandas()["r"].to_numpy()
-    mean = float(rs.mean())
-    moved = rs - mean + shift * mean
+    rows = placed(trades.select(SEQ, clean("r").alias("r")).where("r is not null"), [], [SEQ], "i")
+    n, mean = rows.agg(F.count("*"), F.avg("r")).first()
+    if n < 2:
+        raise ValueError(f"the book must have 2 trades, not {n}")
+    book = written(rows.select("i", ((design.k - (F.col("r") - mean + shift * mean)) / design.sigma).alias("step")), "book")
     nominal = design.arl1 if shift < 1 else design.arl0
     cap = max_run or int(min(10 * nominal, 200_000))
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import numpy as np
-
-        for frame in frames:
-            for i in range(0, len(frame), 256):
-                ids = frame["id"].to_numpy()[i : i + 256]
-                rngs = [np.random.default_rng([seed, int(x)]) for x in ids]
-                level, length, alive = np.zeros(len(ids)), np.full(len(ids), cap), np.arange(len(ids))
-                for t in range(1, cap + 1):
-                    if t % 512 == 1:  # the next steps of the runs that go on
-                        steps = np.stack([(design.k - moved[rngs[x].integers(0, len(moved), 512)]) / design.sigma for x in alive])
-                    level = np.maximum(0, level + steps[:, (t - 1) % 512])
-                    done = level > design.h
-                    if done.any():
-                        length[alive[done]] = t
-                        alive, level, steps = alive[~done], level[~done], steps[~done]
-                        if not alive.size:
-                            break
-                yield pd.DataFrame({"length": length.astype("int64"), "censored": np.isin(np.arange(len(ids)), alive)})
-
-    runs = trades.sparkSession.range(n_sims).mapInPandas(run, "length long, censored boolean")
+    going, ended, begin = trades.sparkSession.range(n_sims).select(F.col("id").alias("sim"), F.lit(0.0).alias("level")), None, 0
+    while begin < cap:
+        last = min(begin + ROUND, cap)
+        slots = going.select("sim", "level", F.explode(F.sequence(F.lit(begin + 1).cast("bigint"), F.lit(last).cast("bigint"))).alias("t"))
+        steps = slots.withColumn("i", rng.index(F.lit(n), seed, "arl", F.col("sim"), F.col("t"))).join(book, "i")
+        run = Window.partitionBy("sim").orderBy("t").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        summed = steps.select("sim", "t", (F.col("level") + F.sum("step").over(run)).alias("c"))
+        levels = summed.select("sim", "t", (F.col("c") - F.least(F.lit(0.0), F.min("c").over(run))).alias("level"))
+        met = written(levels.groupBy("sim").agg(F.min(F.when(F.col("level") > design.h, F.col("t"))).alias("length"), F.max_by("level", "t").alias("level")), "runs")
+        over = met.where("length is not null").select("length", F.lit(False).alias("censored"))
+        ended = over if ended is None else ended.union(over)
+        going, begin = met.where("length is null").select("sim", "level"), last
+        if going.isEmpty():
+            break
+    runs = ended.union(going.select(F.lit(cap).cast("bigint"), F.lit(True)))
     return runs.agg(F.avg("length").alias("mean"), F.median("length").alias("median"), (F.avg("length") / nominal).alias("inflation"), F.sum(F.col("censored").cast("int")).alias("censored"))
 
 
-
-
 def monitor_curve(trades: DataFrame, base: Baseline, *, design: CusumDesign | None = None, window: int = ROLLING, pixels: int = 720, order: str = SEQ) -> DataFrame:
     """(pixel, n, the extremes of ``cusum`` and ``rolling``, alarm_at): both channels of one book as a page draws them, and the
     number of the first trade beyond the threshold where it is drawn. The rolling mean is a difference of two running sums,

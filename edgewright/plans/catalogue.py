@@ -640,7 +640,12 @@ def edge_monitor(spark, sf_dir):
     return monitor.edge_monitor(fx.trades(spark, sf_dir), BASE, design=DESIGN, by=["segment"]).fillna(0, ["alarm_at"])
 
 
-@query()
+@query(f"""
+WITH b AS (SELECT r, row_number() OVER (ORDER BY trade_seq) - 1 AS i, count(*) OVER () AS n, avg(r) OVER () AS m FROM ({fx.WEEKLY})),
+s AS (SELECT sim, t, {_u52(42, "'arl'", "sim", "t")} % (SELECT count(*) FROM b) AS i FROM range(200) x(sim) CROSS JOIN range(1, 2001) y(t)),
+c AS (SELECT sim, t, sum(({DESIGN.k!r} - (r - m)) / {DESIGN.sigma!r}) OVER (PARTITION BY sim ORDER BY t) AS c FROM s JOIN b USING (i)),
+l AS (SELECT sim, min(t) FILTER (level > {DESIGN.h!r}) AS length FROM (SELECT sim, t, c - least(0, min(c) OVER (PARTITION BY sim ORDER BY t)) AS level FROM c) GROUP BY sim)
+SELECT {_r("avg(coalesce(length, 2000))")} AS mean, {_r("median(coalesce(length, 2000))")} AS median, {_r(f"avg(coalesce(length, 2000)) / {DESIGN.arl1!r}")} AS inflation, count(*) FILTER (length IS NULL) AS censored FROM l""")
 def empirical_arl(spark, sf_dir):
     """Simulated run lengths of the detector on the weekly series."""
     return monitor.empirical_arl(fx.weekly(spark, sf_dir), DESIGN, n_sims=200, max_run=2000)
@@ -680,7 +685,13 @@ def fold_ic(spark, sf_dir):
     return scores.fold_ic(_features(spark, sf_dir), _NAMES, "target", group="grp", order="row_seq")
 
 
-@query()
+@query(f"""
+WITH RECURSIVE u AS (UNPIVOT (SELECT row_seq, f1, f2, f3 FROM ({_FEATURES})) ON f1, f2, f3 INTO NAME feature VALUE value),
+k AS (SELECT row_seq, feature, rank() OVER (PARTITION BY feature ORDER BY value) + (count(*) OVER (PARTITION BY feature, value) - 1) / 2.0 AS x FROM u),
+e AS (SELECT a.feature AS a, b.feature AS b FROM k a JOIN k b ON a.row_seq = b.row_seq AND a.feature < b.feature GROUP BY ALL HAVING abs(corr(a.x, b.x)) >= 0.85),
+s AS (SELECT a, b FROM e UNION SELECT b, a FROM e), g AS (SELECT a AS root, a AS f FROM s UNION SELECT g.root, s.b FROM g JOIN s ON s.a = g.f),
+m AS (SELECT f AS feature, min(root) AS first FROM g GROUP BY f), i AS (SELECT m.*, round(abs_ic, 4) AS abs_ic FROM m LEFT JOIN ({SQL["fold_ic"]}) USING (feature))
+SELECT (dense_rank() OVER (ORDER BY first) - 1)::BIGINT AS component, feature, {_r("abs_ic")} AS abs_ic, CASE WHEN row_number() OVER (PARTITION BY first ORDER BY coalesce(abs_ic, -1) DESC, feature) = 1 THEN 'KEEP' ELSE 'DROP' END AS action FROM i""")
 def redundancy_droplist(spark, sf_dir):
     return scores.droplist(_features(spark, sf_dir), _NAMES, "target", group="grp", order="row_seq")
 

@@ -454,3 +454,16 @@ def test_excursion_bins_count_what_lies_beyond(spark):
     t = log(spark, [1.0] * 99 + [9.0], mfe=[0.5] * 99 + [100.0], mae=[-0.2] * 100)
     got = panels.excursion_bins(t, 4).collect()
     assert sum(x.n for x in got) == 100 and sum(x.over for x in got) == 1
+
+
+def test_simulated_runs_go_on_over_rounds(spark, monkeypatch):
+    t = log(spark, [0.5, -1.0, 2.0, 0.1, -0.3, 1.1])
+    d = scalars.cusum_design(scalars.Baseline(0.4, 1.0, 100), trades=300)
+    whole = one(monitor.empirical_arl(t, d, n_sims=40, max_run=150))
+    monkeypatch.setattr(monitor, "ROUND", 40)
+    parts = one(monitor.empirical_arl(t, d, n_sims=40, max_run=150))
+    assert parts == pytest.approx(whole) and 0 < whole["mean"] <= 150
+    never = one(monitor.empirical_arl(t, d, shift=0.99, n_sims=10, max_run=3))
+    assert (never["mean"], never["censored"]) == (3, 10)
+    with pytest.raises(ValueError, match="2 trades"):
+        monitor.empirical_arl(t.limit(1), d)
