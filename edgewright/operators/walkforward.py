@@ -92,22 +92,25 @@ def years(start: str, end: str) -> Column:
 
 
 def fold_table(trades: DataFrame, windows: DataFrame, *, score: str = "sqn", min_trades: int = 10) -> DataFrame:
-    """Each fold with its choice, both sides' scores and the efficiency: yearly R out of sample over that in sample."""
+    """Each fold with its choice, both sides' scores, the SQN out of sample and the efficiency: yearly R out of sample over
+    that in sample."""
     chosen = choices(trades, windows, score=score, min_trades=min_trades)
     out = stitched(trades, windows, chosen).groupBy("fold_id").agg(*metrics.moments())
-    scores = out.select("fold_id", F.col("n").alias("oos_n"), F.col("s").alias("oos_sum"), metrics.SCORES[score]().alias("oos_score"))
+    scores = out.select("fold_id", F.col("n").alias("oos_n"), F.col("s").alias("oos_sum"), metrics.SCORES[score]().alias("oos_score"), metrics.sqn().alias("oos_sqn"))
     rows = windows.join(chosen, "fold_id").join(scores, "fold_id", "left")
     inside, outside = F.col("is_sum") / years("is_start", "is_end"), F.coalesce("oos_sum", F.lit(0.0)) / years("oos_from", "oos_end")
     wfe = F.when((inside <= 0) | F.coalesce(F.col("oos_n") == 0, F.lit(True)), 0.0).otherwise(F.try_divide(outside, inside))
-    return rows.select("fold_id", "combo_id", "is_n", "is_score", F.coalesce("oos_n", F.lit(0)).alias("oos_n"), F.coalesce("oos_score", F.lit(0.0)).alias("oos_score"), wfe.alias("wfe"))
+    return rows.select("fold_id", "combo_id", "is_n", "is_score", F.coalesce("oos_n", F.lit(0)).alias("oos_n"), F.coalesce("oos_score", F.lit(0.0)).alias("oos_score"), F.coalesce("oos_sqn", F.lit(0.0)).alias("oos_sqn"), wfe.alias("wfe"))
 
 
 def mean_wfe(table: DataFrame) -> DataFrame:
     return table.agg(F.coalesce(F.avg("wfe"), F.lit(metrics.NAN)).alias("mean_wfe"))
 
 
-def fold_dispersion(table: DataFrame, value: str = "oos_score", *, min_share: float = 0.5, max_cv: float = 2.0) -> DataFrame:
-    """(n, share_positive, cv, passed): are the folds alike? Missing scores are left out; without any nothing is known."""
+def fold_dispersion(table: DataFrame, value: str | None = None, *, min_share: float = 0.5, max_cv: float = 2.0) -> DataFrame:
+    """(n, share_positive, cv, passed): are the folds alike in SQN (or the score, in a table without it)? Missing ones are left
+    out; without any nothing is known."""
+    value = value or ("oos_sqn" if "oos_sqn" in table.columns else "oos_score")
     x = F.when(~F.isnan(value), F.col(value))
     found = table.agg(F.count(x).alias("n"), F.avg((x > 0).cast("double")).alias("share_positive"), F.avg(x).alias("m"), F.coalesce(F.stddev_samp(x), F.lit(0.0)).alias("sd"))
     cv = F.when(F.col("n") == 0, F.lit(None)).when(F.abs("m") < 1e-12, metrics.INF).otherwise(F.abs(F.try_divide("sd", "m")))

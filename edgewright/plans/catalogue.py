@@ -397,7 +397,7 @@ WITH RECURSIVE t AS (SELECT *, dense_rank() OVER (ORDER BY segment) - 1 AS combo
 
 @query(f"{_FOLDS} SELECT fold_id::BIGINT AS fold_id, combo_id, is_n, {_r('is_score')} AS is_score, oos_n, {_r('oos_score')} AS oos_score, {_r('wfe')} AS wfe FROM k")
 def walk_forward_folds(spark, sf_dir):
-    return walkforward.fold_table(*_fold_rows(spark, sf_dir))
+    return walkforward.fold_table(*_fold_rows(spark, sf_dir)).drop("oos_sqn")
 
 
 @query(f"{_FOLDS} SELECT fold_id::BIGINT AS fold_id, combo_id, trade_seq, {_r('r')} AS r FROM t JOIN (SELECT fold_id, combo_id FROM c) USING (combo_id) JOIN f USING (fold_id) WHERE entry_date >= oos_from AND entry_date < oos_end")
@@ -432,7 +432,7 @@ SELECT g.combo_id, g.sym AS symbol, g.bar_seq, g.r, n.ts AS entry_date, m.ts AS
 @query(f"WITH RECURSIVE t AS MATERIALIZED (SELECT * FROM ({_GRID})), {_WALK} SELECT fold_id::BIGINT AS fold_id, combo_id, is_n, {_r('is_score')} AS is_score, oos_n, {_r('oos_score')} AS oos_score, {_r('wfe')} AS wfe FROM k")
 def walk_forward_grid(spark, sf_dir):
     """Twenty settings of crossing means simulated on the whole series, chosen in sample and judged out of it."""
-    return walkforward.fold_table(*_grid_rows(spark, sf_dir))
+    return walkforward.fold_table(*_grid_rows(spark, sf_dir)).drop("oos_sqn")
 
 
 @query(f"""{_FOLDS}, d AS (SELECT count(*) AS n, avg((oos_score > 0)::INT) AS share, avg(oos_score) AS m, coalesce(stddev_samp(oos_score), 0) AS sd, avg(wfe) AS e FROM k)

@@ -467,3 +467,14 @@ def test_simulated_runs_go_on_over_rounds(spark, monkeypatch):
     assert (never["mean"], never["censored"]) == (3, 10)
     with pytest.raises(ValueError, match="2 trades"):
         monitor.empirical_arl(t.limit(1), d)
+
+
+def test_dispersion_judges_sqn_whatever_chose_the_settings(spark):
+    d = [dt.datetime(2020, 1, 1) + dt.timedelta(days=3 * i) for i in range(200)]
+    r = [(0.8 if i % 3 else -1.0) + (0.3 if i > 150 else 0) for i in range(200)]
+    t = log(spark, r, entry_date=d, exit_date=d).withColumn("combo_id", F.lit(0))
+    w = walkforward.folds_of(t, is_days=200, oos_days=100)
+    by_sqn, by_mean = (walkforward.fold_table(t, w, score=s) for s in ("sqn", "expectancy"))
+    assert one(walkforward.fold_dispersion(by_sqn)) == one(walkforward.fold_dispersion(by_mean))
+    assert one(walkforward.fold_dispersion(by_mean, "oos_score")) != one(walkforward.fold_dispersion(by_mean))
+    assert walkforward.folds_of(t.limit(0), is_days=1, oos_days=1).count() == 0
