@@ -9,6 +9,7 @@ from edgewright.functions import rng
 from edgewright.operators.barriers import TIMEOUT, chained, paths
 from edgewright.operators.ordered import joined, running
 from edgewright.operators.signals import by_bar, random_picks
+from edgewright.tables import written
 
 
 def random_entry_null(bars: DataFrame, side: str = "long", *, n_entries: int | DataFrame, n_sims: int = 1000, seed: int = 42, **options) -> DataFrame:
@@ -48,17 +49,19 @@ def timing_null(bars: DataFrame, trades: DataFrame, *, n_samples: int = 2000, de
     steps = joined(returns, sizes, ["symbol"]).withColumn("f", 1 + F.col("x") - (F.col("mean") if detrend else F.lit(0.0)))
     summed = {"p": F.when(F.col("f") == 0, 0.0).otherwise(F.log(F.abs("f"))), "g": (F.col("f") < 0).cast("int"), "z": (F.col("f") == 0).cast("int"), "i": F.lit(1)}
     sums = running(steps.select("symbol", "bar_seq", "f"), ["symbol"], ["bar_seq"], summed).select("symbol", F.col("i").cast("bigint").alias("i"), F.struct("p", "g", "z").alias("s"))
+    sums = written(sums, "sums")  # looked up twice, and from now on Spark knows its size
+    lengths = sums.groupBy("symbol").agg(F.max("i").alias("m"))
     one = F.lit(1.0)
     has = set(trades.columns)
     held = F.greatest(F.lit(1), F.coalesce(F.floor("hold"), F.lit(1))).cast("int")
     log = trades.select("symbol", "trade_seq", held.alias("hold"), (F.coalesce("direction", one) if "direction" in has else one).alias("direction"), (F.coalesce("scale", one) if "scale" in has else one).alias("scale"))
     draws = F.explode(F.sequence(F.lit(0), F.lit(n_samples - 1))).alias("draw")
-    draws = F.explode(F.sequence(F.lit(0), F.lit(n_samples - 1))).alias("draw")
-    starts = log.join(sizes.select("symbol", "m"), "symbol").withColumn("hold", F.least("hold", "m")).select("*", draws)
+    starts = log.join(lengths, "symbol").withColumn("hold", F.least("hold", "m")).select("*", draws)
     at = rng.index(F.col("m") - F.col("hold") + 1, seed, F.col("draw"), F.col("symbol"), F.col("trade_seq")).cast("bigint")
     starts = starts.select("symbol", "draw", (F.col("direction") * F.col("scale")).alias("w"), at.alias("at"), (at + F.col("hold")).alias("to"))
-    # sums are looked up by place; none is at place 0
-    ends = starts.join(sums.select("symbol", F.col("i").alias("to"), F.col("s").alias("b")), ["symbol", "to"])
+    # Sums are looked up by place; none is at place 0. Spark takes the unfolded draws for no larger than the log, but a left
+    # join never broadcasts its left side; every end has its sum, so nothing is null for it
+    ends = starts.join(sums.select("symbol", F.col("i").alias("to"), F.col("s").alias("b")), ["symbol", "to"], "left")
     ends = ends.join(sums.select("symbol", F.col("i").alias("at"), F.col("s").alias("a")), ["symbol", "at"], "left")
     inside = lambda name: F.col("b")[name] - F.coalesce(F.col("a")[name], F.lit(0.0))
     grown = F.when(inside("z") > 0, 0.0).otherwise(F.exp(inside("p")) * F.when(inside("g") % 2 == 0, 1.0).otherwise(-1.0))
