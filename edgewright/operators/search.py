@@ -15,11 +15,13 @@ from edgewright.operators.resample import book
 from edgewright.schema import SEQ, clean
 
 N_PERM, SEED = 5000, 42
+#: Rows of a book whose signs are drawn from one array that every task gets; the rows of a longer one draw their own.
+SIGNED_BOOK = 100_000
 
 
 def sign_permutation(trades: DataFrame, *, n_perm: int = N_PERM, seed: int = SEED) -> DataFrame:
     """(n, observed, p_value): how often random signs do as well as the signs observed."""
-    if trades.count() <= resample.LARGEST_BOOK:
+    if trades.count() <= min(SIGNED_BOOK, resample.LARGEST_BOOK):
         books = book(trades).select("n", "rs", F.when(F.col("n") > 0, F.aggregate("rs", F.lit(0.0), lambda a, x: a + x) / F.col("n")).alias("observed"))
         each = trades.sparkSession.range(n_perm).withColumnRenamed("id", "draw").join(F.broadcast(books.where("n > 0")))
         means = each.select("draw", (F.aggregate(F.transform("rs", lambda x, i: F.abs(x) * rng.sign(seed, F.col("draw"), i)), F.lit(0.0), lambda a, x: a + x) / F.col("n")).alias("mean"))
