@@ -7,6 +7,8 @@ largest group has at most ``WINDOW_ROWS`` rows, which is counted first, a window
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,3 +82,57 @@ def average_rank(value: str, by: list[str]) -> Column:
     """The same as a window over a group, for groups that are ``small``."""
     w = Window.partitionBy(*by)
     return F.rank().over(w.orderBy(value)) + (F.count(F.lit(1)).over(w.partitionBy(*by, value)) - 1) / 2
+
+
+#: Parts that the rows of one frequent value are dealt into, bounds of a group at most, and how well they are placed.
+SALTS, MOST_BOUNDS, ACCURACY = 32, 5000, 10_000
+
+
+def bucketed(rows: DataFrame, by: list[str], values: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows in buckets of their groups' values, so that a group in order is many tasks: the groups (by, _c), the rows (_c and
+    all columns, and for each value its bucket _k_value), and how many rows of a group are in a bucket and before it (_c,
+    _value, _k, _in, _before).
+
+    Bounds are approximate quantiles, and any bounds give the same ranks. A value that is a bound has a bucket of its own,
+    which is odd, and nothing in it to be put in order; a value that more rows have than a bucket holds is one."""
+    width = max(1, WINDOW_ROWS // 2)
+    groups = written(rows.groupBy(*by).agg(F.count("*").alias("_n")).withColumn("_c", F.monotonically_increasing_id()), "groups")
+    most = math.ceil((groups.agg(F.max("_n")).first()[0] or 0) / width)
+    bounds = min(most, MOST_BOUNDS) - 1
+    inside = groups
+    if bounds > 0:
+        shares = [(i + 1) / (bounds + 1) for i in range(bounds)]
+        large = joined(rows, groups.where(F.col("_n") > width), by)
+        found = large.groupBy("_c").agg(*(F.percentile_approx(v, shares, ACCURACY).alias(f"_q_{v}") for v in values))
+        step = F.greatest(F.lit(1), F.floor((bounds + 1) * width / F.col("_n"))).cast("int")  # shorter groups need fewer
+        found = groups.join(found, "_c", "left").withColumn("_step", step)
+        inside = written(found.select(*groups.columns, *(F.array_sort(F.array_distinct(F.filter(f"_q_{v}", lambda x, i: i % F.col("_step") == 0))).alias(f"_q_{v}") for v in values)), "bounds")
+    halves = F.array(*(F.lit(1 << i) for i in reversed(range(max(1, bounds).bit_length()))))
+
+    def bucket(v: str) -> Column:
+        """Twice the bounds below a value, found by halves, and one more if it is one."""
+        if bounds <= 0:
+            return F.lit(0)
+        at = F.col(f"_q_{v}")
+        below = F.aggregate(halves, F.lit(0), lambda low, s: F.when(F.get(at, low + s - 1) < F.col(v), low + s).otherwise(low))
+        return F.when(at.isNull(), 0).otherwise(2 * below + F.when(F.get(at, below) == F.col(v), 1).otherwise(0))
+
+    others = [c for c in rows.columns if c not in by]
+    dealt = joined(rows, inside, by).select("_c", *others, *(bucket(v).cast("int").alias(f"_k_{v}") for v in values))
+    each = dealt.select("_c", F.explode(F.array(*(F.struct(F.lit(v).alias("_value"), F.col(f"_k_{v}").alias("_k")) for v in values))).alias("x"))
+    before = Window.partitionBy("_c", "_value").orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)
+    counts = each.groupBy("_c", "x._value", "x._k").agg(F.count("*").alias("_in"))
+    return groups, dealt, written(counts.withColumn("_before", F.coalesce(F.sum("_in").over(before), F.lit(0))), "buckets")
+
+
+def bucket_ranks(dealt: DataFrame, counts: DataFrame, value: str, name: str, keep: list[str]) -> DataFrame:
+    """(_c, keep, name): the average rank of ``value`` in its group, of rows and counts that ``bucketed`` made. One shuffle
+    of the rows; those of a value that is a bound are dealt over parts, as their counts are all they need."""
+    k = F.col(f"_k_{value}")
+    salt = F.when(k % 2 == 1, F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))).otherwise(0)
+    parts = dealt.select("_c", (k * SALTS + salt).cast("int").alias(_PART), value, *(c for c in keep if c != value))
+    own = Window.partitionBy("_c", _PART)
+    inside = F.rank().over(own.orderBy(value)) + (F.count(F.lit(1)).over(own.partitionBy("_c", _PART, value)) - 1) / 2
+    ranked = parts.select("_c", *keep, F.floor(F.col(_PART) / SALTS).cast("int").alias("_k"), inside.alias("_inside"))
+    ranked = ranked.join(counts.where(F.col("_value") == value).drop("_value"), ["_c", "_k"])
+    return ranked.select("_c", *keep, (F.col("_before") + F.when(F.col("_k") % 2 == 1, (F.col("_in") + 1) / 2).otherwise(F.col("_inside"))).alias(name))

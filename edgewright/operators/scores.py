@@ -10,7 +10,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from edgewright.operators.ordered import average_rank, joined, placed, small, value_ranks
+from edgewright.operators.ordered import average_rank, bucket_ranks, bucketed, joined, placed, small, value_ranks
 from edgewright.schema import finite
 from edgewright.tables import written
 
@@ -22,15 +22,22 @@ def correlation(a: str, b: str) -> Column:
 
 def rank_correlation(rows: DataFrame, by: list[str]) -> DataFrame:
     """(by, n, c): Pearson's correlation of the average ranks of ``a`` and ``b`` in each group, NULL where one is constant;
-    neither they nor ``by`` are missing. Rows with equal pairs are one cell, which looks both its ranks up, so a value
-    that most rows have doesn't gather them. Average ranks have the mean (n + 1) / 2, so one pass adds up all there is."""
+    neither they nor ``by`` are missing. Rows of large groups are shuffled twice, by buckets of one value and then of the
+    other, with the rank that they have; a value that most rows have doesn't gather them (``bucketed``). Average ranks have
+    the mean (n + 1) / 2, so one pass adds up all there is."""
+    keys = by
     if small(rows, by):
         cells = rows.select(*by, F.lit(1).alias("k"), average_rank("a", by).alias("ra"), average_rank("b", by).alias("rb"))
     else:
-        cells = rows.groupBy(*by, "a", "b").agg(F.count("*").alias("k"))
-        cells = cells.join(value_ranks(rows, by, "a", "ra"), [*by, "a"]).join(value_ranks(rows, by, "b", "rb"), [*by, "b"])
-    k, a, b = F.col("k"), F.col("ra"), F.col("rb")
-    sums = cells.groupBy(*by).agg(F.sum(k).alias("n"), F.sum(k * a * b).alias("ab"), F.sum(k * a * a).alias("aa"), F.sum(k * b * b).alias("bb"))
+        groups, dealt, counts = bucketed(rows.select(*by, "a", "b"), by, ["a", "b"])
+        first = bucket_ranks(dealt, counts, "a", "ra", ["b", "_k_b"])
+        cells = bucket_ranks(first, counts, "b", "rb", ["ra"]).withColumn("k", F.lit(1))
+        keys = ["_c"]
+    k, a, b = F.col("k"), (2 * F.col("ra")).cast("bigint"), (2 * F.col("rb")).cast("bigint")  # twice a rank is whole, and so are exact sums
+    total = lambda x: (F.sum(F.shiftright(x, 32)) * float(2**32) + F.sum(x.bitwiseAND(F.lit(2**32 - 1)))) / 4
+    sums = cells.groupBy(*keys).agg(F.sum(k).alias("n"), total(k * a * b).alias("ab"), total(k * a * a).alias("aa"), total(k * b * b).alias("bb"))
+    if keys != by:
+        sums = sums.join(groups, "_c")
     mean = F.col("n") * F.pow((F.col("n") + 1) / 2, F.lit(2.0))
     ab, aa, bb = (F.col(c) - mean for c in ("ab", "aa", "bb"))
     varied = (aa > 1e-12 * mean) & (bb > 1e-12 * mean)
@@ -90,15 +97,35 @@ def long_panel(panel: DataFrame, features: list[str], target: str, group: str, o
     return panel.select(F.col(group).alias("grp"), F.col(order).alias("row_seq"), finite(target).alias("target"), *(finite(f).alias(f) for f in features)).unpivot(["grp", "row_seq", "target"], features, "feature", "value")
 
 
+def folded(rows: DataFrame, group: str, order: str, n_splits: int, min_test: int, min_group: int) -> DataFrame:
+    """``rows`` with ``fold``: equal runs of each group's rows, in order; groups and folds with too few rows are left out.
+
+    A fold begins at a value of ``order``, which is found from that column alone; the rows look their fold up in a few
+    bounds and stay where they are. Only if rows on both sides of a bound are tied does every row take its place."""
+    sizes = rows.groupBy(group).agg(F.count("*").alias("_n")).where(F.col("_n") >= min_group)
+    fold_at = lambda i: F.floor(((i + 1) * n_splits - 1) / F.col("_n")).cast("int")
+    i, fold = F.col("_i"), F.col("fold")
+    places = placed(rows.select(group, order), [group], [order], "_i").join(sizes, group).withColumn("fold", fold_at(i))
+    first = (i == 0) | (fold_at(i - 1) != fold)
+    edges = written(places.where(first | (fold_at(i + 1) != fold)).withColumn("_first", first), "edges")
+    if not edges.groupBy(group, order).count().where("count > 1").isEmpty():
+        rows = placed(rows, [group], [order], "_i").join(sizes, group).withColumn("fold", fold_at(i))
+        sizes = rows.groupBy(group, "fold").agg(F.count("*").alias("_rows")).where(F.col("_rows") >= min_test)
+        return rows.join(sizes, [group, "fold"])
+    bounds = edges.where("_first").groupBy(group, "_n").agg(F.sort_array(F.collect_list(F.struct(fold, F.col(order).alias("at"), "_i"))).alias("_folds"))
+    at = lambda k: F.get("_folds", F.lit(k))
+    place = F.lit(0)
+    for k in range(1, n_splits):
+        place = F.when(at(k)["at"] <= F.col(order), k).otherwise(place)
+    rows = rows.join(bounds, group).withColumn("_place", place)
+    begin, end = F.get("_folds", F.col("_place")), F.get("_folds", F.col("_place") + 1)
+    kept = F.coalesce(end["_i"], F.col("_n")) - begin["_i"] >= min_test
+    return rows.where(kept).withColumn("fold", F.get("_folds", F.col("_place"))["fold"]).drop("_folds", "_place", "_n")
+
+
 def fold_ic(panel: DataFrame, features: list[str], target: str, *, group: str, order: str, n_splits: int = 5, min_test: int = 10, min_group: int = 40) -> DataFrame:
     """(feature, mean_ic, abs_ic, std_ic, ratio, n_folds): rank correlations in folds of each group's rows, in order."""
-    rows = panel.where(F.col(group).isNotNull())
-    sizes = rows.groupBy(group).agg(F.count("*").alias("_n")).where(F.col("_n") >= min_group)
-    rows = placed(rows.select(group, order, target, *features), [group], [order], "_i").join(sizes, group)
-    fold = F.floor(((F.col("_i") + 1) * n_splits - 1) / F.col("_n"))
-    rows = rows.withColumn("fold", fold.cast("int"))
-    sizes = rows.groupBy(group, "fold").agg(F.count("*").alias("_rows")).where(F.col("_rows") >= min_test)
-    rows = rows.join(sizes, [group, "fold"])
+    rows = folded(panel.where(F.col(group).isNotNull()).select(group, order, target, *features), group, order, n_splits, min_test, min_group)
     cells = rows.select(F.col(group).alias("grp"), "fold", finite(target).alias("target"), *(finite(f).alias(f) for f in features)).unpivot(["grp", "fold", "target"], features, "feature", "a")
     by = ["grp", "fold", "feature"]
     ics = rank_correlation(cells.where("a is not null and target is not null").select(*by, "a", F.col("target").alias("b")), by).select(*by, F.col("c").alias("ic")).where("ic is not null")
