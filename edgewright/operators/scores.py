@@ -10,7 +10,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from edgewright.operators.ordered import average_rank, bucket_ranks, bucketed, joined, placed, small, value_ranks
+from edgewright.operators.ordered import average_rank, bucket_ranks, bucketed, joined, placed, small
 from edgewright.schema import finite
 from edgewright.tables import written
 
@@ -135,7 +135,20 @@ def fold_ic(panel: DataFrame, features: list[str], target: str, *, group: str, o
 
 def feature_kinds(panel: DataFrame, features: list[str], max_card: int = 3) -> tuple[list[str], list[str]]:
     """Features with few distinct values, and the others."""
-    found = panel.agg(*(F.countDistinct(finite(f)).alias(f) for f in features)).first().asDict()
+
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of a task's values of each feature, one more than ``max_card`` at most: all of few, or enough to know of many."""
+        seen: list[set] = [set() for _ in features]
+        for batch in batches:
+            for own, column in zip(seen, batch.columns, strict=True):
+                if len(own) <= max_card:
+                    own.update(x + 0.0 for x in column.unique().drop_null().slice(0, 2 * max_card + 2).to_pylist())
+        rows = [(i, x) for i, own in enumerate(seen) for x in sorted(own)[: max_card + 1]]
+        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.float64())], ["i", "x"])
+
+    values = panel.select(*(finite(f).alias(f"_{i}") for i, f in enumerate(features))).mapInArrow(some, "i int, x double")
+    number = {r.i: r.n for r in values.groupBy("i").agg(F.countDistinct("x").alias("n")).collect()}
+    found = {f: number.get(i, 0) for i, f in enumerate(features)}
     return [f for f in features if found[f] <= max_card], [f for f in features if found[f] > max_card]
 
 
@@ -168,11 +181,11 @@ def gram(rows: DataFrame, vectors: str, width: int) -> DataFrame:
 def rank_vectors(panel: DataFrame, features: list[str], order: str) -> DataFrame:
     """(ranks) of every row: each feature's average rank in its column less the middle one, NULL where it is missing."""
     cells = panel.select(F.col(order).alias("_row"), *(finite(f).alias(f) for f in features)).unpivot(["_row"], features, "feature", "value").where("value is not null")
-    ranks = value_ranks(cells, ["feature"], "value", "rank")
-    middle = cells.groupBy("feature").agg(((F.count("*") + 1) / 2).alias("middle"))
-    ranked = joined(joined(cells, ranks, ["feature", "value"]), middle, ["feature"]).select("_row", "feature", (F.col("rank") - F.col("middle")).alias("x"))
-    wide = ranked.groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("feature", "x"))).alias("m"))
-    return wide.select(F.array(*(F.try_element_at("m", F.lit(f)) for f in features)).alias("ranks"))
+    groups, dealt, counts = bucketed(cells, ["feature"], ["value"])
+    ranked = bucket_ranks(dealt, counts, "value", "rank", ["_row"])
+    ranked = ranked.join(groups, "_c").select("_row", "feature", (F.col("rank") - (F.col("_n") + 1) / 2).alias("x"))
+    wide = ranked.groupBy("_row").agg(*(F.max(F.when(F.col("feature") == f, F.col("x"))).alias(f"_x{i}") for i, f in enumerate(features)))
+    return wide.select(F.array(*(f"_x{i}" for i in range(len(features)))).alias("ranks"))
 
 
 def cramers_of_pairs(panel: DataFrame, features: list[str]) -> DataFrame:
