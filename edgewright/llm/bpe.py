@@ -22,17 +22,21 @@ import struct
 import tempfile
 import uuid
 from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edgewright.llm.common import Memo, arrow, loaded_once, most_frequent, stored, table
+from edgewright.llm.common import Memo, arrow, begun, gathered, lean, loaded_once, most_frequent, released, stored, table
 
 #: How many of the most frequent pieces the automaton holds.
 LEXICON = 32_768
+#: About so many bytes of text are counted at once in a task.
+COUNTED_BYTES = 32_000_000
 SPECIAL = b"<|endoftext|>"
 #: White space beyond ASCII starts with one of these in UTF-8; runs of white space, ASCII and any.
 WIDE = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80")
@@ -240,7 +244,7 @@ class Encoder:
 
     def __init__(self, vocabulary: str, lexicon: str):
         self.merger, self.lexicon = merger(vocabulary), Lexicon(lexicon)
-        self.spaced = Memo(lambda piece: self.piece(b" ", piece), 200_000, __name__)  # pieces behind a space
+        self.spaced = Memo(lambda piece: self.piece(b" ", piece), 600_000, __name__)  # pieces behind a space
         self.bare = Memo(lambda piece: self.piece(b"", piece), 50_000, __name__)
         self.apart = Memo(self.exact, 20_000, __name__)  # tokens of their own: marks and white space
         self.line, self.end = self.exact(b"\n"), struct.pack("<I", self.merger.special)
@@ -302,9 +306,18 @@ def encoder(vocabulary: str, lexicon: str) -> Encoder:
 def frequent_pieces(docs: DataFrame, text_col: str, size: int) -> list[bytes]:
     """The most frequent space-delimited pieces of all texts without the marks behind them, each with the space before
     it; at most ``size``."""
-    pieces = docs.select(F.explode(F.split(F.col(text_col), " ")).alias("piece"))
-    pieces = pieces.select(F.rtrim("piece", F.lit(MARKS.decode())).alias("piece")).where(F.col("piece") != "")
-    top = most_frequent(stored(pieces.groupBy("piece").agg(F.count("*").alias("n")), "pieces"), "n", size)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begun(__name__)
+        for texts in gathered(batches, COUNTED_BYTES):
+            pieces = pc.split_pattern(texts.drop_null().view(pa.string()), " ").flatten()
+            counts = pc.ascii_rtrim(pieces, MARKS.decode()).value_counts()
+            yield from pa.table({"piece": counts.field(0), "n": counts.field(1)}).to_batches(max_chunksize=50_000)
+        released()
+
+    lean(docs.sparkSession)
+    counts = docs.select(F.col(text_col).cast("binary")).mapInArrow(run, "piece string, n long").where(F.col("piece") != "")
+    top = most_frequent(stored(counts.groupBy("piece").agg(F.sum("n").alias("n")), "pieces"), "n", size)
     return [b" " + r.piece.encode() for r in top.collect()]
 
 

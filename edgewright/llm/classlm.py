@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edgewright.llm.common import arrow, begun, crc_mod, lean, most_frequent, released, stored, table
+from edgewright.llm.common import arrow, begun, crc_mod, gathered, lean, most_frequent, released, split_words, stored, table
 
 #: Types: frequent words, endings of the other words; classes; rounds of exchange.
 WORD_TYPES, ENDING_TYPES, CLASSES, ROUNDS = 700, 300, 48, 6
@@ -79,19 +79,12 @@ class Stream:
 
     @classmethod
     def of(cls, texts: pa.Array) -> Stream:
-        text = pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(texts, b"").view(pa.string())))
-        lists = pc.ascii_split_whitespace(text)
-        flat = lists.flatten()
-        empty = pc.equal(pc.binary_length(text), 0).to_numpy(zero_copy_only=False)
-        if empty.any():
-            flat = flat.filter(pc.not_equal(flat, ""))
-        lengths = np.where(empty, 0, pc.list_value_length(lists).to_numpy()) + 1
-        coded = flat.dictionary_encode()
-        words = pa.concat_arrays([coded.dictionary.cast(pa.binary()), pa.array([END], pa.binary())])
+        found, codes, n = split_words(texts, lower=True)
+        words, lengths = pa.concat_arrays([found, pa.array([END], pa.binary())]), n + 1
         ids = np.full(int(lengths.sum()), len(words) - 1, np.int32)
         inside = np.ones(len(ids), bool)
         inside[np.cumsum(lengths) - 1] = False
-        ids[inside] = coded.indices.to_numpy()
+        ids[inside] = codes
         return cls(words, ids, lengths)
 
     def before(self, values: np.ndarray) -> np.ndarray:
@@ -103,27 +96,13 @@ class Stream:
         return np.add.reduceat(values, np.cumsum(self.lengths) - self.lengths) if len(self.lengths) else np.zeros(0, values.dtype)
 
 
-def streams(batches: Iterator[pa.RecordBatch], size: int | None = None) -> Iterator[Stream]:
-    """The texts (first column) of a task's batches, about ``size`` bytes at a time."""
-    size = size or COUNTED_BYTES
-    held, total = [], 0
-    for batch in batches:
-        held.append(batch.column(0))
-        total += batch.column(0).nbytes
-        if total >= size:
-            yield Stream.of(pa.concat_arrays(held))
-            held, total = [], 0
-    if sum(map(len, held)):
-        yield Stream.of(pa.concat_arrays(held))
-
-
 def each_stream(train: DataFrame, fn, schema: str, text_col: str) -> DataFrame:
     """The batches that ``fn`` makes of the texts of ``train``, taken as streams."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begun(__name__)
-        for stream in streams(batches):
-            yield from fn(stream)
+        for texts in gathered(batches, COUNTED_BYTES):
+            yield from fn(Stream.of(texts))
         released()
 
     lean(train.sparkSession)

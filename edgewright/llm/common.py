@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -132,6 +133,32 @@ def arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema:
     return df.mapInArrow(each, schema)
 
 
+def split_words(texts: pa.Array, lower: bool = False) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Distinct words of the texts (binary; null: none), the place among these of each word in order, and how many words
+    each text has; ``lower``: with ASCII capitals lowered."""
+    text = pc.ascii_trim_whitespace(pc.fill_null(texts, b"").view(pa.string()))
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(text) if lower else text)
+    flat = lists.flatten()
+    empty = pc.equal(pc.binary_length(text), 0).to_numpy(zero_copy_only=False)
+    if empty.any():
+        flat = flat.filter(pc.not_equal(flat, ""))
+    coded = flat.dictionary_encode()
+    return coded.dictionary.view(pa.binary()), coded.indices.to_numpy(), np.where(empty, 0, pc.list_value_length(lists).to_numpy())
+
+
+def gathered(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Array]:
+    """The first column of a task's batches, about ``size`` bytes at a time."""
+    held, total = [], 0
+    for batch in batches:
+        held.append(batch.column(0))
+        total += batch.column(0).nbytes
+        if total >= size:
+            yield pa.concat_arrays(held)
+            held, total = [], 0
+    if sum(map(len, held)):
+        yield pa.concat_arrays(held)
+
+
 def most_frequent(counted: DataFrame, n: str, most: int) -> DataFrame:
     """The rows of ``counted`` with the largest ``n``, at most ``most``: all at or above a step of its logarithm.
 
