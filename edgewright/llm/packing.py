@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from edgewright.llm.common import Memo, arrow, loaded_once, stored, table
+from edgewright.llm.common import Memo, arrow, loaded_once, split_words, stored, table
 
 CAPACITY = 4096
 END = 1
@@ -40,6 +40,8 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: ASCII marks that are pre-tokens of their own behind letters (no apostrophe).
+MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Latin letters that lower one by one, with ASCII marks behind: two pre-tokens at most.
 PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([!-&(-/:-@\\[-`{-~]*)")
 
@@ -60,36 +62,64 @@ class Coder:
         vocabulary = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.words = Memo(self.whole, 150_000, __name__)
-        self.letters = Memo(lambda letters: self.whole(letters.encode()), 150_000, __name__)
-        self.marks = Memo(lambda marks: self.whole(marks.encode()), 10_000, __name__)
+        self.words = Memo(self.whole, 400_000, __name__)
+        self.letters = Memo(self.whole, 300_000, __name__)
+        self.marks = Memo(self.whole, 10_000, __name__)
 
     def whole(self, data: bytes) -> bytes:
         return array("I", self.tokenizer.encode(data.decode(), add_special_tokens=False).ids).tobytes()
 
-    def learn(self, words: set[bytes]) -> None:
-        plain = {}
+    def learn(self, words: list[bytes]) -> None:
+        plain = []
         for word in words:
-            if found := PLAIN.fullmatch(word.decode()):
-                plain[word] = found[1].lower(), found[2]
+            core = word.rstrip(MARKS)
+            if core.isalpha():
+                plain.append((word, core.lower(), word[len(core) :]))
+            elif not word.isascii() and (found := PLAIN.fullmatch(word.decode())):
+                plain.append((word, found[1].lower().encode(), found[2].encode()))
             else:
                 self.words[word] = self.whole(word)
-        new = list({letters for letters, _ in plain.values()}.difference(self.letters))
+        known, last = self.letters, self.letters.last
+        new = []
+        for letters in {letters for _, letters, _ in plain}:
+            if letters not in known:
+                if letters in last:
+                    known[letters] = last[letters]
+                else:
+                    new.append(letters)
         for i in range(0, len(new), 1000):
             some = new[i : i + 1000]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, np.uint32)
-            for letters, part in zip(some, np.split(ids, np.flatnonzero(self.last[ids]) + 1), strict=False):
-                self.letters[letters] = part.tobytes()
-        for word, (letters, marks) in plain.items():
-            self.words[word] = self.letters[letters] + (self.marks[marks] if marks else b"")
-
-    def ids(self, texts: list[bytes | None]) -> list[bytes]:
+            ids = np.array(self.tokenizer.encode(b" ".join(some).decode(), add_special_tokens=False).ids, np.uint32)
+            data, at = ids.tobytes(), 0
+            for letters, end in zip(some, (4 * np.flatnonzero(self.last[ids]) + 4).tolist(), strict=True):
+                known[letters], at = data[at:end], end
+        for word, letters, marks in plain:
+            self.words[word] = known[letters] + self.marks[marks] if marks else known[letters]
+
+    def ids(self, texts: list[bytes | None] | pa.Array) -> list[bytes]:
         """The ids of each text as 32-bit numbers."""
         for kept in (self.words, self.letters, self.marks):
             kept.trim()
-        split = [text.split() if text else [] for text in texts]
-        self.learn(set().union(*split).difference(self.words))
-        return [b"".join(map(self.words.__getitem__, words)) for words in split]
+        found, codes, lengths = split_words(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.binary()))
+        words = found.to_pylist()
+        known, last = self.words, self.words.last
+        new = []
+        for word in words:
+            if word not in known:
+                if word in last:
+                    known[word] = last[word]
+                else:
+                    new.append(word)
+        self.learn(new)
+        parts = [known[word] for word in words]
+        n = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        every, first = np.frombuffer(b"".join(parts), np.uint32), np.cumsum(n) - n
+        # each word's ids in the order of the texts
+        many = n[codes]
+        behind = np.concatenate([[0], np.cumsum(many)])
+        data = every[np.repeat(first[codes] - behind[:-1], many) + np.arange(behind[-1])].tobytes()
+        ends = (4 * behind[np.concatenate([[0], np.cumsum(lengths)])]).tolist()
+        return [data[a:b] for a, b in zip(ends, ends[1:])]
 
 
 @loaded_once(2)
@@ -105,7 +135,7 @@ def pieces(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", v
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         code = coder(vocabulary)
         rows: list[tuple] = []
-        for at, data in enumerate(code.ids(batch.column(1).to_pylist())):
+        for at, data in enumerate(code.ids(batch.column(1))):
             data += end
             for piece, i in enumerate(range(0, len(data), 4 * capacity)):
                 part = data[i : i + 4 * capacity]
