@@ -4,8 +4,9 @@ A window is ``WINDOW`` consecutive words. Its minimiser is the least hash among
 Consecutive windows with the same minimiser travel as one packed string (their words joined by spaces) to the
 minimiser's bucket, so a passage costs little more than its own text instead of one copy per window. Of equal strings
 of one batch only the smallest document's travels, as the others repeat it for certain; the strings of a batch for
-one bucket travel as one compressed block, and the number of buckets follows the size of the corpus. In its bucket,
-Spark sorts the strings by minimiser and by doc_id (spilling as it needs), so the first string that holds a window
+one bucket travel as one compressed block, and the number of buckets follows the size of the corpus. A bucket's strings
+that have their minimiser alone repeat nothing and stay packed, unless the bucket is larger than a worker may hold.
+Spark sorts the others by minimiser and by doc_id (spilling as it needs), so the first string that holds a window
 belongs to the smallest document that has it: a window that comes again from another document is a repeat, exactly,
 by its words. Only places come back to the documents, which drop the covered words.
 
@@ -18,15 +19,18 @@ one document stay, and so do rows that repeat a doc_id. An empty table gives an
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edgewright.llm.common import Memo, arrow, begun, lean, most_frequent, parts, released, stored, table, unused
+from edgewright.llm.common import arrow, begun, lean, most_frequent, parts, released, split_words, stored, table, unused
 
 WINDOW, SEED = 13, 3
 #: Bytes of text whose strings share a bucket, on average.
@@ -35,12 +39,17 @@ BUCKET_BYTES = 6_000_000
 HEAVY, MOST_HEAVY = 20_000, 100_000
 #: Runs of a batch that a minimiser needs there to be counted.
 OFTEN = 8
-#: What travels: of the minimiser, 32 bits beside the bucket's number; more that share them only sort together.
-#: Strings have the places of one document.
-_SENT = pa.schema([("key", pa.uint32()), ("packed", pa.binary()), ("doc", pa.int64()), ("starts", pa.list_(pa.int32()))])
-#: A block that starts with this has places that are repeats for certain: documents, first words, words after the last.
-_KNOWN = b"known\n"
-_HASH = Memo(xxhash.xxh64_intdigest, 50_000, __name__, brief=True)
+#: Compressed bytes of a bucket that a worker holds to leave out the runs that have their minimiser alone; none of a larger one are.
+HELD_BYTES = 24_000_000
+#: Level of the blocks' compression.
+ZSTD = 3
+#: What travels of a run, beside the bucket's number and 32 bits of the minimiser (more that share them only sort
+#: together). Strings have the places of one document. Blocks without keys have places that are repeats for certain:
+#: documents, first words, words after the last.
+_SENT = pa.schema([("packed", pa.binary()), ("doc", pa.int64()), ("starts", pa.list_(pa.int32()))])
+_NAMES = ["minimiser", *_SENT.names]
+#: A string in Arrow's layout of views.
+_VIEW = np.dtype([("length", np.int32), ("prefix", np.uint8, 4), ("buffer", np.int32), ("offset", np.int32)])
 _SPREAD = np.random.default_rng(20_240_603).integers(1, 2**63, WINDOW, np.uint64) | np.uint64(1)
 
 
@@ -54,9 +63,8 @@ def _runs(hashed: np.ndarray, width: int) -> np.ndarray:
     return total ^ (total >> np.uint64(29))
 
 
-def minimisers(words: list[bytes], heavy: np.ndarray | None = None) -> np.ndarray:
-    """The minimiser of each window of the words; the window's own hash where the minimiser is a ``heavy`` one."""
-    hashed = np.fromiter(map(_HASH.__getitem__, words), np.uint64, len(words))
+def minimisers(hashed: np.ndarray, heavy: np.ndarray | None = None) -> np.ndarray:
+    """The minimiser of each window of words with these hashes; the window's own hash where the minimiser is a ``heavy`` one."""
     low, span = _runs(hashed, SEED), 1  # least of ``span`` seeds in a row
     width = WINDOW - SEED + 1
     while 2 * span <= width:
@@ -69,11 +77,48 @@ def minimisers(words: list[bytes], heavy: np.ndarray | None = None) -> np.ndarra
     return low
 
 
-def _split(batch: pa.RecordBatch) -> Iterator[tuple[int, list[bytes]]]:
-    for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-        words = text.split() if text else ()
-        if doc is not None and len(words) >= WINDOW:
-            yield doc, words
+class Runs(NamedTuple):
+    """The runs of windows with one minimiser of a batch's texts, in order."""
+
+    keys: np.ndarray  # minimisers
+    docs: np.ndarray
+    starts: np.ndarray  # first words in their texts
+    words: np.ndarray  # how many
+    begins: np.ndarray  # first bytes in ``joined``
+    ends: np.ndarray
+    joined: pa.Buffer  # the words of all texts, a space after each
+
+    def packed(self, rows: np.ndarray) -> pa.Array:
+        """The words of these runs joined by spaces."""
+        views = np.zeros(len(rows), _VIEW)  # a string of 12 bytes or less would lie in its view; 13 words are longer
+        views["length"] = self.ends[rows] - self.begins[rows]
+        views["offset"] = self.begins[rows]
+        data = np.frombuffer(self.joined, np.uint8)
+        for i in range(4):
+            views["prefix"][:, i] = data[self.begins[rows] + i]
+        return pa.Array.from_buffers(pa.binary_view(), len(rows), [None, pa.py_buffer(views), self.joined]).cast(pa.binary())
+
+
+def runs(batch: pa.RecordBatch, heavy: np.ndarray | None = None) -> Runs | None:
+    """The runs of a batch (doc, text as binary); none, where no text has a window."""
+    batch = batch.filter(batch.column(0).is_valid())
+    distinct, codes, n = split_words(batch.column(1))
+    if len(codes) < WINDOW:
+        return None
+    hashed = np.fromiter(map(xxhash.xxh64_intdigest, distinct.to_numpy(zero_copy_only=False)), np.uint64, len(distinct))[codes]
+    text = np.repeat(np.arange(len(n)), n)
+    inside = np.flatnonzero(text[: 1 - WINDOW] == text[WINDOW - 1 :])  # the windows within one text
+    if not inside.size:
+        return None
+    least, own = minimisers(hashed, heavy)[inside], text[inside]
+    cuts = np.flatnonzero((least[1:] != least[:-1]) | (own[1:] != own[:-1])) + 1
+    head = np.concatenate([[0], cuts])
+    first, last = inside[head], inside[np.append(cuts, len(inside)) - 1] + WINDOW
+    at = np.zeros(len(codes) + 1, np.int64)
+    np.cumsum(pc.binary_length(distinct).to_numpy()[codes] + 1, out=at[1:])
+    spaced = pc.binary_join_element_wise(distinct, pa.scalar(b"", pa.binary()), pa.scalar(b" ", pa.binary())).take(pa.array(codes))
+    docs = batch.column(0).to_numpy()[own[head]]
+    return Runs(least[head], docs, first - (np.cumsum(n) - n)[own[head]], last - first, at[first], at[last] - 1, spaced.buffers()[2])
 
 
 def heavy_minimisers(rows: DataFrame) -> np.ndarray:
@@ -83,9 +128,8 @@ def heavy_minimisers(rows: DataFrame) -> np.ndarray:
     """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [least[np.flatnonzero(np.diff(least, prepend=~least[:1]))] for _, words in _split(batch) for least in [minimisers(words)]]
-        _HASH.trim()
-        keys, n = np.unique(np.concatenate([np.empty(0, np.uint64), *found]), return_counts=True)
+        found = runs(batch)
+        keys, n = np.unique(found.keys if found else np.empty(0, np.uint64), return_counts=True)
         often = n >= OFTEN
         return pa.RecordBatch.from_arrays([pa.array(keys[often].view(np.int64)), pa.array(n[often])], ["minimiser", "n"])
 
@@ -93,46 +137,32 @@ def heavy_minimisers(rows: DataFrame) -> np.ndarray:
     return np.sort(np.array([r.minimiser for r in most_frequent(stored(counted, "heavy"), "n", MOST_HEAVY).collect()], np.int64).view(np.uint64))
 
 
-def runs_of(batch: pa.RecordBatch, heavy: np.ndarray | None = None) -> tuple[np.ndarray, pa.RecordBatch, tuple[list, list, list]]:
-    """The minimiser of each distinct run of windows of a batch, the run with its smallest document's places, and the
-    places of the others: (docs, first words, words after the last)."""
-    places: dict[tuple[int, bytes], list] = {}
-    known: tuple[list, list, list] = ([], [], [])
-    for doc, words in _split(batch):
-        least = minimisers(words, heavy)
-        cuts = np.flatnonzero(least[1:] != least[:-1]) + 1
-        joined = b" ".join(words)
-        at = np.zeros(len(words) + 1, np.int64)
-        np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1, out=at[1:])
-        first = np.concatenate([[0], cuts])
-        last = np.concatenate([cuts, [len(least)]]) + (WINDOW - 1)
-        for key, i, j, a, b in zip(least[first].tolist(), first.tolist(), last.tolist(), at[first].tolist(), (at[last] - 1).tolist(), strict=True):
-            run = joined[a:b]
-            there = places.get((key, run))
-            if there is None:
-                places[key, run] = [doc, i]
-            elif there[0] == doc:
-                there.append(i)
-            else:
-                own = [doc, i]
-                if doc < there[0]:
-                    places[key, run], own = own, there
-                for begin in own[1:]:
-                    known[0].append(own[0])
-                    known[1].append(begin)
-                    known[2].append(begin + j - i)
-    _HASH.trim()
-    keys = np.fromiter((k for k, _ in places), np.uint64, len(places))
-    ends = np.cumsum([0, *(len(p) - 1 for p in places.values())]).astype(np.int32)
-    starts = np.fromiter((x for p in places.values() for x in p[1:]), np.int32, int(ends[-1]))
-    docs = np.fromiter((p[0] for p in places.values()), np.int64, len(places))
-    columns = [pa.array(keys.astype(np.uint32)), pa.array([s for _, s in places], pa.binary()), pa.array(docs), pa.ListArray.from_arrays(pa.array(ends), pa.array(starts))]
-    return keys, pa.RecordBatch.from_arrays(columns, schema=_SENT), known
+def runs_of(batch: pa.RecordBatch, heavy: np.ndarray | None = None, buckets: int = 1) -> tuple[np.ndarray, pa.RecordBatch, np.ndarray]:
+    """The minimiser of each distinct run of windows of a batch, by bucket, the run with its smallest document's places,
+    and the places of the others: rows of docs, first words, words after the last."""
+    found = runs(batch, heavy)
+    if found is None:
+        return np.empty(0, np.uint64), pa.RecordBatch.from_pylist([], _SENT), np.empty((3, 0), np.int64)
+    _, kind, n = np.unique(found.keys, return_inverse=True, return_counts=True)
+    group = np.arange(len(found.keys))  # of equal runs: one of their rows
+    again = np.flatnonzero(n[kind] > 1)
+    code = found.packed(again).dictionary_encode().indices.to_numpy()
+    group[again] = again[np.unique(code, return_index=True)[1]][code]
+    order = np.lexsort((found.starts, found.docs, group, found.keys % np.uint64(buckets)))
+    head = np.flatnonzero(np.diff(group[order], prepend=-1))
+    doc, start, n = found.docs[order], found.starts[order], np.diff(head, append=len(order))
+    least = doc == np.repeat(doc[head], n)
+    known = np.array([doc[~least], start[~least], (start + found.words[order])[~least]], np.int64)
+    rows = order[head]
+    ends = np.concatenate([[0], np.cumsum(np.add.reduceat(least, head, dtype=np.int32))]).astype(np.int32)
+    starts = pa.ListArray.from_arrays(pa.array(ends), pa.array(start[least].astype(np.int32)))
+    return found.keys[rows], pa.RecordBatch.from_arrays([found.packed(rows), pa.array(doc[head]), starts], schema=_SENT), known
 
 
 def super_kmers(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """The runs of all texts (minimiser, packed, doc, starts), each bucket's together in one partition, sorted, and rows
-    without minimiser, packed with the places that repeat another document of their batch."""
+    """The runs of all texts (minimiser, packed, doc, starts) but those that were seen to share no minimiser, each bucket's
+    together in one partition, sorted, and rows without minimiser, packed with the places that repeat another document of
+    their batch."""
     lean(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("binary").alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -141,44 +171,71 @@ def super_kmers(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begun(__name__)
-        options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=4))
+        codec = pa.Codec("zstd", compression_level=ZSTD)
         for batch in (part for whole in batches for part in parts(whole, 1024, 2_500_000)):
-            keys, runs, known = runs_of(batch, heavy)
-            own = keys % np.uint64(buckets)
-            order = np.argsort(own, kind="stable")
-            numbers, starts = np.unique(own[order], return_index=True)
-            runs = runs.set_column(0, "key", pa.array((keys // np.uint64(buckets)).astype(np.uint32)))
-            blocks = []
-            for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(order)], strict=False):  # none, where no text is long enough
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, _SENT, options=options) as writer:
-                    writer.write_batch(runs.take(pa.array(order[a:b])))
-                blocks.append(sink.getvalue().to_pybytes())
+            keys, found, known = runs_of(batch, heavy, buckets)
+            numbers, starts = np.unique(keys % np.uint64(buckets), return_index=True)
+            above = (keys // np.uint64(buckets)).astype(np.uint32)
+            cuts = list(itertools.pairwise([*starts.tolist(), len(keys)]))
+            raw = (found.slice(a, b - a).serialize() for a, b in cuts)
+            blocks = [len(block).to_bytes(8, "little") + codec.compress(block, asbytes=True) for block in raw]
+            kinds = [above[a:b].tobytes() for a, b in cuts]
             numbers = numbers.astype(np.int64)
-            if known[0]:
-                numbers = np.append(numbers, known[0][0] % buckets)
-                blocks.append(_KNOWN + np.array(known, np.int64).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(numbers), pa.array(blocks, pa.binary())], ["bucket", "block"])
-            del runs, blocks, known
+            if known.size:
+                numbers = np.append(numbers, known[0, 0] % buckets)
+                blocks.append(known.tobytes())
+                kinds.append(None)
+            yield pa.RecordBatch.from_arrays([pa.array(numbers), pa.array(kinds, pa.binary()), pa.array(blocks, pa.binary())], ["bucket", "keys", "block"])
+            del found, blocks, kinds, known
             pa.default_memory_pool().release_unused()
         released()
 
     def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begun(__name__)
-        names = ["minimiser", "packed", "doc", "starts"]
-        for bucket, block in ((bucket, block.as_buffer()) for batch in batches for bucket, block in zip(batch.column(0).to_pylist(), batch.column(1), strict=True)):
-            if block[: len(_KNOWN)].to_pybytes() == _KNOWN:
-                packed = pa.array([block[len(_KNOWN) :].to_pybytes()], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), packed, pa.nulls(1, pa.int64()), pa.nulls(1, pa.list_(pa.int32()))], names)
-                continue
-            for runs in pa.ipc.open_stream(block):
-                key, *others = runs.columns
-                yield pa.RecordBatch.from_arrays([pa.array(key.to_numpy().astype(np.int64) * buckets + bucket), *others], names)
+        held, size, now, whole = [], 0, None, True
+        for batch in batches:
+            for bucket, keys, block in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                if not keys.is_valid:
+                    yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([block.as_py()], pa.binary()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.list_(pa.int32()))], _NAMES)
+                    continue
+                if bucket != now or size > HELD_BYTES:
+                    whole &= bucket != now
+                    yield from shared(held, now, buckets, whole)
+                    held, size, whole, now = [], 0, bucket != now, bucket
+                held.append((np.frombuffer(keys.as_buffer(), np.uint32), block.as_buffer()))
+                size += len(held[-1][1])
+        yield from shared(held, now, buckets, whole)
+        del held
         released()
 
-    blocks = rows.mapInArrow(sent, "bucket long, block binary").repartition("bucket").select("bucket", "block")
-    runs = blocks.mapInArrow(opened, "minimiser long, packed binary, doc long, starts array<int>")
-    return runs.sortWithinPartitions("minimiser", "doc")
+    blocks = rows.mapInArrow(sent, "bucket long, keys binary, block binary").repartition("bucket").sortWithinPartitions("bucket")
+    found = blocks.select("bucket", "keys", "block").mapInArrow(opened, "minimiser long, packed binary, doc long, starts array<int>")
+    return found.sortWithinPartitions("minimiser", "doc")
+
+
+def shared(held: list[tuple[np.ndarray, pa.Buffer]], bucket: int | None, buckets: int, whole: bool) -> Iterator[pa.RecordBatch]:
+    """The runs of these blocks of a bucket; if they are the ``whole`` bucket, without those whose minimiser no other run has."""
+    if not held:
+        return
+    keys = np.concatenate([k for k, _ in held])
+    stay = np.ones(len(keys), bool)
+    if whole:
+        _, kind, n = np.unique(keys, return_inverse=True, return_counts=True)
+        stay = n[kind] > 1
+    ready, size, at, codec = [], 0, 0, pa.Codec("zstd")
+    for own, block in held:
+        mask, at = stay[at : at + len(own)], at + len(own)
+        if mask.any():
+            minimiser = pa.array(own[mask].astype(np.int64) * buckets + bucket)
+            raw = codec.decompress(block[8:], int.from_bytes(block[:8].to_pybytes(), "little"))
+            columns = pa.ipc.read_record_batch(raw, _SENT).filter(pa.array(mask)).columns
+            ready.append(pa.RecordBatch.from_arrays([minimiser, *columns], _NAMES))
+            size += ready[-1].nbytes
+        if size > 2_000_000:
+            yield pa.concat_batches(ready)
+            ready, size = [], 0
+    if ready:
+        yield pa.concat_batches(ready)
 
 
 class Bucket:
@@ -220,16 +277,15 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                 batch = batch.filter(pa.array(strings))
             out: list[tuple[int, int, int]] = []
             keys = batch.column(0).to_numpy()
-            packed_, docs_, starts_ = batch.columns[1:4]
             fresh = np.ones(len(keys), bool)
             fresh[1:] = keys[1:] != keys[:-1]
             alone = fresh & np.append(fresh[1:], False)
             if len(keys) and keys[0] == key:
                 alone[0] = False
-            for i in np.flatnonzero(~alone).tolist():
-                row = (packed_[i].as_py(), docs_[i].as_py(), starts_[i].as_py())
-                if keys[i] != key:
-                    bucket, key, held = Bucket(), keys[i], row
+            some = batch.filter(pa.array(~alone))
+            for least, *row in zip(*(column.to_pylist() for column in some.columns), strict=True):
+                if least != key:
+                    bucket, key, held = Bucket(), least, row
                     continue
                 if held is not None:
                     out += bucket.repeats(*held)
